@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm.jaccard_join import jaccard_components
+from coppice.llm.token_files import read_tokens, write_tokens
+from coppice.plans.materialize import scratch
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "tokens")
+    write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(spark, path, with_ids=False)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_token_files": op1_token_files, "op10_jaccard_join": op10_jaccard_join}
 ORACLE: dict[str, str] = {}
