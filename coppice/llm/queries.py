@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from coppice.llm import fingerprints, mixing, sharding, url_filter
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.token_files import read_tokens, write_tokens
 from coppice.plans.materialize import scratch
@@ -21,9 +23,47 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"), sharding.layout(40))
+
+
+#: The rules to judge by.
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pages are those whose path names a labelled document; bad: of low quality or toxic."""
+    pages = read(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    named = pages.select(host.alias("host"), F.regexp_extract(path, "^/[a-z]+/([0-9]{1,18})", 1).alias("n"))
+    named = named.where("n != ''").select("host", F.col("n").cast("long").alias("doc_id"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return url_filter.judge(pages, named.join(labels, "doc_id").select("host", "bad"), RULES)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op10_jaccard_join": op10_jaccard_join}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_url_filter": op9_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
+}
