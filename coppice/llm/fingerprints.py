@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
+SAMPLES = 48
 #: Samples that one exploded row computes.
 LANES = 4
 TERM_BITS = 26
@@ -33,22 +33,24 @@ def samples(terms: DataFrame, keys: list[str], term: str, weights: list[str]) ->
     terms: one row for each key and term (a long hash), with weights of one or more bags of the key; a weight of 0 or
     null leaves the term out of that bag. An empty bag's samples are null.
     """
-    rows = terms.withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, LANES)])))
-    for i in range(LANES):
-        h = F.xxhash64(F.col(term), F.col("lane") + i)
-        rows = rows.withColumn(f"h{i}", h).withColumn(f"g{i}", F.xxhash64(F.col(f"h{i}"), F.lit(1)))
-    for i in range(LANES):
-        rows = rows.withColumn(f"r{i}", -F.log(uniform(F.col(f"h{i}"), 0) * uniform(F.col(f"h{i}"), 1)))
-        rows = rows.withColumn(f"c{i}", F.log(-F.log(uniform(F.col(f"g{i}"), 0) * uniform(F.col(f"g{i}"), 1))))
-        rows = rows.withColumn(f"b{i}", uniform(F.xxhash64(F.col(f"g{i}"), F.lit(2)), 0))
+    logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"l_{w}") for w in weights]
+    rows = terms.select(*keys, F.col(term).alias("term"), *logs).withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, LANES)])))
+    lane = [*keys, "lane", *[f"l_{w}" for w in weights]]
+    each = range(LANES)
+    # One projection a step, so that nothing is computed twice.
+    rows = rows.select(*lane, *[F.xxhash64("term", F.col("lane") + i).alias(f"h{i}") for i in each])
+    rows = rows.select(*lane, *[f"h{i}" for i in each], *[F.xxhash64(f"h{i}", F.lit(1)).alias(f"g{i}") for i in each], *[F.xxhash64(f"h{i}", F.lit(2)).alias(f"k{i}") for i in each])
+    gamma = lambda h: -F.log(uniform(F.col(h), 0) * uniform(F.col(h), 1))
+    rows = rows.select(*lane, *[x for i in each for x in (f"h{i}", gamma(f"h{i}").alias(f"r{i}"), F.log(gamma(f"g{i}")).alias(f"c{i}"), uniform(F.col(f"k{i}"), 0).alias(f"b{i}"))])
+    rows = rows.select("*", *[F.floor(F.col(f"l_{w}") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t_{w}{i}") for w in weights for i in each])
     aggregates = []
     for w in weights:
-        for i in range(LANES):
-            t = F.floor(F.log(F.col(w)) / F.col(f"r{i}") + F.col(f"b{i}"))
+        for i in each:
+            t = F.col(f"t_{w}{i}")
             a = F.col(f"c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1)
             # a in the upper bits, the sampled term and its t in the lower ones: the minimum carries both
             packed = F.shiftleft(((a + 512) * F.lit(float(1 << 27))).cast("long"), TERM_BITS).bitwiseOR(F.xxhash64(F.col(f"h{i}"), t).bitwiseAND(F.lit((1 << TERM_BITS) - 1).cast("long")))
-            aggregates.append(F.min(F.when(F.col(w) > 0, packed)).alias(f"{w}{i}"))
+            aggregates.append(F.min(packed).alias(f"{w}{i}"))
     lanes = rows.groupBy(*keys, "lane").agg(*aggregates)
     low = lambda x: x.bitwiseAND(F.lit((1 << TERM_BITS) - 1).cast("long"))
     listed = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *[F.array(*[low(F.col(f"{w}{i}")) for i in range(LANES)]).alias(w) for w in weights]))).alias("all"))

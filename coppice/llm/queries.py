@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import fingerprints, mixing, sharding, url_filter
+from coppice.llm import decontaminate, fingerprints, language, licenses, line_dedup, mixing, sharding, url_filter
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.token_files import read_tokens, write_tokens
 from coppice.plans.materialize import scratch
@@ -23,14 +23,31 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, by text models fitted to a bounded sample of documents of known language."""
+    return language.identify_pages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), sharding.layout(40))
 
@@ -61,8 +78,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
