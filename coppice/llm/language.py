@@ -39,8 +39,13 @@ def declared(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)), F.lit(""))
 
 
+#: Letters (A-Z as a-z) and bytes of other scripts; digits, punctuation and white space are all one gap.
+PROSE = np.where((LOWER >= 97) & (LOWER <= 122) | (LOWER >= 128), LOWER, 32).astype(np.uint8)
+GAP = 32 << 8 | 32
+
+
 def pairs(data: np.ndarray) -> np.ndarray:
-    low = LOWER[data].astype(np.int32)
+    low = PROSE[data].astype(np.int32)
     return low[:-1] << 8 | low[1:]
 
 
@@ -70,6 +75,7 @@ def fit(labelled: DataFrame, text: str, language: str) -> tuple[list[str], np.nd
         joint = counts[name].reshape(256, 256) + 0.01
         models[i] = np.log(joint / joint.sum(axis=1, keepdims=True)).reshape(-1)
     models[-1] = -np.log(48.0)  # bytes without language: as if 48 characters were equally likely
+    models[:, GAP] = 0  # within a gap nothing tells languages apart
     return names, models
 
 
