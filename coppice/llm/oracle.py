@@ -47,23 +47,23 @@ WITH p AS (
   SELECT h.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, parts[-1] AS suffix, array_to_string(parts[greatest(np - 1, 1):np], '.') AS domain
   FROM h LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host) c USING (host)
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY suffix
-), root AS (SELECT (sum(bad) + 0.5) / (sum(n) + 10.0) AS mean FROM s
+), root AS (SELECT (sum(bad) + 0.5) / (sum(n) + 10.0) AS mean, sum(n) + 10.0 AS sure FROM s
 ), sr AS (
-  SELECT sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM s, root WHERE n > 0
+  SELECT count(*) AS seen, sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM s, root WHERE n > 0
 ), sp AS (
-  SELECT suffix, (g * mean + bad) / (g + n) AS mean
-  FROM s, root, (SELECT CASE WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM sr)
+  SELECT suffix, (h * mean + bad) / (h + n) AS mean, h + n AS sure
+  FROM (SELECT suffix, n, bad, mean, g * sure / (g + sure) AS h FROM s, root, (SELECT CASE WHEN seen < 2 THEN 1.0 WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM sr))
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY domain, suffix
 ), dr AS (
-  SELECT sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM d JOIN sp USING (suffix) WHERE n > 0
+  SELECT count(*) AS seen, sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM d JOIN sp USING (suffix) WHERE n > 0
 ), dp AS (
-  SELECT domain, (g * mean + bad) / (g + n) AS mean
-  FROM d JOIN sp USING (suffix), (SELECT CASE WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM dr)
+  SELECT domain, (h * mean + bad) / (h + n) AS mean, h + n AS sure
+  FROM (SELECT domain, n, bad, mean, g * sure / (g + sure) AS h FROM d JOIN sp USING (suffix), (SELECT CASE WHEN seen < 2 THEN 1.0 WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM dr))
 ), hr AS (
-  SELECT sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM k JOIN dp USING (domain) WHERE n > 0
+  SELECT count(*) AS seen, sum(n * (bad / n - mean) ** 2 - mean * (1 - mean)) / nullif(sum((n - 1) * mean * (1 - mean)), 0) AS rho FROM k JOIN dp USING (domain) WHERE n > 0
 ), hp AS (
-  SELECT host, g * mean + bad AS a, g * (1 - mean) + n - bad AS b
-  FROM k JOIN dp USING (domain), (SELECT CASE WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM hr)
+  SELECT host, h * mean + bad AS a, h * (1 - mean) + n - bad AS b
+  FROM (SELECT host, n, bad, mean, g * sure / (g + sure) AS h FROM k JOIN dp USING (domain), (SELECT CASE WHEN seen < 2 THEN 1.0 WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / rho - 1)) END AS g FROM hr))
 ), x AS (SELECT host, a / (a + b) AS rate, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM hp
 ), j AS (
   SELECT q.*, rate, bound, CASE

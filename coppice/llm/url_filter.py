@@ -2,8 +2,8 @@
 
 Labelled pages give each host a count of good and bad outcomes. A host's bad rate has a beta prior around its
 registered domain's posterior rate, a domain's around its suffix's, a suffix's around the overall rate; the strength of
-each prior comes from the spread of the children's rates (method of moments). A host is blocked when the lower
-posterior bound of its bad rate is above a threshold. All counts are grouped aggregations; only a row a host is joined
+each prior comes from the spread of the children's rates (method of moments) and is limited by how well the parent's
+rate itself is known. A host is blocked when the lower posterior bound of its bad rate is above a threshold. All counts are grouped aggregations; only a row a host is joined
 back, salted, so that a host with a third of all pages is spread.
 """
 
@@ -65,19 +65,21 @@ def shrink(counts: DataFrame, child: str, parent: str, above: DataFrame) -> Data
     """Posterior of each child: counts(child, parent, n, bad) shrunk to above(parent, rate).
 
     The strength comes from all children of the level by moments: sum of n (p - m)^2 - m (1 - m) over sum of
-    (n - 1) m (1 - m) estimates the correlation within a child, rho; 1 / rho - 1 is the strength, within STRENGTH.
+    (n - 1) m (1 - m) estimates the correlation within a child, rho; 1 / rho - 1 is the strength, within STRENGTH. One
+    child with outcomes doesn't tell how children differ: the strength is then the least. The parent's mean is itself
+    uncertain; variances add, so a strength s below a posterior of size a counts as s a / (s + a).
     Adds alpha, beta, rate.
     """
-    rows = counts.join(above.select(parent, F.col("rate").alias("mean")), parent)
+    rows = counts.join(above.select(parent, F.col("rate").alias("mean"), (F.col("alpha") + F.col("beta")).alias("sure")), parent)
     p = F.col("bad") / F.col("n")
     noise = F.col("mean") * (1 - F.col("mean"))
-    level = rows.where("n > 0").agg(F.sum(F.col("n") * (p - F.col("mean")) ** 2 - noise).alias("extra"), F.sum((F.col("n") - 1) * noise).alias("room"))
-    # rho: correlation of outcomes within a child; strength = 1 / rho - 1
+    level = rows.where("n > 0").agg(F.sum(F.col("n") * (p - F.col("mean")) ** 2 - noise).alias("extra"), F.sum((F.col("n") - 1) * noise).alias("room"), F.count("*").alias("seen"))
     rho = F.coalesce(F.try_divide("extra", "room"), F.lit(0.0))
-    level = level.select(F.when(rho <= 0, STRENGTH[1]).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), 1 / rho - 1))).alias("strength"))
+    level = level.select(F.when(F.col("seen") < 2, STRENGTH[0]).when(rho <= 0, STRENGTH[1]).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), 1 / rho - 1))).alias("strength"))
     rows = rows.crossJoin(F.broadcast(level))  # one row
+    rows = rows.withColumn("strength", F.col("strength") * F.col("sure") / (F.col("strength") + F.col("sure")))
     rows = rows.withColumn("alpha", F.col("strength") * F.col("mean") + F.col("bad")).withColumn("beta", F.col("strength") * (1 - F.col("mean")) + F.col("n") - F.col("bad"))
-    return rows.withColumn("rate", F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("mean", "strength")
+    return rows.withColumn("rate", F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("mean", "strength", "sure")
 
 
 def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
@@ -87,7 +89,8 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = known.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0))
-    root = suffixes.groupBy("root").agg(*sums).withColumn("rate", (F.col("bad") + FEW[0]) / (F.col("n") + FEW[0] + FEW[1]))
+    root = suffixes.groupBy("root").agg(*sums).withColumn("alpha", F.col("bad") + FEW[0]).withColumn("beta", F.col("n") - F.col("bad") + FEW[1])
+    root = root.withColumn("rate", F.col("alpha") / (F.col("alpha") + F.col("beta")))
     by_suffix = shrink(suffixes, "suffix", "root", root)
     by_domain = shrink(domains, "domain", "suffix", by_suffix).withColumnRenamed("suffix", "domain_suffix")
     found = shrink(known.drop("suffix"), "host", "domain", by_domain)
