@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 from coppice.functions.scalars import MODULUS, draw
 
 
-def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
-    """Gapless numbers from 0 by key in two levels: ranges of the key, then rows of a range; no single-task window."""
-    parts = df.withColumn("_part", F.floor(F.col(key) / 4096))
+def numbered(df: DataFrame, key: str, out: str = "at", rows_a_part: int = 4096) -> DataFrame:
+    """Gapless numbers from 0 by key in two levels: ranges of the key, then rows of a range; no single-task window.
+
+    Ranges are of equal width between the least and the largest key, about rows_a_part rows each for even keys."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    low = ends["low"] or 0
+    width = max(1, ((ends["high"] or 0) - low + 1) // max(1, ends["n"] // rows_a_part))
+    parts = df.withColumn("_part", F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
     before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).join(before, "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def shuffled_places(rows: DataFrame, key: str, label: str, seed: int = 1, parts: int = 1024) -> DataFrame:
+    """Adds at: a row's place from 0 in its class's shuffled order. Ranges of the draw are numbered separately, so that
+    no class meets in one task. Rows without a class take no part."""
+    rows = rows.withColumn("_r", draw(F.col(key), seed)).withColumn("_part", F.floor(F.col("_r") * parts / MODULUS))
+    before = rows.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    before = before.select(label, "_part", (F.sum("_n").over(Window.partitionBy(label).orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_r", key)) - 1
+    return rows.withColumn("_at", at).join(before, [label, "_part"]).withColumn("at", F.col("_before") + F.col("_at")).drop("_r", "_part", "_at", "_before")
+
+
 def bag(rows: DataFrame, key: str, n: int, trees: int, percent: int = 100, seed: int = 1) -> DataFrame:
     """tree, key, weight: how often each of n numbered rows (at) is drawn with replacement; rows are never copied."""
     spark, size = rows.sparkSession, n * percent // 100
@@ -25,11 +40,71 @@ def bag(rows: DataFrame, key: str, n: int, trees: int, percent: int = 100, seed:
 
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, seed: int = 1) -> DataFrame:
     """fold of each row: shuffled, sorted by class, then dealt in turn over the whole order."""
-    rows = rows.withColumn("_r", draw(F.col(key), seed))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     counts = counts.select(label, (F.sum("_n").over(Window.orderBy(label)) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy(label).orderBy("_r", key)) - 1
-    return rows.withColumn("_at", at).join(F.broadcast(counts), label).withColumn("fold", ((F.col("_before") + F.col("_at")) % folds).cast("int")).drop("_r", "_at", "_before")
+    placed = shuffled_places(rows, key, label, seed).join(F.broadcast(counts), label)  # a row a class
+    return placed.withColumn("fold", ((F.col("_before") + F.col("at")) % folds).cast("int")).drop("at", "_before")
+
+
+def majority_bag(rows: DataFrame, key: str, label: str, quotas: dict[int, int], trees: int, seed: int = 1) -> DataFrame:
+    """tree, key, weight: each row of a class without a quota once; of the others quota draws with replacement."""
+    placed = shuffled_places(rows.select(key, label), key, label, seed)
+    sizes = placed.groupBy(label).agg(F.count("*").alias("_n"))
+    total = sum(quotas.values())
+    slot, of, upto = F.col("id") % total, F.lit(None).cast("int"), total
+    for k, q in sorted(quotas.items(), reverse=True):
+        upto -= q
+        of = F.coalesce(of, F.when(slot >= upto, F.lit(k)))
+    draws = rows.sparkSession.range(trees * total).select(F.floor(F.col("id") / total).cast("int").alias("tree"), of.alias(label), draw(F.col("id"), seed + 1).alias("_d"))
+    draws = draws.join(F.broadcast(sizes), label).withColumn("at", F.col("_d") % F.col("_n"))  # a row a class
+    drawn = draws.groupBy("tree", label, "at").agg(F.count("*").alias("weight")).join(placed, [label, "at"]).select("tree", key, "weight")
+    whole = rows.where(~F.col(label).isin(*quotas)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return drawn.union(whole.select("tree", key, F.lit(1).cast("long")))
+
+
+def clump_plan(counts: DataFrame, shares: dict[int, float]) -> DataFrame:
+    """label, n, minority, clumps, quota: balanced sets in which the minority classes have their shares.
+
+    counts: label, n. The set's size is the mean of n / share over the minority classes, rounded; a majority class
+    needs n over its part of the rest of that size, both rounded up; the largest need is the number of clumps, and a
+    majority class gives ceil(n / clumps) rows to each, a minority class all of its rows."""
+    minority = F.col("label").isin(*shares)
+    share = F.create_map(*[F.lit(x) for p in shares.items() for x in p])[F.col("label")]
+    every = Window.partitionBy()  # a row a class
+    rows = counts.withColumn("minority", minority).withColumn("_size", F.floor(F.avg(F.when(minority, F.col("n") / share)).over(every) + 0.5))
+    rest = F.sum(F.when(~minority, F.col("n")).otherwise(0)).over(every)
+    part = F.ceil(F.round(F.col("_size") * (F.col("n") / rest) * F.lit(1 - sum(shares.values())), 6))
+    rows = rows.withColumn("_need", F.when(~minority, F.ceil(F.col("n") / F.greatest(part, F.lit(1)))))
+    rows = rows.withColumn("clumps", F.max("_need").over(every))
+    return rows.select("label", "n", "minority", "clumps", F.when(F.col("minority"), F.col("n")).otherwise(F.ceil(F.col("n") / F.col("clumps"))).alias("quota"))
+
+
+def balanced_clump(rows: DataFrame, key: str, label: str, quotas: dict[int, int], clump: int, seed: int = 1) -> DataFrame:
+    """Rows of balanced set number clump: all of a class without a quota, else quota rows from place clump * quota on in
+    the class's shuffled order, cyclically."""
+    placed = shuffled_places(rows, key, label, seed)
+    sizes = placed.groupBy(label).agg(F.count("*").alias("_n"))
+    quota = F.create_map(*[F.lit(x) for p in quotas.items() for x in p])[F.col(label)]
+    both = placed.join(F.broadcast(sizes), label)
+    return both.where(quota.isNull() | (F.pmod(F.col("at") - quota * clump, F.col("_n")) < quota)).drop("at", "_n")
+
+
+def node_sample(rows: DataFrame, key: str, node: str, n: int, seed: int = 1) -> DataFrame:
+    """At most n rows of each node without replacement."""
+    return shuffled_places(rows, key, node, seed).where(F.col("at") < n).drop("at")
+
+
+def attribute_sample(units: DataFrame, unit: str, attributes: int, keep: int, seed: int = 1) -> DataFrame:
+    """unit, attribute: keep of the attributes 0.. for each tree or node, in a random order of its own."""
+    rows = units.select(unit, F.explode(F.sequence(F.lit(0), F.lit(attributes - 1))).alias("attribute"))
+    order = Window.partitionBy(unit).orderBy(draw(F.col(unit) * attributes + F.col("attribute"), seed), "attribute")
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).drop("_r")
+
+
+def permuted(rows: DataFrame, key: str, column: str, seed: int = 1) -> DataFrame:
+    """rows with the column's values dealt anew by a portable random permutation."""
+    taken = shuffled_places(rows.select(key, column, F.lit(0).alias("_all")), key, "_all", seed).select("at", column)
+    return numbered(rows.drop(column), key).join(taken, "at").drop("at")
 
 
 def l1(attributes: list[str], a: str, b: str) -> Column:
@@ -95,12 +170,25 @@ def boost_round(rows: DataFrame, weight: str, wrong: Column) -> DataFrame:
 
 def weighted_draw(rows: DataFrame, key: str, weight: str, draws: int, seed: int = 1, cells: int = 1024) -> DataFrame:
     """draw, key: draws with replacement in proportion to an integer weight; a range join made an equi-join on cells of
-    the cumulative weight."""
-    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.select(key, (F.sum(weight).over(order) - F.col(weight)).alias("low"), F.sum(weight).over(order).alias("high"))
-    total = rows.agg(F.sum(weight).alias("total"))
-    cum = cum.crossJoin(F.broadcast(total)).withColumn("width", F.floor(F.col("total") / cells) + 1)
-    cum = cum.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width")))))
-    points = rows.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), (draw(F.col("id"), seed) % F.col("total")).alias("u"), (F.floor(F.col("total") / cells) + 1).alias("width"))
-    points = points.withColumn("cell", F.floor(F.col("u") / F.col("width"))).drop("width")
+    the cumulative weight. The cumulative weight is two-level: ranges of the key, then rows of a range."""
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"), F.sum(weight).alias("total")).first()
+    low, total = ends["low"] or 0, ends["total"] or 0
+    span = max(1, ((ends["high"] or 0) - low + 1) // max(1, ends["n"] // 4096))
+    parts = rows.select(key, weight, F.floor((F.col(key) - F.lit(low)) / F.lit(span)).alias("_part"))
+    before = parts.groupBy("_part").agg(F.sum(weight).alias("_s"))
+    before = before.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_before"))
+    inner = F.sum(weight).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    cum = parts.withColumn("_in", inner).join(before, "_part").select(key, (F.col("_before") + F.col("_in") - F.col(weight)).alias("low"), (F.col("_before") + F.col("_in")).alias("high"))
+    width = total // cells + 1
+    cum = cum.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    u = (draw(F.col("id"), seed) * MODULUS + draw(F.col("id"), seed + 1)) % max(total, 1)
+    points = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), u.alias("u")).withColumn("cell", F.floor(F.col("u") / width))
     return points.join(cum, "cell").where("u >= low and u < high").select("draw", key)
+
+
+def bite(rows: DataFrame, key: str, wrong: Column, error: float, size: int, seed: int = 1) -> DataFrame:
+    """key, weight: size draws with replacement in which a right row is as likely as error / (1 - error) of a wrong one:
+    the law of drawing rows and rejecting right ones, without its loop."""
+    right = int(1000 * min(1.0, error / max(1e-9, 1 - error)))
+    weighed = rows.select(key, F.when(wrong, 1000).otherwise(right).cast("long").alias("_w"))
+    return weighted_draw(weighed, key, "_w", size, seed).groupBy(key).agg(F.count("*").alias("weight"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import scalars as S
-from coppice.operators import diversity, grow, metrics, prep, regions, sampling, scoring, split
+from coppice.operators import diversity, grow, metrics, prep, regions, sampling, scoring, split, train
 from coppice.operators.scoring import Node
+from coppice.sources import models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,7 +70,6 @@ def tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.tally(votes(spark, sf_dir), ["row_id", "label"], CLASSES)
 
 
-
 def cols(x: str) -> list:
     return [F.col(f"{x}{k}") for k in range(CLASSES)]
 
@@ -186,6 +186,38 @@ def _(spark, d):
     return long.join(F.broadcast(cut), "attribute").groupBy("attribute", F.round("cut", 8).alias("cut")).agg(F.count_if(F.col("value") < F.col("cut")).alias("n_left"), F.count("*").alias("n"))
 
 
+@query("trt_split", f"WITH {CUTS}, e AS (SELECT attribute, min(threshold) AS a, max(threshold) AS z FROM cuts GROUP BY attribute) SELECT attribute, round(a + (z - a) * ({S.draw_sql('attribute', 5)} / 2147483647.0), 8) AS cut, round({S.draw_sql('attribute', 8)} / 2147483647.0, 8) AS score FROM e ORDER BY score DESC, attribute LIMIT 1")
+def _(spark, d):
+    ends = split.candidates(split.histogram(long_bands(spark, d), [], CLASSES), [], CLASSES).groupBy("attribute").agg(F.min("threshold").alias("a"), F.max("threshold").alias("z"))
+    share = lambda seed: S.draw(F.col("attribute"), seed) / F.lit(float(S.MODULUS))
+    cuts = ends.select("attribute", F.round(F.col("a") + (F.col("z") - F.col("a")) * share(5), 8).alias("cut"), F.round(share(8), 8).alias("score"))
+    return split.best_attribute(cuts, [])
+
+
+SAMPLED = CUTS.replace(BANDS, BANDS.replace("bands AS", "every AS") + f", bands AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (ORDER BY {S.draw_sql('row_id', 12)}, row_id) AS rn FROM every) WHERE rn <= 2000)")
+
+
+@query("node_subsample_split", f"WITH {SAMPLED} SELECT attribute, threshold, round(gain, 8) AS score, l0, l1, l2, r0, r1, r2 FROM (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY round(gain, 9) DESC, low) AS rn FROM cuts) WHERE rn = 1")
+def _(spark, d):
+    """The feature is the sample: the cut is chosen on 2000 rows of the node."""
+    rows = sampling.node_sample(bands(spark, d).withColumn("node", F.lit(0)), "row_id", "node", 2000, seed=12)
+    cuts = split.candidates(split.histogram(prep.long_rows(rows, "row_id", "label", ATTRIBUTES), [], CLASSES), [], CLASSES)
+    return split.best_cuts(cuts, [], CLASSES, "infogain").withColumn("score", F.round("score", 8))
+
+
+MASK = lambda keep, seed: f"SELECT tree, CAST(attribute AS INT) AS attribute FROM (SELECT tree, attribute, row_number() OVER (PARTITION BY tree ORDER BY {S.draw_sql('tree * 64 + attribute', seed)}, attribute) AS r FROM (SELECT unnest(range(10)) AS tree), (SELECT unnest(range(64)) AS attribute)) WHERE r <= {keep}"
+
+
+@query("subspace_mask", MASK(32, 3))
+def _(spark, d):
+    return sampling.attribute_sample(spark.range(10).withColumnRenamed("id", "tree"), "tree", 64, 64 * 50 // 100, seed=3)
+
+
+@query("rf_attribute_sample", MASK(7, 4))
+def _(spark, d):
+    return sampling.attribute_sample(spark.range(10).withColumnRenamed("id", "tree"), "tree", 64, train.default_attributes(64), seed=4)
+
+
 # --- sampling ----------------------------------------------------------------------------------------------------
 def orders(spark, d):
     return sampling.numbered(read(spark, d, "orders").select("o_orderkey"), "o_orderkey")
@@ -227,6 +259,24 @@ def _(spark, d):
     return read(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")).where("n < 60")
 
 
+PLACED = f"placed AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {S.draw_sql('doc_id', 4)}, doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS n FROM labels)"
+
+
+@query("majority_bag", f"WITH {PLACED}, draws AS (SELECT i // 50 AS tree, {S.draw_sql('i', 5)} % (SELECT max(n) FROM placed WHERE quality = 1) AS place FROM (SELECT unnest(range(150)) AS i)) SELECT CAST(tree AS INT) AS tree, doc_id, count(*) AS weight FROM draws JOIN placed USING (place) WHERE quality = 1 GROUP BY 1, 2 UNION ALL SELECT CAST(t AS INT), doc_id, 1 FROM labels, (SELECT unnest([0, 1, 2]) AS t) WHERE quality <> 1")
+def _(spark, d):
+    return sampling.majority_bag(read(spark, d, "labels"), "doc_id", "quality", {1: 50}, 3, seed=4)
+
+
+@query("clump_plan", f"WITH {BANDS}, c AS (SELECT label, count(*) AS n FROM bands GROUP BY label), s AS (SELECT floor(avg(n / 0.4) + 0.5) AS size FROM c WHERE label = 2), m AS (SELECT sum(n) AS rest FROM c WHERE label <> 2), k AS (SELECT CAST(max(ceil(n / greatest(ceil(round(size * (n / rest) * 0.6, 6)), 1))) AS BIGINT) AS clumps FROM c, s, m WHERE label <> 2) SELECT label, n, label = 2 AS minority, clumps, CASE WHEN label = 2 THEN n ELSE CAST(ceil(n / clumps) AS BIGINT) END AS quota FROM c, k")
+def _(spark, d):
+    return sampling.clump_plan(bands(spark, d).groupBy("label").agg(F.count("*").alias("n")), {2: 0.4})
+
+
+@query("balanced_clump", f"WITH {PLACED} SELECT doc_id, quality FROM placed WHERE quality <> 1 OR ((place - 60) % n + n) % n < 20")
+def _(spark, d):
+    return sampling.balanced_clump(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", {1: 20}, 3, seed=4)
+
+
 @query("smote_deficits", "WITH c AS (SELECT CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS label, count(*) AS n FROM events GROUP BY 1) SELECT label, n, CAST(ceil(round(0.6 * ((SELECT sum(n) FROM c WHERE label <> 1) / 0.4), 6)) AS BIGINT) AS wanted, CAST(ceil(round(0.6 * ((SELECT sum(n) FROM c WHERE label <> 1) / 0.4), 6)) - n AS BIGINT) AS missing FROM c WHERE label = 1")
 def _(spark, d):
     c = read(spark, d, "events").groupBy(F.when(F.col("event_type").isin("error", "purchase"), 1).otherwise(0).alias("label")).agg(F.count("*").alias("n"))
@@ -272,11 +322,17 @@ def _(spark, d):
     return r.select("row_id", F.round("error", 8).alias("error"), F.round(F.col("next_weight") * 1000000, 6).alias("weight"))
 
 
-@query("weighted_draw", f"WITH c AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) AS high FROM part), t AS (SELECT sum(p_size) AS total FROM part), u AS (SELECT i AS draw, {S.draw_sql('i', 9)} % (SELECT total FROM t) AS u FROM (SELECT unnest(range(1000)) AS i)) SELECT draw, p_partkey FROM u JOIN c ON u.u < c.high AND u.u >= c.high - c.p_size")
+@query("weighted_draw", f"WITH c AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) AS high FROM part), t AS (SELECT sum(p_size) AS total FROM part), u AS (SELECT i AS draw, ({S.draw_sql('i', 9)} * {S.MODULUS} + {S.draw_sql('i', 10)}) % (SELECT total FROM t) AS u FROM (SELECT unnest(range(1000)) AS i)) SELECT draw, p_partkey FROM u JOIN c ON u.u < c.high AND u.u >= c.high - c.p_size")
 def _(spark, d):
     return sampling.weighted_draw(read(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", 1000, seed=9)
 
 
+@query("ivote_bite", f"WITH {BANDS}, w AS (SELECT row_id, CASE WHEN {tree_sql(TREE3[0], 'label')} <> label THEN 1000 ELSE 333 END AS w FROM bands), c AS (SELECT row_id, w, sum(w) OVER (ORDER BY row_id) AS high FROM w), u AS (SELECT ({S.draw_sql('i', 31)} * {S.MODULUS} + {S.draw_sql('i', 32)}) % (SELECT sum(w) FROM w) AS u FROM (SELECT unnest(range(200)) AS i)) SELECT row_id, count(*) AS weight FROM u JOIN c ON u.u < c.high AND u.u >= c.high - c.w GROUP BY row_id")
+def _(spark, d):
+    v = scoring.votes(bands(spark, d), ["row_id", "label"], TREE3[:1], CLASSES)
+    return sampling.bite(v, "row_id", F.col("pred") != F.col("label"), 0.25, 200, seed=31)
+
+
 # --- scoring -----------------------------------------------------------------------------------------------------
 @query("classify_tree3", f"WITH {VOTES} SELECT row_id, tree, leaf, pred FROM votes")
 def _(spark, d):
@@ -298,6 +354,12 @@ def _(spark, d):
     return tally(spark, d).select("row_id", F.round(scoring.margin(cols("p")), 8).alias("margin"))
 
 
+@query("predictions", f"WITH {TALLY} SELECT row_id, label, CASE {WIN('p')} WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS Pred, round(list_sort([p0, p1, p2], 'DESC')[1] - list_sort([p0, p1, p2], 'DESC')[2], 8) AS Margin, round(p0, 8) AS Pr_low, round(p1, 8) AS Pr_mid, round(p2, 8) AS Pr_high FROM tally")
+def _(spark, d):
+    out = models.predictions(tally(spark, d), ["low", "mid", "high"])
+    return out.select("row_id", "label", "Pred", *[F.round(c, 8).alias(c) for c in ("Margin", "Pr_low", "Pr_mid", "Pr_high")])
+
+
 BW = "CASE tree " + " ".join(f"WHEN {t} THEN log2(1 / {b})" for t, b in enumerate(BETAS)) + " END"
 
 
@@ -342,7 +404,7 @@ def _(spark, d):
 CURVE = [0.40, 0.35, 0.30, 0.28, 0.27, 0.25, 0.24, 0.24, 0.26, 0.25, 0.25, 0.24]
 
 
-@query("stopping_point", "SELECT 7 AS stop_tree, 0.76 AS accuracy WHERE false UNION ALL SELECT 6, 0.76")
+@query("stopping_point", f"WITH c(tree, error) AS (VALUES {', '.join(f'({i}, CAST({e} AS DOUBLE))' for i, e in enumerate(CURVE))}), r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c), b AS (SELECT block, max(smooth) AS top FROM r GROUP BY block HAVING count(*) = 4), l AS (SELECT block, top, lag(top) OVER (ORDER BY block) AS before FROM b), s AS (SELECT min(block) AS stop FROM l WHERE top <= before) SELECT tree AS stop_tree, round(raw, 8) AS accuracy FROM r, s WHERE block = stop - 1 ORDER BY raw DESC, tree LIMIT 1")
 def _(spark, d):
     curve = spark.createDataFrame(list(enumerate(CURVE)), "tree int, error double")
     return scoring.stopping_point(curve, slide=2, build=4).withColumn("accuracy", F.round("accuracy", 8))
@@ -376,6 +438,17 @@ def _(spark, d):
     return metrics.auroc(t, "s", F.col("label") == 0).select(F.round("auroc", 8).alias("auroc"))
 
 
+PAIRED = [(a, b) for a in range(CLASSES) for b in range(CLASSES) if a != b]
+PAIR_SQL = lambda a, b: f"SELECT (sum(mid) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / nullif(count(*) FILTER (pos) * CAST(count(*) FILTER (NOT pos) AS DOUBLE), 0) AS a FROM (SELECT pos, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM (SELECT round(p{a}, 9) AS s, label = {a} AS pos FROM tally WHERE label IN ({a}, {b})))"
+
+
+@query("auroc_pairwise", f"WITH {TALLY} SELECT round(avg(a), 8) AS auroc FROM ({' UNION ALL '.join(PAIR_SQL(a, b) for a, b in PAIRED)})")
+def _(spark, d):
+    t = tally(spark, d)
+    each = [metrics.auroc(t.where(F.col("label").isin(a, b)).select(F.round(f"p{a}", 9).alias("s"), "label"), "s", F.col("label") == a) for a, b in PAIRED]
+    return prep.union_all(each).agg(F.round(F.avg("auroc"), 8).alias("auroc"))
+
+
 @query("calibration", f"WITH {TALLY}, r AS (SELECT round(p0, 9) AS s, row_id, label = 0 AS pos FROM tally), w AS (SELECT avg(s) OVER f AS mean, avg(CASE WHEN pos THEN 1.0 ELSE 0.0 END) OVER f AS rate, count(*) OVER f AS n FROM r WINDOW f AS (ORDER BY s, row_id ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)) SELECT round(avg(abs(mean - rate)), 8) AS calibration, round(avg(rate * (1 - rate)), 8) AS refinement FROM w WHERE n = 100")
 def _(spark, d):
     t = tally(spark, d).select(F.round("p0", 9).alias("s"), "row_id", "label")
@@ -475,12 +548,17 @@ def _(spark, d):
     return regions.overlap(*region_tables(spark, d))
 
 
-@query("seg_report", f"WITH {REG}, a AS (SELECT t AS truth_label, f AS found_label, count(*) AS n FROM o WHERE t < 4 AND f < 4 GROUP BY 1, 2), b AS (SELECT t AS truth_label, count(*) AS tn FROM o WHERE t < 4 GROUP BY 1), c AS (SELECT f AS found_label, count(*) AS fn FROM o WHERE f < 4 GROUP BY 1) SELECT truth_label, found_label, round(n / tn, 8) AS truth_share, round(n / fn, 8) AS found_share, CASE WHEN n * 100 >= tn * 15 AND n * 100 >= fn * 20 THEN 'correct' WHEN n * 100 >= tn * 15 THEN 'under' WHEN n * 100 >= fn * 15 THEN 'over' ELSE 'none' END AS kind FROM a JOIN b USING (truth_label) JOIN c USING (found_label)".replace("fn * 20", "fn * 15"))
+@query("seg_report", f"WITH {REG}, a AS (SELECT t AS truth_label, f AS found_label, count(*) AS n FROM o WHERE t < 4 AND f < 4 GROUP BY 1, 2), b AS (SELECT t AS truth_label, count(*) AS tn FROM o WHERE t < 4 GROUP BY 1), c AS (SELECT f AS found_label, count(*) AS fn FROM o WHERE f < 4 GROUP BY 1) SELECT truth_label, found_label, round(n / tn, 8) AS truth_share, round(n / fn, 8) AS found_share, CASE WHEN n * 100 >= tn * 15 AND n * 100 >= fn * 15 THEN 'correct' WHEN n * 100 >= tn * 15 THEN 'under' WHEN n * 100 >= fn * 15 THEN 'over' ELSE 'none' END AS kind FROM a JOIN b USING (truth_label) JOIN c USING (found_label)")
 def _(spark, d):
     r = regions.report(*region_tables(spark, d), percent=15)
     return r.select("truth_label", "found_label", F.round("truth_share", 8).alias("truth_share"), F.round("found_share", 8).alias("found_share"), "kind")
 
 
+@query("region_filter", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, t AS label, CAST(count(*) AS INT) AS members FROM o WHERE t IN (0, 2) AND mesh = 1 AND timestep BETWEEN 1994 AND 1996 GROUP BY 1, 2, 3")
+def _(spark, d):
+    return region_tables(spark, d)[0].where("label in (0, 2) and mesh = 1 and timestep between 1994 and 1996").select("timestep", "mesh", "label", F.size("members").alias("members"))
+
+
 @query("border_nodes", "SELECT l_partkey AS node, count(DISTINCT l_suppkey % 4) AS parts FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 4) > 1")
 def _(spark, d):
     return regions.border_nodes(read(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), (F.col("l_suppkey") % 4).alias("part")))
@@ -509,3 +587,41 @@ def _(spark, d):
     trees = grow.grow(rows, "row_id", ATTRIBUTES, CLASSES, bags, 4, depth=3, attributes_a_node=2)
     v = scoring.votes(rows, ["row_id", "label"], trees, CLASSES)
     return scoring.oob_curve(v, bags.select("row_id", "tree"), CLASSES)
+
+
+@query("boost_train", None)
+def _(spark, d):
+    """Boosted trees: the confusion of their weighted vote."""
+    rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
+    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=2)
+    w = F.element_at(F.array(*[F.log2(F.lit(1 / b)) for b in betas or [0.5]]), F.col("tree") + 1)
+    t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees or TREE3[:1], CLASSES), ["row_id", "label"], CLASSES, w)
+    return metrics.confusion(t.withColumn("pred", scoring.winner(cols("v"))))
+
+
+@query("ivote_train", None)
+def _(spark, d):
+    """Trees on importance-sampled bites: the smoothed out-of-bag error of each round."""
+    rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
+    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500, depth=2)
+    return spark.createDataFrame(list(enumerate(errors)), "round int, error double")
+
+
+WRONG = lambda src: f"(SELECT avg(CASE WHEN {WIN('v')} <> label THEN 1.0 ELSE 0.0 END) FROM (SELECT label, {', '.join(f'(a = {k})::INT + (b = {k})::INT + (c = {k})::INT AS v{k}' for k in range(3))} FROM (SELECT label, {tree_sql(TREE3[0], 'label')} AS a, {tree_sql(TREE3[1], 'label')} AS b, {tree_sql(TREE3[2], 'label')} AS c FROM {src})))"
+DEALT = ", ".join(f"m{i} AS (SELECT b.* EXCLUDE (place, {a}), x.{a} FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM bands) b JOIN (SELECT {a}, row_number() OVER (ORDER BY {S.draw_sql('row_id', 41 + i)}, row_id) AS place FROM bands) x USING (place))" for i, a in enumerate(ATTRIBUTES))
+
+
+@query("permutation_importance", f"WITH {BANDS}, {DEALT}, e AS (" + " UNION ALL ".join(f"SELECT '{a}' AS attribute, {WRONG('bands')} AS error, {WRONG(f'm{i}')} AS noised_error" for i, a in enumerate(ATTRIBUTES)) + ") SELECT attribute, round(error, 8) AS error, round(noised_error, 8) AS noised_error, round(100 * (noised_error - error) / nullif(error, 0), 6) AS importance FROM e")
+def _(spark, d):
+    out = train.permutation_importance(bands(spark, d), "row_id", ATTRIBUTES, TREE3, CLASSES, seed=41)
+    return out.select("attribute", F.round("error", 8).alias("error"), F.round("noised_error", 8).alias("noised_error"), F.round("importance", 6).alias("importance"))
+
+
+def node_rows(tree: int, node: Node) -> list[str]:
+    own = f"({tree}, {node.id}, {repr(node.attribute) if node.attribute else 'NULL'}, {sum(node.counts)})"
+    return [own, *[x for c in node.children for x in node_rows(tree, c)]]
+
+
+@query("path_depth_importance", f"WITH RECURSIVE n(tree, id, attribute, mass) AS (VALUES {', '.join(x for t, tree in enumerate(TREE3) for x in node_rows(t, tree))}), up AS (SELECT tree, id, mass, floor(log2(id)) AS d FROM n WHERE attribute IS NULL UNION ALL SELECT tree, id // 2, mass, d FROM up WHERE id > 1), p AS (SELECT n.attribute, sum(up.mass / up.d) AS path FROM up JOIN n ON n.tree = up.tree AND n.id = up.id WHERE n.attribute IS NOT NULL GROUP BY 1), q AS (SELECT attribute, sum(1.0 / (floor(log2(id)) + 1)) AS depth FROM n WHERE attribute IS NOT NULL GROUP BY 1) SELECT attribute, round(path / sum(path) OVER (), 8) AS path, round(depth / sum(depth) OVER (), 8) AS depth FROM p JOIN q USING (attribute)")
+def _(spark, d):
+    return train.structural_importance(spark, TREE3).select("attribute", F.round("path", 8).alias("path"), F.round("depth", 8).alias("depth"))
