@@ -14,19 +14,23 @@ def log2(x: Column) -> Column:
     return F.when(x < TINY, F.lit(0.0)).otherwise(F.log2(F.greatest(x, F.lit(TINY))))
 
 
-def draw(key: Column, seed: int = 1, rounds: int = 2) -> Column:
-    """A portable pseudo-random integer in [0, MODULUS) of a key: the same in any engine with 64-bit integers."""
+def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
+    """A portable pseudo-random integer in [0, MODULUS) of a key: the same in any engine with 64-bit integers.
+
+    The shifted xor keeps it from being a linear map of the key, under which neighbouring keys would be spaced evenly."""
     x = F.pmod(key.cast("long") + seed * 7919, F.lit(MODULUS))
     for _ in range(rounds):
         x = (x * MULTIPLIER + 12345) % MODULUS
+        x = x.bitwiseXOR(F.shiftright(x, 15)) % MODULUS
     return x
 
 
-def draw_sql(key: str, seed: int = 1, rounds: int = 2) -> str:
+def draw_sql(key: str, seed: int = 1, rounds: int = 3) -> str:
     """The same as SQL text."""
     x = f"((CAST({key} AS BIGINT) + {seed * 7919}) % {MODULUS})"
     for _ in range(rounds):
         x = f"(({x} * {MULTIPLIER} + 12345) % {MODULUS})"
+        x = f"(xor({x}, {x} >> 15) % {MODULUS})"
     return x
 
 
