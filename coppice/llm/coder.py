@@ -4,11 +4,11 @@ A segment is a sequence of ids cut into blocks of nearly equal length. Every blo
 its coder start anew, and it has its own checksum. The blocks of a segment are coded side by side, one id of each at a
 step, so that each step is a handful of array operations.
 
-Model of a block, all in integers: order 2 and order 1 each predict one id (hash tables of the two previous ids and of
-the previous id, with a confidence of 0 to 3); order 0 and order 1 also hold adaptive frequencies. The coded symbol is
-0 (order 2 was right), 1 (else order 1 was right) or 2 + the id's bit length, whose lower bits follow as they are. Its
-frequency is the sum of two adaptive tables: by the confidences and agreement of the two predictions, and by the
-previous symbol.
+Model of a block: order 2 and order 1 each predict one id (hash tables of the two previous ids and of the previous id,
+with a confidence of 0 to 3); order 0 holds adaptive frequencies of id sizes. The coded symbol is 0 (order 2 was right),
+1 (else order 1 was right) or 2 + the id's size class, whose lower bits follow as they are, in a stream of their own.
+Two tables of counts are mixed: symbols by the confidences and agreement of the two predictions, over symbols by
+whether the previous id was predicted. The mixed distributions, in units of 1 / 4096, are renewed at fixed steps.
 """
 
 from __future__ import annotations
@@ -20,63 +20,73 @@ import numpy as np
 #: Fixed values of the format.
 BLOCK = 4096
 TABLE1, TABLE2 = 1 << 11, 1 << 12
-STEP, LIMIT = 24, 1 << 12
-TOP, WORD, LOW = np.uint64(1 << 48), np.uint64(16), np.uint64(1 << 32)
-MASK16 = np.uint64(0xFFFF)
+ROWS, PREVIOUS, WIDE = 32, 2, 16
+UNITS, PRIOR = 12, 512
+CLASSES = 8
+TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
+WORD, MASK32, SCALE = np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(UNITS)
+
+
+def renewed(step: int) -> bool:
+    """Whether the mixed distributions are renewed before this step: at 16, 32, 64, 128, 256, and then after every 512 steps."""
+    return step % 512 == 0 and step > 0 or step in (16, 32, 64, 128, 256)
 
 
 class Model:
     """State of n blocks that are coded side by side."""
 
     def __init__(self, n: int, bits: int) -> None:
-        """bits: of the largest id; the symbols are the two predictions and the bit lengths from 0 to it."""
-        self.symbols = bits + 3
-        self.buffer, self.views = np.zeros((self.symbols, n), np.uint16), []
-        self.base = np.arange(n, dtype=np.int64)
+        """bits: of the largest id."""
+        self.n, self.bare = n, max(bits - CLASSES, 0)
+        self.symbols = 3 + bits - self.bare
+        lanes = np.arange(n, dtype=np.int64)
+        self.base1, self.base2, self.base = lanes * TABLE1, lanes * TABLE2, lanes * (PREVIOUS * ROWS * WIDE)
         self.one, self.two = np.zeros(n * TABLE1, np.int32), np.zeros(n * TABLE2, np.int32)
-        self.seen = np.full((n * 32, self.symbols), 1, np.uint16)
-        self.after = np.full((n * self.symbols, self.symbols), 1, np.uint16)
-        self.seen_sum = np.full(n * 32, self.symbols, np.int32)
-        self.after_sum = np.full(n * self.symbols, self.symbols, np.int32)
-        self.last, self.last2, self.symbol = (np.zeros(n, np.int64) for _ in range(3))
-
-    def predict(self, n: int) -> None:
-        """For the first n blocks: the predicted ids and the cumulative frequencies."""
-        base, last = self.base[:n], self.last[:n]
-        self.at1 = base * TABLE1 + (last * 40503 >> 5 & TABLE1 - 1)
-        self.at2 = base * TABLE2 + ((last * 40503 + self.last2[:n] * 2654435) >> 7 & TABLE2 - 1)
-        self.found1, self.found2 = self.one[self.at1], self.two[self.at2]
+        self.counts = np.zeros((n, PREVIOUS, ROWS, WIDE), np.int32)
+        self.last, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.previous = np.zeros(n, np.int64)
+        self.used: list[np.ndarray] = []
+        self.renew()
+
+    def renew(self) -> None:
+        """Add the symbols coded since the last time to the counts, and mix them."""
+        if self.used:
+            self.counts += np.bincount(np.concatenate(self.used), minlength=self.counts.size).reshape(self.counts.shape)
+            self.used = []
+        k = self.symbols
+        by_row = self.counts[..., :k].sum(axis=1, dtype=np.int32)
+        by_previous = self.counts[..., :k].sum(axis=2, dtype=np.int32) * 8 + 1
+        prior = by_previous * PRIOR // by_previous.sum(axis=2, dtype=np.int32, keepdims=True)
+        mixed = by_row[:, None] * 64 + (prior + 1)[:, :, None]
+        # Sums are below 2**24, so that single precision holds them.
+        upto = np.cumsum(mixed, axis=3, dtype=np.int32)
+        scale = np.float32((1 << UNITS) - k) / upto[..., -1:].astype(np.float32)
+        self.cum = np.full((self.n, PREVIOUS, ROWS, WIDE), 1 << UNITS, np.uint16)
+        self.cum[..., 0] = 0
+        self.cum[..., 1:k] = (upto[..., :-1] * scale).astype(np.uint16) + np.arange(1, k, dtype=np.uint16)
+        self.flat = self.cum.reshape(-1)
+
+    def predict(self, n: int) -> np.ndarray:
+        """For the first n blocks: where their distributions begin; sets the predicted ids."""
+        last = self.last[:n]
+        mixed = last * np.uint32(40503)
+        self.at1 = self.base1[:n] + (mixed >> np.uint32(5) & np.uint32(TABLE1 - 1))
+        self.at2 = self.base2[:n] + (mixed + self.last2[:n] * np.uint32(2654435) >> np.uint32(7) & np.uint32(TABLE2 - 1))
+        self.found1, self.found2 = self.one.take(self.at1), self.two.take(self.at2)
         self.id1, self.id2 = self.found1 >> 2, self.found2 >> 2
-        self.row1 = base * 32 + ((self.id1 == self.id2) * 16 + (self.found2 & 3) * 4 + (self.found1 & 3))
-        self.row2 = base * self.symbols + self.symbol[:n]
-        self.freq = self.seen.take(self.row1, axis=0)
-        self.freq += self.after.take(self.row2, axis=0)
-        self.cum = self.buffer[:, :n]  # by symbol, so that each sum is one pass over the blocks
-        if len(self.views) != self.symbols or len(self.views[0]) != n:
-            self.views = list(self.cum)
-        np.copyto(self.cum, self.freq.T)
-        below = self.views[0]
-        for view in self.views[1:]:
-            np.add(view, below, out=view)
-            below = view
-        self.total = self.cum[-1].astype(np.uint64)
-
-    def update(self, n: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        for table, sums, row in ((self.seen, self.seen_sum, self.row1), (self.after, self.after_sum, self.row2)):
-            table[row, symbol] += STEP
-            size = sums[row] + STEP
-            sums[row] = size
-            if (full := row[size > LIMIT]).size:
-                half = table[full] + np.uint16(1) >> np.uint16(1)
-                table[full] = half
-                sums[full] = half.sum(axis=1)
-        for table, at, found, guess in ((self.one, self.at1, self.found1, self.id1), (self.two, self.at2, self.found2, self.id2)):
-            sure = found & 3
-            hit = guess == ids
-            table[at] = np.where(hit, found + (sure < 3), np.where(sure > 1, found - 1, ids << 2 | 1))
+        self.sure1, self.sure2 = self.found1 & 3, self.found2 & 3
+        row = (self.id1 == self.id2) * np.int32(16) + self.sure2 * 4 + self.sure1
+        return self.base[:n] + (self.previous[:n] + row) * WIDE
+
+    def update(self, n: int, ids: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> None:
+        """ids: int32; at: of the symbols in the distributions."""
+        self.used.append(at)
+        fresh = ids << 2 | 1
+        for table, where, found, guess, sure in ((self.one, self.at1, self.found1, self.id1, self.sure1), (self.two, self.at2, self.found2, self.id2, self.sure2)):
+            table[where] = np.where(guess == ids, found + (sure < 3), np.where(sure > 1, found - 1, fresh))
         self.last2[:n] = self.last[:n]
         self.last[:n] = ids
-        self.symbol[:n] = symbol
+        self.previous[:n] = (symbol > 1) * ROWS
 
 
 def lengths(n: int) -> np.ndarray:
@@ -85,126 +95,133 @@ def lengths(n: int) -> np.ndarray:
     return np.full(blocks, n // blocks, np.int64) + (np.arange(blocks) < n % blocks) if blocks else np.zeros(0, np.int64)
 
 
-def bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+def sizes(ids: np.ndarray, bare: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol of the size class, number of lower bits): ids below 2**bare are one class, then there is one for each bit length."""
+    long = np.frexp(ids.astype(np.float32))[1] if not len(ids) or int(ids.max()) < 1 << 24 else np.frexp(ids.astype(np.float64))[1]
+    return (np.maximum(long - bare, 0) + 2).astype(np.uint8), np.where(long <= bare, bare, long - 1).astype(np.uint8)
 
 
 def encode(ids: np.ndarray, bits: int = 24) -> tuple[bytes, bytes]:
-    """(header, payload) of ids of so many bits at most: for each block its words and checksum as uint32; the 16-bit words of all blocks in order."""
+    """(header, payload) of ids of so many bits at most: for each block its 16-bit words, its 32-bit words of lower bits and its checksum as uint32; the words of all blocks in order, first those of 16 bits."""
     ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"ids must be below 2**{bits}")
     size = lengths(len(ids))
     blocks = len(size)
+    if not blocks:
+        return b"", b""
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     crc = np.array([zlib.crc32(ids[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)], "<u4")
-    steps = int(size[0]) if blocks else 0
-    columns = np.zeros((steps, blocks), np.int64)
-    for j in range(blocks):
-        columns[: size[j], j] = ids[start[j] : start[j + 1]]
-    room = 4 * steps + 8
-    out, at = np.zeros(blocks * room, np.uint16), np.arange(blocks, dtype=np.int64) * room
-    low, width = np.zeros(blocks, np.uint64), np.full(blocks, TOP, np.uint64)
+    steps = int(size[0])
     model = Model(blocks, bits)
-
-    def code(lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrow to [start, start + size) in units already multiplied by the unit's width."""
-        x = low[lanes] + start
-        if (over := x >= TOP).any():
-            x[over] -= TOP
-            carry = at[lanes][over] - 1
-            while carry.size:
-                out[carry] += np.uint16(1)
-                carry = carry[out[carry] == 0] - 1
-        w = size
-        if (short := w < LOW).any():
-            where = at[lanes][short]
-            out[where] = x[short] >> np.uint64(32)
-            x[short] = (x[short] & np.uint64(0xFFFFFFFF)) << WORD
-            w[short] <<= WORD
-            at[lanes] += short
-        low[lanes], width[lanes] = x, w
-
+    kind, lower = sizes(ids, model.bare)
+    ids = ids.astype(np.int32)
+    whole = np.arange(steps) < size[:, None]  # cells of (block, step) with an id
+    columns, kinds, symbols = np.zeros((blocks, steps), np.int32), np.zeros((blocks, steps), np.uint8), np.zeros((steps, blocks), np.uint8)
+    columns[whole], kinds[whole] = ids, kind
+    columns, kinds = np.ascontiguousarray(columns.T), np.ascontiguousarray(kinds.T)
+    room = steps + 8
+    out, at = np.zeros(blocks * room, np.uint32), np.arange(blocks, dtype=np.int64) * room
+    low, width = np.zeros(blocks, np.uint64), np.full(blocks, TOP, np.uint64)
     for step in range(steps):
         n = blocks if step < size[-1] else int(np.searchsorted(-size, -step))
+        if renewed(step):
+            model.renew()
         now = columns[step, :n]
-        model.predict(n)
-        long = bit_length(now)
-        symbol = np.where(now == model.id2, 0, np.where(now == model.id1, 1, long + 2))
-        lane = model.base[:n]
-        f = model.freq[lane, symbol].astype(np.uint64)
-        unit = width[:n] // model.total
-        code(slice(0, n), unit * (model.cum[symbol, lane].astype(np.uint64) - f), unit * f)
-        for part in (0, 1):  # the lower bits, 12 at most at once
-            count = np.where(symbol > 3, long - 1, 0)
-            count = np.maximum(count - 12, 0) if part == 0 else np.minimum(count, 12)
-            if (few := np.flatnonzero(count)).size:
-                b, x = count[few].astype(np.uint64), now[few]
-                x = x >> 12 & (1 << count[few]) - 1 if part == 0 else x & (1 << count[few]) - 1
-                unit = width[few] >> b
-                code(few, unit * x.astype(np.uint64), unit)
-        model.update(n, now, symbol)
+        where = model.predict(n)
+        symbol = np.where(now == model.id2, 0, np.where(now == model.id1, 1, kinds[step, :n]))
+        symbols[step, :n] = symbol
+        where += symbol
+        below, upto = model.flat.take(where), model.flat.take(where + 1)
+        unit = width[:n] >> SCALE
+        low[:n] += unit * below
+        width[:n] = unit * (upto - below)
+        if (short := np.flatnonzero(width[:n] < LOW)).size:
+            x, to = low[short], at[short]
+            out[to] = x >> np.uint64(32)  # 17 bits: the highest is carried at the end
+            low[short] = (x & MASK32) << WORD
+            width[short] <<= WORD
+            at[short] = to + 1
+        model.update(n, now, symbol, where)
     for shift in (32, 16, 0):
-        out[at] = low >> np.uint64(shift) & MASK16
+        out[at] = low >> np.uint64(32)
+        low = (low & MASK32) << WORD
         at += 1
+    while (carry := np.flatnonzero(out >> np.uint32(16))).size:
+        out[carry] &= np.uint32(0xFFFF)
+        out[carry - 1] += np.uint32(1)
     used = at - np.arange(blocks) * room
-    payload = b"".join(out[j * room : j * room + used[j]].astype("<u2").tobytes() for j in range(blocks))
-    return np.stack([used.astype("<u4"), crc], axis=1).astype("<u4").tobytes(), payload
+    words = out.reshape(blocks, room)[np.arange(room) < used[:, None]].astype("<u2")
+
+    given = np.ascontiguousarray(symbols.T)[whole]
+    count = np.where(given > 1, lower, 0).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    raw = -(-(ends[start[1:]] - ends[start[:-1]]) // 32)
+    first = np.concatenate([[0], np.cumsum(raw)])
+    place = ends[:-1] + np.repeat(first[:-1] * 32 - ends[start[:-1]], size)
+    part = (ids & (1 << count) - 1).astype(np.uint64) << (place & 31).astype(np.uint64)
+    total = int(first[-1]) + 1
+    place >>= 5
+    # The bits of a word are disjoint: the sums are exact.
+    lows = np.bincount(place, weights=(part & MASK32).astype(np.float64), minlength=total + 1)
+    lows[1:] += np.bincount(place, weights=(part >> np.uint64(32)).astype(np.float64), minlength=total + 1)[:-1]
+    bare = lows[: total - 1].astype("<u4")
+    return np.stack([used, raw, crc], axis=1).astype("<u4").tobytes(), words.tobytes() + bare.tobytes()
 
 
 def decode(n_ids: int, header: bytes, payload: bytes, bits: int = 24) -> np.ndarray:
     """The ids; raises ValueError where a block's checksum differs."""
     size = lengths(n_ids)
     blocks = len(size)
-    used, crc = np.frombuffer(header, "<u4").reshape(-1, 2).T
-    if len(used) != blocks:
-        raise ValueError("the header doesn't fit the number of ids")
-    data = np.concatenate([np.frombuffer(payload, "<u2"), np.zeros(4, np.uint16)]).astype(np.uint64)
-    ends = np.cumsum(used.astype(np.int64))
-    at = ends - used
-    steps = int(size[0]) if blocks else 0
+    used, raw, crc = np.frombuffer(header, "<u4").reshape(-1, 3).T.astype(np.int64)
+    if len(used) != blocks or int(used.sum()) * 2 + int(raw.sum()) * 4 != len(payload):
+        raise ValueError("the header doesn't fit the number of ids or the payload")
+    if not blocks:
+        return np.zeros(0, "<u4")
+    split = int(used.sum())
+    data = np.concatenate([np.frombuffer(payload, "<u2", split), np.zeros(4, np.uint16)]).astype(np.uint64)
+    bare = np.concatenate([np.frombuffer(payload, "<u4", offset=2 * split), np.zeros(2, np.uint32)]).astype(np.uint64)
+    bare = bare[:-1] | bare[1:] << np.uint64(32)
+    at, place = np.cumsum(used) - used, (np.cumsum(raw) - raw) * 32
+    most, far = len(data) - 1, len(bare) - 1
+    steps = int(size[0])
     width, value = np.full(blocks, TOP, np.uint64), np.zeros(blocks, np.uint64)
     for _ in range(3):
         value = value << WORD | data[at]
         at += 1
     columns = np.zeros((steps, blocks), np.uint32)
     model = Model(blocks, bits)
-
-    def took(lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        v, w = value[lanes] - start, size
-        if (short := w < LOW).any():
-            v[short] = v[short] << WORD | data[np.minimum(at[lanes][short], len(data) - 1)]
-            w[short] <<= WORD
-            at[lanes] += short
-        value[lanes], width[lanes] = v, w
-
+    lower = np.array([0, 0, model.bare, *(model.bare + np.arange(model.symbols - 3))], np.int64)
+    lead = np.where(np.arange(model.symbols) > 2, 1 << lower, 0).astype(np.int32)
     for step in range(steps):
         n = blocks if step < size[-1] else int(np.searchsorted(-size, -step))
-        model.predict(n)
-        lane = model.base[:n]
-        unit = width[:n] // model.total
-        point = np.minimum(value[:n] // unit, model.total - np.uint64(1)).astype(np.uint16)
-        symbol = (model.cum <= point).sum(axis=0, dtype=np.uint8).astype(np.int64)
-        f = model.freq[lane, symbol].astype(np.uint64)
-        took(slice(0, n), unit * (model.cum[symbol, lane].astype(np.uint64) - f), unit * f)
-        long = symbol - 2
-        now = np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, np.where(symbol == 2, 0, 1 << np.maximum(long - 1, 0)))).astype(np.int64)
-        for part in (0, 1):
-            count = np.where(symbol > 3, long - 1, 0)
-            count = np.maximum(count - 12, 0) if part == 0 else np.minimum(count, 12)
-            if (few := np.flatnonzero(count)).size:
-                unit = width[few] >> count[few].astype(np.uint64)
-                x = value[few] // unit
-                took(few, unit * x, unit)
-                now[few] |= x.astype(np.int64) << 12 if part == 0 else x.astype(np.int64)
-        model.update(n, now, symbol)
+        if renewed(step):
+            model.renew()
+        where = model.predict(n)
+        flat, begin = model.flat, where.copy()
+        unit = width[:n] >> SCALE
+        point = np.minimum(value[:n] // unit, np.uint64((1 << UNITS) - 1)).astype(np.uint16)
+        for half in (8, 4, 2, 1):  # the last symbol whose sum is at most the point
+            where += (flat.take(where + half) <= point) * half
+        symbol = where - begin
+        below, upto = flat.take(where), flat.take(where + 1)
+        value[:n] -= unit * below
+        width[:n] = unit * (upto - below)
+        if (short := np.flatnonzero(width[:n] < LOW)).size:
+            to = at[short]
+            value[short] = value[short] << WORD | data[np.minimum(to, most)]
+            width[short] <<= WORD
+            at[short] = to + 1
+        count = lower.take(symbol)
+        to = place[:n]
+        bit = bare.take(np.minimum(to >> 5, far)) >> (to & 31).view(np.uint64) & ((1 << count) - 1).view(np.uint64)
+        place[:n] = to + count
+        now = np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, lead.take(symbol) | bit.astype(np.int32)))
+        model.update(n, now, symbol, where)
         columns[step, :n] = now
-    out = np.empty(n_ids, "<u4")
-    start = 0
-    for j in range(blocks):
-        part = np.ascontiguousarray(columns[: size[j], j], "<u4")
-        if zlib.crc32(part) != crc[j]:
+    out = np.ascontiguousarray(columns.T)[np.arange(steps) < size[:, None]].astype("<u4")
+    ends = np.cumsum(size)
+    for j, (a, b) in enumerate(zip(ends - size, ends, strict=True)):
+        if zlib.crc32(out[a:b]) != crc[j]:
             raise ValueError(f"block {j}: checksum differs")
-        out[start : start + size[j]] = part
-        start += size[j]
     return out

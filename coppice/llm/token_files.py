@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,47 +21,86 @@ from pyspark.sql import functions as F
 from coppice.llm import coder
 
 #: Ids of a segment, about: it bounds a row and a task's memory.
-SEGMENT = 1 << 23
-#: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 500_000
+SEGMENT = 1 << 22
+#: Bytes of text tokenised at once (or one text), and distinct pieces of text whose ids a task remembers.
+AT_ONCE, REMEMBERED = 1 << 22, 500_000
 
 SCHEMA = "part int, segment int, n long, bits int, doc_id array<long>, n_tokens array<long>, header binary, payload binary"
 
-#: A space between white space, or at the end after it: there, pieces may not be encoded on their own.
-UNSAFE = re.compile(r"\s (?!\S)")
+#: Fixed value: the characters that are white space to the tokenizer's pattern.
+WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A space between white space, or at the end after it, or at the start: such texts aren't cut at every space.
+UNSAFE = rf"[{WHITE}] (?:[{WHITE}]|$)|^ "
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def pieces(text: str) -> list[str]:
-    """Cut before spaces that follow other characters; a byte-level BPE encodes the pieces as it does the whole."""
-    if UNSAFE.search(text) or text.startswith(" "):
-        return BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+class Encoder:
+    """Ids of many texts: they are cut before spaces that follow other characters, as a byte-level BPE encodes the pieces as it does the whole, and each distinct piece is encoded once."""
 
-
-def encoder(path: str):
-    """(ids of texts as uint32 bytes, largest id's bits) by the tokenizer file; pieces that recur are encoded once."""
-    if path not in _tokenizers:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _tokenizers[path] = tokenizer, {}, max(1, (tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-    tokenizer, known, bits = _tokenizers[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [pieces(x) if x else [] for x in texts]
-        new = list({x for c in cut for x in c if x not in known})
-        for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-    return encode, bits
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """One for each tokenizer file and worker process."""
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as uint32 bytes."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [x for x in pieces if x not in self.known]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, "<u4").tobytes()
+        return [self.known[x] for x in pieces]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end_id after each; number of ids of each text)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        unsafe = pc.match_substring_regex(texts, UNSAFE)
+        rare = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+        whole = [BOUNDARY.split(x) for x in texts.filter(unsafe).to_pylist()]
+        cut = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        flat = cut.flatten()
+        # Codes of pieces: those after a space, the first of each text, and the pieces of texts that aren't cut at every space.
+        later, first = flat.dictionary_encode(), flat.take(pa.array(bounds[:-1])).dictionary_encode()
+        table = [" " + x for x in later.dictionary.to_pylist()]
+        code = later.indices.to_numpy().astype(np.int64)
+        code[bounds[:-1]] = first.indices.to_numpy() + len(table)
+        table += first.dictionary.to_pylist()
+        own = {x: len(table) + i for i, x in enumerate(dict.fromkeys(x for w in whole for x in w))}
+        table += own
+        more = np.zeros(len(texts), np.int64)
+        more[rare] = [len(w) for w in whole]
+        where = np.concatenate([np.repeat(bounds[1:], more), bounds[1:]])
+        code = np.insert(code, where, np.concatenate([np.array([own[x] for w in whole for x in w], np.int64), np.full(len(texts), len(table))]))
+        ids = [*self.pieces(table), np.array([end_id], "<u4").tobytes()]
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        start, pool = np.cumsum(n) - n, np.frombuffer(b"".join(ids), "<u4")
+        size = n[code]
+        ends = np.cumsum(size)
+        out = pool[np.repeat(start[code] - (ends - size), size) + np.arange(ends[-1])]
+        ends = ends[np.cumsum(np.diff(bounds) + more + 1) - 1]
+        return out, np.diff(ends, prepend=0)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with AT_ONCE bytes of its second column, about; or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE)))
+        yield batch.slice(a, z - a)
+        a = z
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
@@ -71,29 +111,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bits = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        part, number = TaskContext.get().partitionId(), 0
+        encode = Encoder.of(tokenizer)
+        part, number, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
-        coded: list[bytes] = []
-        held = 0
+        coded: list[np.ndarray] = []
+        n: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            n = [len(x) // 4 for x in coded]
-            header, payload = coder.encode(np.frombuffer(b"".join(coded), "<u4"), bits)
-            values = ([part], pa.int32()), ([number], pa.int32()), ([sum(n)], pa.int64()), ([bits], pa.int32()), ([ids], pa.list_(pa.int64())), ([n], pa.list_(pa.int64())), ([header], pa.binary()), ([payload], pa.binary())
+            header, payload = coder.encode(np.concatenate(coded), encode.bits)
+            values = ([part], pa.int32()), ([number], pa.int32()), ([held], pa.int64()), ([encode.bits], pa.int32()), ([ids], pa.list_(pa.int64())), ([np.concatenate(n)], pa.list_(pa.int64())), ([header], pa.binary()), ([payload], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(*x) for x in values], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                few = batch.slice(row, 256)
-                for i, x in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    coded.append(x + end)
-                    held += len(x) // 4 + 1
+            for few in slices(batch):
+                found, size = encode(few.column(1), end_id)
+                ends, documents, a = np.cumsum(size), few.column(0).to_pylist(), 0
+                while a < len(size):
+                    begin = int(ends[a] - size[a])
+                    z = min(len(size), int(np.searchsorted(ends, begin + SEGMENT - held)) + 1)
+                    ids += documents[a:z]
+                    coded.append(found[begin : ends[z - 1]])
+                    n.append(size[a:z])
+                    held, a = held + len(coded[-1]), z
                     if held >= SEGMENT:
                         yield close()
-                        number, held, ids, coded = number + 1, 0, [], []
+                        number, held, ids, coded, n = number + 1, 0, [], [], []
         if ids:
             yield close()
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,24 @@ def test_coder_round_trip_and_checksum():
         coder.decode(9000, header, bytes(broken), 16)
 
 
+def test_encoder_equals_whole_texts():
+    """Texts of white space of all kinds, words, marks and nothing, cut and encoded piece by piece, as the tokenizer encodes them whole."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    parts = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1f", "\x85", "a", "it's", "Wört", "12", "...", "'", "的", "🙂", ""]
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", "  ", *("".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000))]
+    ids, n = token_files.Encoder(path)(pa.array(texts), 7)
+    expected = [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 7] for x in texts]
+    assert n.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert sum(x.num_rows for x in token_files.slices(batch)) == len(texts)
+
+
 def test_token_files(spark, odd, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
