@@ -7,6 +7,7 @@ reads it, so that any store it reaches will do; a segment is bounded by SEGMENT
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # Spark runs a task a core: the tokenizer's own threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
