@@ -1,10 +1,10 @@
-"""Operator 5: repeated line runs found by winnowing over line hashes.
+"""Operator 5: repeated line runs found by grams that are runs themselves.
 
-A gram is the shortest run of lines of GRAM words or more that starts at a line (within REACH lines). Of the grams that
-end within WINDOW words from a line's start (at least the line's own) the one of least hash is selected, so that every
-run of WINDOW words or more, wherever it stands, has a selected gram in common with its copies. Each selected gram is
-joined with its first occurrence (by doc_id, row, line), the match is extended line by line both ways, and runs of
-WINDOW words or more are deleted where they occur later. Grams that occur once take no part in the join.
+Lines without words are left aside. A gram is the shortest run of lines with words that starts at a line and has WINDOW
+words or more; each line with as many words after it starts one. So every run of WINDOW words or more, wherever it
+stands, is made of grams but for its last lines (of fewer words), and a gram that occurred before (by doc_id, row, line)
+proves a run alone, wherever its lines occurred first. Each later gram is deleted, with the lines after it that equal
+those after the gram's first occurrence. Grams that occur once take no part in the join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from coppice.plans.materialize import table
 
-GRAM, WINDOW, REACH = 4, 8, 8
+WINDOW = 8
 #: Copies of a first occurrence, so that a very frequent gram's rows are joined in several tasks.
 SALTS = 8
 
@@ -25,45 +25,39 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "line", F.xxhash64("body").alias("h"), F.regexp_count("body", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
 
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """Selected grams: doc_id, row, line, gram, length (lines), back and ahead (the lines around, nearest first)."""
+def grams(lines: DataFrame) -> DataFrame:
+    """doc_id, row, line, gram, last (the gram's last line), tail (h, line of the lines after it: of under WINDOW words
+    in all, as with more they start a gram) of each gram."""
     w = Window.partitionBy("doc_id", "row").orderBy("line")
-    near = F.struct("h", "words")
-    rows = lines.withColumn("ahead", F.collect_list(near).over(w.rowsBetween(0, 2 * REACH - 1)))
-    rows = rows.withColumn("start", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    grown = F.aggregate(F.slice("ahead", 1, REACH), F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), lambda s, x: F.when(s["words"] >= GRAM, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["words"] + x["words"]).alias("words"))))
-    rows = rows.withColumn("grown", grown).withColumn("length", F.col("grown.n"))
-    whole = (F.col("words") > 0) & (F.col("grown.words") >= GRAM)
-    rows = rows.withColumn("gram", F.when(whole, F.xxhash64(F.expr("transform(slice(ahead, 1, length), x -> x.h)"))))
-    rows = rows.withColumn("end", F.col("start") + F.col("grown.words"))
-    rows = rows.withColumn("later", F.collect_list(F.struct("gram", "line", "end")).over(w.rowsBetween(0, REACH - 1)))
-    limit = F.greatest(F.col("start") + WINDOW, F.col("end"))
-    choice = F.array_min(F.transform(F.filter("later", lambda x: x["gram"].isNotNull() & (x["end"] <= limit)), lambda x: F.struct(x["gram"].alias("gram"), x["line"].alias("line"))))
-    rows = rows.withColumn("choice", F.when(F.col("gram").isNotNull(), choice["line"]))
-    rows = rows.withColumn("back", F.collect_list(near).over(w.rowsBetween(-REACH, -1)))
-    rows = rows.withColumn("selected", F.array_contains(F.collect_list("choice").over(w.rowsBetween(1 - REACH, 0)), F.col("line")))
-    return rows.where("selected").select("doc_id", "row", "line", "gram", "length", F.reverse("back").alias("back"), F.expr("slice(ahead, length + 1, 8)").alias("ahead"), F.col("grown.words").alias("words"))
-
-
-def _run(a: Column, b: Column) -> Column:
-    """(n, words): how many of the nearest lines are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.struct((x["h"] == y["h"]).alias("same"), x["words"].alias("words")))
-    zero = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"), F.lit(0).alias("words"))
-    return F.aggregate(same, zero, lambda s, x: F.when(s["on"] & F.coalesce(x["same"], F.lit(False)), F.struct(F.lit(True).alias("on"), (s["n"] + 1).alias("n"), (s["words"] + x["words"]).alias("words"))).otherwise(F.struct(F.lit(False).alias("on"), s["n"].alias("n"), s["words"].alias("words"))))
+    # a line has a word at least: WINDOW lines hold the gram, WINDOW - 1 its tail
+    rows = lines.where("words > 0").withColumn("ahead", F.collect_list(F.struct("h", "words", "line")).over(w.rowsBetween(0, 2 * WINDOW - 2)))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+    within = lambda lines, most: F.aggregate(lines, zero, lambda s, x: F.when(s["words"] >= most, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["words"] + x["words"]).alias("words"))))
+    rows = rows.withColumn("grown", within(F.slice("ahead", 1, WINDOW), WINDOW)).where(F.col("grown.words") >= WINDOW).withColumn("length", F.col("grown.n"))
+    gram = F.xxhash64(F.expr("transform(slice(ahead, 1, length), x -> x.h)"))
+    rows = rows.select("doc_id", "row", "line", gram.alias("gram"), F.expr("ahead[length - 1].line").alias("last"), F.expr(f"slice(ahead, length + 1, {WINDOW - 1})").alias("after"))
+    rows = rows.withColumn("long", within(F.col("after"), WINDOW))
+    rows = rows.withColumn("size", F.when(F.col("long.words") >= WINDOW, F.col("long.n") - 1).otherwise(F.col("long.n")))
+    return rows.select("doc_id", "row", "line", "gram", "last", F.expr("transform(slice(after, 1, size), x -> struct(x.h, x.line))").alias("tail"))
+
+
+def last_equal(ours: Column, theirs: Column) -> Column:
+    """The line up to which ours equals theirs; null if the first lines differ."""
+    zero = F.struct(F.lit(True).alias("on"), F.lit(None).cast("int").alias("line"))
+    same = F.zip_with(ours, theirs, lambda x, y: F.struct(F.coalesce(x["h"] == y["h"], F.lit(False)).alias("same"), x["line"].alias("line")))
+    return F.aggregate(same, zero, lambda s, x: F.struct((s["on"] & x["same"]).alias("on"), F.when(s["on"] & x["same"], x["line"]).otherwise(s["line"]).alias("line")))["line"]
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """doc_id, row, line of the lines to delete."""
-    selected = fingerprints(lines)
-    again = selected.groupBy("gram").count().where("count > 1").select("gram")
-    selected = table(selected.join(again, "gram"), "lines-selected")
+    found = grams(lines)
+    again = found.groupBy("gram").count().where("count > 1").select("gram")
+    found = table(found.join(again, "gram"), "lines-grams")
     place = F.struct("doc_id", "row", "line")
-    first = selected.groupBy("gram").agg(F.min(F.struct(place.alias("place"), "length", "back", "ahead")).alias("f")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = selected.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
-    both = later.join(first, ["gram", "salt"]).where((place != F.col("f.place")) & (F.col("length") == F.col("f.length")))
-    both = both.withColumn("up", _run(F.col("back"), F.col("f.back"))).withColumn("down", _run(F.col("ahead"), F.col("f.ahead")))
-    both = both.where(F.col("words") + F.col("up.words") + F.col("down.words") >= WINDOW)
-    span = F.sequence(F.col("line") - F.col("up.n"), F.col("line") + F.col("length") - 1 + F.col("down.n"))
+    first = found.groupBy("gram").agg(F.min(F.struct(place.alias("place"), "tail")).alias("f")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
+    both = later.join(first, ["gram", "salt"]).where(place != F.col("f.place"))
+    span = F.sequence("line", F.coalesce(last_equal(F.col("tail"), F.col("f.tail")), "last"))
     return both.select("doc_id", "row", F.explode(span).alias("line")).distinct()
 
 
@@ -71,8 +65,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, text (without the deleted lines), n_lines, n_removed for each row of docs.
 
     The first occurrence of a run stays: the least doc_id, then row (repeated doc_ids in order of their text's hash),
-    then line. A null doc_id comes last, a null text is one empty line; empty lines are never deleted on their own.
-    Matches are made with a gram's first occurrence. Other columns are ignored; no rows give none.
+    then line. A null doc_id comes last, a null text is one empty line. Lines without words don't count: runs that differ
+    in them are equal, and they are deleted only within a deleted run. Every run of WINDOW words or more that occurred
+    before is deleted; its last lines (of fewer words) stay where the gram before them first occurred with other lines
+    after it. Other columns are ignored; no rows give none.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))

@@ -163,6 +163,49 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def repeats_by_brute_force(texts):
+    """The lines left of texts without runs of line_dedup.WINDOW words that occurred before."""
+    seen, out = {}, []
+    for text in texts:
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.split()]
+        gone = set()
+        for a in range(len(full)):
+            words, b = 0, a
+            while b < len(full) and words < line_dedup.WINDOW:
+                words, b = words + len(lines[full[b]].split()), b + 1
+            if words < line_dedup.WINDOW:
+                continue
+            after = [lines[i] for i in full[b:]]
+            old = seen.setdefault(tuple(lines[i] for i in full[a:b]), (len(out), a, after))
+            if old[:2] == (len(out), a):
+                continue
+            last, words = b, 0
+            for x, y in zip(after, old[2], strict=False):
+                words += len(x.split())
+                if x != y or words >= line_dedup.WINDOW:
+                    break
+                last += 1
+            gone.update(range(full[a], full[last - 1] + 1))
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_dedup_of_lines_that_first_occur_separately(spark):
+    """A run of short lines, each of which occurs before in another context, and one of one-word lines with blank lines between."""
+    short = ["a b c d", "e f g h i", "j k l m"]
+    words = "n o p q r s t u v".split()
+    texts = [f"x{i} x\n{line}\ny{i} y" for i, line in enumerate(short)] + ["\n".join(["p1", *short, "q1"]), "\n".join(["p2", *short, "q2"])]
+    texts += ["\n\n\n".join(words), "r1\n" + "\n\n \n".join(words) + "\nr2"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make(spark, texts)).collect()}
+    assert got[3] == texts[3] and got[4] == "p2\nq2" and got[6] == "r1\nr2"
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (0, 0, 1, 1, 2, 3, 4, 4, 5, 7, 9)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats_by_brute_force(texts)
+
+
 def test_mixing(spark, odd):
     rng = random.Random(2)
     docs = make(spark, ["w " * rng.randrange(200) for _ in range(600)])
