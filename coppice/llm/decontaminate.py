@@ -1,19 +1,22 @@
 """Operator 7: benchmark items found in documents after template canonicalisation.
 
 Numbers, units that follow numbers, and names (capitalised within a sentence) become typed placeholders; runs of names
-one placeholder. Windows of WINDOW canonical tokens, half of them words at least, are hashed and joined. A match along
-one alignment of item and document counts only if the placeholders' fillers are consistent: one filler of the item
-always meets the same filler of the document (and for names and units the other way round), so that a question with
-other names and numbers is found and a chance overlap of templates is not.
+one placeholder. Each item has windows of one length: WINDOW canonical tokens, or all of its own if it has fewer. Those
+of which words are half at least are usable; they are hashed and joined. Along one alignment of item and document the
+placeholders' fillers have to be consistent: one filler of the item meets one filler of the document (and for names and
+units the other way round), so that a question with other names and numbers is found and a chance overlap of templates
+is not. Pairs of fillers are accepted by the windows that hold them, most first; a window with a pair that contradicts
+an accepted one isn't counted, the others are. An item without usable windows is found only as it stands: all of its
+canonical tokens in order, with equal fillers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.words import LOWER, chunks, hash_spans, mix, spans
@@ -81,91 +84,118 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return kind, canonical, first, end, doc
 
 
-def windows(column: pa.Array, lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
-    """(row, window hash, position, windows of the row, fillers) of the windows that pass the filter."""
-    most = max(lengths)
-    weights = mix(np.arange(1, most + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def roll(values: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A hash of each n values in a row."""
+    weights = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    m = len(values) - n + 1
+    rolled = np.full(m, seed, np.uint64)
+    for i in range(n):
+        rolled += values[i : i + m] * weights[i]
+    return mix(rolled)
+
+
+def fillers(data: np.ndarray, kind: np.ndarray, first: np.ndarray, end: np.ndarray, i: int, n: int) -> list[str]:
+    return [f"{kind[j]}:{data[first[j] : end[j]].tobytes().decode('utf-8', 'replace')}" for j in range(i, i + n) if kind[j] != WORD]
+
+
+#: Seeds of windows that are found with equal fillers only: n + EXACT.
+EXACT = 1 << 32
+
+
+def item_windows(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, bool, list[str]]]:
+    """(row, window hash, position, tokens of the window, windows counted, exact, fillers) of each item's windows."""
+    for row, _, at, data in chunks(column):
+        kind, canonical, first, end, doc = tokens(data, at)
+        raw = hash_spans(LOWER[data], first, end) if len(first) else canonical
+        cut = np.searchsorted(doc, np.arange(len(at)))
+        for d in range(len(at) - 1):
+            a, b = int(cut[d]), int(cut[d + 1])
+            if b - a < LEAST:
+                continue
+            n = min(WINDOW, b - a)
+            words = np.concatenate([[0], np.cumsum(kind[a:b] == WORD)])
+            usable = np.flatnonzero((words[n:] - words[:-n]) * 2 >= n)
+            exact = not len(usable)
+            rolled = roll(raw[a:b], n, n + EXACT) if exact else roll(canonical[a:b], n, n)
+            places = range(b - a - n + 1) if exact else usable.tolist()
+            for i in places:
+                yield row + d, int(rolled[i].view(np.int64)), i, n, len(places), exact, fillers(data, kind, first, end, a + i, n)
+
+
+def windows(column: pa.Array, kinds: list[tuple[int, bool]], wanted: np.ndarray) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(row, window hash, position, fillers) of the windows of the kinds (tokens, exact) that pass the filter."""
     for row, _, at, data in chunks(column):
         kind, canonical, first, end, doc = tokens(data, at)
-        words = np.concatenate([[0], np.cumsum(kind == WORD)])
-        sizes = np.bincount(doc, minlength=1)
         begin = np.searchsorted(doc, np.arange(len(at) - 1))
-        for n in lengths:
+        raw = hash_spans(LOWER[data], first, end) if len(first) and any(exact for _, exact in kinds) else None
+        for n, exact in kinds:
             m = len(doc) - n + 1
             if m <= 0:
                 continue
-            rolled = np.full(m, n, np.uint64)
-            for i in range(n):
-                rolled += canonical[i : i + m] * weights[i]
-            rolled = mix(rolled)
-            ok = (doc[:m] == doc[n - 1 :]) & ((words[n:] - words[:m]) * 2 >= n)
-            if wanted is not None:
-                bit = (rolled & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                ok &= (wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            rolled = roll(raw, n, n + EXACT) if exact else roll(canonical, n, n)
+            bit = (rolled & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            ok = (doc[:m] == doc[n - 1 :]) & (wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             for i in np.flatnonzero(ok).tolist():
-                fill = [f"{kind[j]}:{data[first[j] : end[j]].tobytes().decode('utf-8', 'replace')}" for j in range(i, i + n) if kind[j] != WORD]
-                yield row + int(doc[i]), int(rolled[i].view(np.int64)), i - int(begin[doc[i]]), int(sizes[doc[i]]) - n + 1, fill
+                yield row + int(doc[i]), int(rolled[i].view(np.int64)), i - int(begin[doc[i]]), fillers(data, kind, first, end, i, n)
 
 
-def window_table(rows: DataFrame, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """id, window, at, windows, fillers of rows(id, text)."""
-    held = rows.sparkSession.sparkContext.broadcast(wanted)
+def found_in(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]], schema: str) -> DataFrame:
+    """id and what find yields (the row first) for rows(id, text)."""
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = list(windows(part.column(1), lengths, held.value))
+                found = list(find(batch.slice(a, 512).column(1)))
                 if found:
-                    row, window, at, total, fill = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + r for r in row])), pa.array(window, pa.int64()), pa.array(at, pa.int32()), pa.array(total, pa.int32()), pa.array(fill, pa.list_(pa.string()))], ["id", "window", "at", "windows", "fillers"])
+                    row, *rest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + r for r in row])), *[pa.array(x, arrow[t]) for x, t in zip(rest, types, strict=True)]], ["id", *names])
+
+    return rows.select(F.col("id").cast("long"), "text").mapInArrow(batches_of, f"id long, {schema}")
 
-    return rows.select(F.col("id").cast("long"), "text").mapInArrow(find, "id long, window long, at int, windows int, fillers array<string>")
+
+def accepted(pairs: Column) -> Column:
+    """The pairs(n, ours, theirs) taken in order, most windows first, without those that contradict one taken before."""
+    pair = "array<struct<n:bigint,ours:string,theirs:string>>"
+    number = lambda x: x["ours"].startswith(f"{NUMBER}:")
+    against = lambda x: lambda y: (y["ours"] == x["ours"]) | (~number(x) & ~number(y) & (y["theirs"] == x["theirs"]))
+    ordered = F.array_sort(pairs, lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).when(x["ours"] != y["ours"], F.when(x["ours"] < y["ours"], -1).otherwise(1)).when(x["theirs"] < y["theirs"], -1).when(x["theirs"] > y["theirs"], 1).otherwise(0))
+    taken = F.aggregate(ordered, F.array().cast(pair), lambda s, x: F.when(F.exists(s, against(x)), s).otherwise(F.concat(s, F.array(x))))
+    return F.transform(taken, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, matched, windows, coverage, same_fillers: documents that hold an item, or a re-parameterised one.
 
-    matched: the item's windows found along one consistent alignment; it takes LEAST of them (or all, of fewer).
-    Items shorter than WINDOW tokens are one window of their own length; of fewer than LEAST tokens, or mostly
-    placeholders, they match nothing. Null texts match nothing. Rows with one doc_id (or null) count as one document;
-    other columns are ignored. The join of windows has no hint: Spark broadcasts the items' side if it is small.
+    matched: the item's windows found along one alignment, without those of contradicting fillers; windows: its usable
+    ones. It takes LEAST of them (or all, of fewer). An item without usable windows takes all windows, with equal
+    fillers. Items of fewer than LEAST tokens match nothing, null texts neither. Rows with one doc_id (or null) count as
+    one document; other columns are ignored. same_fillers is of the counted windows. The join of windows has no hint:
+    Spark broadcasts the items' side if it is small.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [0] * batch.num_rows
-            for row, _, at, data in chunks(batch.column(0)):
-                for d in tokens(data, at)[4].tolist():
-                    n[row + d] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32())], ["n"])
-
-    short = [r[0] for r in items.select("text").mapInArrow(count, "n int").where(F.col("n").between(LEAST, WINDOW - 1)).distinct().collect()]  # WINDOW values at most
-    lengths = [*sorted(short), WINDOW]
-    wanted_windows = table(window_table(items, lengths, None), "benchmark-windows")
+    wanted = table(found_in(items, item_windows, "window long, at int, tokens int, windows int, exact boolean, fillers array<string>"), "benchmark-windows")
+    kinds = sorted((r[0], r[1]) for r in wanted.select("tokens", "exact").distinct().collect())  # 2 WINDOW rows at most
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     bit = F.col("window").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    packed = wanted_windows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits"))
+    packed = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits"))
     for byte, value in packed.collect():  # FILTER_BITS / 8 rows at most
         bits[byte] = value
+    held = docs.sparkSession.sparkContext.broadcast(bits)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = window_table(rows, lengths, bits).select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("fillers").alias("theirs"))
-    hits = found.join(wanted_windows.withColumnRenamed("id", "item_id"), "window").where(F.size("theirs") == F.size("fillers"))
-    hits = table(hits.select("doc_id", "item_id", "at", "windows", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("fillers").alias("ours"), F.col("theirs").alias("theirs")).alias("slots")), "benchmark-hits")
-    at = ["doc_id", "item_id", "shift"]
-    slots = hits.select(*at, F.explode("slots").alias("s")).select(*at, F.col("s.ours").alias("ours"), F.col("s.theirs").alias("theirs")).distinct()
-    number = F.col("ours").startswith(f"{NUMBER}:")
-    held = slots.groupBy(*at).agg(
-        (F.count("*") == F.count_distinct("ours")).alias("forward"),
-        (F.count_if(~number) == F.count_distinct(F.when(~number, F.col("theirs")))).alias("backward"),
-        F.min(F.col("ours") == F.col("theirs")).alias("same"),
-    )
-    runs = hits.groupBy(*at).agg(F.count_distinct("at").alias("matched"), F.max("windows").alias("windows"))
-    runs = runs.alias("r").join(held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.item_id") == F.col("h.item_id")) & (F.col("r.shift") == F.col("h.shift")), "left")
-    runs = runs.where(F.coalesce(F.col("forward") & F.col("backward"), F.lit(True)) & (F.col("matched") >= F.least("windows", F.lit(LEAST))))
-    runs = runs.select("r.doc_id", "r.item_id", "r.shift", "matched", "windows", F.coalesce("same", F.lit(True)).alias("same_fillers"))
+    found = found_in(rows, lambda column: windows(column, kinds, held.value), "window long, at int, fillers array<string>").select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("fillers").alias("theirs"))
+    hits = found.join(wanted.withColumnRenamed("id", "item_id"), "window").where((F.size("theirs") == F.size("fillers")) & (~F.col("exact") | (F.col("theirs") == F.col("fillers"))))
+    hits = table(hits.select("doc_id", "item_id", "at", "windows", "exact", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("fillers").alias("ours"), F.col("theirs").alias("theirs")).alias("slots")), "benchmark-hits")
+    along = ["doc_id", "item_id", "shift"]
+    pairs = hits.select(*along, F.explode(F.array_distinct("slots")).alias("s")).groupBy(*along, F.col("s.ours").alias("ours"), F.col("s.theirs").alias("theirs")).agg(F.count("*").alias("n"))
+    taken = pairs.groupBy(*along).agg(accepted(F.collect_list(F.struct("n", "ours", "theirs"))).alias("taken"))
+    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"h.{x}")) for x in along]
+    runs = hits.alias("r").join(taken.alias("h"), same[0] & same[1] & same[2], "left").select("r.*", "taken")
+    runs = runs.where((F.size("slots") == 0) | (F.size(F.array_except("slots", "taken")) == 0))
+    runs = runs.groupBy(*along).agg(F.count_distinct("at").alias("matched"), F.max("windows").alias("windows"), F.max("exact").alias("exact"), F.min(F.forall("slots", lambda x: x["ours"] == x["theirs"])).alias("same_fillers"))
+    runs = runs.where(F.col("matched") >= F.when(F.col("exact"), F.col("windows")).otherwise(F.least("windows", F.lit(LEAST))))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "shift")
     runs = runs.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     return runs.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("windows").cast("long"), F.round(F.col("matched") / F.col("windows"), 6).alias("coverage"), "same_fillers")

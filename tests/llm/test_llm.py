@@ -232,6 +232,23 @@ def test_decontamination(spark, odd):
     assert decontaminate.keep_clean(odd, items).count() == odd.count()
 
 
+def test_decontamination_counts_each_items_own_windows(spark):
+    heavy = "Sum 14 15 16 17 18 19 20 21 22 then compare the larger total now"  # of 14 windows few are usable
+    arithmetic = "12 + 7 * 31 - 4 = 50"
+    short = "what is this called"
+    long = "The old miller carried seven heavy sacks of grain along the narrow river path to the market before anyone what is this called"
+    names = "Then Anna gave the small box to Bert and later on Anna went back to the old house by the river where Anna had left a lamp"
+    items = spark.createDataFrame(list(enumerate([heavy, arithmetic, short, long, names])), "item_id long, text string")
+    clean = "we saw how the old miller carried seven heavy sacks and left"  # 7 running tokens of the long item are too few
+    slip = names.replace("Anna", "Clara", 2).replace("Anna", "Dora").replace("Bert", "Emil")
+    texts = [f"Well. {heavy} end", f"so {arithmetic} it was", arithmetic.replace("31", "32"), clean, f"well {short} here", f"So. {slip}", None]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(make(spark, texts), items).collect()}
+    assert sorted(got) == [(0, 0), (1, 1), (4, 2), (5, 4)]
+    assert got[0, 0]["matched"] == got[0, 0]["windows"] < 4 and got[0, 0]["same_fillers"]
+    assert got[1, 1]["coverage"] == 1 and got[1, 1]["same_fillers"]
+    assert 4 <= got[5, 4]["matched"] < got[5, 4]["windows"] and not got[5, 4]["same_fillers"]
+
+
 def test_sharding(spark, odd):
     tree = sharding.layout(40)
     docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
