@@ -4,6 +4,10 @@ Each line, paragraph and whole text is a unit. Normalised (lower case, other tha
 unit of s bigrams can reach Dice d with a template of t bigrams only if d / (2 - d) <= s / t <= (2 - d) / d; units that
 fit no template are dropped before their bigrams are made. The bigrams are joined with the templates' (a table bounded
 by MOST_BIGRAMS), the size bound being part of the join, and summed.
+
+A notice within longer text is found by windows: of each text's words, the runs of a template's size. Shifted to its
+first bigram shared with the template a window loses none, so only windows that start there are tried, and of these the
+ones with as many such bigrams as Dice d needs; of overlapping ones the best is returned.
 """
 
 from __future__ import annotations
@@ -37,11 +41,30 @@ def bigrams(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def windows(rows: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """row, doc_id, at (word), license, s, t, shared of the template-sized windows of rows(row, doc_id, body)."""
+    texts = rows.select("row", "doc_id", bigrams(words(F.col("body"))).alias("b"))
+    hits = texts.select("row", "doc_id", F.size("b").alias("total"), F.posexplode("b").alias("at", "bigram")).join(F.broadcast(listed), "bigram")
+    text = ["row", "doc_id", "license", "t", "low", "total"]
+    ats = hits.repartition("row", "license").groupBy(*text, "most", "bigram").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    # a repeated bigram counts in windows that start after its occurrence ``most`` places before
+    ats = ats.select(*text, F.expr("transform(ats, (a, i) -> struct(a as at, if(i >= most, ats[cast(i - most as int)], -1) as prior))").alias("hits"))
+    found = ats.groupBy(*text).agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")).where("size(hits) >= low")
+    dense = F.expr("filter(sequence(0, cast(size(hits) - low as int)), i -> hits[cast(i + low - 1 as int)].at < hits[i].at + t)")
+    found = found.withColumn("i", F.explode(dense)).withColumn("at", F.expr("hits[i].at")).withColumn("s", F.least("t", F.col("total") - F.col("at")))
+    found = found.withColumn("shared", F.expr("size(filter(slice(hits, i + 1, t), x -> x.at < at + t and x.prior < at))").cast("long"))
+    found = found.where(F.col("shared") * 200 >= (F.col("s") + F.col("t")) * percent)
+    key = F.struct((-2 * F.col("shared") / (F.col("s") + F.col("t"))).alias("rank"), "at", "s", "shared")
+    found = found.groupBy("row", "doc_id", "license", "t").agg(F.sort_array(F.collect_list(key)).alias("all"))
+    best = F.expr("aggregate(all, filter(all, x -> false), (best, x) -> if(exists(best, y -> abs(y.at - x.at) <= t), best, concat(best, array(x))))")
+    return found.select("row", "doc_id", "license", "t", F.explode(best).alias("x")).select("row", "doc_id", "license", "t", "x.at", "x.s", "x.shared")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kind, at, license, shared, dice for each unit and template of Dice percent / 100 or more.
 
-    kind is line, paragraph (between empty lines, if there are any) or document (if of several lines); at counts from
-    0. Repeated bigrams count as often as both have them. A null or empty text, and units of one word, find nothing.
+    kind is line, paragraph (between empty lines, if there are any), document (if of several lines) or window (words in a
+    row, of the template's size, anywhere in the text; at is its first word); at counts from 0. Repeated bigrams count as often as both have them. A null or empty text, and units of one word, find nothing.
     Repeated rows find theirs each; a null doc_id is carried. Ties are all returned. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -69,4 +92,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     found = found.groupBy("row", "doc_id", "kind", "at", "license", "s", "t", "bigram", "most").agg(F.count("*").alias("n"))
     found = found.groupBy("row", "doc_id", "kind", "at", "license", "s", "t").agg(F.sum(F.least("n", "most")).alias("shared"))
     found = found.where(F.col("shared") * 200 >= (F.col("s") + F.col("t")) * percent)
+    columns = ["doc_id", "kind", "at", "license", "s", "t", "shared"]
+    found = found.select(*columns).union(windows(rows, listed, percent).withColumn("kind", F.lit("window")).select(*columns))
     return found.select("doc_id", "kind", "at", "license", "shared", F.round(2 * F.col("shared") / (F.col("s") + F.col("t")), 9).alias("dice"))

@@ -135,6 +135,33 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0 and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_within_longer_text(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0 header"].split()
+    wrapped = "\n".join("# " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)) + "\nimport os\nprint(os.name)\n" * 8
+    mit = "The code on this page is released under the MIT License."
+    twice = "so it is licensed under CC BY-NC 4.0 and then the rest is also licensed under cc by-nc 4.0 as said"
+    got = {(r["doc_id"], r["license"], r["at"]): r["dice"] for r in licenses.scan(make(spark, [mit, wrapped, twice, "released under the moon"])).where("kind = 'window'").collect()}
+    assert got == {(0, "MIT", 6): 1.0, (1, "GPL-3.0 header", 0): 1.0, (2, "CC-BY-NC-4.0", 3): 1.0, (2, "CC-BY-NC-4.0", 16): 1.0}
+    # any window of Dice 0.8 or more overlaps one that is returned
+    rng = random.Random(6)
+    template = [rng.choice("abc") for _ in range(12)]
+    texts = [[rng.choice("abc") for _ in range(20)] + [w for w in template if rng.random() < 0.95] + [rng.choice("abc") for _ in range(20)] for _ in range(60)]
+    found = licenses.scan(make(spark, [" ".join(x) for x in texts]), {"T": " ".join(template)}).where("kind = 'window'").collect()
+    from collections import Counter
+
+    pairs = lambda w: Counter(zip(w, w[1:], strict=False))
+    dice = lambda w: 2 * sum((pairs(w) & pairs(template)).values()) / (len(w) - 1 + len(template) - 1)
+    by = {}
+    for r in found:
+        by.setdefault(r["doc_id"], []).append(r["at"])
+        assert r["dice"] == round(dice(texts[r["doc_id"]][r["at"] :][:12]), 9) >= 0.8
+    for i, words in enumerate(texts):
+        for a in range(len(words) - 11):
+            if dice(words[a : a + 12]) >= 0.8:
+                assert any(abs(a - at) < 2 * 12 for at in by.get(i, []))
+    assert found
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark, odd):
     rng = random.Random(5)
     # neighbours share half of their words, and every pair has words of its own: the pairs' errors are independent
