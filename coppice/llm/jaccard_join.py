@@ -9,6 +9,7 @@ it before a pair is verified exactly on the whole sets.
 What is wanted is components, so not all pairs of a group are made: equal sets are one node; each shared token first
 compares its nodes with one hub; only nodes of a token that then still lie in different components are paired, all of
 them, with a join on (token, set size) in which both position bounds are part of the condition. No cap drops any pair.
+Where links are counted, the other pairs within the components are then paired and verified too, in salted blocks.
 """
 
 from __future__ import annotations
@@ -171,13 +172,31 @@ def identical(sets: DataFrame, named: DataFrame) -> DataFrame:
     return signed.join(named, ["doc_id", "sid"]).select("nid", "tokens")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+#: Copies of the larger sets' rows where the links of a component are counted.
+SALTS = 8
+
+
+def candidates(split: DataFrame, which: Column, percent: int, salts: int = 1) -> DataFrame:
+    """Distinct pairs (a, b) of split(token, nid, n, pos, c), as x and y, that share a token within both position bounds."""
+    # Of a pair the smaller set's token must be at a position that leaves room for the larger (up to limit); sizes are
+    # matched by geometric classes, of which a span of 100 / percent touches two or three.
+    limit = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / F.lit(percent))
+    size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / percent))).cast("int")
+    smaller = split.withColumn("limit", F.least(limit, F.floor(F.col("n") * 100 / F.lit(percent)))).where("limit >= n")
+    smaller = smaller.withColumn("class", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("limit") + 0.5)))).withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)).cast("int"))
+    larger = split.withColumn("class", size_class(F.col("n"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.salt") == F.col("y.salt")) & which & (F.col("x.n") <= F.col("y.n")) & possible("x", "y", percent))
+    return rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, links for each row of docs, linked where 100 |A n B| >= percent |A u B|.
 
     A document's set is its distinct k-word shingles; fewer words make one shingle; no words (or a null text) make the
     empty set, which links with nothing: its component is its own doc_id. component_id is the smallest doc_id of the
     component; equal sets are linked. Rows with a null doc_id are linked with rows of an equal set only; a component
-    without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored.
+    without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored. links: how many
+    different sets are linked with the row's set; null without count_links, as components need fewer pairs.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scale = sketch_counts(docs, "text", k)
@@ -202,26 +221,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     split = split.select("token", "nid", "n", "pos", "c")
     open_tokens = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     split = checkpoint(split.join(open_tokens, "token"))
-    # Of a pair the smaller set's token must be at a position that leaves room for the larger (up to limit); sizes are
-    # matched by geometric classes, of which a span of 100 / percent touches two or three.
-    limit = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / F.lit(percent))
-    size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / percent))).cast("int")
-    smaller = split.withColumn("limit", F.least(limit, F.floor(F.col("n") * 100 / F.lit(percent)))).where("limit >= n")
-    smaller = smaller.withColumn("class", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("limit") + 0.5))))
-    larger = split.withColumn("class", size_class(F.col("n")))
-    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.n")) & possible("x", "y", percent))
-    rest = rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    rest = candidates(split, F.col("x.c") != F.col("y.c"), percent)
     rest = checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
     more = sets_of(docs, nodes, ends(rest).join(ends(pairs), "nid", "left_anti"), k)
     links = checkpoint(links.union(verified(rest, sets.union(more), percent)))
     label = components(links, "a", "b")
 
+    if count_links:
+        inside = at.join(label.withColumnRenamed("node", "nid"), "nid").select("token", "nid", "n", "pos", F.col("component").alias("c"))
+        others = candidates(inside, (F.col("x.c") == F.col("y.c")) & (F.col("x.nid") != F.col("y.nid")), percent, SALTS)
+        others = checkpoint(others.join(pairs.union(rest), ["a", "b"], "left_anti"))
+        links = links.union(verified(others, sets_of(docs, nodes, ends(others), k), percent))
     degree = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("links"))
     named = nodes.select("nid", "sid", "doc_id").join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "c").join(degree, "nid", "left").select("sid", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.join(least, "c").join(degree, "nid", "left").select("sid", "component_id", "links")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -230,7 +246,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     The row that stays is the one with the component's smallest doc_id (of repeated rows of that id, one). Rows with a
     null doc_id or without words stay.
     """
-    found = jaccard_components(docs, k=k, percent=percent)
+    found = jaccard_components(docs, k=k, percent=percent, count_links=False)
     stay = found.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(stay, docs["doc_id"] == stay["_id"]).drop("_id")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

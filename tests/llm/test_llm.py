@@ -108,6 +108,22 @@ def test_jaccard_components_equal_brute_force(spark, k, percent):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+def test_jaccard_links_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(4):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(12):
+            copy = list(words)
+            copy[rng.randrange(2)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += texts[:3] + ["", None]
+    sets = [frozenset(zip(*[(t or "").split()[i:] for i in range(3)], strict=False)) for t in texts]
+    links = lambda a: sum(100 * len(a & b) >= 90 * len(a | b) for b in set(sets) - {a, frozenset()}) if a else 0
+    got = {r["doc_id"]: r["links"] for r in jaccard_join.jaccard_components(make(spark, texts), k=3, percent=90).collect()}
+    assert got == {i: links(a) for i, a in enumerate(sets)} and max(got.values()) > 1
+
+
 def test_jaccard_odd_rows(spark, odd):
     assert jaccard_join.jaccard_components(odd).count() == odd.count()
     kept = jaccard_join.keep_one(odd)
