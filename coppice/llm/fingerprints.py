@@ -5,8 +5,9 @@ and c and a uniform b, hashes of the term and the sample alone; with weight w it
 ln a = ln c - r (t - b + 1), and the term of the smallest a is the sample, together with its t. Two documents share a
 sample with a probability that equals their generalised Jaccard similarity, sum of min over sum of max of the weights.
 
-All of it is built-in expressions: one shuffle brings neighbouring documents together, and everything up to the
-fingerprints (counts of words, samples, minima) is then aggregated within that partitioning.
+All of it is built-in expressions: one shuffle, the only one, brings neighbouring documents together, and all that
+follows (counts of words, samples, minima, neighbours) is grouped within that partitioning. What is known of a document
+besides its words comes along as one more row of it, with an empty word.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ SAMPLES = 48
 #: Samples that one exploded row computes.
 LANES = 4
 TERM_BITS = 26
+#: Ranges of documents (and tasks) for each shuffle partition: the counts of a range's words are to fit a task's memory.
+PIECES = 4
 
 
 def uniform(h: Column, part: int) -> Column:
@@ -27,15 +30,17 @@ def uniform(h: Column, part: int) -> Column:
     return (bits + 0.5) / F.lit(float(1 << 32))
 
 
-def samples(terms: DataFrame, keys: list[str], term: str, weights: list[str]) -> DataFrame:
-    """keys, and per weight column w an array w of SAMPLES ids (long) of consistent weighted samples.
+def samples(terms: DataFrame, keys: list[str], term: str, weights: list[str], note: str | None = None) -> DataFrame:
+    """keys, and per weight column w an array w of SAMPLES ids (int) of consistent weighted samples.
 
     terms: one row for each key and term (a long hash), with weights of one or more bags of the key; a weight of 0 or
-    null leaves the term out of that bag. An empty bag's samples are null.
+    null, or a null term, leaves the term out. An empty bag's samples are null. note: a string column, '' in rows with a
+    term; a key's largest is kept, and keys without any term then have a row too.
     """
-    logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"l_{w}") for w in weights]
-    rows = terms.select(*keys, F.col(term).alias("term"), *logs).withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, LANES)])))
-    lane = [*keys, "lane", *[f"l_{w}" for w in weights]]
+    logs = [F.when(F.col(term).isNotNull() & (F.col(w) > 0), F.log(F.col(w).cast("double"))).alias(f"l_{w}") for w in weights]
+    said = F.col(note) if note else F.lit("")
+    rows = terms.select(*keys, said.alias("said"), F.col(term).alias("term"), *logs).withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, LANES)])))
+    lane = [*keys, "said", "lane", *[f"l_{w}" for w in weights]]
     each = range(LANES)
     # One projection a step, so that nothing is computed twice.
     rows = rows.select(*lane, *[F.xxhash64("term", F.col("lane") + i).alias(f"h{i}") for i in each])
@@ -51,10 +56,12 @@ def samples(terms: DataFrame, keys: list[str], term: str, weights: list[str]) ->
             # a in the upper bits, the sampled term and its t in the lower ones: the minimum carries both
             packed = F.shiftleft(((a + 512) * F.lit(float(1 << 27))).cast("long"), TERM_BITS).bitwiseOR(F.xxhash64(F.col(f"h{i}"), t).bitwiseAND(F.lit((1 << TERM_BITS) - 1).cast("long")))
             aggregates.append(F.min(packed).alias(f"{w}{i}"))
-    lanes = rows.groupBy(*keys, "lane").agg(*aggregates)
-    low = lambda x: x.bitwiseAND(F.lit((1 << TERM_BITS) - 1).cast("long"))
-    listed = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *[F.array(*[low(F.col(f"{w}{i}")) for i in range(LANES)]).alias(w) for w in weights]))).alias("all"))
-    return listed.select(*keys, *[F.flatten(F.col(f"all.{w}")).alias(w) for w in weights])
+    lanes = rows.groupBy(*keys, "said", "lane").agg(*aggregates)
+    low = lambda x: x.bitwiseAND(F.lit((1 << TERM_BITS) - 1).cast("long")).cast("int")
+    listed = F.when(F.col("said") == "", F.struct("lane", *[F.array(*[low(F.col(f"{w}{i}")) for i in range(LANES)]).alias(w) for w in weights]))
+    listed = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(listed)).alias("all"), F.max("said").alias("said"))
+    none = F.array_repeat(F.lit(None).cast("int"), SAMPLES)
+    return listed.select(*keys, *([F.col("said").alias(note)] if note else []), *[F.when(F.size("all") > 0, F.flatten(F.col(f"all.{w}"))).otherwise(none).alias(w) for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,6 +95,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     targets = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("sent").alias("bucket"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("extra"))))
     both = both.select("doc_id", "text", F.explode(targets).alias("to")).select("doc_id", "text", "to.*")
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    both = both.repartition(partitions, "bucket")  # a number of its own isn't coalesced: the grouping after it works on small ranges
     return both.select("bucket", F.row_number().over(order).alias("at"), "doc_id", "text", "extra", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
 
 
@@ -100,21 +108,22 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     else. A null doc_id comes last; repeated rows follow each other. Other columns are ignored.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(rows, partitions).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next", F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumn("edited", edited).withColumn("note", F.concat("n_chars", F.lit(":"), F.sha2("edited", 256)))
 
-    bags = rows.select("bucket", "at", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("text").alias("body")), F.struct(F.lit(0).alias("own"), F.col("edited").alias("body")))).alias("x"))
-    terms = bags.select("bucket", "at", "x.own", F.explode(F.split("x.body", r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
-    terms = terms.select("bucket", "at", "own", F.xxhash64("word").alias("term")).groupBy("bucket", "at", "term").agg(F.sum("own").alias("own"), F.sum(1 - F.col("own")).alias("edit"))
-    found = samples(terms, ["bucket", "at"], "term", ["own", "edit"])
+    keys = ["bucket", "at", "doc_id", "extra"]
+    bags = rows.select(*keys, "note", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("text").alias("body")), F.struct(F.lit(0).alias("own"), F.col("edited").alias("body")))).alias("x"))
+    # the space before a text makes its first word empty: the row that carries the note
+    terms = bags.select(*keys, "note", "x.own", F.explode(F.split(F.concat(F.lit(" "), "x.body"), r"[\x20\x09-\x0D]+")).alias("word"))
+    terms = terms.select(*keys, "own", F.when(F.col("word") == "", F.col("note")).otherwise("").alias("note"), F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    terms = terms.groupBy(*keys, "note", "term").agg(F.sum("own").alias("own"), F.sum(1 - F.col("own")).alias("edit"))
+    found = samples(terms, keys, "term", ["own", "edit"], "note")
 
-    base = rows.select("bucket", "at", "doc_id", "n_chars", "extra", F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array_repeat(F.lit(None).cast("long"), SAMPLES)
-    both = base.join(found, ["bucket", "at"], "left").withColumn("own", F.coalesce("own", none)).withColumn("edit", F.coalesce("edit", none))
     order = Window.partitionBy("bucket").orderBy("at")
-    both = both.withColumn("following", F.lead("own").over(order)).where("not extra")
-    return both.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    found = found.withColumn("following", F.lead("own").over(order)).where("not extra")
+    note = F.split("note", ":")
+    return found.select("doc_id", note[0].cast("long").alias("n_chars"), note[1].alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))

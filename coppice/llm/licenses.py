@@ -12,6 +12,8 @@ ones with as many such bigrams as Dice d needs; of overlapping ones the best is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,27 @@ def bigrams(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def telling(bodies: list[list[str]], percent: int) -> list[str]:
+    """Words of which a text that reaches percent with one of the templates (their words) holds one at least: of each
+    template those, longest first, that touch more of its bigrams than it can do without. Each has a bigram at least."""
+    out = set()
+    for w in bodies:
+        t = len(w) - 1
+        spare, touched = t - -(-t * percent // (200 - percent)), set()
+        for word in sorted(set(w), key=lambda x: (-len(x), x)):
+            if len(touched) > spare:
+                break
+            touched |= {i for i in range(t) if word in w[i : i + 2]}
+            out.add(word)
+    return sorted(out)
+
+
+def may_hold(body: Column, found: list[str]) -> Column:
+    """Whether a text holds one of the words: cheaply anywhere in it first, then among its words."""
+    somewhere = F.exists(F.array(F.lower(body)), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in found]))
+    return somewhere & F.arrays_overlap(words(body), F.array(*[F.lit(w) for w in found]))
+
+
 def windows(rows: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
     """row, doc_id, at (word), license, s, t, shared of the template-sized windows of rows(row, doc_id, body)."""
     texts = rows.select("row", "doc_id", bigrams(words(F.col("body"))).alias("b"))
@@ -69,6 +92,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     """
     spark = docs.sparkSession
     listed = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, body string").select("license", words(F.col("body")).alias("w"))
+    listed = listed.where("size(w) > 1")
+    bodies = [r["w"] for r in listed.select("w").collect()]  # a row a template
     listed = listed.select("license", (F.size("w") - 1).alias("t"), F.explode(bigrams(F.col("w"))).alias("bigram")).groupBy("license", "t", "bigram").agg(F.count("*").alias("most"))
     sizes = [r["t"] for r in listed.select("license", "t").distinct().collect()]
     if sum(sizes) > MOST_BIGRAMS:
@@ -81,7 +106,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
         fits = fits | F.col("s").between(-(-t * percent // (200 - percent)), t * (200 - percent) // percent)
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body")).where(may_hold(F.col("body"), telling(bodies, percent)) if bodies else F.lit(False))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body")
     whole = F.when(F.contains("body", F.lit("\n")), F.array("body")).otherwise(F.array().cast("array<string>"))
     blocks = F.when(F.contains("body", F.lit("\n\n")), F.split("body", "\n\n+")).otherwise(F.array().cast("array<string>"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("parts")) for k, v in (("line", F.split("body", "\n")), ("paragraph", blocks), ("document", whole))])
