@@ -9,7 +9,8 @@ it before a pair is verified exactly on the whole sets.
 What is wanted is components, so not all pairs of a group are made: equal sets are one node; each shared token first
 compares its nodes with one hub; only nodes of a token that then still lie in different components are paired, all of
 them, with a join on (token, set size) in which both position bounds are part of the condition. No cap drops any pair.
-Where links are counted, the other pairs within the components are then paired and verified too, in salted blocks.
+Before any set is fetched, parity sketches bound the two sets' difference from below and drop most pairs. Links are
+counted by blocks of a component's sets, without a row for each pair.
 """
 
 from __future__ import annotations
@@ -24,12 +25,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.components import components
+from coppice.llm.rows import apart, mark, same
 from coppice.llm.words import shingles
 from coppice.plans.materialize import checkpoint, table
 
 #: Counters of the sketch: 4 MB a task and 2 MB on the driver, whatever the input.
 SKETCH = 1 << 21
 SLICES = 64
+#: 64-bit words of a set's parity sketch.
+PARITY = 8
+SKETCHED = [f"s{i}" for i in range(PARITY)]
+#: Bits of the filter that says which documents' sets are needed, so that few texts are read whole: 1 / 64 rows at most.
+FILTER_BITS = 1 << 24
+#: Tokens, and sets, of a block of which links are counted at once, about: two blocks are a task's memory.
+BLOCK, BLOCK_SETS = 1 << 19, 1 << 12
 
 
 def sketch_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -70,40 +79,42 @@ def prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, scale: np.ndarray) -> DataFrame:
-    """doc_id, n, sid (128-bit identity of the set; null where empty) and the prefix tokens, rarest first."""
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Of each of 64 * PARITY classes of tokens, whether it has an odd number of them. Two sets differ in at least as many tokens as their sketches in bits."""
+    odd = np.bincount((tokens >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def identity(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def signatures(docs: DataFrame, k: int, percent: int, scale: np.ndarray) -> DataFrame:
+    """doc_id, mark, n, sid (128-bit identity of the set; null where empty), the parity sketch and the prefix tokens, rarest first, of docs(doc_id, mark, text)."""
     known = docs.sparkSession.sparkContext.broadcast(scale)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = known.value
         for batch in batches:
-            n, sid, prefix = [], [], []
-            for _, rolled in shingles(batch.column(1), k):
+            n, sid, prefix, odd = [], [], [], []
+            for _, rolled in shingles(batch.column(2), k):
                 tokens = np.unique(rolled)
                 n.append(len(tokens))
-                sid.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+                sid.append(identity(tokens) if len(tokens) else None)
                 most = len(tokens) - -(-len(tokens) * percent // 100) + 1 if len(tokens) else 0
                 rank = order[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
                 prefix.append(tokens[np.argsort(rank, kind="stable")[:most]].view(np.int64))
-            offsets = np.zeros(len(prefix) + 1, np.int32)
-            np.cumsum([len(p) for p in prefix], out=offsets[1:])
-            values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "sid", "prefix"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, sid binary, prefix array<long>")
-
-
-def token_sets(docs: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.unique(x).view(np.int64) for _, x in shingles(batch.column(0), k)]
-            offsets = np.zeros(len(tokens) + 1, np.int32)
-            np.cumsum([len(p) for p in tokens], out=offsets[1:])
-            values = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, "tokens"])
+                odd.append(parity(tokens))
+            sketch = np.array(odd, np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), *[pa.array(sketch[:, i]) for i in range(PARITY)], lists(prefix)], ["doc_id", "mark", "n", "sid", *SKETCHED, "prefix"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(text, *keep).mapInArrow(whole, f"{kinds}, tokens array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(sign, f"doc_id long, mark long, n long, sid binary, {', '.join(f'{c} long' for c in SKETCHED)}, prefix array<long>")
 
 
 def at_least(overlap: Column, size: Column, percent: int) -> Column:
@@ -117,6 +128,14 @@ def possible(a: str, b: str, percent: int) -> Column:
     return at_least(left, F.col(f"{a}.n") + F.col(f"{b}.n"), percent) & (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent)
 
 
+def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity sketches leave room for similar sets."""
+    sketch = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCHED])
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCHED), F.lit(0))
+    return both.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token under the other two orders and are similar."""
 
@@ -125,84 +144,107 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         most = prefix_length(n, percent).cast("int")
         return F.slice(ordered, 1, most), F.slice(ordered, n - most + 1, most)
 
-    needed = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
-    sets = sets.join(needed, "nid", "left_semi")
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("tokens").alias("a_all")), "a").join(sets.select(F.col("nid").alias("b"), F.col("tokens").alias("b_all")), "b")
     for mine, theirs in zip(ends("a_all"), ends("b_all"), strict=True):
         both = both.where(F.arrays_overlap(mine, theirs))
-    both = both.where(at_least(F.size(F.array_intersect("a_all", "b_all")), F.size("a_all") + F.size("b_all"), percent))
-    return both.select("a", "b").distinct()  # sets of repeated rows come repeatedly
-
-
-#: Bits of the filter that says which documents' sets are needed: 64 KB at most on the driver and in each plan.
-FILTER_BITS = 1 << 19
+    return both.where(at_least(F.size(F.array_intersect("a_all", "b_all")), F.size("a_all") + F.size("b_all"), percent)).select("a", "b")
 
 
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text) whose id is in wanted(doc_id): a fixed-size bitmap first, so that few texts are
-    shuffled, then the join that decides."""
+    """Rows of docs(doc_id, text) whose id is in wanted(doc_id), and a few more: by a bitmap of hashes, broadcast as
+    FILTER_BITS / 64 rows at most, so that other texts are neither sent to Python nor shuffled."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(bit, 8) as int))")).alias("bits")).collect()
-    bitmap = bytearray(FILTER_BITS // 8)
-    for byte, bits in rows:  # FILTER_BITS / 8 rows at most
-        bitmap[byte] = bits
-    byte = F.substr(F.lit(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
-    may = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit, F.lit(8)).cast("int")) == 1
-    return docs.where(may).join(wanted, "doc_id")
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    placed = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
+    return placed.where(F.expr("shiftright(bits, cast(bit & 63 as int)) & 1") == 1).select("doc_id", "text")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """nid, tokens of the nodes(nid, sid, doc_id) in wanted(nid), computed again from the texts."""
     named = checkpoint(nodes.select("nid", "sid", "doc_id").join(wanted, "nid").where("doc_id is not null"))
-    texts = only(docs, named.select("doc_id").distinct())
-    sets = identical(token_sets(texts, "text", k, ["doc_id"]), named)
-    return table(sets, "jaccard-sets")
-
 
-def identical(sets: DataFrame, named: DataFrame) -> DataFrame:
-    """nid, tokens of sets(doc_id, tokens) for named(nid, sid, doc_id); a repeated id can bring another's tokens."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
-            sids = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary())], ["doc_id", "tokens", "sid"])
+            tokens = [np.unique(x) for _, x in shingles(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identity(x) for x in tokens], pa.binary()), lists([x.view(np.int64) for x in tokens])], ["doc_id", "sid", "tokens"])
 
-    signed = sets.mapInArrow(sign, "doc_id long, tokens array<long>, sid binary")
-    return signed.join(named, ["doc_id", "sid"]).select("nid", "tokens")
+    # A repeated id can bring another row's tokens: the set's identity has to be the node's. Repeated rows bring one node's repeatedly.
+    sets = only(docs, named.select("doc_id")).mapInArrow(whole, "doc_id long, sid binary, tokens array<long>").join(named, ["doc_id", "sid"])
+    return table(sets.select("nid", "tokens").dropDuplicates(["nid"]), "jaccard-sets")
 
 
-#: Copies of the larger sets' rows where the links of a component are counted.
-SALTS = 8
+def counted(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nid, links: how many other sets of its component a set is linked with.
 
-
-def candidates(split: DataFrame, which: Column, percent: int, salts: int = 1) -> DataFrame:
-    """Distinct pairs (a, b) of split(token, nid, n, pos, c), as x and y, that share a token within both position bounds."""
+    A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS sets at most; each pair of blocks is one group, whose links a task
+    counts by products of the sets' shared tokens. A set is sent as often as its component has blocks, once for most.
+    """
+    found = label.withColumnRenamed("node", "nid").join(sets, "nid")
+    sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.sum(F.size("tokens")) / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
+    found = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    two = found.where("m = 2").select("nid", F.lit(1).cast("long").alias("links"))
+    dealt = found.where("m > 2").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in key)
+        rows = rows.combine_chunks()
+        own, nid, tokens = rows["own"].to_numpy(), rows["nid"].to_numpy(), rows["tokens"].combine_chunks()
+        n = tokens.value_lengths().to_numpy().astype(np.int64)
+        _, token, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        keep = times[token] > 1  # tokens of one set only are in no intersection
+        shared, token = np.unique(token[keep], return_inverse=True)
+        row = row[keep]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        overlap = np.zeros((len(left), len(right)), np.int32)
+        at = np.empty(len(n), np.int64)
+        at[left] = np.arange(len(left))
+        there = np.empty(len(n), np.int64)
+        there[right] = np.arange(len(right))
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        wide = max(1, (1 << 23) // max(1, len(n)))  # columns at once: 32 MB a side
+        for a in range(0, len(shared), wide):
+            lo, hi = np.searchsorted(token, [a, a + wide])
+            x, y = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+            r, t = row[lo:hi], token[lo:hi] - a
+            mine, theirs = own[r] == i, own[r] == j
+            x[at[r[mine]], t[mine]] = 1
+            y[there[r[theirs]], t[theirs]] = 1
+            overlap += (x @ y.T).astype(np.int32)
+        linked = overlap * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
+        links = np.zeros(len(n), np.int64)
+        links[left] += linked.sum(axis=1)
+        if i != j:
+            links[right] += linked.sum(axis=0)
+        else:
+            links -= 1  # a set and itself
+        return pa.table({"nid": nid, "links": links})
+
+    blocks = dealt.groupBy("component", "i", "j").applyInArrow(count, "nid long, links long")
+    return two.union(blocks.groupBy("nid").agg(F.sum("links").alias("links")))
+
+
+def candidates(split: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of split(token, nid, n, pos, c) of different c that share a token within both position bounds."""
     # Of a pair the smaller set's token must be at a position that leaves room for the larger (up to limit); sizes are
     # matched by geometric classes, of which a span of 100 / percent touches two or three.
     limit = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / F.lit(percent))
     size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / percent))).cast("int")
     smaller = split.withColumn("limit", F.least(limit, F.floor(F.col("n") * 100 / F.lit(percent)))).where("limit >= n")
-    smaller = smaller.withColumn("class", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("limit") + 0.5)))).withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(salts)).cast("int"))
-    larger = split.withColumn("class", size_class(F.col("n"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.salt") == F.col("y.salt")) & which & (F.col("x.n") <= F.col("y.n")) & possible("x", "y", percent))
+    smaller = smaller.withColumn("class", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("limit") + 0.5))))
+    larger = split.withColumn("class", size_class(F.col("n")))
+    rest = smaller.alias("x").join(larger.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.n")) & possible("x", "y", percent))
     return rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, links for each row of docs, linked where 100 |A n B| >= percent |A u B|.
-
-    A document's set is its distinct k-word shingles; fewer words make one shingle; no words (or a null text) make the
-    empty set, which links with nothing: its component is its own doc_id. component_id is the smallest doc_id of the
-    component; equal sets are linked. Rows with a null doc_id are linked with rows of an equal set only; a component
-    without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored. links: how many
-    different sets are linked with the row's set; null without count_links, as components need fewer pairs.
-    """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def marked_components(docs: DataFrame, k: int, percent: int, count_links: bool) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, links for each row of docs(doc_id, mark, text)."""
     scale = sketch_counts(docs, "text", k)
-    signed = table(signatures(docs, "doc_id", "text", k, percent, scale), "jaccard-signed")
+    signed = table(signatures(docs, k, percent, scale), "jaccard-signed")
     full = signed.where("n > 0")
-    nodes = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", *SKETCHED)])
     nodes = table(nodes.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
 
     at = nodes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -211,7 +253,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     hubs = at.groupBy("token").agg(F.min(F.struct("pos", "n", "nid")).alias("h")).select("token", "h.*")
     pairs = at.alias("x").join(hubs.alias("h"), (F.col("x.token") == F.col("h.token")) & (F.col("x.nid") != F.col("h.nid")) & possible("x", "h", percent))
-    pairs = checkpoint(pairs.select(F.least("x.nid", "h.nid").alias("a"), F.greatest("x.nid", "h.nid").alias("b")).distinct())
+    pairs = pairs.select(F.least("x.nid", "h.nid").alias("a"), F.greatest("x.nid", "h.nid").alias("b")).distinct()
+    pairs = checkpoint(close(pairs, nodes, percent))
 
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     sets = sets_of(docs, nodes, ends(pairs), k)
@@ -220,35 +263,48 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     split = at.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     split = split.select("token", "nid", "n", "pos", "c")
     open_tokens = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    split = checkpoint(split.join(open_tokens, "token"))
-    rest = candidates(split, F.col("x.c") != F.col("y.c"), percent)
+    rest = close(candidates(checkpoint(split.join(open_tokens, "token")), percent), nodes, percent)
     rest = checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
-    more = sets_of(docs, nodes, ends(rest).join(ends(pairs), "nid", "left_anti"), k)
-    links = checkpoint(links.union(verified(rest, sets.union(more), percent)))
+    sets = sets.union(sets_of(docs, nodes, ends(rest).join(ends(pairs), "nid", "left_anti"), k))
+    links = checkpoint(links.union(verified(rest, sets, percent)))
     label = components(links, "a", "b")
 
-    if count_links:
-        inside = at.join(label.withColumnRenamed("node", "nid"), "nid").select("token", "nid", "n", "pos", F.col("component").alias("c"))
-        others = candidates(inside, (F.col("x.c") == F.col("y.c")) & (F.col("x.nid") != F.col("y.nid")), percent, SALTS)
-        others = checkpoint(others.join(pairs.union(rest), ["a", "b"], "left_anti"))
-        links = links.union(verified(others, sets_of(docs, nodes, ends(others), k), percent))
-    degree = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("links"))
     named = nodes.select("nid", "sid", "doc_id").join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "c").join(degree, "nid", "left").select("sid", "component_id", "links")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("links"))
+    named = named.join(least, "c")
+    if count_links:
+        named = named.join(counted(label, sets, percent), "nid", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    else:
+        named = named.withColumn("links", F.lit(None).cast("long"))
+    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(named.select("sid", "component_id", "links"), "sid", "left")
+    alone = F.col("sid").isNull()
+    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone & F.lit(count_links), F.lit(0)).otherwise(F.col("links")).alias("links"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, links for each row of docs, linked where 100 |A n B| >= percent |A u B|.
+
+    A document's set is its distinct k-word shingles; fewer words make one shingle; no words (or a null text) make the
+    empty set, which links with nothing: its component is its own doc_id. component_id is the smallest doc_id of the
+    component; equal sets are linked. Rows with a null doc_id are linked with rows of an equal set only; a component
+    without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored. links: how many
+    different sets are linked with the row's set; null without count_links, as components need fewer comparisons.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text"))
+    return marked_components(docs, k, percent, count_links).drop("mark")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs of which no earlier row (by doc_id) is in the same component; all columns stay.
 
-    The row that stays is the one with the component's smallest doc_id (of repeated rows of that id, one). Rows with a
-    null doc_id or without words stay.
+    The row that stays is the one with the component's smallest doc_id (of rows that repeat that id, the one whose text
+    has the least hash; of equal ones, one). Rows with a null doc_id or without words stay.
     """
-    found = jaccard_components(docs, k=k, percent=percent, count_links=False)
-    stay = found.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_id"]).drop("_id")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id is null"))
+    id_, mark_, first, n = apart(docs, "id", "mark", "first", "n")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
+    found = marked_components(keyed.select(F.col(id_).alias("doc_id"), F.col(mark_).alias("mark"), "text"), k, percent, False)
+    stay = found.where("doc_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.mark").alias(n))
+    both = keyed.join(stay, same([(F.col(id_), F.col(first)), (F.col(mark_), F.col(n))]), "left")
+    both = both.withColumn(n, F.row_number().over(Window.partitionBy(id_, mark_).orderBy(first)))
+    always = F.col(id_).isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return both.where(always | F.col(first).isNotNull() & (F.col(n) == 1)).select(*docs.columns)

@@ -31,6 +31,8 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Words that most English texts hold.
+COMMON = set("a all an and any are as at be by can for from if in is it may not of on one or that the this to under use was with you your".split())
 #: Bound of the broadcast table; more templates are refused.
 MOST_BIGRAMS = 200_000
 
@@ -45,12 +47,12 @@ def bigrams(w: Column) -> Column:
 
 def telling(bodies: list[list[str]], percent: int) -> list[str]:
     """Words of which a text that reaches percent with one of the templates (their words) holds one at least: of each
-    template those, longest first, that touch more of its bigrams than it can do without. Each has a bigram at least."""
+    template those, COMMON ones last, then longest first, that touch more of its bigrams than it can do without. Each has a bigram at least."""
     out = set()
     for w in bodies:
         t = len(w) - 1
         spare, touched = t - -(-t * percent // (200 - percent)), set()
-        for word in sorted(set(w), key=lambda x: (-len(x), x)):
+        for word in sorted(set(w), key=lambda x: (x in COMMON, -len(x), x)):
             if len(touched) > spare:
                 break
             touched |= {i for i in range(t) if word in w[i : i + 2]}
