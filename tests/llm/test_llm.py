@@ -201,50 +201,54 @@ def test_line_dedup(spark, odd):
     run = "one two three four five six seven eight nine"
     docs = make(spark, [f"start a\n{run}\nend", f"{run}\nother\nlast", f"x\n{run}\nother\nlast", None])
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    # row 2 meets the first occurrence of its run, in row 0, where other lines follow; "other, last" is too short alone
-    assert got == {0: f"start a\n{run}\nend", 1: "other\nlast", 2: "x\nother\nlast", 3: ""}
-    assert line_dedup.dedup_lines(odd).count() == odd.count()
+    # of row 2's run the first line began in row 0, and with all of its lines in row 1
+    assert got == {0: f"start a\n{run}\nend", 1: "other\nlast", 2: "x", 3: ""}
+    found = line_dedup.dedup_lines(odd).orderBy("doc_id").collect()
+    assert len(found) == odd.count() and line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    # equal texts: the second of two ids, and one of two rows of one id (of fewer words than a run, it stays)
+    assert [r["n_removed"] for r in found] == [0] * 7 + [1, 0, 0]
+    twice = make(spark, [f"{run}\n\n{run} ten", f"{run}\n\n{run} ten", f"\n{run}"], [None, None, 5])
+    assert sorted((r["doc_id"] is None, r["text"]) for r in line_dedup.dedup_lines(twice).collect()) == [(False, f"\n{run}"), (True, ""), (True, f"{run} ten")]
 
 
 def repeats_by_brute_force(texts):
-    """The lines left of texts without runs of line_dedup.WINDOW words that occurred before."""
-    seen, out = {}, []
-    for text in texts:
+    """What is left of texts without the runs of line_dedup.WINDOW words or more that began before."""
+    places, out = {}, []
+    full = [[i for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    for d, text in enumerate(texts):
         lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x.split()]
-        gone = set()
-        for a in range(len(full)):
-            words, b = 0, a
-            while b < len(full) and words < line_dedup.WINDOW:
-                words, b = words + len(lines[full[b]].split()), b + 1
-            if words < line_dedup.WINDOW:
-                continue
-            after = [lines[i] for i in full[b:]]
-            old = seen.setdefault(tuple(lines[i] for i in full[a:b]), (len(out), a, after))
-            if old[:2] == (len(out), a):
-                continue
-            last, words = b, 0
-            for x, y in zip(after, old[2], strict=False):
-                words += len(x.split())
-                if x != y or words >= line_dedup.WINDOW:
-                    break
-                last += 1
-            gone.update(range(full[a], full[last - 1] + 1))
+        for a in range(len(full[d])):
+            for b in range(a + 1, len(full[d]) + 1):
+                places.setdefault(tuple(lines[i] for i in full[d][a:b]), (d, a))
+    for d, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(full[d])):
+            for b in range(a + 1, len(full[d]) + 1):
+                run = tuple(lines[i] for i in full[d][a:b])
+                if sum(len(x.split()) for x in run) >= line_dedup.WINDOW and places[run] < (d, a):
+                    gone.update(full[d][a:b])
+        held = False
+        for i in range(len(lines)):
+            held = i in gone if i in full[d] else held
+            if held:
+                gone.add(i)
         out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-def test_line_dedup_of_lines_that_first_occur_separately(spark):
-    """A run of short lines, each of which occurs before in another context, and one of one-word lines with blank lines between."""
+def test_line_dedup_equals_brute_force(spark):
+    """A run of short lines, each of which occurs before in another context, one of one-word lines with blank lines between, and random lines."""
     short = ["a b c d", "e f g h i", "j k l m"]
     words = "n o p q r s t u v".split()
     texts = [f"x{i} x\n{line}\ny{i} y" for i, line in enumerate(short)] + ["\n".join(["p1", *short, "q1"]), "\n".join(["p2", *short, "q2"])]
     texts += ["\n\n\n".join(words), "r1\n" + "\n\n \n".join(words) + "\nr2"]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make(spark, texts)).collect()}
     assert got[3] == texts[3] and got[4] == "p2\nq2" and got[6] == "r1\nr2"
+    assert [got[i] for i in range(len(texts))] == repeats_by_brute_force(texts)
     rng = random.Random(4)
     lines = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (0, 0, 1, 1, 2, 3, 4, 4, 5, 7, 9)]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    texts += ["\n".join(rng.choice(lines[-2:]) for _ in range(140))]  # more than 64 lines, and a run that repeats itself
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == repeats_by_brute_force(texts)
 
