@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.plans.materialize import table
+
 #: Notices and standard headers of public licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body")).where(may_hold(F.col("body"), telling(bodies, percent)) if bodies else F.lit(False))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body")
+    rows = table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body"), "licence-texts")
     whole = F.when(F.contains("body", F.lit("\n")), F.array("body")).otherwise(F.array().cast("array<string>"))
     blocks = F.when(F.contains("body", F.lit("\n\n")), F.split("body", "\n\n+")).otherwise(F.array().cast("array<string>"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("parts")) for k, v in (("line", F.split("body", "\n")), ("paragraph", blocks), ("document", whole))])
