@@ -2,8 +2,8 @@
 
 Within a source every document expects target / source_size copies. The prefix sums of the expectation, plus one random
 offset of the source, cross an integer boundary once for each copy. Documents are taken in order of size, so that the
-words taken follow the target closely. The prefix sum is two-level: counts of small ranges of the order, then positions
-within a range, so that no source's rows meet in one task.
+words taken follow the target closely. The prefix sum is two-level: counts of small ranges of the order (a source's
+documents of about one size, in parts by doc_id), then positions within a range, so that no source's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.llm.rows import apart, mark, same
 from coppice.plans.materialize import table
 
 #: Largest number of expected copies of a document.
 MOST = 3
-#: Rows of the whole input for each salt of a range of sizes.
-ROWS_A_SALT = 1 << 20
+#: Parts of the documents of about one size: a part's rows meet in one task.
+PARTS = 128
 
 
 def words(text: Column) -> Column:
@@ -61,33 +62,51 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     doc_id; repeated rows count each. A source without words has target 0 and takes nothing. Other columns are
     ignored. Reruns agree: the offset depends on the source's name and the seed alone.
     """
-    rows = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "mixing")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.lit(0).cast("long").alias("mark"))
+    return marked_mix(rows, seed).drop("mark")
+
+
+def size_level(size: Column) -> Column:
+    """Eight levels for each doubling of size."""
+    return F.length(F.bin(size)) * 8 + F.expr("shiftright(size * 8, cast(length(bin(size)) as int) - 1) & 7").cast("int")
+
+
+def marked_mix(rows: DataFrame, seed: int) -> DataFrame:
+    """mix of rows(doc_id, source, size, mark); mark is kept. The order within a source is by size level, part, size,
+    doc_id and mark, whatever the number of rows."""
+    rows = table(rows, "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, cycle())
-    salts = 1 + rows.count() // ROWS_A_SALT
     key = F.pmod(F.lit(16807) * F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2147483647)), F.lit(2147483647))
-    rows = rows.withColumn("level", F.length(F.bin("size"))).withColumn("salt", key % salts)
+    rows = rows.withColumn("level", size_level(F.col("size"))).withColumn("salt", key % PARTS)
     counts = rows.groupBy("source", "level", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("level", "salt")
     counts = counts.withColumn("before", F.sum("n").over(before) - F.col("n"))
     ranges = counts.alias("c").join(aims.alias("a"), F.col("c.source").eqNullSafe(F.col("a.source"))).select("c.source", "level", "salt", "before", "source_size", "target")
-    at = Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id")
+    at = Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id", "mark")
     rows = rows.withColumn("at", F.row_number().over(at))
     same = F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.level") == F.col("r.level")) & (F.col("d.salt") == F.col("r.salt"))
-    rows = rows.alias("d").join(ranges.alias("r"), same).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", (F.col("r.before") + F.col("d.at")).alias("rank"))
+    rows = rows.alias("d").join(ranges.alias("r"), same).select("d.doc_id", "d.source", "d.size", "d.mark", "r.source_size", "r.target", (F.col("r.before") + F.col("d.at")).alias("rank"))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     shift = offset(F.col("source"), seed)
     copies = F.floor(F.col("rank") * rate + shift) - F.floor((F.col("rank") - 1) * rate + shift)
-    return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs as often as the mix takes them; columns stay. Repeated doc_ids take their rows' copies each."""
-    same = F.row_number().over
-    order = [F.xxhash64(F.coalesce("source", F.lit("")), F.coalesce(F.col("text"), F.lit("")))]
-    left = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
-    left = left.withColumn("_n", same(Window.partitionBy("_id").orderBy(*order)))
-    right = mixed.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_id"), "copies", F.xxhash64(F.coalesce("source", F.lit("")), "size").alias("_o"))
-    right = right.withColumn("_n", same(Window.partitionBy("_id").orderBy("_o"))).drop("_o")
-    both = left.join(right, ["_id", "_n"]).where("copies > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "mark")
+
+
+def repeated(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """Rows of docs(doc_id, text, source) as often as their mix takes them; columns stay.
+
+    Rows are told apart by doc_id, source and a hash of the text, nulls included; of rows that agree in these the mix may
+    take some more often than others, and any of them are.
+    """
+    id_, mark_, n, times = apart(docs, "id", "mark", "n", "times")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
+    mixed = marked_mix(keyed.select(F.col(id_).alias("doc_id"), "source", words(F.col("text")).alias("size"), F.col(mark_).alias("mark")), seed)
+    # alike rows share the copies of all of them: as evenly as they go
+    alike = mixed.groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    alike = alike.select(*[F.col(c).alias(f"r_{c}") for c in alike.columns])
+    both = keyed.alias("d").join(alike.alias("r"), same([(F.col(f"d.{a}"), F.col(f"r.r_{b}")) for a, b in ((id_, "doc_id"), ("source", "source"), (mark_, "mark"))]))
+    both = both.withColumn(n, F.row_number().over(Window.partitionBy(f"d.{id_}", "d.source", f"d.{mark_}").orderBy(F.lit(0))))
+    share = F.floor(F.col("r_copies") * F.col(n) / F.col("r_rows")) - F.floor(F.col("r_copies") * (F.col(n) - 1) / F.col("r_rows"))
+    both = both.withColumn(times, share.cast("int")).where(F.col(times) > 0)
+    return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"d.{c}") for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from coppice.llm.url_filter import TWO_LABELS
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -19,7 +21,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN stops THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), weight * coalesce((SELECT arg_min(rate, place) FROM f WHERE NOT stops), 0.0)) END AS target FROM f
 ), k AS (
-  SELECT d.*, length(bin(size)) AS level, ((16807 * ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647)) % 2147483647) % (SELECT 1 + count(*) // 1048576 FROM d) AS salt FROM d
+  SELECT d.*, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) % 8 AS level, ((16807 * ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647)) % 2147483647) % 128 AS salt FROM d
 ), r AS (
   SELECT k.doc_id, k.source, k.size, t.source_size, t.target, row_number() OVER (PARTITION BY k.source ORDER BY level, salt, size, doc_id) AS rank,
     CAST(('0x' || substr(md5('7:' || coalesce('s' || k.source, 'null')), 1, 8)) AS BIGINT) / 4294967296.0 AS shift,
@@ -43,9 +45,12 @@ WITH p AS (
   FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1), '') AS BIGINT) AS doc_id FROM q) JOIN labels USING (doc_id)
 ), h AS (
   SELECT host, string_split(host, '.') AS parts, len(string_split(host, '.')) AS np FROM (SELECT DISTINCT host FROM q)
+), h2 AS (
+  SELECT *, array_to_string(parts[greatest(np - 1, 1):np], '.') AS last_two, np > 2 AND array_to_string(parts[greatest(np - 1, 1):np], '.') IN (TWO_LABELS) AS two FROM h
 ), k AS (
-  SELECT h.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, parts[-1] AS suffix, array_to_string(parts[greatest(np - 1, 1):np], '.') AS domain
-  FROM h LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host) c USING (host)
+  SELECT h2.host, coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad, 
+    CASE WHEN two THEN last_two ELSE parts[-1] END AS suffix, CASE WHEN two THEN array_to_string(parts[greatest(np - 2, 1):np], '.') ELSE last_two END AS domain
+  FROM h2 LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host) c USING (host)
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY suffix
 ), root AS (SELECT (sum(bad) + 0.5) / (sum(n) + 10.0) AS mean, sum(n) + 10.0 AS sure FROM s
 ), sr AS (
@@ -78,6 +83,6 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
   round(rate, 9) AS bad_rate, round(bound, 9) AS bound
 FROM j
-"""
+""".replace("TWO_LABELS", ", ".join(f"'{x}'" for x in TWO_LABELS))
 
 ORACLE = {"op6_mixing": OP6, "op9_url_filter": OP9}
