@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.llm.rows import apart, mark, same
 from coppice.llm.url_filter import host_and_path, suffix_and_domain
 from coppice.llm.words import LOWER, chunks
 from coppice.plans.materialize import table
@@ -50,7 +51,9 @@ def pairs(data: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str, language: str) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (languages + und, 65536) from at most SAMPLE_ROWS rows, those of least hash."""
+    """Languages and log-probabilities (languages + und, 65536) from at most SAMPLE_ROWS different rows, those of least hash.
+
+    Only hashes are gathered to find them: no task gets more than its share of the sample's texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -63,7 +66,13 @@ def fit(labelled: DataFrame, text: str, language: str) -> tuple[list[str], np.nd
                         sums[names[i]] = sums.get(names[i], 0) + x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], ["language", "counts"])
 
-    sample = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(text, F.col(language).alias("_l")).orderBy(F.xxhash64(text), "_l").limit(SAMPLE_ROWS)
+    kept = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("language"))
+    kept = kept.withColumn("h", F.xxhash64("text", "language"))
+    # Hashes below a bound that leaves four times as many rows as are wanted; of these the exact bound; then texts.
+    rows = labelled.where(F.col(language).isNotNull()).count()
+    near = kept if rows <= 4 * SAMPLE_ROWS else kept.where(F.col("h") < int(2.0**64 * 4 * SAMPLE_ROWS / rows) - 2**63)
+    last = near.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    sample = near.where(F.col("h") <= (0 if last is None else last)).groupBy("h", "language").agg(F.first("text").alias("text")).select("text", "language")
     counts: dict[str, np.ndarray] = {}
     for row in sample.mapInArrow(count, "language string, counts binary").collect():  # a row a language
         counts[row[0]] = counts.get(row[0], 0) + np.frombuffer(row[1], np.int64)
@@ -109,16 +118,16 @@ def softmax(scores: Column) -> Column:
     return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
 
 
-def fuse(rows: DataFrame, key: str, names: list[str], models: np.ndarray) -> DataFrame:
-    """key, language, confidence, text_language of rows(key, text, declared, host, domain, suffix).
+def fuse(rows: DataFrame, keys: list[str], names: list[str], models: np.ndarray) -> DataFrame:
+    """keys, language, confidence, text_language of rows(keys, text, declared, host, domain, suffix).
 
     language is the class of largest posterior; "und" where that is below 0.5. Ties go to the first name. A null text
     has no bigrams, a null declaration or host is a value of its own. One row for each row.
     """
     classes = [*names, UND]
     n = len(classes)
-    filled = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("key"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "host", "domain", "suffix")])
-    scored = likelihoods(filled, ["key", "declared", "host", "domain", "suffix"], names, models)
+    filled = rows.select(F.coalesce("text", F.lit("")).alias("text"), *keys, *[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "host", "domain", "suffix")])
+    scored = likelihoods(filled, [*keys, "declared", "host", "domain", "suffix"], names, models)
     scored = scored.withColumn("said", F.when(F.col("declared").isin(*classes), F.col("declared")).otherwise(F.when(F.col("declared") == "", "").otherwise("?")))
     scored = scored.withColumn("p", softmax(F.zip_with("scores", F.array(*[F.lit(0.0)] * (n - 1), F.lit(-4.0)), lambda a, b: a + b)))
     scored = table(scored, "language")
@@ -155,7 +164,7 @@ def fuse(rows: DataFrame, key: str, names: list[str], models: np.ndarray) -> Dat
     flat = np.zeros(n).tolist()
     lookup = F.create_map(*[y for s, x in sorted(table_of.items()) for y in (F.lit(s), F.array(*[F.lit(float(v)) for v in x]))]) if table_of else None
 
-    both = scored.withColumn("salt", F.pmod(F.xxhash64("key", "scores"), F.lit(SALTS)).cast("int")).join(by_host, ["host", "salt"])
+    both = scored.withColumn("salt", F.pmod(F.xxhash64(*keys, "scores"), F.lit(SALTS)).cast("int")).join(by_host, ["host", "salt"])
     size = F.aggregate("sums", F.lit(0.0), lambda s, x: s + x)
     host_p = F.transform(F.arrays_zip("sums", "p", "domain_p"), lambda x: F.greatest(x["sums"] - x["p"], F.lit(0.0)) + STRENGTH * x["domain_p"])
     both = both.withColumn("host_p", F.transform(host_p, lambda x: x / (F.greatest(size - 1, F.lit(0.0)) + STRENGTH)))
@@ -167,7 +176,7 @@ def fuse(rows: DataFrame, key: str, names: list[str], models: np.ndarray) -> Dat
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     found = F.element_at(F.array(*[F.lit(c) for c in classes]), best)
     by_text = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("p", F.array_max("p")).cast("int"))
-    return both.select("key", F.when(F.array_max("posterior") >= 0.5, found).otherwise(UND).alias("language"), F.round(F.array_max("posterior"), 6).alias("confidence"), by_text.alias("text_language"))
+    return both.select(*keys, F.when(F.array_max("posterior") >= 0.5, found).otherwise(UND).alias("language"), F.round(F.array_max("posterior"), 6).alias("confidence"), by_text.alias("text_language"))
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -180,18 +189,21 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_i
     host, _ = host_and_path(F.col(url))
     suffix, domain = suffix_and_domain(host)
     rows = pages.select(F.col(page_id).alias("page_id"), visible(F.col(html)).alias("text"), declared(F.col(html)).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
-    return fuse(rows, "page_id", names, models).withColumnRenamed("key", "page_id")
+    return fuse(rows, ["page_id"], names, models)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of docs(doc_id, text, lang, source) whose language is identified; lang becomes that language.
 
     lang is the declared language, source the host. Rows whose posterior is below 0.5 or that are bytes without
-    language go. The decision is made for each distinct (doc_id, text, lang, source), so that repeated rows share it.
+    language go. The decision is made for each distinct (doc_id, text, lang, source), so that repeated rows share it;
+    texts are told apart by their hash among rows of one doc_id, lang and source, nulls included.
     """
     names, models = fit(docs, "text", "lang")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?")))
-    keyed = docs.withColumn("_key", key)
-    rows = keyed.select("_key", "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"))
-    found = fuse(rows, "_key", names, models).where(F.col("language") != UND).select(F.col("key").alias("_key"), F.col("language").alias("_language")).dropDuplicates(["_key"])
-    return keyed.join(found, "_key").withColumn("lang", F.col("_language")).select(*docs.columns)
+    id_, mark_, found_ = apart(docs, "id", "mark", "found")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
+    keys = {"k_id": id_, "k_mark": mark_, "k_lang": "lang", "k_source": "source"}
+    rows = keyed.select(*[F.col(c).alias(k) for k, c in keys.items()], "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit("").alias("suffix"))
+    found = fuse(rows, list(keys), names, models).where(F.col("language") != UND).select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("language").alias(found_)).dropDuplicates([f"r_{k}" for k in keys])
+    both = keyed.alias("d").join(found.alias("r"), same([(F.col(f"d.{c}"), F.col(f"r.r_{k}")) for k, c in keys.items()]))
+    return both.select(*[F.col(f"r.{found_}").alias(c) if c == "lang" else F.col(f"d.{c}") for c in docs.columns])
