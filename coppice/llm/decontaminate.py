@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.llm.rows import apart, mark, same
 from coppice.llm.words import LOWER, chunks, hash_spans, mix, spans
 from coppice.plans.materialize import table
 
@@ -140,20 +141,21 @@ def windows(column: pa.Array, kinds: list[tuple[int, bool]], wanted: np.ndarray)
 
 
 def found_in(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]], schema: str) -> DataFrame:
-    """id and what find yields (the row first) for rows(id, text)."""
+    """id, mark and what find yields (the row first) for rows(id, mark, text)."""
     names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
     arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(1)
             for a in range(0, batch.num_rows, 512):
-                found = list(find(batch.slice(a, 512).column(1)))
+                found = list(find(batch.slice(a, 512).column(2)))
                 if found:
                     row, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + r for r in row])), *[pa.array(x, arrow[t]) for x, t in zip(rest, types, strict=True)]], ["id", *names])
+                    at = pa.array([a + r for r in row])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), marks.take(at), *[pa.array(x, arrow[t]) for x, t in zip(rest, types, strict=True)]], ["id", "mark", *names])
 
-    return rows.select(F.col("id").cast("long"), "text").mapInArrow(batches_of, f"id long, {schema}")
+    return rows.select(F.col("id").cast("long"), "mark", "text").mapInArrow(batches_of, f"id long, mark long, {schema}")
 
 
 def accepted(pairs: Column) -> Column:
@@ -166,16 +168,9 @@ def accepted(pairs: Column) -> Column:
     return F.transform(taken, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched, windows, coverage, same_fillers: documents that hold an item, or a re-parameterised one.
-
-    matched: the item's windows found along one alignment, without those of contradicting fillers; windows: its usable
-    ones. It takes LEAST of them (or all, of fewer). An item without usable windows takes all windows, with equal
-    fillers. Items of fewer than LEAST tokens match nothing, null texts neither. Rows with one doc_id (or null) count as
-    one document; other columns are ignored. same_fillers is of the counted windows. The join of windows has no hint:
-    Spark broadcasts the items' side if it is small.
-    """
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+def marked_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """What contaminated returns, with mark: rows are told apart by doc_id and the hash of the text."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.lit(0).cast("long").alias("mark"), F.col(item_text).alias("text"))
     wanted = table(found_in(items, item_windows, "window long, at int, tokens int, windows int, exact boolean, fillers array<string>"), "benchmark-windows")
     kinds = sorted((r[0], r[1]) for r in wanted.select("tokens", "exact").distinct().collect())  # 2 WINDOW rows at most
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -184,24 +179,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for byte, value in packed.collect():  # FILTER_BITS / 8 rows at most
         bits[byte] = value
     held = docs.sparkSession.sparkContext.broadcast(bits)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = found_in(rows, lambda column: windows(column, kinds, held.value), "window long, at int, fillers array<string>").select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("fillers").alias("theirs"))
-    hits = found.join(wanted.withColumnRenamed("id", "item_id"), "window").where((F.size("theirs") == F.size("fillers")) & (~F.col("exact") | (F.col("theirs") == F.col("fillers"))))
-    hits = table(hits.select("doc_id", "item_id", "at", "windows", "exact", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("fillers").alias("ours"), F.col("theirs").alias("theirs")).alias("slots")), "benchmark-hits")
-    along = ["doc_id", "item_id", "shift"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    found = found_in(rows, lambda column: windows(column, kinds, held.value), "window long, at int, fillers array<string>").select(F.col("id").alias("doc_id"), "mark", "window", F.col("at").alias("doc_at"), F.col("fillers").alias("theirs"))
+    hits = found.join(wanted.withColumnRenamed("id", "item_id").drop("mark"), "window").where((F.size("theirs") == F.size("fillers")) & (~F.col("exact") | (F.col("theirs") == F.col("fillers"))))
+    hits = table(hits.select("doc_id", "mark", "item_id", "at", "windows", "exact", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("fillers").alias("ours"), F.col("theirs").alias("theirs")).alias("slots")), "benchmark-hits")
+    along = ["doc_id", "mark", "item_id", "shift"]
     pairs = hits.select(*along, F.explode(F.array_distinct("slots")).alias("s")).groupBy(*along, F.col("s.ours").alias("ours"), F.col("s.theirs").alias("theirs")).agg(F.count("*").alias("n"))
     taken = pairs.groupBy(*along).agg(accepted(F.collect_list(F.struct("n", "ours", "theirs"))).alias("taken"))
-    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"h.{x}")) for x in along]
-    runs = hits.alias("r").join(taken.alias("h"), same[0] & same[1] & same[2], "left").select("r.*", "taken")
+    runs = hits.alias("r").join(taken.alias("h"), same([(F.col(f"r.{x}"), F.col(f"h.{x}")) for x in along]), "left").select("r.*", "taken")
     runs = runs.where((F.size("slots") == 0) | (F.size(F.array_except("slots", "taken")) == 0))
     runs = runs.groupBy(*along).agg(F.count_distinct("at").alias("matched"), F.max("windows").alias("windows"), F.max("exact").alias("exact"), F.min(F.forall("slots", lambda x: x["ours"] == x["theirs"])).alias("same_fillers"))
     runs = runs.where(F.col("matched") >= F.when(F.col("exact"), F.col("windows")).otherwise(F.least("windows", F.lit(LEAST))))
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "shift")
-    runs = runs.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return runs.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("windows").cast("long"), F.round(F.col("matched") / F.col("windows"), 6).alias("coverage"), "same_fillers")
+    best = Window.partitionBy("doc_id", "mark", "item_id").orderBy(F.desc("matched"), "shift")
+    runs = runs.withColumn("place", F.row_number().over(best)).where("place = 1")
+    return runs.select("doc_id", "mark", "item_id", F.col("matched").cast("long"), F.col("windows").cast("long"), F.round(F.col("matched") / F.col("windows"), 6).alias("coverage"), "same_fillers")
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, matched, windows, coverage, same_fillers: documents that hold an item, or a re-parameterised one.
+
+    matched: the item's windows found along one alignment, without those of contradicting fillers; windows: its usable
+    ones. It takes LEAST of them (or all, of fewer). An item without usable windows takes all windows, with equal
+    fillers. Items of fewer than LEAST tokens match nothing, null texts neither. Rows of one doc_id (or null) with different
+    texts each have a result, equal rows have one together; other columns are ignored. same_fillers is of the counted windows. The join of windows has no hint:
+    Spark broadcasts the items' side if it is small.
+    """
+    return marked_contaminated(docs, benchmark, doc_id, text, item_id, item_text).drop("mark")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs that hold no benchmark item; all columns stay."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    id_, mark_ = apart(docs, "id", "mark")
+    gone = marked_contaminated(docs, benchmark).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).distinct()
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))}).alias("d")
+    left = keyed.join(gone.alias("g"), same([(F.col(f"d.{id_}"), F.col("g.g_id")), (F.col(f"d.{mark_}"), F.col("g.g_mark"))]), "left_anti")
+    return left.drop(id_, mark_)
