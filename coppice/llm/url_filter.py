@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.plans.materialize import table
+
 #: Suffixes of two labels under which names are registered.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za", "com.tr", "com.ar")
 SALTS = 16
@@ -41,11 +43,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+def suffix_and_domain(host: Column, two_labels: tuple[str, ...] = TWO_LABELS) -> tuple[Column, Column]:
+    """The suffix under which names are registered (one label, or one of two_labels), and the registered domain."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     last_two = F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2))
-    double = last_two.isin(*TWO_LABELS) & (n > 2)
+    double = last_two.isin(*two_labels) & (n > 2)
     suffix = F.when(double, last_two).otherwise(F.element_at(labels, -1))
     domain = F.when(double, F.concat_ws(".", F.slice(labels, F.greatest(n - 2, F.lit(1)), 3))).otherwise(last_two)
     return suffix, domain
@@ -85,30 +88,30 @@ def shrink(counts: DataFrame, child: str, parent: str, above: DataFrame) -> Data
 def reputation(outcomes: DataFrame, hosts: DataFrame, z: float) -> DataFrame:
     """host, n, bad, rate, bound for each host of hosts(host, domain, suffix); outcomes(host, bad): labelled pages."""
     labelled = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    known = hosts.join(labelled, "host", "left").fillna(0, ["n", "bad"])
+    known = table(hosts.join(labelled, "host", "left").fillna(0, ["n", "bad"]), "hosts")  # a row a host; all levels are sums of it
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = known.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0))
     root = suffixes.groupBy("root").agg(*sums).withColumn("alpha", F.col("bad") + FEW[0]).withColumn("beta", F.col("n") - F.col("bad") + FEW[1])
     root = root.withColumn("rate", F.col("alpha") / (F.col("alpha") + F.col("beta")))
-    by_suffix = shrink(suffixes, "suffix", "root", root)
-    by_domain = shrink(domains, "domain", "suffix", by_suffix).withColumnRenamed("suffix", "domain_suffix")
+    by_suffix = table(shrink(suffixes, "suffix", "root", root), "suffixes")
+    by_domain = table(shrink(domains, "domain", "suffix", by_suffix), "domains").withColumnRenamed("suffix", "domain_suffix")
     found = shrink(known.drop("suffix"), "host", "domain", by_domain)
     size = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))
     return found.select("host", "n", "bad", "rate", (F.col("rate") - z * deviation).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", threshold: float = 0.3, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", threshold: float = 0.3, z: float = 1.645, two_labels: tuple[str, ...] = TWO_LABELS) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, bound for each row of pages.
 
     outcomes(host, bad 0/1) are labelled pages. verdict is the longest fitting rule's, else 'block' where the host's
     lower posterior bound (mean less z deviations) exceeds the threshold, else 'allow'. A null url has empty host and
-    path; empty hosts are one host. Repeated rows are each judged; other columns are ignored.
+    path; empty hosts are one host. two_labels: the suffixes of two labels, as of a public list. Repeated rows are each judged; other columns are ignored.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), two_labels)
     hosts = rows.select("host").distinct().withColumn("suffix", suffix).withColumn("domain", domain)
     known = reputation(outcomes, hosts, z).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
