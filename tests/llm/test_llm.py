@@ -265,7 +265,7 @@ def test_mixing(spark, odd):
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
     mixed = mixing.mix(odd)
     assert mixed.count() == odd.count()
-    assert mixing.repeated(odd, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    assert mixing.repeated(odd).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
 def test_decontamination(spark, odd):
