@@ -2,121 +2,232 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.functions.scalars import draw
-from coppice.operators.scoring import Node
-from coppice.operators.split import best_attribute, best_cuts, candidates, histogram
-from coppice.plans.materialize import checkpoint
-
-
-def grow(rows: DataFrame, row: str, attributes: list[str], classes: int, bags: DataFrame | None = None, trees: int = 1, criterion: str = "c45", depth: int = 4, attributes_a_node: int | None = None, seed: int = 1) -> list[Node]:
-    """Trees on rows(row, label, attributes as doubles); bags(tree, row, weight) or all rows once.
-
-    Each level is one histogram (partial sums before its shuffle), one scan and one broadcast of the chosen cuts: a row a
-    node, so at most trees x 2**depth of them. A node stops when it is pure, or no cut scores above 0. Subtrees that do
-    not err less than their majority become leaves.
+from coppice.functions.scalars import MODULUS, draw
+from coppice.operators.scoring import Flat, Node, matrix
+from coppice.operators import sampling, split
+from coppice.plans.materialize import checkpoint, table
+
+#: Bound of a model under growth: its nodes are on the driver and are sent to the tasks.
+MOST_NODES = 1 << 20
+
+
+def grow(
+    rows: DataFrame,
+    row: str,
+    attributes: list[str],
+    classes: int,
+    bags: DataFrame | None = None,
+    trees: int = 1,
+    criterion: str = "c45",
+    depth: int | None = None,
+    attributes_a_node: int | None = None,
+    seed: int = 1,
+    discrete: dict[str, int] | None = None,
+    masks: dict[int, list[int]] | None = None,
+    cuts: str = "best",
+    fixed: int = 2,
+    dynamic: bool = True,
+    zero_gain: bool = False,
+    collapse: bool = True,
+    subsample: int = 0,
+) -> list[Node]:
+    """Trees on rows(row, label, attributes); bags(tree, row, weight) or all rows once for each tree.
+
+    Attributes are numbers; those of discrete (name: number of values) are codes from 0 and split into a branch a value,
+    once on a path. cuts: best, extremely_random (one random cut an attribute, the best scored) or totally_random.
+    attributes_a_node: how many attributes that can split, in random order, a node tries. masks: attributes (by number)
+    that each tree may use. subsample: a node's split is chosen on so many of its rows. A node stops when it is pure, has
+    fewer than twice the least branch, no split scores above 0 (with zero_gain: no split at all), or at depth.
+
+    A null takes no part in its attribute's scan and goes with the values above a cut, or to the last branch; so does a
+    code that isn't declared. Children that all say one class are merged; with collapse, a subtree that errs no less than
+    its majority becomes a leaf. An empty branch says its parent's class.
+
+    Rows are held once, with an array of their weights in all trees. A level is a pass that finds their nodes (flat arrays
+    in tasks), one histogram with partial sums before its shuffle and one scan; nothing else is kept between levels, and
+    only a row a node comes to the driver: MOST_NODES at most, else it raises.
     """
-    spark = rows.sparkSession
-    data = rows.select(row, "label", *[F.col(c).cast("double").alias(c) for c in attributes])
-    if bags is None:
-        active = data.crossJoin(spark.range(trees).select(F.col("id").cast("int").alias("tree"))).withColumn("weight", F.lit(1))
-    else:
-        active = data.join(bags.select("tree", row, "weight"), row)
-    active = active.withColumn("node", F.lit(1).cast("long"))
-    cuts_of: dict[tuple[int, int], tuple[str, float]] = {}
-    counts_of: dict[tuple[int, int], tuple[int, ...]] = {}
-    for level in range(depth + 1):
-        active = checkpoint(active)
-        sums = active.groupBy("tree", "node").agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
+    discrete = discrete or {}
+    data = held(rows, row, attributes, bags, trees)
+    growing = [Growing() for _ in range(trees)]
+    for t in growing:
+        t.add(None)
+    numbers = [i for i, a in enumerate(attributes) if a not in discrete]
+    codes = [i for i, a in enumerate(attributes) if a in discrete]
+    keys, level = ["tree", "node"], 0
+    while any(t.open for t in growing):
+        if sum(len(t.counts) for t in growing) > MOST_NODES:
+            raise ValueError(f"more than {MOST_NODES} nodes")
+        active = placed(data, row, attributes, growing)
+        sums = active.groupBy(*keys).agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
         for r in sums.collect():  # a row a node
-            counts_of[r["tree"], r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
-        if level == depth or not counts_of:
+            growing[r["tree"]].counts[r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
+        for t in growing:
+            t.open = [i for i in t.open if t.counts[i] is not None and not stops(t.counts[i], classes, fixed, dynamic)]
+        if level == depth or not any(t.open for t in growing):
             break
+        active = placed(data, row, attributes, growing)
+        if subsample:
+            active = sampling.node_sample(active.withColumn("_at", F.col("tree").cast("long") * (1 << 32) + F.col("node")), row, "_at", subsample, seed + level).drop("_at")
         parts = F.array(*[F.struct(F.lit(i).alias("attribute"), F.col(c).alias("value")) for i, c in enumerate(attributes)])
-        long = active.select("tree", "node", "label", "weight", F.explode(parts).alias("x")).select("tree", "node", "label", "weight", "x.*")
-        found = candidates(histogram(long, ["tree", "node"], classes, weight=F.col("weight")), ["tree", "node"], classes)
-        scored = best_cuts(found, ["tree", "node"], classes, criterion)
+        long = active.select(*keys, "label", "weight", F.explode(parts).alias("x")).select(*keys, "label", "weight", "x.*")
+        if masks:
+            allowed = rows.sparkSession.createDataFrame([(t, a) for t, own in masks.items() for a in own], "tree int, attribute int")
+            long = long.join(F.broadcast(allowed), ["tree", "attribute"])  # trees x attributes at most
+        hist = checkpoint(split.histogram(long, keys, classes, weight=F.col("weight")))
+        seeded = (F.col("tree") * 100003 + F.col("node")) * 101 + F.col("attribute")
+        found = []
+        if numbers:
+            own = hist.where(F.col("attribute").isin(numbers))
+            all_cuts = split.candidates(own, keys, classes, fixed, dynamic)
+            share = draw(seeded, seed + 1) / F.lit(float(MODULUS))
+            if cuts == "best":
+                found.append(split.best_cuts(all_cuts, keys, classes, criterion).select(*keys, "attribute", "threshold", "score"))
+            elif cuts == "extremely_random":
+                found.append(split.extremely_random_cuts(own, all_cuts, keys, classes, share))
+            else:
+                found.append(split.totally_random_cuts(all_cuts, keys, share, (draw(seeded, seed + 2) + 1) / F.lit(float(MODULUS))))
+        if codes:
+            own = hist.where(F.col("attribute").isin(codes))
+            used = [(t, i, a) for t, g in enumerate(growing) for i in g.open for a in g.used(i) if a in codes]
+            if used:
+                own = own.join(rows.sparkSession.createDataFrame(used, "tree int, node int, attribute int"), [*keys, "attribute"], "left_anti")
+            scores = split.discrete_splits(own, keys, classes, "gainratio" if cuts == "extremely_random" else criterion, fixed, dynamic)
+            if cuts == "totally_random":
+                scores = scores.withColumn("score", (draw(seeded, seed + 2) + 1) / F.lit(float(MODULUS)))
+            found.append(scores)
+        scored = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         if attributes_a_node:
-            order = Window.partitionBy("tree", "node").orderBy(draw((F.col("tree") * 100003 + F.col("node")) * 101 + F.col("attribute"), seed), "attribute")
-            scored = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= attributes_a_node).drop("_r")
-        chosen = best_attribute(scored, ["tree", "node"]).select("tree", "node", "attribute", "threshold").collect()
-        if not chosen:
-            break
-        for r in chosen:
-            cuts_of[r["tree"], r["node"]] = attributes[r["attribute"]], r["threshold"]
-        cuts = spark.createDataFrame([(r["tree"], r["node"], r["attribute"], r["threshold"]) for r in chosen], "tree int, node long, attribute int, threshold double")
-        value = F.array(*attributes)[F.col("attribute")]
-        active = active.join(F.broadcast(cuts), ["tree", "node"]).withColumn("node", F.col("node") * 2 + F.when(value < F.col("threshold"), 0).otherwise(1)).drop("attribute", "threshold")
-
-    def build(tree: int, node: int) -> Node:
-        counts = counts_of[tree, node]
-        leaf = Node(node, label=counts.index(max(counts)), counts=counts)
-        cut = cuts_of.get((tree, node))
-        kids = [(tree, 2 * node), (tree, 2 * node + 1)]
-        if cut is None or any(k not in counts_of for k in kids):
-            return leaf
-        both = tuple(build(*k) for k in kids)
-        if errors(both[0]) + errors(both[1]) >= sum(counts) - max(counts) or all(b.attribute is None and b.label == leaf.label for b in both):
-            return leaf
-        return Node(node, cut[0], cut[1], both, leaf.label, counts)
-
-    return [build(t, 1) for t in sorted({t for t, _ in counts_of})]
+            order = Window.partitionBy(*keys).orderBy(draw(seeded, seed), "attribute")  # an attribute a row
+            scored = scored.where("score is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= attributes_a_node).drop("_r")
+        chosen = split.best_attribute(scored, keys, zero_gain).select(*keys, "attribute", "threshold").collect()
+        for t in growing:
+            t.open = []
+        for r in sorted(chosen):
+            growing[r["tree"]].divide(r["node"], r["attribute"], r["threshold"], 2 if r["threshold"] is not None else discrete[attributes[r["attribute"]]])
+        level += 1
+    return [t.finished(attributes, classes, collapse) for t in growing]
+
+
+def least_rows(n: int, classes: int, fixed: int, dynamic: bool) -> int:
+    return min(25, max(fixed, int(n * 0.1 / classes))) if dynamic else fixed
+
+
+def stops(counts: tuple[int, ...], classes: int, fixed: int = 2, dynamic: bool = True) -> bool:
+    """Whether a node is pure or too small to have two branches of the least size."""
+    n = sum(counts)
+    return max(counts) == n or n < 2 * least_rows(n, classes, fixed, dynamic)
+
+
+def held(rows: DataFrame, row: str, attributes: list[str], bags: DataFrame | None, trees: int) -> DataFrame:
+    """row, label, attributes, weights (of each tree), written once; rows in no bag are left out."""
+    data = rows.where("label is not null").select(row, F.col("label").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in attributes])
+    if bags is None:
+        return table(data.withColumn("weights", F.array_repeat(F.lit(1), trees)), "growth")
+    each = bags.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col("tree").cast("int"), F.col("weight").cast("int")))).alias("_w"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("_w", t), F.lit(0)))
+    return table(data.join(each, row).withColumn("weights", weights).drop("_w"), "growth")
+
+
+class Growing:
+    """A tree under growth: of each node its parent, counts and split."""
+
+    def __init__(self) -> None:
+        self.parent: list[int | None] = []
+        self.counts: list[tuple[int, ...] | None] = []
+        self.split: list[tuple[int, float | None, int, int] | None] = []  # attribute, threshold, first child, children
+        self.open: list[int] = []
+
+    def add(self, parent: int | None) -> None:
+        self.open.append(len(self.parent))
+        self.parent.append(parent)
+        self.counts.append(None)
+        self.split.append(None)
+
+    def divide(self, node: int, attribute: int, threshold: float | None, children: int) -> None:
+        self.split[node] = attribute, threshold, len(self.parent), children
+        for _ in range(children):
+            self.add(node)
+
+    def used(self, node: int) -> set[int]:
+        out = set()
+        while (node := self.parent[node]) is not None:
+            out.add(self.split[node][0])
+        return out
+
+    def flat(self) -> Flat:
+        splits = [s or (-1, None, 0, 0) for s in self.split]
+        return Flat(np.array([s[0] for s in splits], np.int64), np.array([np.nan if s[1] is None else s[1] for s in splits]), np.array([s[2] for s in splits], np.int64), np.array([s[3] for s in splits], np.int64))
+
+    def finished(self, attributes: list[str], classes: int, collapse: bool) -> Node:
+        out: dict[int, Node] = {}
+        for i in reversed(range(len(self.parent))):  # children come after their parents
+            counts, seen = self.counts[i], True
+            up = i
+            while counts is None or not sum(counts):  # an empty branch
+                up, seen = self.parent[up], False
+                if up is None:
+                    counts = (0,) * classes
+                    break
+                counts = self.counts[up]
+            leaf = Node(i + 1, label=counts.index(max(counts)), counts=counts, seen=seen)
+            if self.split[i] is None:
+                out[i] = leaf
+                continue
+            attribute, threshold, first, n = self.split[i]
+            kids = tuple(out[first + k] for k in range(n))
+            alike = all(k.attribute is None and k.label == leaf.label for k in kids)
+            worse = collapse and sum(errors(k) for k in kids) >= sum(counts) - max(counts)
+            out[i] = leaf if alike or worse else Node(i + 1, attributes[attribute], threshold, kids, leaf.label, counts)
+        return out[0]
+
+
+def placed(data: DataFrame, row: str, attributes: list[str], growing: list[Growing]) -> DataFrame:
+    """tree, node, weight, row, label, attributes: the open node of each row in each tree whose bag has it."""
+    flats = data.sparkSession.sparkContext.broadcast([t.flat() for t in growing])
+    ready = data.sparkSession.sparkContext.broadcast([np.array(sorted(t.open), np.int64) for t in growing])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = matrix([batch.column(2 + i) for i in range(len(attributes))], batch.num_rows)
+            nodes = np.full((batch.num_rows, len(flats.value)), -1, np.int32)
+            for t, (flat, opened) in enumerate(zip(flats.value, ready.value, strict=True)):
+                if len(opened):
+                    at = flat.walk(values)
+                    nodes[:, t] = np.where(np.isin(at, opened), at, -1)
+            offsets = pa.array(np.arange(0, nodes.size + 1, max(1, nodes.shape[1]), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(nodes.reshape(-1)))], [*batch.schema.names, "nodes"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
+    found = data.select(row, "label", *attributes, "weights").mapInArrow(route, f"{kinds}, nodes array<int>")
+    found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "weights")).alias("tree", "x"))
+    return found.select("tree", F.col("x.nodes").alias("node"), F.col("x.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
 
 
 def errors(node: Node) -> int:
-    return sum(node.counts) - max(node.counts) if node.attribute is None else sum(errors(c) for c in node.children)
-
-
-def to_text(trees: list[Node]) -> str:
-    """Preorder text of the trees; thresholds keep full precision."""
-    out: list[str] = []
-
-    def walk(node: Node, indent: int) -> None:
-        if node.attribute is None:
-            out.append(f"{'  ' * indent}LEAF Class {node.label} Proportions {' '.join(map(str, node.counts))}")
-        else:
-            out.append(f"{'  ' * indent}SPLIT {node.attribute} < {node.threshold!r}")
-            for c in node.children:
-                walk(c, indent + 1)
-
-    for i, t in enumerate(trees):
-        out.append(f"Tree {i}")
-        walk(t, 0)
-    return "\n".join(out) + "\n"
-
-
-def from_text(text: str) -> list[Node]:
-    """The trees of to_text; a leaf without proportions has probability 1 for its class."""
-    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
-    at = 0
-
-    def read(node: int) -> Node:
-        nonlocal at
-        words = lines[at]
-        at += 1
-        if words[0] == "LEAF":
-            counts = tuple(int(x) for x in words[4:])
-            return Node(node, label=int(words[2]), counts=counts)
-        left = read(2 * node)
-        return Node(node, words[1], float(words[3]), (left, read(2 * node + 1)))
-
-    trees = []
-    while at < len(lines):
-        at += 1  # the tree's heading
-        trees.append(read(1))
-    return trees
-
-
-def to_dot(tree: Node) -> str:
+    """Training rows that a subtree gets wrong; an empty branch has none."""
+    if node.attribute is None:
+        return sum(node.counts) - max(node.counts) if node.seen and node.counts else 0
+    return sum(errors(c) for c in node.children)
+
+
+def to_dot(tree: Node, classes: list[str] | None = None) -> str:
     """A tree as a Graphviz digraph."""
     out = ["digraph tree {"]
 
     def walk(node: Node) -> None:
-        label = f"class {node.label}" if node.attribute is None else f"{node.attribute} < {node.threshold:g}"
+        name = str(node.label) if classes is None else classes[node.label]
+        label = f"class {name}" if node.attribute is None else node.attribute if node.threshold is None else f"{node.attribute} < {node.threshold:g}"
         out.append(f'  n{node.id} [label="{label}"];')
-        for c, edge in zip(node.children, ("yes", "no"), strict=False):
+        edges = ("yes", "no") if node.threshold is not None else [str(i) for i in range(len(node.children))]
+        for c, edge in zip(node.children, edges, strict=True):
             out.append(f'  n{node.id} -> n{c.id} [label="{edge}"];')
             walk(c)
 

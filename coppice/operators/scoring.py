@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +24,75 @@ class Node:
     children: tuple["Node", ...] = ()
     label: int = 0
     counts: tuple[int, ...] = field(default=())
+    seen: bool = True  # False: an empty branch, whose counts are its parent's
+
+
+#: Nodes of an ensemble that is scored as one expression; larger ones are scored from flat arrays.
+FEW_NODES = 2000
+
+
+@dataclass(frozen=True)
+class Flat:
+    """A tree as arrays: attribute (number, -1 at leaves), threshold (nan: discrete), first child, number of children."""
+
+    attribute: np.ndarray
+    threshold: np.ndarray
+    first: np.ndarray
+    children: np.ndarray
+
+    def walk(self, values: np.ndarray) -> np.ndarray:
+        """The node that each row of values ends at; nulls are nan."""
+        at = np.zeros(len(values), np.int64)
+        rows = np.arange(len(values)) if len(self.attribute) and self.attribute[0] >= 0 else np.zeros(0, np.int64)
+        while len(rows):
+            here = at[rows]
+            x, cut = values[rows, self.attribute[here]], self.threshold[here]
+            last = self.children[here] - 1
+            code = np.where((x >= 0) & (x < last), x, last).astype(np.int64)
+            at[rows] = self.first[here] + np.where(np.isnan(cut), code, np.where(x < cut, 0, 1))
+            rows = rows[self.attribute[at[rows]] >= 0]
+        return at
+
+
+def matrix(columns: list[pa.Array], rows: int) -> np.ndarray:
+    """Numeric columns as one array, nulls as nan."""
+    out = np.empty((rows, len(columns)))
+    for i, c in enumerate(columns):
+        out[:, i] = c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    return out
+
+
+def flatten(tree: Node, attributes: list[str]) -> tuple[Flat, list[Node]]:
+    """A tree as arrays, children of a node next to each other, and the nodes in that order."""
+    nodes, first = [tree], []
+    for node in nodes:  # grows meanwhile
+        first.append(len(nodes))
+        nodes.extend(node.children)
+    number = {a: i for i, a in enumerate(attributes)}
+    return Flat(np.array([-1 if n.attribute is None else number[n.attribute] for n in nodes], np.int64), np.array([np.nan if n.threshold is None else n.threshold for n in nodes], np.float64), np.array(first, np.int64), np.array([len(n.children) for n in nodes], np.int64)), nodes
+
+
+def used_attributes(trees: list[Node]) -> list[str]:
+    found: dict[str, None] = {}
+    todo = list(trees)
+    while todo:
+        node = todo.pop()
+        if node.attribute is not None:
+            found.setdefault(node.attribute)
+            todo.extend(node.children)
+    return sorted(found)
+
+
+def leaf_probabilities(node: Node, classes: int) -> list[float]:
+    """Laplace estimates of a leaf's counts; without counts, 1 for its class."""
+    n = sum(node.counts)
+    return [(c + 1) / (n + classes) for c in node.counts] if node.counts else [float(k == node.label) for k in range(classes)]
 
 
 def walk(node: Node, classes: int) -> Column:
     """struct(leaf, label, probs): one generated expression for the whole tree, no join and no Python."""
     if node.attribute is None:
-        n = sum(node.counts)
-        probs = [(c + 1) / (n + classes) for c in node.counts] if node.counts else [float(k == node.label) for k in range(classes)]
+        probs = leaf_probabilities(node, classes)
         return F.struct(F.lit(node.id).alias("leaf"), F.lit(node.label).alias("label"), F.array(*[F.lit(p) for p in probs]).alias("probs"))
     if node.threshold is not None:
         return F.when(F.col(node.attribute) < node.threshold, walk(node.children[0], classes)).otherwise(walk(node.children[1], classes))
@@ -38,11 +103,41 @@ def walk(node: Node, classes: int) -> Column:
 
 
 def votes(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
-    """keep, tree, leaf, pred, probs: one row for each row and tree."""
+    """keep, tree, leaf, pred, probs: one row for each row and tree.
+
+    Ensembles of more than FEW_NODES nodes, for which an expression would leave code generation, are walked as arrays."""
+    if sum(node_count(t) for t in trees) > FEW_NODES:
+        return walked(rows, keep, trees, classes)
     each = F.array(*[F.struct(F.lit(t).alias("tree"), walk(tree, classes).alias("at")) for t, tree in enumerate(trees)])
     return rows.select(*keep, F.explode(each).alias("v")).select(*keep, "v.tree", F.col("v.at.leaf").alias("leaf"), F.col("v.at.label").alias("pred"), F.col("v.at.probs").alias("probs"))
 
 
+def node_count(node: Node) -> int:
+    return 1 + sum(node_count(c) for c in node.children)
+
+
+def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
+    """The same as votes from flat arrays that are sent to the tasks."""
+    attributes = used_attributes(trees)
+    model = []
+    for tree in trees:
+        flat, nodes = flatten(tree, attributes)
+        model.append((flat, np.array([n.id for n in nodes]), np.array([n.label for n in nodes], np.int32), np.array([leaf_probabilities(n, classes) for n in nodes])))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values = matrix(batch.columns[len(keep) :], n)
+            for t, (flat, ids, labels, probs) in enumerate(sent.value):
+                at = flat.walk(values)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * classes + 1, classes, dtype=np.int32)), pa.array(probs[at].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.full(n, t, np.int32)), pa.array(ids[at].astype(np.int32)), pa.array(labels[at]), listed], [*keep, "tree", "leaf", "pred", "probs"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.select(*keep, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(attributes)]).mapInArrow(vote, f"{kinds}tree int, leaf int, pred int, probs array<double>")
+
+
 def tally(v: DataFrame, keep: list[str], classes: int, weight: Column | None = None) -> DataFrame:
     """keep, v0.. (votes), p0.. (mean leaf probabilities); weighted for boosted ensembles."""
     w = F.lit(1.0) if weight is None else weight
@@ -58,6 +153,17 @@ def winner(columns: list[Column], key: Column | None = None, seed: int = 1) -> C
     return F.element_at(tied, (draw(key, seed) % F.size(tied) + 1).cast("int")).cast("int")
 
 
+def boosted_probabilities(v: DataFrame, keep: list[str], betas: list[float], classes: int) -> DataFrame:
+    """keep, p0..: the trees' probabilities weighted by their betas over all betas."""
+    weight = F.element_at(F.array(*[F.lit(float(b)) for b in betas]), F.col("tree") + 1)
+    return v.groupBy(*keep).agg(*[(F.sum(weight * F.col("probs")[k]) / F.sum(weight)).alias(f"p{k}") for k in range(classes)])
+
+
+def vote_share(columns: list[Column]) -> list[Column]:
+    """Unweighted probabilities: each class's share of the votes."""
+    return [F.try_divide(c, sum(columns[1:], columns[0])) for c in columns]
+
+
 def margin(columns: list[Column]) -> Column:
     down = F.sort_array(F.array(*columns), asc=False)
     return down[0] - down[1]
@@ -99,6 +205,17 @@ def oob_curve(v: DataFrame, in_bag: DataFrame, classes: int, row: str = "row_id"
     return counted.groupBy("tree").agg(F.count("*").alias("oob_rows"), (F.count_if(wrong) / F.count("*")).alias("error"))
 
 
+def oob_trace(curve: DataFrame, slide: int = 5, build: int = 20) -> DataFrame:
+    """tree, raw, mean, smooth, block_top, top of an out-of-bag curve (tree from 0, error; a row a tree): the accuracy, its
+    mean so far, its mean over the last slide trees, that mean's largest value within the block of build trees so far, and so far in all."""
+    order = Window.orderBy("tree")  # a row a tree
+    rows = curve.select("tree", (1 - F.col("error")).alias("raw"), F.floor(F.col("tree") / build).alias("_block"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("mean", F.avg("raw").over(upto)).withColumn("smooth", F.avg("raw").over(order.rowsBetween(1 - slide, 0)))
+    within = Window.partitionBy("_block").orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("tree", "raw", "mean", "smooth", F.max("smooth").over(within).alias("block_top"), F.max("smooth").over(upto).alias("top"))
+
+
 def stopping_point(curve: DataFrame, slide: int = 5, build: int = 20) -> DataFrame:
     """stop_tree, accuracy: the best raw accuracy in the block before the first block whose best sliding mean does not
     rise. curve: tree (from 0), error; a row a tree."""

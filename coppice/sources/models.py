@@ -1,7 +1,11 @@
-"""Sinks and sources of results: trees as a table, predictions, region files."""
+"""Sinks and sources of results: trees as a table and as text, predictions, proximities, region files."""
 
 from __future__ import annotations
 
+import itertools
+import re
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,125 @@ def trees_of(nodes: DataFrame) -> list[Node]:
     return [build(rs[0]) for (t, parent), rs in sorted(by.items(), key=lambda x: x[0][0]) if parent is None]
 
 
+@dataclass(frozen=True)
+class Ensemble:
+    """Trees with what their text carries besides: a number for each class and attribute, the values that replace missing
+    ones, and the weights of boosted trees."""
+
+    trees: tuple[Node, ...]
+    classes: int
+    attributes: tuple[str, ...]
+    discrete: dict[str, int] = field(default_factory=dict)
+    imputed: tuple[str, ...] = ()
+    betas: tuple[float, ...] = ()
+
+
+def concatenated(ensembles: list[Ensemble]) -> Ensemble:
+    """All trees as one ensemble; what else it carries is the first one's."""
+    first = ensembles[0]
+    if any((e.classes, e.attributes) != (first.classes, first.attributes) for e in ensembles):
+        raise ValueError("ensembles of different classes or attributes")
+    return replace(first, trees=tuple(t for e in ensembles for t in e.trees), betas=tuple(b for e in ensembles for b in e.betas))
+
+
+def ensemble_text(e: Ensemble, class_counts: list[int] | None = None) -> str:
+    """An ensemble as text: a header, then each tree in preorder, a line for each branch and leaf.
+
+    Thresholds have six digits, as the format wants; the node table keeps all. A leaf without counts names its class alone."""
+    number = {a: i for i, a in enumerate(e.attributes)}
+    kinds = ["DISCRETE" if a in e.discrete else "CONTINUOUS" for a in e.attributes]
+    out = [f"NumTrainingExamples  {sum(class_counts or [])}", f"NumClasses           {e.classes}", f"NumExamplesPerClass: {' '.join(map(str, class_counts or [0] * e.classes))} ", f"NumAttributes        {len(e.attributes)}", "NumSkippedAttributes 0", f"NumTrees             {len(e.trees)}", f"AttributeTypes: {' '.join(kinds)} ", f"SkipAttributes: {' '.join(['NOSKIP'] * len(kinds))} "]
+    if e.imputed:
+        out.append(f"MissingAttributeValues: {','.join(e.imputed)}")
+
+    def visit(node: Node) -> None:
+        if node.attribute is None:
+            out.append(f"LEAF Class {node.label} Proportions {' '.join(map(str, node.counts))}" if node.counts else f"LEAF {node.label}")
+            return
+        at = f"ATT# {number[node.attribute]}"
+        for i, c in enumerate(node.children):
+            out.append(f"SPLIT DISCRETE {at} VAL# {i + 1} / {len(node.children)}" if node.threshold is None else f"SPLIT CONTINUOUS {at} {'<' if i == 0 else '>='} {node.threshold:#6g}")
+            visit(c)
+
+    for i, t in enumerate(e.trees):
+        out.append(f"Tree {i + 1}")
+        if e.betas:
+            out.append(f"Beta {e.betas[i]!r}")
+        visit(t)
+    return "\n".join(out) + "\n"
+
+
+def ensemble_of(text: str, attributes: list[str] | None = None) -> Ensemble:
+    """The ensemble of such a text, leaves of either style (with counts, or a class alone: probability 1).
+
+    attributes: names by number, else Atr1... A text that ends within a tree, or a line that fits nowhere, raises."""
+    lines = [x.strip() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    begin = next((i for i, x in enumerate(lines) if re.match(r"Tree \d+$", x)), len(lines))
+    head = dict(re.match(r"(\w+):?\s*(.*)", x).groups() for x in lines[:begin])
+    kinds = head.get("AttributeTypes", "").split()
+    names = attributes or [f"Atr{i + 1}" for i in range(len(kinds))]
+    discrete: dict[str, int] = {}
+    trees: list[Node] = []
+    betas: list[float] = []
+    at = begin
+
+    def read(ids: itertools.count) -> Node:
+        nonlocal at
+        if at >= len(lines):
+            raise ValueError("the text ends within a tree")
+        line, node = lines[at], next(ids)
+        if m := re.match(r"LEAF Class (\d+) Proportions ([\d ]+)$", line):
+            at += 1
+            return Node(node, label=int(m[1]), counts=tuple(int(x) for x in m[2].split()))
+        if m := re.match(r"LEAF (\d+)$", line):
+            at += 1
+            return Node(node, label=int(m[1]))
+        kids: list[Node] = []
+        if m := re.match(r"SPLIT CONTINUOUS ATT# (\d+) < (\S+)$", line):
+            for sign in ("<", ">="):
+                if at >= len(lines) or not lines[at].startswith(f"SPLIT CONTINUOUS ATT# {m[1]} {sign} "):
+                    raise ValueError(f"a branch of attribute {m[1]} is missing")
+                at += 1
+                kids.append(read(ids))
+            return Node(node, names[int(m[1])], float(m[2]), tuple(kids))
+        if m := re.match(r"SPLIT DISCRETE ATT# (\d+) VAL# 1 / (\d+)$", line):
+            for i in range(int(m[2])):
+                if at >= len(lines) or lines[at] != f"SPLIT DISCRETE ATT# {m[1]} VAL# {i + 1} / {m[2]}":
+                    raise ValueError(f"a branch of attribute {m[1]} is missing")
+                at += 1
+                kids.append(read(ids))
+            discrete[names[int(m[1])]] = int(m[2])
+            return Node(node, names[int(m[1])], None, tuple(kids))
+        raise ValueError(f"not a line of a tree: {line!r}")
+
+    while at < len(lines):
+        if not re.match(r"Tree \d+$", lines[at]):
+            raise ValueError(f"not the beginning of a tree: {lines[at]!r}")
+        at += 1
+        if at < len(lines) and (m := re.match(r"Beta (\S+)$", lines[at])):
+            betas.append(float(m[1]))
+            at += 1
+        trees.append(read(itertools.count(1)))
+    if "NumTrees" in head and int(head["NumTrees"]) != len(trees):
+        raise ValueError(f"{head['NumTrees']} trees are announced, {len(trees)} found")
+    imputed = tuple(head["MissingAttributeValues"].split(",")) if head.get("MissingAttributeValues") else ()
+    return Ensemble(tuple(trees), int(head.get("NumClasses", 0)), tuple(names), discrete, imputed, tuple(betas))
+
+
+def write_proximity(prox: DataFrame, path: str) -> None:
+    """A proximity table (row, col, value) as comma-separated files, without a header."""
+    prox.select("row", "col", "value").write.csv(path)
+
+
+def read_proximity(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row long, col long, value double").csv(path)
+
+
+def write_predictions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Predictions as Parquet in a folder for each iteration and fold, or each timestep, as by says: what names of files would tell."""
+    rows.write.partitionBy(*by).parquet(path)
+
+
 def invalid(nodes: DataFrame, classes: int) -> DataFrame:
     """Nodes that break a tree: a missing parent, a branch without children, a leaf's class out of bounds."""
     up = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("_up"))
@@ -56,10 +179,6 @@ def predictions(tally: DataFrame, classes: list[str], weighted: bool = True) ->
     return tally.select(*rest, F.element_at(names, scoring.winner(share) + 1).alias("Pred"), scoring.margin(share).alias("Margin"), *[p.alias(f"Pr_{c}") for p, c in zip(share, classes, strict=True)])
 
 
-#: The keywords of a region file, one a line.
-REGION = ("timestep", "region_number", "region_label", "mesh_number", "region_members")
-
-
 def read_regions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """timestep, region, label, mesh, members of region files. A file is read whole by one task: its lines are a
     sequence; many files are many tasks."""

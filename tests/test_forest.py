@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coppice import queries as Q
 from coppice.functions import scalars as S
 from coppice.operators import grow, sampling, scoring, split
+from coppice.sources import models
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,8 +65,8 @@ def test_grown_tree_separates_and_round_trips(spark):
     trees = grow.grow(rows, "id", ["a", "b"], 2, depth=4)
     v = scoring.votes(rows, ["id", "label"], trees, 2)
     assert v.where("pred != label").count() == 0
-    again = grow.from_text(grow.to_text(trees))
-    assert scoring.votes(rows, ["id", "label"], again, 2).where("pred != label").count() == 0
+    again = models.ensemble_of(models.ensemble_text(models.Ensemble(tuple(trees), 2, ("a", "b"))), ["a", "b"])
+    assert scoring.votes(rows, ["id", "label"], list(again.trees), 2).where("pred != label").count() == 0
     assert "digraph" in grow.to_dot(trees[0])
 
 
