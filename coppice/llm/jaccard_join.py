@@ -9,8 +9,9 @@ it before a pair is verified exactly on the whole sets.
 What is wanted is components, so not all pairs of a group are made: equal sets are one node; each shared token first
 compares its nodes with one hub; only nodes of a token that then still lie in different components are paired, all of
 them, with a join on (token, set size) in which both position bounds are part of the condition. No cap drops any pair.
-Before any set is fetched, parity sketches bound the two sets' difference from below and drop most pairs. Links are
-counted by blocks of a component's sets, without a row for each pair.
+Pairs are dropped here by parity sketches, which bound two sets' difference from below. So all links lie within the
+components of the pairs that remain; their sets are fetched, and in blocks of them the other two orders' prefixes are
+intersected and what then remains is verified. A block gives each set its number of links and a spanning link.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.components import components
-from coppice.llm.rows import apart, mark, same
+from coppice.llm.rows import apart, mark
 from coppice.llm.words import shingles
 from coppice.plans.materialize import checkpoint, table
 
@@ -37,8 +38,8 @@ PARITY = 8
 SKETCHED = [f"s{i}" for i in range(PARITY)]
 #: Bits of the filter that says which documents' sets are needed, so that few texts are read whole: 1 / 64 rows at most.
 FILTER_BITS = 1 << 24
-#: Tokens, and sets, of a block of which links are counted at once, about: two blocks are a task's memory.
-BLOCK, BLOCK_SETS = 1 << 19, 1 << 12
+#: Tokens, and sets, of a block that is verified at once, about (two blocks are a task's memory), and sets of small components that share one.
+BLOCK, BLOCK_SETS, SHARED = 1 << 19, 1 << 12, 64
 
 
 def sketch_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -75,10 +76,6 @@ def sketch_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return scale.reshape(-1)
 
 
-def prefix_length(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / F.lit(100)) + 1
-
-
 def parity(tokens: np.ndarray) -> np.ndarray:
     """Of each of 64 * PARITY classes of tokens, whether it has an odd number of them. Two sets differ in at least as many tokens as their sketches in bits."""
     odd = np.bincount((tokens >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
@@ -136,20 +133,6 @@ def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under the other two orders and are similar."""
-
-    def ends(x: str) -> tuple[Column, Column]:
-        ordered, n = F.array_sort(x), F.size(x)
-        most = prefix_length(n, percent).cast("int")
-        return F.slice(ordered, 1, most), F.slice(ordered, n - most + 1, most)
-
-    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("tokens").alias("a_all")), "a").join(sets.select(F.col("nid").alias("b"), F.col("tokens").alias("b_all")), "b")
-    for mine, theirs in zip(ends("a_all"), ends("b_all"), strict=True):
-        both = both.where(F.arrays_overlap(mine, theirs))
-    return both.where(at_least(F.size(F.array_intersect("a_all", "b_all")), F.size("a_all") + F.size("b_all"), percent)).select("a", "b")
-
-
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of docs(doc_id, text) whose id is in wanted(doc_id), and a few more: by a bitmap of hashes, broadcast as
     FILTER_BITS / 64 rows at most, so that other texts are neither sent to Python nor shuffled."""
@@ -170,60 +153,83 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Dat
 
     # A repeated id can bring another row's tokens: the set's identity has to be the node's. Repeated rows bring one node's repeatedly.
     sets = only(docs, named.select("doc_id")).mapInArrow(whole, "doc_id long, sid binary, tokens array<long>").join(named, ["doc_id", "sid"])
-    return table(sets.select("nid", "tokens").dropDuplicates(["nid"]), "jaccard-sets")
-
-
-def counted(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """nid, links: how many other sets of its component a set is linked with.
-
-    A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS sets at most; each pair of blocks is one group, whose links a task
-    counts by products of the sets' shared tokens. A set is sent as often as its component has blocks, once for most.
+    first = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.lit(0)))  # dealt as the join is
+    return sets.withColumn("place", first).where("place = 1").select("nid", "tokens")
+
+
+def overlaps(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """How many tokens each row of left shares with each row of right, of (row, token) cells: products of 0/1 matrices."""
+    _, token, times = np.unique(token, return_inverse=True, return_counts=True)
+    keep = times[token] > 1  # tokens of one set only are in no intersection
+    shared, token = np.unique(token[keep], return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = row[keep][order], token[order]
+    out = np.zeros((len(left), len(right)), np.int32)
+    mine, theirs = np.full(rows, -1), np.full(rows, -1)
+    mine[left], theirs[right] = np.arange(len(left)), np.arange(len(right))
+    wide = max(1, (1 << 23) // max(1, len(left) + len(right)))  # columns at once: 32 MB
+    for a in range(0, len(shared), wide):
+        lo, hi = np.searchsorted(token, [a, a + wide])
+        r, t = row[lo:hi], token[lo:hi] - a
+        n = min(wide, len(shared) - a)
+        x, y = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        x[mine[r[mine[r] >= 0]], t[mine[r] >= 0]] = 1
+        y[theirs[r[theirs[r] >= 0]], t[theirs[r] >= 0]] = 1
+        out += (x @ y.T).astype(np.int32)
+    return out
+
+
+def verified(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nid, links, root: of each set and pair of blocks that it is in, how many others it is linked with there, and the least
+    set that it is joined to by these links.
+
+    label: node, component; sets: nid, tokens. A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS
+    sets, and each pair of blocks is one group: no row is made for a pair. Small components share groups of about SHARED
+    sets. A set is sent as often as its component has blocks, once for most.
     """
     found = label.withColumnRenamed("node", "nid").join(sets, "nid")
+    found = table(found, "jaccard-sets")
     sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.sum(F.size("tokens")) / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
-    found = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    two = found.where("m = 2").select("nid", F.lit(1).cast("long").alias("links"))
-    dealt = found.where("m > 2").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
-
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
+    sizes = checkpoint(sizes)
+    small = sizes.where(F.col("m") <= SHARED).agg(F.sum("m")).first()[0] or 0
+    group = F.when(F.col("m") <= SHARED, -1 - F.pmod(F.xxhash64("component"), F.lit(1 + small // SHARED))).otherwise(F.col("component"))
+    found = found.join(sizes, "component").withColumn("group", group).withColumn("own", F.when(F.col("m") <= SHARED, 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("blocks"))).cast("int"))
+    found = found.withColumn("other", F.explode(F.when(F.col("m") <= SHARED, F.array(F.lit(0))).otherwise(F.expr("sequence(0, blocks - 1)"))))
+    dealt = found.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
+
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
         rows = rows.combine_chunks()
         own, nid, tokens = rows["own"].to_numpy(), rows["nid"].to_numpy(), rows["tokens"].combine_chunks()
-        n = tokens.value_lengths().to_numpy().astype(np.int64)
-        _, token, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        n, flat = tokens.value_lengths().to_numpy().astype(np.int64), tokens.flatten().to_numpy()
         row = np.repeat(np.arange(len(n)), n)
-        keep = times[token] > 1  # tokens of one set only are in no intersection
-        shared, token = np.unique(token[keep], return_inverse=True)
-        row = row[keep]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        overlap = np.zeros((len(left), len(right)), np.int32)
-        at = np.empty(len(n), np.int64)
-        at[left] = np.arange(len(left))
-        there = np.empty(len(n), np.int64)
-        there[right] = np.arange(len(right))
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        wide = max(1, (1 << 23) // max(1, len(n)))  # columns at once: 32 MB a side
-        for a in range(0, len(shared), wide):
-            lo, hi = np.searchsorted(token, [a, a + wide])
-            x, y = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
-            r, t = row[lo:hi], token[lo:hi] - a
-            mine, theirs = own[r] == i, own[r] == j
-            x[at[r[mine]], t[mine]] = 1
-            y[there[r[theirs]], t[theirs]] = 1
-            overlap += (x @ y.T).astype(np.int32)
-        linked = overlap * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
-        links = np.zeros(len(n), np.int64)
+        # tokens are sorted as unsigned numbers: a set's first ones are its prefix in ascending, its last ones in descending order
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        prefix = (n + (-n * percent) // 100 + 1)[row]
+        may = np.ones((len(left), len(right)), bool)
+        for head in (at < prefix, at >= n[row] - prefix):
+            may &= overlaps(row[head], flat[head], left, right, len(n)) > 0
+        linked = np.zeros_like(may)
+        if may.any():
+            overlap = overlaps(row, flat, left, right, len(n))
+            linked = may & (overlap * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        links, root = np.zeros(len(n), np.int64), nid.copy()
         links[left] += linked.sum(axis=1)
         if i != j:
             links[right] += linked.sum(axis=0)
-        else:
-            links -= 1  # a set and itself
-        return pa.table({"nid": nid, "links": links})
+        top = np.iinfo(np.int64).max
+        while linked.any():
+            before = root.copy()
+            root[left] = np.minimum(root[left], np.where(linked, root[right][None, :], top).min(axis=1))
+            root[right] = np.minimum(root[right], np.where(linked, root[left][:, None], top).min(axis=0))
+            if (root == before).all():
+                break
+        return pa.table({"nid": nid, "links": links, "root": root})
 
-    blocks = dealt.groupBy("component", "i", "j").applyInArrow(count, "nid long, links long")
-    return two.union(blocks.groupBy("nid").agg(F.sum("links").alias("links")))
+    return checkpoint(dealt.groupBy("group", "i", "j").applyInArrow(verify, "nid long, links long, root long"))
 
 
 def candidates(split: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +245,7 @@ def candidates(split: DataFrame, percent: int) -> DataFrame:
     return rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
 
 
-def marked_components(docs: DataFrame, k: int, percent: int, count_links: bool) -> DataFrame:
+def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, links for each row of docs(doc_id, mark, text)."""
     scale = sketch_counts(docs, "text", k)
     signed = table(signatures(docs, k, percent, scale), "jaccard-signed")
@@ -256,42 +262,35 @@ def marked_components(docs: DataFrame, k: int, percent: int, count_links: bool)
     pairs = pairs.select(F.least("x.nid", "h.nid").alias("a"), F.greatest("x.nid", "h.nid").alias("b")).distinct()
     pairs = checkpoint(close(pairs, nodes, percent))
 
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    sets = sets_of(docs, nodes, ends(pairs), k)
-    links = checkpoint(verified(pairs, sets, percent))
-    label = components(links, "a", "b")
+    label = components(pairs, "a", "b")
     split = at.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     split = split.select("token", "nid", "n", "pos", "c")
     open_tokens = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    rest = close(candidates(checkpoint(split.join(open_tokens, "token")), percent), nodes, percent)
-    rest = checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
-    sets = sets.union(sets_of(docs, nodes, ends(rest).join(ends(pairs), "nid", "left_anti"), k))
-    links = checkpoint(links.union(verified(rest, sets, percent)))
-    label = components(links, "a", "b")
+    rest = checkpoint(close(candidates(checkpoint(split.join(open_tokens, "token")), percent), nodes, percent))
+    label = checkpoint(components(pairs.union(rest), "a", "b"))
+    found = verified(label, sets_of(docs, nodes, label.select(F.col("node").alias("nid")), k), percent)
+    label = components(found.where("root != nid"), "nid", "root")
+    degree = found.groupBy("nid").agg(F.sum("links").alias("links"))
 
     named = nodes.select("nid", "sid", "doc_id").join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "c")
-    if count_links:
-        named = named.join(counted(label, sets, percent), "nid", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-    else:
-        named = named.withColumn("links", F.lit(None).cast("long"))
+    named = named.join(least, "c").join(degree, "nid", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(named.select("sid", "component_id", "links"), "sid", "left")
     alone = F.col("sid").isNull()
-    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone & F.lit(count_links), F.lit(0)).otherwise(F.col("links")).alias("links"))
+    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, links for each row of docs, linked where 100 |A n B| >= percent |A u B|.
 
     A document's set is its distinct k-word shingles; fewer words make one shingle; no words (or a null text) make the
     empty set, which links with nothing: its component is its own doc_id. component_id is the smallest doc_id of the
     component; equal sets are linked. Rows with a null doc_id are linked with rows of an equal set only; a component
     without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored. links: how many
-    different sets are linked with the row's set; null without count_links, as components need fewer comparisons.
+    different sets are linked with the row's set.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text"))
-    return marked_components(docs, k, percent, count_links).drop("mark")
+    return marked_components(docs, k, percent).drop("mark")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,9 +301,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     id_, mark_, first, n = apart(docs, "id", "mark", "first", "n")
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
-    found = marked_components(keyed.select(F.col(id_).alias("doc_id"), F.col(mark_).alias("mark"), "text"), k, percent, False)
+    found = marked_components(keyed.select(F.col(id_).alias("doc_id"), F.col(mark_).alias("mark"), "text"), k, percent)
     stay = found.where("doc_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.mark").alias(n))
-    both = keyed.join(stay, same([(F.col(id_), F.col(first)), (F.col(mark_), F.col(n))]), "left")
-    both = both.withColumn(n, F.row_number().over(Window.partitionBy(id_, mark_).orderBy(first)))
-    always = F.col(id_).isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return both.where(always | F.col(first).isNotNull() & (F.col(n) == 1)).select(*docs.columns)
+    # keys without nulls, so that the join's dealing serves the numbering of equal rows too: texts are shuffled once
+    known = keyed.where(F.col(id_).isNotNull()).withColumn(mark_, F.coalesce(mark_, F.lit(0).cast("long")))
+    stay = stay.select(F.col(first).alias(id_), F.coalesce(n, F.lit(0).cast("long")).alias(mark_), F.lit(True).alias(first))
+    both = known.join(stay, [id_, mark_], "left").withColumn(n, F.row_number().over(Window.partitionBy(id_, mark_).orderBy(F.lit(0))))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    both = both.where(wordless | F.col(first).isNotNull() & (F.col(n) == 1))
+    return both.select(*docs.columns).unionByName(keyed.where(F.col(id_).isNull()).select(*docs.columns))

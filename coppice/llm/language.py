@@ -74,7 +74,8 @@ def fit(labelled: DataFrame, text: str, language: str) -> tuple[list[str], np.nd
     last = near.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
     sample = near.where(F.col("h") <= (0 if last is None else last)).groupBy("h", "language").agg(F.first("text").alias("text")).select("text", "language")
     counts: dict[str, np.ndarray] = {}
-    for row in sample.mapInArrow(count, "language string, counts binary").collect():  # a row a language
+    # few tasks, however the sample was dealt: each sends 512 KB a language to the driver
+    for row in sample.coalesce(8).mapInArrow(count, "language string, counts binary").collect():
         counts[row[0]] = counts.get(row[0], 0) + np.frombuffer(row[1], np.int64)
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
