@@ -73,21 +73,47 @@ def proximity(patterns: DataFrame, trees: int) -> DataFrame:
     return near.join(n.select(F.col("pattern").alias("i"), F.col("n").alias("n_i")), "i").join(n.select(F.col("pattern").alias("j"), F.col("n").alias("n_j")), "j").select("i", "j", "prox", "n_i", "n_j")
 
 
-def outliers(v: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
-    """row, label, raw, score: one over the sum of squared proximities to the class's other rows (null without any),
-    less the class's lower median, over its median absolute deviation (lower)."""
+def raw_outliers(v: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
+    """row, label, pattern, raw: one over the sum of squared proximities to the class's other rows; null without any."""
     rows = row_patterns(v, trees, ("label",), row)
     n = rows.groupBy("pattern", "label").agg(F.count("*").alias("n"))
     near = shares(n, n, trees)
     mine = n.select(F.col("pattern").alias("i"), "label")
     others = n.select(F.col("pattern").alias("j"), "label", "n")
     raw = near.join(mine, "i").join(others, ["j", "label"]).groupBy(F.col("i").alias("pattern"), "label").agg(F.sum(F.col("n") * F.col("prox") * F.col("prox")).alias("s"))
-    raw = raw.select("pattern", "label", F.try_divide(F.lit(1.0), F.col("s") - 1).alias("raw"))
-    rows = rows.join(raw, ["pattern", "label"])
+    return rows.join(raw.select("pattern", "label", F.try_divide(F.lit(1.0), F.col("s") - 1).alias("raw")), ["pattern", "label"])
+
+
+def class_deviations(raw: DataFrame, deviation: str = "absolute") -> DataFrame:
+    """label, mid, dev of the raw scores: the lower median, and the (lower) median absolute deviation from it or the standard deviation."""
     lower = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
-    off = rows.join(rows.groupBy("label").agg(lower("raw").alias("mid")), "label").withColumn("off", F.abs(F.col("raw") - F.col("mid")))
-    mad = off.groupBy("label").agg(lower("off").alias("mad"))
-    return off.join(mad, "label").select(row, "label", "raw", F.try_divide(F.col("raw") - F.col("mid"), F.col("mad")).alias("score"))
+    mid = raw.groupBy("label").agg(lower("raw").alias("mid"), F.stddev_samp("raw").alias("dev"))
+    if deviation == "standard":
+        return mid
+    off = raw.join(mid.drop("dev"), "label").withColumn("off", F.abs(F.col("raw") - F.col("mid")))
+    return mid.drop("dev").join(off.groupBy("label").agg(lower("off").alias("dev")), "label")
+
+
+def outliers(v: DataFrame, trees: int, row: str = "row_id", deviation: str = "absolute") -> DataFrame:
+    """row, label, raw, score: the raw score (see raw_outliers) less its class's median, over its class's deviation."""
+    raw = raw_outliers(v, trees, row)
+    both = raw.join(class_deviations(raw, deviation), "label")  # a row a class
+    return both.select(row, "label", "raw", F.try_divide(F.col("raw") - F.col("mid"), F.col("dev")).alias("score"))
+
+
+def landmarks(v: DataFrame, trees: int, row: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Of reference rows (votes with labels): pattern, label, n of their leaves, and label, mid, dev of their raw scores."""
+    raw = raw_outliers(v, trees, row)
+    return raw.groupBy("pattern", "label").agg(F.count("*").alias("n")), class_deviations(raw)
+
+
+def by_proximity(v: DataFrame, probe: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
+    """row, prox to the one probe row (votes of it alone), nearest first: the probe itself, then by proximity, then row; rows that share no leaf with it have -1 and come last."""
+    here = F.broadcast(probe.select("tree", "leaf", F.col(row).alias("_probe")))  # a row a tree
+    shared = v.join(here, ["tree", "leaf"]).groupBy(row, "_probe").agg((F.count("*") / F.lit(float(trees))).alias("prox"))
+    rows = v.select(row).distinct().join(shared, row, "left")
+    first = F.coalesce(F.col(row) == F.col("_probe"), F.lit(False))
+    return rows.withColumn("prox", F.coalesce("prox", F.lit(-1.0))).orderBy(first.desc(), F.desc("prox"), row).select(row, "prox")
 
 
 def nearest(prox: DataFrame, k: int) -> DataFrame:
@@ -97,11 +123,15 @@ def nearest(prox: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def remoteness(points: DataFrame, landmarks: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
-    """row, remoteness: least over the landmarks' classes of one over the sum of squared proximities to them; rows
-    that share no leaf with a landmark have none. Both: votes."""
+def remoteness(points: DataFrame, marks: DataFrame, stats: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
+    """row, remoteness: for each class of the landmarks one over the sum of squared proximities to them, less the class's
+    median, over its deviation; of these the least, 0 at least.
+
+    Classes without deviation say nothing. A row that shares no leaf with a landmark of any such class is infinitely
+    remote. points: votes; marks, stats: see landmarks."""
     rows = row_patterns(points, trees, (), row)
-    marks = leaf_patterns(landmarks, trees, ("label",), row)
     near = shares(rows, marks, trees).join(marks.withColumnRenamed("pattern", "j"), "j")
     raw = near.groupBy(F.col("i").alias("pattern"), "label").agg((1 / F.sum(F.col("n") * F.col("prox") * F.col("prox"))).alias("raw"))
-    return rows.join(raw.groupBy("pattern").agg(F.min("raw").alias("remoteness")), "pattern").select(row, "remoteness")
+    scored = raw.join(stats, "label").select("pattern", F.try_divide(F.col("raw") - F.col("mid"), F.col("dev")).alias("score"))  # stats: a row a class
+    least = scored.groupBy("pattern").agg(F.min("score").alias("least"))
+    return rows.join(least, "pattern", "left").select(row, F.greatest(F.coalesce("least", F.lit(float("inf"))), F.lit(0.0)).alias("remoteness"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.operators.prefix import running
+
 
 def confusion(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(keys or []), "pred", "label").agg(F.count("*").alias("n"))
@@ -31,20 +33,59 @@ def nce(p: list[Column], label: Column) -> Column:
     return -F.log2(F.greatest(mine, F.lit(1e-6)))
 
 
+def measures(rows: DataFrame, classes: int) -> DataFrame:
+    """scope, class, n, accuracy, precision, f_measure, brier, nce of rows(label, pred, p0..): of each class (accuracy: of
+    its rows, its recall), overall (all rows) and the mean of the classes that have rows."""
+    p = [F.col(f"p{k}") for k in range(classes)]
+    scores = rows.groupBy(F.col("label").alias("class")).agg(F.sum(brier(p, F.col("label"))).alias("b"), F.sum(nce(p, F.col("label"))).alias("e"), F.count_if(F.col("pred") == F.col("label")).alias("hits"))
+    each = class_table(rows, classes).join(scores, "class", "left")  # a row a class
+    one = each.select(F.lit("class").alias("scope"), F.col("class").cast("int"), "n", F.col("recall").alias("accuracy"), "precision", "f_measure", F.try_divide("b", "n").alias("brier"), F.try_divide("e", "n").alias("nce"))
+    sums = each.agg(F.sum("n").alias("n"), F.try_divide(F.sum("hits"), F.sum("n")).alias("accuracy"), F.try_divide(F.sum("b"), F.sum("n")).alias("brier"), F.try_divide(F.sum("e"), F.sum("n")).alias("nce"))
+    whole = sums.select(F.lit("overall").alias("scope"), F.lit(None).cast("int").alias("class"), "n", "accuracy", F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("f_measure"), "brier", "nce")
+    mean = one.where("n > 0").agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("accuracy", "precision", "f_measure", "brier", "nce")])
+    return one.unionByName(whole).unionByName(mean.select(F.lit("mean").alias("scope"), F.lit(None).cast("int").alias("class"), "n", "accuracy", "precision", "f_measure", "brier", "nce"))
+
+
+def class_stats(confusions: DataFrame) -> DataFrame:
+    """class, n, recall, precision of the sum of confusions (pred, label, n; one or more for each fold)."""
+    own = confusions.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)).alias("hits"))
+    said = confusions.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("said"))
+    both = own.join(said, "class", "full")
+    return both.select("class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("hits", "said"), F.lit(0.0)).alias("precision"))
+
+
+def confusion_text(confusion: DataFrame, names: list[str]) -> str:
+    """A confusion as text: a row a truth, a column a prediction."""
+    n = {(r["label"], r["pred"]): r["n"] for r in confusion.groupBy("label", "pred").agg(F.sum("n").alias("n")).collect()}  # classes squared
+    cells = [["truth", *names]] + [[name, *[str(n.get((i, j), 0)) for j in range(len(names))]] for i, name in enumerate(names)]
+    width = [max(len(row[j]) for row in cells) for j in range(len(names) + 1)]
+    return "\n".join("  ".join(x.rjust(w) for x, w in zip(row, width, strict=True)) for row in cells) + "\n"
+
+
 def auroc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """auroc of a score (Mann-Whitney, ties half) from counts by distinct score: one shuffle, then a scan of values."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    """auroc of a score (Mann-Whitney, ties half) from counts by distinct score, in a two-level scan of the scores."""
+    by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    by = running(by, [], "s", ["neg"]).withColumn("won", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return by.agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
-def windows(rows: DataFrame, score: str, positive: Column, order: list[str], width: int = 100) -> DataFrame:
-    """calibration and refinement over sliding windows of the rows by score: mean |mean score - rate| and mean
-    rate (1 - rate). Null where there are not more rows than a window holds."""
-    w = Window.orderBy(F.col(score), *order)
-    frame = w.rowsBetween(0, width - 1)
-    hit = F.when(positive, 1.0).otherwise(0.0)
-    at = rows.select(F.avg(score).over(frame).alias("mean"), F.avg(hit).over(frame).alias("rate"), F.count("*").over(frame).alias("n"))
-    full = at.where(F.col("n") == width)
+#: Places of a block of calibration windows.
+BLOCK = 1 << 14
+
+
+def windows(rows: DataFrame, score: str, positive: Column, order: str, width: int = 100) -> DataFrame:
+    """calibration and refinement over sliding windows of the rows by score, then order (a number): mean |mean score - rate|
+    and mean rate (1 - rate). Null where there are fewer rows than a window holds.
+
+    Rows are numbered in two levels (scores, then rows of a score) and dealt to blocks of BLOCK places; each block also gets
+    the first rows of the next, so that its windows are whole."""
+    at = rows.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(order).alias("o"), F.when(positive, 1.0).otherwise(0.0).alias("hit"), F.lit(1).alias("one"))
+    by = at.groupBy("s").agg(F.count("*").alias("n"))
+    before = running(by, [], "s", ["n"]).select("s", (F.col("n_upto") - F.col("n")).alias("before"))
+    at = running(at, ["s"], "o", ["one"]).join(before, "s").select("s", "hit", (F.col("before") + F.col("one_upto") - 1).alias("at"))
+    block = F.floor(F.col("at") / BLOCK)
+    to = F.when((F.col("at") % BLOCK < width - 1) & (F.col("at") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
+    frame = Window.partitionBy("block").orderBy("at").rowsBetween(0, width - 1)
+    slid = at.withColumn("block", F.explode(to)).select("block", "at", F.avg("s").over(frame).alias("mean"), F.avg("hit").over(frame).alias("rate"), F.count("*").over(frame).alias("n"))
+    full = slid.where((F.col("n") == width) & (F.floor(F.col("at") / BLOCK) == F.col("block")))
     return full.agg(F.avg(F.abs(F.col("mean") - F.col("rate"))).alias("calibration"), F.avg(F.col("rate") * (1 - F.col("rate"))).alias("refinement"))

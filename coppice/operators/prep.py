@@ -42,8 +42,16 @@ def encode(df: DataFrame, column: str, domain: list[str], out: str) -> DataFrame
 
 
 def value_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct values and their codes from 0."""
-    return df.select(F.col(column).alias("value")).where("value is not null").distinct().select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code"))
+    """Sorted distinct values of any type and their codes from 0, numbered by ranges: cut at some of the values, which
+    decide how the work is dealt alone."""
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    cuts = sorted(r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(63).collect())
+    part = reduce(lambda s, c: s + F.when(F.col("value") >= F.lit(c), 1).otherwise(0), cuts, F.lit(0))
+    values = values.withColumn("_part", part)
+    sizes = values.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # 64 rows
+    numbered = values.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("value")))
+    return numbered.join(F.broadcast(sizes), "_part").select("value", (F.col("_before") + F.col("_at") - 1).alias("code"))
 
 
 def long_rows(df: DataFrame, row: str, label: str, attributes: list[str]) -> DataFrame:

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.scalars import MODULUS, draw
+from coppice.operators.prefix import running
+from coppice.plans.materialize import table
 
 
-def numbered(df: DataFrame, key: str, out: str = "at", rows_a_part: int = 4096) -> DataFrame:
-    """Gapless numbers from 0 by key in two levels: ranges of the key, then rows of a range; no single-task window.
-
-    Ranges are of equal width between the least and the largest key, about rows_a_part rows each for even keys."""
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    low = ends["low"] or 0
-    width = max(1, ((ends["high"] or 0) - low + 1) // max(1, ends["n"] // rows_a_part))
-    parts = df.withColumn("_part", F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
-    before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1).join(before, "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
+    """Gapless numbers from 0 by a numeric key, in two levels: no task numbers all rows."""
+    rows = running(df.withColumn("_one", F.lit(1)), [], key, ["_one"])
+    return rows.withColumn(out, F.col("_one_upto") - 1).drop("_one", "_one_upto", "_one_all", "next")
 
 
 def shuffled_places(rows: DataFrame, key: str, label: str, seed: int = 1, parts: int = 1024) -> DataFrame:
@@ -107,20 +103,23 @@ def permuted(rows: DataFrame, key: str, column: str, seed: int = 1) -> DataFrame
     return numbered(rows.drop(column), key).join(taken, "at").drop("at")
 
 
-def l1(attributes: list[str], a: str, b: str) -> Column:
-    parts = [F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in attributes]
+def l1(attributes: list[str], a: str, b: str, discrete: tuple[str, ...] = (), penalty: Column | float = 0.0) -> Column:
+    """City-block distance; values of a discrete attribute that differ add the penalty."""
+    parts = [F.when(F.col(f"{a}.{c}") != F.col(f"{b}.{c}"), penalty).otherwise(0.0) if c in discrete else F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in attributes]
     return sum(parts[1:], parts[0])
 
 
-def l2(attributes: list[str], a: str, b: str) -> Column:
-    parts = [F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2.0) for c in attributes]
+def l2(attributes: list[str], a: str, b: str, discrete: tuple[str, ...] = (), penalty: Column | float = 0.0) -> Column:
+    """Euclidean distance; values of a discrete attribute that differ add the penalty's square to the sum."""
+    square = penalty * penalty
+    parts = [F.when(F.col(f"{a}.{c}") != F.col(f"{b}.{c}"), square).otherwise(0.0) if c in discrete else F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2.0) for c in attributes]
     return F.sqrt(sum(parts[1:], parts[0]))
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, key: str, attributes: list[str], k: int, distance=l2, label: str | None = None) -> DataFrame:
     """key, neighbour, distance, rank: the k nearest of other rows (of the same class with label); earlier rows win ties.
 
-    Exact: every query (a stated set) meets every row, in blocks of the larger side."""
+    Exact: every query (a stated set) meets every row, in blocks of the larger side. For all rows, see all_neighbours."""
     on = F.col(f"q.{key}") != F.col(f"r.{key}")
     if label:
         on = on & (F.col(f"q.{label}") == F.col(f"r.{label}"))
@@ -130,6 +129,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, key: str, attributes: list[s
 
 
 def median_of_stdev(rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """The median of the attributes' population deviations: what a differing discrete value counts in a distance."""
     stats = rows.agg(*[F.stddev_pop(c).alias(c) for c in attributes])
     return stats.select(F.explode(F.array(*attributes)).alias("s")).agg(F.median("s").alias("median_stdev"))
 
@@ -144,16 +144,87 @@ def smote_deficits(counts: DataFrame, shares: dict[int, float]) -> DataFrame:
     return counts.withColumn("wanted", wanted).where(minority).select("label", "n", "wanted", (F.col("wanted") - F.col("n")).alias("missing"))
 
 
-def smote(base: DataFrame, rows: DataFrame, key: str, attributes: list[str], near: DataFrame, each: int, k: int, seed: int = 1) -> DataFrame:
-    """Synthetic rows: between a row of base and one of its k neighbours in rows, at a portable random share of the way.
-
-    near: key, neighbour, rank. ``each`` rows for every row; columns key, copy, attributes."""
-    base = base.select(key, *attributes).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(each))))
-    seeded = F.col(key) * 1000 + F.col("copy")
-    base = base.withColumn("rank", (draw(seeded, seed) % k + 1).cast("int")).withColumn("u", draw(seeded, seed + 1) / F.lit(float(MODULUS)))
-    other = rows.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"n_{c}") for c in attributes])
-    both = base.join(near.select(key, "neighbour", "rank"), [key, "rank"]).join(other, "neighbour")
-    return both.select(key, "copy", *[(F.col(c) + F.col("u") * (F.col(f"n_{c}") - F.col(c))).alias(c) for c in attributes])
+#: Rows of a range of the first attribute, about, in which a row looks for a first bound of its neighbours' distance.
+NEAR = 128
+
+
+def all_neighbours(rows: DataFrame, key: str, attributes: list[str], k: int, distance=l2, discrete: tuple[str, ...] = (), penalty: float = 0.0, within: str | None = None) -> DataFrame:
+    """key, neighbour, distance, rank: the k nearest other rows (with within, those of the same value of that column) of
+    every row; lower keys win ties. The first attribute is a number.
+
+    Exact without comparing all rows: rows are cut into ranges of the first attribute; the k-th distance within a row's own
+    range bounds how far its neighbours' first attribute can be, and only ranges within that bound are compared."""
+    first = attributes[0]
+    rows = rows.where(F.col(first).isNotNull()).withColumn("_g", F.col(within) if within else F.lit(0)).select(key, "_g", *attributes).withColumn(first, F.col(first).cast("double"))
+    n = rows.count()
+    count = max(1, n // NEAR)
+    cuts = sorted(set(rows.agg(F.percentile_approx(first, [i / count for i in range(1, count)], 10 * max(count, 1000))).first()[0])) if count > 1 else []
+    rows = table(in_ranges(rows, first, cuts, "_range"), "neighbours")
+    other = rows.select(F.col(key).alias("_key"), "_g", "_range", *attributes)
+    by = [F.col("q._g") == F.col("r._g"), F.col(f"q.{key}") != F.col("r._key")]
+    away = F.round(distance(attributes, "q", "r", discrete, penalty), 9)
+    own = rows.alias("q").join(other.alias("r"), by[0] & by[1] & (F.col("q._range") == F.col("r._range"))).select(F.col(f"q.{key}").alias(key), away.alias("d"))
+    order = Window.partitionBy(key).orderBy("d")  # of a row those of its range
+    bound = own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(key, F.col("d").alias("_bound"))
+    far = F.coalesce(F.col("_bound"), F.lit(float("inf"))) + 1e-6
+    rows = rows.drop("_range").join(bound, key, "left").withColumns({"_low": F.col(first) - far, "_high": F.col(first) + far})
+    rows = in_ranges(in_ranges(rows, "_low", cuts, "_from"), "_high", cuts, "_to").withColumn("_range", F.explode(F.sequence("_from", "_to")))
+    both = rows.alias("q").join(other.alias("r"), by[0] & by[1] & (F.col("q._range") == F.col("r._range")) & F.col(f"r.{first}").between(F.col("q._low"), F.col("q._high")))
+    both = both.select(F.col(f"q.{key}").alias(key), F.col("r._key").alias("neighbour"), away.alias("distance"))
+    best = Window.partitionBy(key).orderBy("distance", "neighbour")
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def in_ranges(rows: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
+    """Adds how many of the cuts are at most the column's value."""
+    if not cuts:
+        return rows.withColumn(out, F.lit(0))
+    splits = [-float("inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(rows).withColumn(out, F.col(out).cast("int"))
+
+
+def smote(rows: DataFrame, key: str, attributes: list[str], near: DataFrame, copies: DataFrame, seed: int = 1, discrete: tuple[str, ...] = ()) -> DataFrame:
+    """Synthetic rows: key, copy, attributes, between a row and one of its neighbours at a portable random share of the way;
+    a discrete attribute takes the most frequent value of the row's neighbours, the least of ties.
+
+    near: key, neighbour, rank. copies: key, copy: what to make from which row. A row without neighbours makes none."""
+    count = near.groupBy(key).agg(F.max("rank").alias("_k"))
+    base = copies.join(rows.select(key, *attributes), key).join(count, key)
+    seeded = F.col("copy")
+    base = base.withColumn("rank", (draw(seeded, seed) % F.col("_k") + 1).cast("int")).withColumn("_u", draw(seeded, seed + 1) / F.lit(float(MODULUS)))
+    other = rows.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"_n_{c}") for c in attributes])
+    pairs = near.select(key, "neighbour", "rank").join(other, "neighbour")
+    both = base.join(pairs, [key, "rank"])
+    if discrete:
+        both = both.join(pairs.groupBy(key).agg(*[F.mode(f"_n_{c}", True).alias(f"_m_{c}") for c in discrete]), key)
+    value = lambda c: F.col(f"_m_{c}") if c in discrete else F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))
+    return both.select(key, "copy", *[value(c).alias(c) for c in attributes])
+
+
+def smote_classes(rows: DataFrame, key: str, attributes: list[str], missing: dict[int, int], k: int = 5, distance: str = "l2", discrete: list[str] | None = None, closed: bool = True, seed: int = 1) -> DataFrame:
+    """label, copy (from 0 over all), attributes of missing[label] synthetic rows for each of those classes.
+
+    Base are all rows of the class, each in turn; neighbours are of the class (closed) or of any (open). A class of fewer
+    than 2 rows raises. A number comes first among the attributes."""
+    discrete = discrete or []
+    ordered = sorted(attributes, key=lambda a: a in discrete)
+    few = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(*missing)).collect()  # a row a class
+    sizes = {r["label"]: r["n"] for r in few}
+    if any(sizes.get(c, 0) < 2 for c in missing):
+        raise ValueError("a class of fewer than 2 rows has no neighbours")
+    penalty = median_of_stdev(rows, [a for a in attributes if a not in discrete]).first()[0] if discrete else 0.0
+    numbered_rows = shuffled_places(rows.where(F.col("label").isin(*missing)).select(key, "label"), key, "label", seed)
+    starts, total = {}, 0
+    for c in sorted(missing):
+        starts[c], total = total, total + missing[c]
+    which = lambda values: F.create_map(*[F.lit(int(x)) for p in values.items() for x in p])[F.col("label")]
+    # copy j of a class is made from the row of place j modulo the class's size
+    made = F.when(F.col("at") < which(missing), F.sequence(F.col("at").cast("long"), which(missing).cast("long") - 1, which(sizes).cast("long")))
+    copies = numbered_rows.withColumn("_j", F.explode(made)).select(key, "label", (which(starts) + F.col("_j")).alias("copy"))
+    base = rows.where(F.col("label").isin(*missing)) if closed else rows
+    near = all_neighbours(base, key, ordered, k, l1 if distance == "l1" else l2, tuple(discrete), penalty, "label" if closed else None)
+    out = smote(rows, key, attributes, table(near, "smote-neighbours"), copies.select(key, "copy"), seed, tuple(discrete))
+    return out.join(copies.select("copy", "label"), "copy").select("label", "copy", *attributes)
 
 
 def boost_round(rows: DataFrame, weight: str, wrong: Column) -> DataFrame:
@@ -171,14 +242,8 @@ def boost_round(rows: DataFrame, weight: str, wrong: Column) -> DataFrame:
 def weighted_draw(rows: DataFrame, key: str, weight: str, draws: int, seed: int = 1, cells: int = 1024) -> DataFrame:
     """draw, key: draws with replacement in proportion to an integer weight; a range join made an equi-join on cells of
     the cumulative weight. The cumulative weight is two-level: ranges of the key, then rows of a range."""
-    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"), F.sum(weight).alias("total")).first()
-    low, total = ends["low"] or 0, ends["total"] or 0
-    span = max(1, ((ends["high"] or 0) - low + 1) // max(1, ends["n"] // 4096))
-    parts = rows.select(key, weight, F.floor((F.col(key) - F.lit(low)) / F.lit(span)).alias("_part"))
-    before = parts.groupBy("_part").agg(F.sum(weight).alias("_s"))
-    before = before.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_before"))
-    inner = F.sum(weight).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    cum = parts.withColumn("_in", inner).join(before, "_part").select(key, (F.col("_before") + F.col("_in") - F.col(weight)).alias("low"), (F.col("_before") + F.col("_in")).alias("high"))
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    cum = running(rows.select(key, weight), [], key, [weight]).select(key, (F.col(f"{weight}_upto") - F.col(weight)).alias("low"), F.col(f"{weight}_upto").alias("high"))
     width = total // cells + 1
     cum = cum.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
     u = (draw(F.col("id"), seed) * MODULUS + draw(F.col("id"), seed + 1)) % max(total, 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,25 +12,31 @@ from pyspark.sql import functions as F
 from coppice.operators import sampling, scoring
 from coppice.operators.grow import grow
 from coppice.operators.scoring import Node
-from coppice.plans.materialize import checkpoint
+from coppice.plans.materialize import checkpoint, table
 
 #: Integer scale of a boosting weight that is 1 on average.
 SCALE = 1 << 16
 
 
-def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, depth: int = 3, seed: int = 1) -> tuple[list[Node], list[float]]:
+def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, depth: int | None = None, seed: int = 1, growth: dict | None = None, synthetic: Callable[[DataFrame], DataFrame] | None = None) -> tuple[list[Node], list[float]]:
     """Trees and betas of AdaBoost.M1 by resampling: each tree grows on as many weighted draws as rows.
 
+    growth: more arguments of grow. synthetic: adds rows (with keys below 0) to the drawn ones, for one round's tree alone.
+
     Ends early at a tree that errs never (kept, its beta the least that n rows could show) or on half of the weight
     (left out). Rows' weights are checkpointed each round; only an error a round comes to the driver."""
-    n = rows.count()
+    n, kinds = rows.count(), {"depth": depth} | (growth or {})
     state = checkpoint(rows.withColumn("_weight", F.lit(1.0)))
     trees: list[Node] = []
     betas: list[float] = []
     for t in range(rounds):
         drawn = sampling.weighted_draw(state.select(row, F.round(F.col("_weight") * SCALE).cast("long").alias("_w")), row, "_w", n, seed + 10 * t)
         bags = drawn.groupBy(row).agg(F.count("*").alias("weight")).withColumn("tree", F.lit(0))
-        tree = grow(state.drop("_weight"), row, attributes, classes, bags, depth=depth, seed=seed + t)[0]
+        base = state.drop("_weight")
+        if synthetic:
+            base = table(base.unionByName(synthetic(base.join(bags.select(row), row, "left_semi")).where(F.col(row) < 0)), "boost-synthetic")
+            bags = bags.unionByName(base.where(F.col(row) < 0).select(row, F.lit(1).cast("long").alias("weight"), F.lit(0).alias("tree")))
+        tree = grow(base, row, attributes, classes, bags, **kinds | {"seed": seed + t})[0]
         said = state.withColumn("_pred", scoring.walk(tree, classes)["label"])
         wrong = F.col("_pred") != F.col("label")
         error = said.agg(F.sum(F.when(wrong, F.col("_weight")).otherwise(0.0)) / F.sum("_weight")).first()[0] or 0.0
@@ -44,11 +52,13 @@ def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
     return trees, betas
 
 
-def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int = 3, seed: int = 1) -> tuple[list[Node], list[float]]:
+def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int | None = None, seed: int = 1, growth: dict | None = None, quotas: dict[int, int] | None = None) -> tuple[list[Node], list[float]]:
     """Trees on small bites that favour rows the out-of-bag vote gets wrong, and the smoothed error of each round.
 
     A row that no tree has voted on counts as wrong. The error of a round is that of the rows outside its own bite,
-    smoothed by memory. Votes are columns of the checkpointed rows."""
+    smoothed by memory. Votes are columns of the checkpointed rows. quotas (of the majority classes): only their rows are
+    drawn by what the vote gets wrong, quota of each class, and all rows of the others are in every bite."""
+    kinds = {"depth": depth} | (growth or {})
     counts = [F.lit(0).alias(f"_v{k}") for k in range(classes)]
     state = checkpoint(rows.select(row, "label", *attributes, *counts))
     v = [F.col(f"_v{k}") for k in range(classes)]
@@ -56,8 +66,14 @@ def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
     trees: list[Node] = []
     errors: list[float] = []
     for t in range(rounds):
-        taken = checkpoint(sampling.bite(state, row, wrong, errors[-1] if errors else 0.5, size, seed + 10 * t))
-        tree = grow(state.select(row, "label", *attributes), row, attributes, classes, taken.withColumn("tree", F.lit(0)), depth=depth, seed=seed + t)[0]
+        error = errors[-1] if errors else 0.5
+        if quotas:
+            bites = [sampling.bite(state.where(F.col("label") == k), row, wrong, error, q, seed + 10 * t + k) for k, q in sorted(quotas.items())]
+            whole = state.where(~F.col("label").isin(*quotas)).select(row, F.lit(1).cast("long").alias("weight"))
+            taken = checkpoint(reduce(DataFrame.unionByName, bites, whole))
+        else:
+            taken = checkpoint(sampling.bite(state, row, wrong, error, size, seed + 10 * t))
+        tree = grow(state.select(row, "label", *attributes), row, attributes, classes, taken.withColumn("tree", F.lit(0)), **kinds | {"seed": seed + t})[0]
         trees.append(tree)
         pred = scoring.walk(tree, classes)["label"]
         out = F.col("_in").isNull()
@@ -70,9 +86,31 @@ def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
     return trees, errors
 
 
+def noised_importance(rows: DataFrame, row: str, attributes: list[str], trees: list[Node], classes: int, in_bag: DataFrame, seed: int = 1) -> DataFrame:
+    """attribute, error, noised_error, importance: by how many percent the out-of-bag error of the trees grows, all their
+    votes taken together, when each tree's out-of-bag rows deal an attribute's values among themselves. Null where the
+    error is 0. in_bag(tree, row).
+
+    One job for all attributes and trees: a row's place in its tree's out-of-bag rows, once by key and once shuffled."""
+    out = rows.select(row, "label", *attributes).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(len(trees) - 1)))).join(in_bag.select(row, "tree"), [row, "tree"], "left_anti")
+    out = table(out, "noised-rows")
+    said = F.array(*[scoring.walk(t, classes)["label"] for t in trees])[F.col("tree")]
+    wrong = F.avg(F.when(said != F.col("label"), 1.0).otherwise(0.0))
+    base = out.agg(wrong.alias("error"))
+    dealt = out.withColumn("attribute", F.explode(F.sequence(F.lit(0), F.lit(len(attributes) - 1)))).withColumn("_group", F.col("tree").cast("long") * len(attributes) + F.col("attribute"))
+    value = F.array(*[F.col(a).cast("double") for a in attributes])[F.col("attribute")]
+    one = sampling.shuffled_places(dealt.select(row, "_group"), row, "_group", seed).withColumnRenamed("at", "_from")
+    other = sampling.shuffled_places(dealt.select(row, "_group", value.alias("_value")), row, "_group", seed + 1).select("_group", F.col("at").alias("_from"), "_value")
+    both = dealt.join(one.join(other, ["_group", "_from"]).select(row, "_group", "_value"), [row, "_group"])
+    noised = both.select("label", "tree", "attribute", *[F.when(F.col("attribute") == i, F.col("_value")).otherwise(F.col(a)).alias(a) for i, a in enumerate(attributes)])
+    noised = noised.groupBy("attribute").agg(wrong.alias("noised_error")).crossJoin(F.broadcast(base))  # a row an attribute, and one
+    names = F.array(*[F.lit(a) for a in attributes])
+    return noised.select(names[F.col("attribute")].alias("attribute"), "error", "noised_error", (100 * F.try_divide(F.col("noised_error") - F.col("error"), "error")).alias("importance"))
+
+
 def permutation_importance(rows: DataFrame, row: str, attributes: list[str], trees: list[Node], classes: int, seed: int = 1) -> DataFrame:
-    """attribute, error, noised_error, importance: by how many percent the ensemble's error grows when the attribute's
-    values are dealt anew. Null where the error is 0."""
+    """attribute, error, noised_error, importance: by how many percent the ensemble's vote errs more often when the
+    attribute's values are dealt anew among all rows. Null where the error is 0. See noised_importance for out-of-bag rows."""
 
     def errors(df: DataFrame, name: str) -> DataFrame:
         v = scoring.tally(scoring.votes(df, [row, "label"], trees, classes), [row, "label"], classes)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import scalars as S
-from coppice.operators import diversity, grow, metrics, prep, regions, sampling, scoring, split, train
+from coppice.operators import diversity, forest, grow, metrics, prep, regions, sampling, scoring, split, train
 from coppice.operators.scoring import Node
 from coppice.sources import models
 
@@ -308,11 +308,20 @@ def _(spark, d):
     return sampling.neighbours(s.where("s_suppkey % 50 = 0"), s, "s_suppkey", ["a", "b"], 3, sampling.l2, label="label")
 
 
-@query("smote_rows")
+MADE = f"""{SUPP}, sz AS (SELECT label, count(*) AS n FROM s GROUP BY label), miss AS (SELECT label, n, CAST(ceil(round(CASE label WHEN 0 THEN 0.45 ELSE 0.35 END * ((SELECT sum(n) FROM sz WHERE label = 2) / (1 - 0.8)), 6)) AS BIGINT) - n AS missing FROM sz WHERE label < 2),
+pl AS (SELECT s_suppkey, label, row_number() OVER (PARTITION BY label ORDER BY {S.draw_sql('s_suppkey', 3)}, s_suppkey) - 1 AS place FROM s WHERE label < 2),
+cp AS (SELECT s_suppkey, label, (CASE label WHEN 0 THEN 0 ELSE (SELECT missing FROM miss WHERE label = 0) END) + place + n * g AS copy FROM pl JOIN miss USING (label), (SELECT unnest(range(1000)) AS g) WHERE place + n * g < missing),
+nn AS (SELECT * FROM (SELECT q.s_suppkey, r.a AS na, r.b AS nb, row_number() OVER (PARTITION BY q.s_suppkey ORDER BY round(sqrt(pow(q.a - r.a, 2) + pow(q.b - r.b, 2)), 9), r.s_suppkey) AS rank, count(*) OVER (PARTITION BY q.s_suppkey) AS others FROM s q JOIN s r ON q.label = r.label AND q.s_suppkey <> r.s_suppkey WHERE q.label < 2) WHERE rank <= 5)"""
+
+
+@query("smote_rows", f"WITH {MADE} SELECT cp.label, cp.copy, round(s.a + {S.draw_sql('cp.copy', 4)} / 2147483647.0 * (na - s.a), 6) AS a, round(s.b + {S.draw_sql('cp.copy', 4)} / 2147483647.0 * (nb - s.b), 6) AS b FROM cp JOIN s USING (s_suppkey) JOIN nn ON nn.s_suppkey = cp.s_suppkey AND nn.rank = {S.draw_sql('cp.copy', 3)} % least(others, 5) + 1")
 def _(spark, d):
+    """Rows that bring two classes to 45 and 35 percent, all of their rows being the base."""
     s = suppliers(spark, d)
-    q = s.where("s_suppkey % 50 = 0")
-    return sampling.smote(q, s, "s_suppkey", ["a", "b"], sampling.neighbours(q, s, "s_suppkey", ["a", "b"], 3), 2, 3)
+    counts = s.groupBy("label").agg(F.count("*").alias("n"))
+    missing = {r["label"]: r["missing"] for r in sampling.smote_deficits(counts, {0: 0.45, 1: 0.35}).collect()}
+    out = sampling.smote_classes(s, "s_suppkey", ["a", "b"], missing, 5, seed=3)
+    return out.select("label", "copy", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 @query("boost_round_weights", f"WITH {BANDS}, x AS (SELECT row_id, label, {tree_sql(TREE3[0], 'label')} AS pred FROM bands), e AS (SELECT avg(CASE WHEN pred <> label THEN 1.0 ELSE 0.0 END) AS error FROM x), w AS (SELECT row_id, error, CASE WHEN pred = label AND error > 0 AND error < 0.5 THEN error / (1 - error) ELSE 1.0 END AS w FROM x, e) SELECT row_id, round(error, 8) AS error, round(w / sum(w) OVER () * 1000000, 6) AS weight FROM w")
@@ -370,6 +379,20 @@ def _(spark, d):
     return t.select("row_id", *[F.round(f"v{k}", 8).alias(f"v{k}") for k in range(3)], scoring.winner(cols("v")).alias("pred"))
 
 
+BETA = "CASE tree " + " ".join(f"WHEN {t} THEN {b}" for t, b in enumerate(BETAS)) + " END"
+
+
+@query("boosted_probabilities", f"WITH {VOTES} SELECT row_id, " + ", ".join(f"round(sum({BETA} * q{k}) / sum({BETA}), 8) AS p{k}" for k in range(3)) + " FROM votes GROUP BY row_id")
+def _(spark, d):
+    out = scoring.boosted_probabilities(votes(spark, d), ["row_id"], BETAS, CLASSES)
+    return out.select("row_id", *[F.round(f"p{k}", 8).alias(f"p{k}") for k in range(3)])
+
+
+@query("vote_share", f"WITH {TALLY} SELECT row_id, round(v0 / (v0 + v1 + v2), 8) AS p0, round(v1 / (v0 + v1 + v2), 8) AS p1, round(v2 / (v0 + v1 + v2), 8) AS p2 FROM tally")
+def _(spark, d):
+    return tally(spark, d).select("row_id", *[F.round(x, 8).alias(f"p{k}") for k, x in enumerate(scoring.vote_share(cols("v")))])
+
+
 #: Two ensembles: trees 0 and 1, and tree 2.
 ENS = VOTES + ", ens AS (SELECT row_id, CASE WHEN tree < 2 THEN 0 ELSE 1 END AS ensemble, " + ", ".join(f"CAST(count(*) FILTER (pred = {k}) AS DOUBLE) AS v{k}" for k in range(3)) + f" FROM votes GROUP BY 1, 2), won AS (SELECT *, {WIN('v')} AS w, list_sort([v0, v1, v2], 'DESC') AS s FROM ens)"
 SEEN = [(0, 100, 50, 0), (1, 20, 60, 20)]
@@ -410,6 +433,12 @@ def _(spark, d):
     return scoring.stopping_point(curve, slide=2, build=4).withColumn("accuracy", F.round("accuracy", 8))
 
 
+@query("oob_trace", f"WITH c(tree, error) AS (VALUES {', '.join(f'({i}, CAST({e} AS DOUBLE))' for i, e in enumerate(CURVE))}), r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree) AS mean, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c) SELECT tree, round(raw, 8) AS raw, round(mean, 8) AS mean, round(smooth, 8) AS smooth, round(max(smooth) OVER (PARTITION BY block ORDER BY tree), 8) AS block_top, round(max(smooth) OVER (ORDER BY tree), 8) AS top FROM r")
+def _(spark, d):
+    curve = spark.createDataFrame(list(enumerate(CURVE)), "tree int, error double")
+    return scoring.oob_trace(curve, slide=2, build=4).select("tree", *[F.round(c, 8).alias(c) for c in ("raw", "mean", "smooth", "block_top", "top")])
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------
 @query("confusion", f"WITH {PREDICTED} SELECT pred, label, count(*) AS n FROM predicted GROUP BY pred, label")
 def _(spark, d):
@@ -427,6 +456,20 @@ def _(spark, d):
     return predicted(spark, d).groupBy("label").agg(F.round(F.avg(metrics.brier(cols("p"), F.col("label"))), 8).alias("brier"), F.round(F.avg(metrics.nce(cols("p"), F.col("label"))), 8).alias("nce"))
 
 
+@query("measures", f"WITH {PREDICTED}, e AS (SELECT label, pred, pow((label = 0)::INT - p0, 2) + pow((label = 1)::INT - p1, 2) + pow((label = 2)::INT - p2, 2) AS b, -log2(greatest(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-6)) AS e FROM predicted), c AS (SELECT CAST(k AS INT) AS class, count(*) FILTER (label = k) AS n, count(*) FILTER (pred = k) AS m, count(*) FILTER (pred = k AND label = k) AS h, sum(b) FILTER (label = k) AS b, sum(e) FILTER (label = k) AS e FROM e CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY k), r AS (SELECT *, coalesce(h / nullif(m, 0), 0.0) AS p, coalesce(h / nullif(n, 0), 0.0) AS q FROM c), f AS (SELECT 'class' AS scope, class, n, q AS accuracy, p AS precision, CASE WHEN p > 0 AND q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END AS f_measure, b / nullif(n, 0) AS brier, e / nullif(n, 0) AS nce FROM r), a AS (SELECT * FROM f UNION ALL SELECT 'overall', NULL, CAST(sum(n) AS BIGINT), sum(h) / CAST(sum(n) AS DOUBLE), NULL, NULL, sum(b) / sum(n), sum(e) / sum(n) FROM c UNION ALL SELECT 'mean', NULL, CAST(sum(n) AS BIGINT), avg(accuracy), avg(precision), avg(f_measure), avg(brier), avg(nce) FROM f WHERE n > 0) SELECT scope, class, n, round(accuracy, 8) AS accuracy, round(precision, 8) AS precision, round(f_measure, 8) AS f_measure, round(brier, 8) AS brier, round(nce, 8) AS nce FROM a")
+def _(spark, d):
+    out = metrics.measures(predicted(spark, d), CLASSES)
+    return out.select("scope", "class", "n", *[F.round(c, 8).alias(c) for c in ("accuracy", "precision", "f_measure", "brier", "nce")])
+
+
+@query("class_stats", f"WITH {PREDICTED} SELECT CAST(k AS INT) AS class, CAST(count(*) FILTER (label = k) AS BIGINT) AS n, round(coalesce(count(*) FILTER (label = k AND pred = k) / nullif(count(*) FILTER (label = k), 0), 0.0), 8) AS recall, round(coalesce(count(*) FILTER (label = k AND pred = k) / nullif(count(*) FILTER (pred = k), 0), 0.0), 8) AS precision FROM predicted CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY k")
+def _(spark, d):
+    """Of the confusions of two halves."""
+    halves = metrics.confusion(predicted(spark, d).withColumn("fold", F.col("row_id") % 2), ["fold"])
+    out = metrics.class_stats(halves)
+    return out.select("class", "n", F.round("recall", 8).alias("recall"), F.round("precision", 8).alias("precision"))
+
+
 @query("accuracy_table", f"WITH {VOTES} SELECT tree, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM votes GROUP BY tree")
 def _(spark, d):
     return votes(spark, d).groupBy("tree").agg(F.round(F.avg(F.when(F.col("pred") == F.col("label"), 1.0).otherwise(0.0)), 8).alias("accuracy"))
@@ -452,7 +495,7 @@ def _(spark, d):
 @query("calibration", f"WITH {TALLY}, r AS (SELECT round(p0, 9) AS s, row_id, label = 0 AS pos FROM tally), w AS (SELECT avg(s) OVER f AS mean, avg(CASE WHEN pos THEN 1.0 ELSE 0.0 END) OVER f AS rate, count(*) OVER f AS n FROM r WINDOW f AS (ORDER BY s, row_id ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)) SELECT round(avg(abs(mean - rate)), 8) AS calibration, round(avg(rate * (1 - rate)), 8) AS refinement FROM w WHERE n = 100")
 def _(spark, d):
     t = tally(spark, d).select(F.round("p0", 9).alias("s"), "row_id", "label")
-    return metrics.windows(t, "s", F.col("label") == 0, ["row_id"]).select(F.round("calibration", 8).alias("calibration"), F.round("refinement", 8).alias("refinement"))
+    return metrics.windows(t, "s", F.col("label") == 0, "row_id").select(F.round("calibration", 8).alias("calibration"), F.round("refinement", 8).alias("refinement"))
 
 
 @query("cv_rollup", f"WITH {PREDICTED}, f AS (SELECT {S.draw_sql('row_id', 1)} % 5 AS iter, {S.draw_sql('row_id', 2)} % 2 AS fold, pred, label FROM predicted) SELECT iter, fold, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM f GROUP BY ROLLUP (iter, fold)")
@@ -514,11 +557,17 @@ def _(spark, d):
     return diversity.nearest(diversity.proximity(patterns(spark, d), 3), 3).withColumn("prox", F.round("prox", 8))
 
 
-@query("remoteness", f"WITH {PAT}, m AS (SELECT pattern AS j, label, count(*) AS n FROM rowp WHERE status = 'F' GROUP BY 1, 2), r AS (SELECT i AS pattern, label, 1 / sum(n * prox * prox) AS raw FROM prox JOIN m USING (j) GROUP BY 1, 2), b AS (SELECT pattern, min(raw) AS remoteness FROM r GROUP BY 1) SELECT row_id, round(remoteness * 1000, 6) AS remoteness FROM rowp JOIN b USING (pattern) WHERE status = 'O'")
+LAND = """, lab AS (SELECT row_id, label, pattern FROM rowp WHERE status = 'F'), ln AS (SELECT pattern, label, count(*) AS n FROM lab GROUP BY 1, 2),
+lraw AS (SELECT a.pattern, a.label, 1 / nullif(sum(b.n * prox * prox) - 1, 0) AS raw FROM ln a JOIN prox ON a.pattern = i JOIN ln b ON b.pattern = j AND a.label = b.label GROUP BY 1, 2),
+lrow AS (SELECT lab.label, raw FROM lab JOIN lraw USING (pattern, label)), lmid AS (SELECT label, quantile_disc(raw, 0.5) AS mid FROM lrow GROUP BY 1),
+ldev AS (SELECT label, any_value(mid) AS mid, quantile_disc(abs(raw - mid), 0.5) AS dev FROM lrow JOIN lmid USING (label) GROUP BY 1)"""
+
+
+@query("remoteness", f"WITH {PAT}{LAND}, r AS (SELECT i AS pattern, label, 1 / sum(n * prox * prox) AS raw FROM prox JOIN ln ON ln.pattern = j GROUP BY 1, 2), z AS (SELECT pattern, min((raw - mid) / dev) AS least FROM r JOIN ldev USING (label) WHERE dev <> 0 GROUP BY 1) SELECT row_id, round(greatest(coalesce(least, 'Infinity'::DOUBLE), 0.0), 5) AS remoteness FROM rowp LEFT JOIN z USING (pattern) WHERE status = 'O'")
 def _(spark, d):
     v = votes(spark, d)
-    out = diversity.remoteness(v.where("status = 'O'"), v.where("status = 'F'"), 3)
-    return out.select("row_id", F.round(F.col("remoteness") * 1000, 6).alias("remoteness"))
+    marks, stats = diversity.landmarks(v.where("status = 'F'"), 3)
+    return diversity.remoteness(v.where("status = 'O'"), marks, stats, 3).select("row_id", F.round("remoteness", 5).alias("remoteness"))
 
 
 # --- regions -----------------------------------------------------------------------------------------------------
@@ -548,10 +597,42 @@ def _(spark, d):
     return regions.overlap(*region_tables(spark, d))
 
 
-@query("seg_report", f"WITH {REG}, a AS (SELECT t AS truth_label, f AS found_label, count(*) AS n FROM o WHERE t < 4 AND f < 4 GROUP BY 1, 2), b AS (SELECT t AS truth_label, count(*) AS tn FROM o WHERE t < 4 GROUP BY 1), c AS (SELECT f AS found_label, count(*) AS fn FROM o WHERE f < 4 GROUP BY 1) SELECT truth_label, found_label, round(n / tn, 8) AS truth_share, round(n / fn, 8) AS found_share, CASE WHEN n * 100 >= tn * 15 AND n * 100 >= fn * 15 THEN 'correct' WHEN n * 100 >= tn * 15 THEN 'under' WHEN n * 100 >= fn * 15 THEN 'over' ELSE 'none' END AS kind FROM a JOIN b USING (truth_label) JOIN c USING (found_label)")
+@query("region_union", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, t AS label, CAST(count(*) AS BIGINT) AS members, min(member) AS first_member FROM (SELECT timestep, mesh, t, member FROM o WHERE t < 4 UNION SELECT timestep, mesh, f, member FROM o WHERE f < 4) GROUP BY 1, 2, 3")
+def _(spark, d):
+    u = regions.united(*region_tables(spark, d))
+    return u.select("timestep", "mesh", "label", F.size("members").cast("long").alias("members"), F.array_min("members").alias("first_member"))
+
+
+SEG = f"""{REG}, p AS (SELECT timestep, t, f, count(*) AS n FROM o WHERE t < 4 AND f < 4 GROUP BY 1, 2, 3), tn AS (SELECT timestep, t, count(*) AS tn FROM o WHERE t < 4 GROUP BY 1, 2), fn AS (SELECT timestep, f, count(*) AS fn FROM o WHERE f < 4 GROUP BY 1, 2),
+b AS (SELECT *, n * 100 >= tn * 18 AS bt, n * 100 >= fn * 18 AS bf FROM p JOIN tn USING (timestep, t) JOIN fn USING (timestep, f)),
+k AS (SELECT timestep, 'correct' AS kind, [t] AS a, [f] AS c FROM b WHERE bt AND bf
+  UNION ALL SELECT timestep, 'over', [t], list_sort(list(f)) FROM b WHERE bf GROUP BY timestep, t HAVING count(*) > 1 AND sum(n) * 100 >= any_value(tn) * 18
+  UNION ALL SELECT timestep, 'under', list_sort(list(t)), [f] FROM b WHERE bt GROUP BY timestep, f HAVING count(*) > 1 AND sum(n) * 100 >= any_value(fn) * 18),
+m AS (SELECT * FROM k UNION ALL SELECT timestep, 'missed', [t], CAST([] AS BIGINT[]) FROM tn WHERE (timestep, t) NOT IN (SELECT (timestep, unnest(a)) FROM k)
+  UNION ALL SELECT timestep, 'noise', CAST([] AS BIGINT[]), [f] FROM fn WHERE (timestep, f) NOT IN (SELECT (timestep, unnest(c)) FROM k))"""
+
+
+@query("seg_report", f"WITH {SEG} SELECT CAST(timestep AS INT) AS timestep, kind, array_to_string(a, ',') AS truth_labels, array_to_string(c, ',') AS found_labels FROM m")
+def _(spark, d):
+    r = regions.segmentation(*region_tables(spark, d), percent=18)
+    show = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return r.select("timestep", "kind", show("truth_labels").alias("truth_labels"), show("found_labels").alias("found_labels"))
+
+
+NEAR = "pt AS (SELECT year(o_orderdate) AS timestep, o_orderkey % 4 AS mesh, o_orderkey AS node, CAST(o_custkey % 97 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, o_totalprice AS value FROM orders)"
+
+
+@query("radius_smoothing", f"WITH {NEAR} SELECT CAST(a.timestep AS INT) AS timestep, a.mesh, a.node, round(avg(b.value), 6) AS value FROM pt a JOIN pt b ON a.timestep = b.timestep AND a.mesh = b.mesh AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 9 GROUP BY 1, 2, 3")
+def _(spark, d):
+    o = read(spark, d, "orders").select(F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 4).alias("mesh"), F.col("o_orderkey").alias("node"), (F.col("o_custkey") % 97).cast("double").alias("x"), (F.col("o_orderkey") % 89).cast("double").alias("y"), F.col("o_totalprice").alias("value"))
+    return regions.smoothed(o, "value", 3.0, ("x", "y")).withColumn("value", F.round("value", 6))
+
+
+@query("region_variable", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, member AS node, CASE WHEN t < 4 THEN t ELSE 0 END AS label FROM o")
 def _(spark, d):
-    r = regions.report(*region_tables(spark, d), percent=15)
-    return r.select("truth_label", "found_label", F.round("truth_share", 8).alias("truth_share"), F.round("found_share", 8).alias("found_share"), "kind")
+    truth, _ = region_tables(spark, d)
+    nodes = read(spark, d, "orders").select(F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 2).alias("mesh"), F.col("o_orderkey").alias("node"))
+    return regions.as_variable(nodes, truth)
 
 
 @query("region_filter", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, t AS label, CAST(count(*) AS INT) AS members FROM o WHERE t IN (0, 2) AND mesh = 1 AND timestep BETWEEN 1994 AND 1996 GROUP BY 1, 2, 3")
@@ -564,36 +645,89 @@ def _(spark, d):
     return regions.border_nodes(read(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), (F.col("l_suppkey") % 4).alias("part")))
 
 
-@query("connected_regions")
+#: Cells 0, 1, 2 ... of a line, split where an order is small: runs of cells are components.
+CELL = "cell AS (SELECT o_orderkey AS id, year(o_orderdate) AS timestep, o_orderkey % 64 AS x, o_orderkey // 64 AS y FROM orders WHERE o_totalprice > 100000)"
+
+
+@query("connected_regions", f"WITH RECURSIVE {CELL}, e AS (SELECT a.id AS u, b.id AS v FROM cell a JOIN cell b ON a.timestep = b.timestep AND ((a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1))), r AS (SELECT id, id AS component FROM cell UNION SELECT e.v, r.component FROM r JOIN e ON e.u = r.id), c AS (SELECT id, min(component) AS component FROM r GROUP BY id) SELECT CAST(timestep AS INT) AS timestep, x, y, component FROM cell JOIN c USING (id)")
 def _(spark, d):
     c = read(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 64).alias("x"), F.floor(F.col("o_orderkey") / 64).alias("y"))
     return regions.connected(c)
 
 
+@query("joined_regions", f"WITH RECURSIVE {CELL}, d AS (SELECT *, id // 3 AS component FROM cell), e AS (SELECT DISTINCT a.timestep, a.component AS u, b.component AS v FROM d a JOIN d b ON a.timestep = b.timestep AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2 AND a.component <> b.component), r AS (SELECT DISTINCT timestep, component AS id, component AS root FROM d UNION SELECT e.timestep, e.v, r.root FROM r JOIN e ON e.timestep = r.timestep AND e.u = r.id), c AS (SELECT timestep, id, min(root) AS root FROM r GROUP BY 1, 2), l AS (SELECT timestep, id AS component, dense_rank() OVER (PARTITION BY timestep ORDER BY root) - 1 AS label FROM c) SELECT CAST(timestep AS INT) AS timestep, component, CAST(label AS INT) AS label, count(*) AS n FROM d JOIN l USING (timestep, component) GROUP BY 1, 2, 3")
+def _(spark, d):
+    c = read(spark, d, "orders").where("o_totalprice > 100000").select(F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 64).alias("x"), F.floor(F.col("o_orderkey") / 64).alias("y"), F.col("o_orderkey").alias("id"))
+    c = c.withColumn("component", F.floor(F.col("id") / 3))
+    return regions.joined_near(c, 2**0.5 + 1e-9).groupBy("timestep", "component", "label").agg(F.count("*").alias("n"))
+
+
 # --- growth ------------------------------------------------------------------------------------------------------
-@query("grow_tree", None)
+def level_sql(i: int) -> str:
+    """CTEs of one level of growth by information gain: from r<i>(fold, node, row_id, label, attributes) to r<i + 1>."""
+    counts = ", ".join(f"CAST(count(*) FILTER (label = {k}) AS BIGINT) AS c{k}" for k in range(3))
+    part = "PARTITION BY fold, node, attribute"
+    long = " UNION ALL ".join(f"SELECT fold, node, label, {j} AS attribute, CAST({a} AS DOUBLE) AS value FROM r{i} JOIN o{i} USING (fold, node)" for j, a in enumerate(ATTRIBUTES))
+    value = "CASE attribute " + " ".join(f"WHEN {j} THEN {a}" for j, a in enumerate(ATTRIBUTES)) + " END"
+    return f"""n{i} AS (SELECT fold, node, count(*) AS n, {counts} FROM r{i} GROUP BY 1, 2), o{i} AS (SELECT fold, node FROM n{i} WHERE greatest(c0, c1, c2) < n AND n >= 2 * {LEASTB}),
+h{i} AS (SELECT fold, node, attribute, value, {counts} FROM ({long}) GROUP BY 1, 2, 3, 4),
+s{i} AS (SELECT fold, node, attribute, value AS low, lead(value) OVER o AS next, {', '.join(f'CAST(sum(c{k}) OVER o AS BIGINT) AS l{k}, CAST(sum(c{k}) OVER ({part}) AS BIGINT) AS w{k}' for k in range(3))} FROM h{i} WINDOW o AS ({part} ORDER BY value)),
+t{i} AS (SELECT fold, node, attribute, low, (low + next) / 2 AS threshold, l0, l1, l2, w0 - l0 AS r0, w1 - l1 AS r1, w2 - l2 AS r2, w0 + w1 + w2 AS n FROM s{i} WHERE next IS NOT NULL),
+u{i} AS (SELECT *, {H('l0+r0', 'l1+r1', 'l2+r2')} - (l0+l1+l2) / CAST(n AS DOUBLE) * {H('l0', 'l1', 'l2')} - (r0+r1+r2) / CAST(n AS DOUBLE) * {H('r0', 'r1', 'r2')} AS gain FROM t{i} WHERE l0 + l1 + l2 >= {LEASTB} AND r0 + r1 + r2 >= {LEASTB}),
+b{i} AS (SELECT * FROM (SELECT *, row_number() OVER ({part} ORDER BY round(gain, 9) DESC, low) AS rn FROM u{i}) WHERE rn = 1 AND gain > 1e-9),
+p{i} AS (SELECT fold, node, attribute, threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold, node ORDER BY round(gain, 9) DESC, attribute) AS ra FROM b{i}) WHERE ra = 1),
+r{i + 1} AS (SELECT fold, CASE WHEN attribute IS NULL THEN node ELSE node * 2 + CASE WHEN {value} < threshold THEN 0 ELSE 1 END END AS node, row_id, label, {', '.join(ATTRIBUTES)} FROM r{i} LEFT JOIN p{i} USING (fold, node))"""
+
+
+GROWN = f"WITH {BANDS}, r0 AS (SELECT 0 AS fold, 1 AS node, * FROM bands), {level_sql(0)}, {level_sql(1)}, leaf AS (SELECT node, list_position([c0, c1, c2], greatest(c0, c1, c2)) - 1 AS pred FROM (SELECT node, {', '.join(f'count(*) FILTER (label = {k}) AS c{k}' for k in range(3))} FROM r2 GROUP BY node))"
+
+
+@query("grow_tree", GROWN + " SELECT CAST(pred AS INT) AS pred, label, count(*) AS n FROM r2 JOIN leaf USING (node) GROUP BY 1, 2")
 def _(spark, d):
+    """A tree of two levels by information gain: its confusion on the rows it grew on."""
     rows = bands(spark, d)
-    trees = grow.grow(rows, "row_id", ATTRIBUTES, CLASSES, depth=3)
-    v = scoring.votes(rows, ["row_id", "label"], trees, CLASSES)
-    return metrics.confusion(v)
+    trees = grow.grow(rows, "row_id", ATTRIBUTES, CLASSES, depth=2, criterion="infogain", collapse=False)
+    return metrics.confusion(scoring.votes(rows, ["row_id", "label"], trees, CLASSES))
+
+
+CV = f"""WITH {BANDS}, dealt AS (SELECT *, (row_number() OVER (ORDER BY label, {S.draw_sql('row_id', 3)}, row_id) - 1) % 3 AS own FROM bands),
+r0 AS (SELECT f AS fold, 1 AS node, dealt.* EXCLUDE own FROM dealt, (SELECT unnest([0, 1, 2]) AS f) WHERE own <> f), {level_sql(0)},
+lc AS (SELECT fold, node, {', '.join(f'count(*) FILTER (label = {k}) AS c{k}' for k in range(3))} FROM r1 GROUP BY 1, 2), leaf AS (SELECT fold, node, list_position([c0, c1, c2], greatest(c0, c1, c2)) - 1 AS pred FROM lc),
+q AS (SELECT own AS fold, label, CASE WHEN attribute IS NULL THEN 1 ELSE 2 + CASE WHEN CASE attribute {' '.join(f'WHEN {j} THEN {a}' for j, a in enumerate(ATTRIBUTES))} END < threshold THEN 0 ELSE 1 END END AS node FROM dealt LEFT JOIN p0 ON p0.fold = own)"""
+
+
+@query("cv_train", CV + " SELECT CAST(fold AS INT) AS fold, CAST(pred AS INT) AS pred, label, count(*) AS n FROM q JOIN leaf USING (fold, node) GROUP BY 1, 2, 3")
+def _(spark, d):
+    """Cross-validation: a tree of one level for each of three folds, the confusion of the rows outside its training."""
+    options = forest.Options(trees=1, bagging=None, split="infogain", depth=1, collapse=False, seed=3)
+    out = forest.cross_validated(bands(spark, d), "row_id", ATTRIBUTES, CLASSES, 3, options)
+    return metrics.confusion(out, ["fold"])
 
 
 @query("forest_train", None)
 def _(spark, d):
-    """A bagged forest, its out-of-bag curve by tree."""
-    rows = sampling.numbered(bands(spark, d), "row_id")
-    bags = sampling.bag(rows, "row_id", rows.count(), 4, seed=21)
-    trees = grow.grow(rows, "row_id", ATTRIBUTES, CLASSES, bags, 4, depth=3, attributes_a_node=2)
-    v = scoring.votes(rows, ["row_id", "label"], trees, CLASSES)
-    return scoring.oob_curve(v, bags.select("row_id", "tree"), CLASSES)
+    """A bagged random forest, its measures on the rows it grew on and the out-of-bag error after its last tree."""
+    rows = bands(spark, d)
+    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, seed=21))
+    out = forest.tested(model, rows, "row_id")["measures"]
+    last = model.trace.orderBy(F.desc("tree")).limit(1).select("tree", F.col("error").alias("oob_error"))
+    return out.crossJoin(F.broadcast(last))  # one row
+
+
+@query("discrete_forest", None)
+def _(spark, d):
+    """Trees of discrete and continuous attributes, extremely random cuts and subspaces: the measures of their vote."""
+    rows = bands(spark, d).withColumn("status", F.when(F.col("status") == "F", 0).otherwise(1))
+    options = forest.Options(trees=3, extremely_random=2, subspaces=75, split="c45", depth=4, subsample=5000, seed=5)
+    model = forest.fit(rows, "row_id", [*ATTRIBUTES, "status"], CLASSES, options, {"status": 2})
+    return forest.tested(model, rows, "row_id")["measures"]
 
 
 @query("boost_train", None)
 def _(spark, d):
     """Boosted trees: the confusion of their weighted vote."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=2)
+    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=3)
     w = F.element_at(F.array(*[F.log2(F.lit(1 / b)) for b in betas or [0.5]]), F.col("tree") + 1)
     t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees or TREE3[:1], CLASSES), ["row_id", "label"], CLASSES, w)
     return metrics.confusion(t.withColumn("pred", scoring.winner(cols("v"))))
@@ -603,7 +737,7 @@ def _(spark, d):
 def _(spark, d):
     """Trees on importance-sampled bites: the smoothed out-of-bag error of each round."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500, depth=2)
+    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500)
     return spark.createDataFrame(list(enumerate(errors)), "round int, error double")
 
 
@@ -617,6 +751,22 @@ def _(spark, d):
     return out.select("attribute", F.round("error", 8).alias("error"), F.round("noised_error", 8).alias("noised_error"), F.round("importance", 6).alias("importance"))
 
 
+NOISE = f"""{VOTES}, oob AS (SELECT b.*, v.tree FROM votes v JOIN bands b USING (row_id) WHERE {S.draw_sql('v.row_id * 3 + v.tree', 6)} % 3 = 0),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY tree, att ORDER BY {S.draw_sql('row_id', 51)}, row_id) AS f, row_number() OVER (PARTITION BY tree, att ORDER BY {S.draw_sql('row_id', 52)}, row_id) AS g FROM oob, (SELECT unnest([0, 1, 2]) AS att)),
+nv AS (SELECT a.*, CASE a.att WHEN 0 THEN b.quantity WHEN 1 THEN b.discount ELSE b.tax END AS value FROM dealt a JOIN dealt b ON a.tree = b.tree AND a.att = b.att AND a.f = b.g),
+nr AS (SELECT tree, att, label, CASE WHEN att = 0 THEN value ELSE quantity END AS quantity, CASE WHEN att = 1 THEN value ELSE discount END AS discount, CASE WHEN att = 2 THEN value ELSE tax END AS tax FROM nv)"""
+SAID = "CASE tree " + " ".join(f"WHEN {t} THEN {tree_sql(x, 'label')}" for t, x in enumerate(TREE3)) + " END"
+
+
+@query("noised_importance", f"WITH {NOISE}, e AS (SELECT avg(CASE WHEN {SAID} <> label THEN 1.0 ELSE 0.0 END) AS error FROM oob), n AS (SELECT att, avg(CASE WHEN {SAID} <> label THEN 1.0 ELSE 0.0 END) AS noised FROM nr GROUP BY att) SELECT CASE att WHEN 0 THEN 'quantity' WHEN 1 THEN 'discount' ELSE 'tax' END AS attribute, round(error, 8) AS error, round(noised, 8) AS noised_error, round(100 * (noised - error) / nullif(error, 0), 6) AS importance FROM n, e")
+def _(spark, d):
+    rows = bands(spark, d)
+    every = rows.select("row_id", F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("tree"))
+    in_bag = every.where(S.draw(F.col("row_id") * 3 + F.col("tree"), 6) % 3 != 0)
+    out = train.noised_importance(rows, "row_id", ATTRIBUTES, TREE3, CLASSES, in_bag, seed=51)
+    return out.select("attribute", F.round("error", 8).alias("error"), F.round("noised_error", 8).alias("noised_error"), F.round("importance", 6).alias("importance"))
+
+
 def node_rows(tree: int, node: Node) -> list[str]:
     own = f"({tree}, {node.id}, {repr(node.attribute) if node.attribute else 'NULL'}, {sum(node.counts)})"
     return [own, *[x for c in node.children for x in node_rows(tree, c)]]
