@@ -142,9 +142,9 @@ def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.where(F.expr("shiftright(bits, cast(bit & 63 as int)) & 1") == 1).select("doc_id", "text")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """nid, tokens of the nodes(nid, sid, doc_id) in wanted(nid), computed again from the texts."""
-    named = checkpoint(nodes.select("nid", "sid", "doc_id").join(wanted, "nid").where("doc_id is not null"))
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted(nid, sid, doc_id, ...) with tokens, the sets computed again from the texts; nodes without a doc_id are left out."""
+    named = checkpoint(wanted.where("doc_id is not null"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +154,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Dat
     # A repeated id can bring another row's tokens: the set's identity has to be the node's. Repeated rows bring one node's repeatedly.
     sets = only(docs, named.select("doc_id")).mapInArrow(whole, "doc_id long, sid binary, tokens array<long>").join(named, ["doc_id", "sid"])
     first = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.lit(0)))  # dealt as the join is
-    return sets.withColumn("place", first).where("place = 1").select("nid", "tokens")
+    return sets.withColumn("place", first).where("place = 1").drop("place", "doc_id", "sid")
 
 
 def overlaps(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
@@ -179,23 +179,23 @@ def overlaps(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.nda
     return out
 
 
-def verified(label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
     """nid, links, root: of each set and pair of blocks that it is in, how many others it is linked with there, and the least
     set that it is joined to by these links.
 
-    label: node, component; sets: nid, tokens. A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS
-    sets, and each pair of blocks is one group: no row is made for a pair. Small components share groups of about SHARED
-    sets. A set is sent as often as its component has blocks, once for most.
+    label: node, component. A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS sets, and each pair
+    of blocks is one group: no row is made for a pair. Small components share groups of about SHARED sets. A set is fetched
+    once, and sent as often as its component has blocks, once for most.
     """
-    found = label.withColumnRenamed("node", "nid").join(sets, "nid")
-    found = table(found, "jaccard-sets")
-    sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.sum(F.size("tokens")) / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
+    found = nodes.select("nid", "sid", "doc_id", "n").join(label.withColumnRenamed("node", "nid"), "nid")
+    sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
     sizes = checkpoint(sizes)
     small = sizes.where(F.col("m") <= SHARED).agg(F.sum("m")).first()[0] or 0
     group = F.when(F.col("m") <= SHARED, -1 - F.pmod(F.xxhash64("component"), F.lit(1 + small // SHARED))).otherwise(F.col("component"))
-    found = found.join(sizes, "component").withColumn("group", group).withColumn("own", F.when(F.col("m") <= SHARED, 0).otherwise(F.pmod(F.xxhash64("nid"), F.col("blocks"))).cast("int"))
-    found = found.withColumn("other", F.explode(F.when(F.col("m") <= SHARED, F.array(F.lit(0))).otherwise(F.expr("sequence(0, blocks - 1)"))))
-    dealt = found.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
+    blocks = F.when(F.col("m") <= SHARED, 1).otherwise(F.col("blocks"))
+    found = found.join(sizes, "component").select("nid", "sid", "doc_id", group.alias("group"), blocks.alias("blocks"), F.pmod(F.xxhash64("nid"), blocks).cast("int").alias("own"))
+    dealt = sets_of(docs, found, k).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
@@ -254,7 +254,7 @@ def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = table(nodes.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
 
     at = nodes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = at.groupBy("token").count().where("count > 1").select("token")
+    shared = at.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     at = table(at.join(shared, "token"), "jaccard-prefixes")
 
     hubs = at.groupBy("token").agg(F.min(F.struct("pos", "n", "nid")).alias("h")).select("token", "h.*")
@@ -263,12 +263,13 @@ def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = checkpoint(close(pairs, nodes, percent))
 
     label = components(pairs, "a", "b")
-    split = at.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
+    # of two nodes that hold a token, one is its hub
+    split = at.where("held > 2").join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     split = split.select("token", "nid", "n", "pos", "c")
     open_tokens = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     rest = checkpoint(close(candidates(checkpoint(split.join(open_tokens, "token")), percent), nodes, percent))
     label = checkpoint(components(pairs.union(rest), "a", "b"))
-    found = verified(label, sets_of(docs, nodes, label.select(F.col("node").alias("nid")), k), percent)
+    found = verified(docs, nodes, label, k, percent)
     label = components(found.where("root != nid"), "nid", "root")
     degree = found.groupBy("nid").agg(F.sum("links").alias("links"))
 
