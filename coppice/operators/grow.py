@@ -41,7 +41,7 @@ def grow(
     """Trees on rows(row, label, attributes); bags(tree, row, weight) or all rows once for each tree.
 
     Attributes are numbers; those of discrete (name: number of values) are codes from 0 and split into a branch a value,
-    once on a path. cuts: best, extremely_random (one random cut an attribute, the best scored) or totally_random.
+    once on a path; no attribute is called tree, node, label or weight. cuts: best, extremely_random (one random cut an attribute, the best scored) or totally_random.
     attributes_a_node: how many attributes that can split, in random order, a node tries. masks: attributes (by number)
     that each tree may use. subsample: a node's split is chosen on so many of its rows. A node stops when it is pure, has
     fewer than twice the least branch, no split scores above 0 (with zero_gain: no split at all), or at depth.
@@ -207,8 +207,8 @@ def placed(data: DataFrame, row: str, attributes: list[str], growing: list[Growi
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
     found = data.select(row, "label", *attributes, "weights").mapInArrow(route, f"{kinds}, nodes array<int>")
-    found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "weights")).alias("tree", "x"))
-    return found.select("tree", F.col("x.nodes").alias("node"), F.col("x.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
+    found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "weights")).alias("tree", "_at"))
+    return found.select("tree", F.col("_at.nodes").alias("node"), F.col("_at.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
 
 
 def errors(node: Node) -> int:

@@ -708,7 +708,7 @@ def _(spark, d):
 def _(spark, d):
     """A bagged random forest, its measures on the rows it grew on and the out-of-bag error after its last tree."""
     rows = bands(spark, d)
-    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, seed=21))
+    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, depth=4, seed=21))
     out = forest.tested(model, rows, "row_id")["measures"]
     last = model.trace.orderBy(F.desc("tree")).limit(1).select("tree", F.col("error").alias("oob_error"))
     return out.crossJoin(F.broadcast(last))  # one row
@@ -718,7 +718,7 @@ def _(spark, d):
 def _(spark, d):
     """Trees of discrete and continuous attributes, extremely random cuts and subspaces: the measures of their vote."""
     rows = bands(spark, d).withColumn("status", F.when(F.col("status") == "F", 0).otherwise(1))
-    options = forest.Options(trees=3, extremely_random=2, subspaces=75, split="c45", depth=4, subsample=5000, seed=5)
+    options = forest.Options(trees=3, extremely_random=2, subspaces=75, depth=3, subsample=5000, seed=5)
     model = forest.fit(rows, "row_id", [*ATTRIBUTES, "status"], CLASSES, options, {"status": 2})
     return forest.tested(model, rows, "row_id")["measures"]
 
@@ -727,7 +727,7 @@ def _(spark, d):
 def _(spark, d):
     """Boosted trees: the confusion of their weighted vote."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=3)
+    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=2)
     w = F.element_at(F.array(*[F.log2(F.lit(1 / b)) for b in betas or [0.5]]), F.col("tree") + 1)
     t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees or TREE3[:1], CLASSES), ["row_id", "label"], CLASSES, w)
     return metrics.confusion(t.withColumn("pred", scoring.winner(cols("v"))))
@@ -737,7 +737,7 @@ def _(spark, d):
 def _(spark, d):
     """Trees on importance-sampled bites: the smoothed out-of-bag error of each round."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500)
+    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500, depth=3)
     return spark.createDataFrame(list(enumerate(errors)), "round int, error double")
 
 

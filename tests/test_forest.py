@@ -1,6 +1,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice import queries as Q
 from coppice.functions import scalars as S
-from coppice.operators import grow, sampling, scoring, split
+from coppice.operators import forest, grow, sampling, scoring, split
 from coppice.sources import models
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +71,77 @@ def test_grown_tree_separates_and_round_trips(spark):
     assert "digraph" in grow.to_dot(trees[0])
 
 
-@pytest.mark.parametrize("name", ["best_split_c45", "impute_median_mode", "vote_memv", "oob_error_curve", "auroc_ovr", "diversity_kappa", "outlier_score", "region_overlap", "weighted_draw", "knn_l1"])
+def test_discrete_growth_empty_branches_and_nulls(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 3).cast("int").alias("kind"), F.when(F.col("id") % 10 != 0, F.col("id").cast("double")).alias("x"), F.when(F.col("id") % 3 == 1, 1).otherwise(0).alias("label"))
+    tree = grow.grow(rows, "id", ["x", "kind"], 2, discrete={"kind": 4})[0]
+    assert tree.attribute == "kind" and tree.threshold is None and [c.label for c in tree.children] == [0, 1, 0, 0]
+    # nobody has the fourth value: its branch says the parent's class and errs in nothing
+    assert not tree.children[3].seen and tree.children[3].counts == (133, 67) and grow.errors(tree) == 0
+    for walked in (scoring.votes, scoring.walked):
+        assert walked(rows, ["id", "label"], [tree], 2).where("pred != label").count() == 0
+    # a null is on no side of a cut: those with values decide it
+    holes = rows.withColumn("label", F.when(F.col("id") < 100, 0).otherwise(1))
+    cut = grow.grow(holes, "id", ["x"], 2, depth=1, criterion="infogain")[0]
+    assert cut.attribute == "x" and cut.threshold == 100.0
+    none = grow.grow(rows, "id", ["x", "kind"], 2, discrete={"kind": 4}, masks={0: [0]}, depth=1)[0]
+    assert none.attribute in (None, "x")
+
+
+def test_fit_test_and_cross_validate(spark):
+    rows = spark.range(240).select("id", (F.col("id") % 40).cast("double").alias("a"), F.when(F.col("id") % 7 != 0, (F.col("id") % 11).cast("double")).alias("b"), F.when(F.col("id") % 40 < 13, 1).otherwise(0).alias("label"))
+    model = forest.fit(rows, "id", ["a", "b"], 2, forest.Options(trees=2, depth=2, seed=4))
+    out = {(r["scope"], r["class"]): r for r in forest.tested(model, rows, "id")["measures"].collect()}
+    assert out["overall", None]["accuracy"] == 1 and out["class", 1]["n"] == 78 and out["mean", None]["accuracy"] == 1
+    folded = forest.cross_validated(rows, "id", ["a", "b"], 2, 2, forest.Options(trees=1, bagging=None, depth=2))
+    assert folded.count() == 240 and folded.where("pred != label").count() <= 12
+    for wrong in ({"split": "x"}, {"bagging": 0}, {"boosting": True, "ivoting": True}, {"balanced": True}, {"minority": {0: 1.0}}, {"forest": 1, "totally_random": True}):
+        with pytest.raises(ValueError):
+            forest.Options(**wrong)
+    assert forest.Options(trees=3).described() == "trees: 3\n"
+
+
+def test_tree_text_of_either_style():
+    text = """#comment
+NumClasses           2
+NumTrees             2
+AttributeTypes: CONTINUOUS DISCRETE
+MissingAttributeValues: 1.5,b
+Tree 1
+SPLIT CONTINUOUS ATT# 0 < 2.50000
+LEAF Class 1 Proportions 1 4
+SPLIT CONTINUOUS ATT# 0 >= 2.50000
+SPLIT DISCRETE ATT# 1 VAL# 1 / 2
+LEAF 0
+SPLIT DISCRETE ATT# 1 VAL# 2 / 2
+LEAF 1
+Tree 2
+LEAF 0
+"""
+    e = models.ensemble_of(text, ["x", "k"])
+    assert (e.classes, e.discrete, e.imputed, len(e.trees)) == (2, {"k": 2}, ("1.5", "b"), 2)
+    assert e.trees[0].threshold == 2.5 and e.trees[0].children[0].counts == (1, 4)
+    assert scoring.leaf_probabilities(e.trees[0].children[1].children[1], 2) == [0.0, 1.0]
+    assert models.ensemble_of(models.ensemble_text(e), ["x", "k"]) == e
+    for broken in (text.replace("LEAF Class 1 Proportions 1 4\n", ""), text.replace("NumTrees             2", "NumTrees             3"), text + "SPLIT\n"):
+        with pytest.raises(ValueError):
+            models.ensemble_of(broken, ["x", "k"])
+    assert models.concatenated([e, e]).trees == e.trees * 2
+
+
+def test_all_neighbours_equal_brute_force(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice([rng.random() * 100, 50.0]), float(rng.randrange(20)), rng.randrange(3), i % 2) for i in range(700)]
+    rows = spark.createDataFrame(data, "id long, x double, y double, k int, label int")
+    for within in (None, "label"):
+        got = {}
+        for r in sampling.all_neighbours(rows, "id", ["x", "y", "k"], 3, sampling.l2, ("k",), 5.0, within).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+        for a in data[::23]:
+            near = sorted((round(math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + 25 * (a[3] != b[3])), 9), b[0]) for b in data if b[0] != a[0] and (within is None or a[4] == b[4]))
+            assert [got[a[0]][i] for i in (1, 2, 3)] == [n for _, n in near[:3]]
+
+
+@pytest.mark.parametrize("name", ["grow_tree", "cv_train", "seg_report", "measures", "remoteness", "noised_importance", "radius_smoothing", "best_split_c45", "impute_median_mode", "vote_memv", "oob_error_curve", "auroc_ovr", "diversity_kappa", "outlier_score", "region_overlap", "weighted_draw", "knn_l1"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):

@@ -67,3 +67,24 @@ def test_boost_and_ivote(spark):
     assert len(trees) == len(betas) >= 1 and all(0 < b < 1 for b in betas)
     _, errors = train.ivote(rows, "id", ["a", "b"], 2, rounds=2, size=60, depth=2)
     assert len(errors) == 2 and all(0 <= e < 0.5 for e in errors)
+
+
+def test_labels_strings_and_encoding(spark):
+    schema = names.parse("a: continuous\nk: discrete x,y\nc: class u,v\n")
+    rows = names.read_string(spark, "#labels a,k,c\n1,x,u\n?,?,v\n3,y,?\n", schema)
+    assert sorted((r["a"] or 0, r["k"], r["label"]) for r in rows.collect()) == [(0, None, 1), (1.0, "x", 0), (3.0, "y", None)]
+    assert names.encoded(rows, schema).where("k = 1").count() == 1 and names.domains(schema) == {"k": 2}
+    with pytest.raises(ValueError):
+        names.read_string(spark, "#labels a,c,k\n1,x,u\n", schema)
+    assert names.float_ranges("0.5-1.5,3") == [(0.5, 1.5), (3.0, 3.0)] and names.partitions(" a.data\n b.data ") == ["a.data", "b.data"]
+    bad = spark.createDataFrame([("a,b", float("nan"))], "s string, x double")
+    assert {(r["column"], r["n"]) for r in names.column_problems(bad).collect()} == {("s", 1), ("x", 1)}
+
+
+def test_training_values_serve_testing(spark, tmp_path):
+    (tmp_path / "a").write_text("1,x,u\n3,x,v\n5,y,u\n?,?,u\n")
+    (tmp_path / "b").write_text("?,?,?\n")
+    schema = names.parse("a: continuous\nk: discrete x,y\nc: class u,v\n")
+    _, values = names.load_training(spark, f"file://{tmp_path}/a", schema)
+    row = names.load_testing(spark, f"file://{tmp_path}/b", schema, values).first()
+    assert (row["a"], row["k"], row["label"]) == (3.0, 0, None)
