@@ -246,7 +246,7 @@ def candidates(split: DataFrame, percent: int) -> DataFrame:
 
 
 def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, mark, n_shingles, component_id, links for each row of docs(doc_id, mark, text)."""
+    """doc_id, mark, n_shingles, component_id, links, c (a number of the component) for each row of docs(doc_id, mark, text)."""
     scale = sketch_counts(docs, "text", k)
     signed = table(signatures(docs, k, percent, scale), "jaccard-signed")
     full = signed.where("n > 0")
@@ -276,9 +276,9 @@ def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     named = nodes.select("nid", "sid", "doc_id").join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("component", "nid"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "c").join(degree, "nid", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(named.select("sid", "component_id", "links"), "sid", "left")
+    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sid").join(named.select("sid", "c", "component_id", "links"), "sid", "left")
     alone = F.col("sid").isNull()
-    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "c")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -291,7 +291,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     different sets are linked with the row's set.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text"))
-    return marked_components(docs, k, percent).drop("mark")
+    return marked_components(docs, k, percent).drop("mark", "c")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,7 +303,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     id_, mark_, first, n = apart(docs, "id", "mark", "first", "n")
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
     found = marked_components(keyed.select(F.col(id_).alias("doc_id"), F.col(mark_).alias("mark"), "text"), k, percent)
-    stay = found.where("doc_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.mark").alias(n))
+    stay = found.where("doc_id is not null and n_shingles > 0").groupBy("c").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.mark").alias(n))
     # keys without nulls, so that the join's dealing serves the numbering of equal rows too: texts are shuffled once
     known = keyed.where(F.col(id_).isNotNull()).withColumn(mark_, F.coalesce(mark_, F.lit(0).cast("long")))
     stay = stay.select(F.col(first).alias(id_), F.coalesce(n, F.lit(0).cast("long")).alias(mark_), F.lit(True).alias(first))

@@ -320,3 +320,102 @@ def test_url_filter(spark):
     assert got[1] == ("x.org", "/a", "org/", "allow")
     assert got[2] == ("", "", None, "allow") and got[3] == ("", "", None, "allow")
     assert got[4][3] == "block" and got[5][3] == "allow" and got[6] == ("x.org", "", None, "allow")
+
+
+def awkward(spark):
+    """Rows without and with repeated ids, equal rows, and columns with the names that helpers might use."""
+    run = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu"
+    rows = [(None, run), (None, run), (None, "other words of a row without an id at all here"), (5, run), (5, run), (5, "the same id with a text of its own to be kept"), (6, run.upper()), (7, None), (7, ""), (8, "one more text that nobody else has in this table")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    for name in ("_id", "id", "mark", "_n", "n", "_key", "_copy", "_row", "row", "first", "times", "found", "shard", "region", "place"):
+        docs = docs.withColumn(name, F.lit(name))
+    return docs
+
+
+def test_stages_keep_awkward_rows(spark):
+    docs = awkward(spark)
+    listed = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("_id != '_id' or n != 'n' or first != 'first'").count() == 0
+    texts = [r["text"] for r in kept.where("doc_id = 5").collect()]
+    assert len(texts) == 2 and len(set(texts)) == 2 and kept.where("doc_id = 6").count() == 0
+    assert kept.where("doc_id is null").count() == 3 and kept.where("doc_id = 7").count() == 2
+    items = spark.createDataFrame([(1, docs.first()["text"])], "item_id long, text string")
+    clean = decontaminate.keep_clean(docs, items)
+    assert clean.columns == docs.columns
+    assert listed(clean) == [x for x in listed(docs) if "alpha" not in x[2]]  # capitals are names
+    mixed = mixing.repeated(docs)
+    assert mixed.columns == docs.columns and mixed.where("_copy != '_copy' or times != 'times'").count() == 0
+    assert mixed.count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    named = language.keep_identified(docs)
+    assert named.columns == docs.columns and named.where("_key != '_key' or found != 'found'").count() == 0
+    whole = sharding.shard(docs, sharding.layout(4), whole=True)
+    assert {*docs.columns} < {*whole.columns} and listed(whole) == listed(docs) and whole.schema["shard"].dataType.simpleString() == "int"
+
+
+def test_shards_equal_independent_descent(spark):
+    """Regions, racks and shards drawn in plain Python, with one rack's weight changed: rows move only into or out of its region."""
+    import hashlib
+    import math
+
+    def draw(level, children, key):
+        score = lambda name: -math.log((int(hashlib.md5(f"{level}:{name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / children[name]
+        return min(children, key=lambda name: (score(name), name))
+
+    def descend(tree, key):
+        weights = lambda rows, name: {n: sum(x.weight for x in rows if name(x) == n) for n in dict.fromkeys(map(name, rows))}
+        region = draw("region", weights(tree, lambda x: x.region), key)
+        inside = [x for x in tree if x.region == region]
+        rack = draw("rack", weights(inside, lambda x: x.rack), key)
+        inside = [x for x in inside if x.rack == rack]
+        return int(draw("shard", weights(inside, lambda x: str(x.shard)), key))
+
+    tree = sharding.layout(40)
+    docs = make(spark, [f"text {i}" for i in range(400)] + [None])
+    rows = sharding.shard(docs, tree).collect()
+    for r in rows:
+        text = f"text {r['doc_id']}" if r["doc_id"] < 400 else ""
+        assert r["shard"] == descend(tree, r["doc_id"]) and r["grown_shard"] == descend(sharding.grow(tree), r["doc_id"])
+        assert r["text_crc32"] == zlib.crc32(text.encode()) and r["size"] == len(text) + 16
+    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.rack == "k1" else 1.0) for x in tree]
+    moved = [(descend(tree, i), descend(heavier, i)) for i in range(4000)]
+    region = {x.shard: x.region for x in tree}
+    rack = {x.shard: x.rack for x in tree}
+    assert all(a == b or region[b] == "r0" for a, b in moved)  # only r0 grew
+    assert all(a == b or rack[b] == "k1" for a, b in moved if region[a] == region[b] == "r0")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, heavier).collect()}
+    assert all(got[i] == moved[i][1] for i in range(400))
+
+
+def test_pipeline_stages(spark):
+    """Each stage on what the one before left, against what plain Python expects of it."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {name: None for name, _ in corpus_pipeline.STAGES}
+    now = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, sf)
+        path = corpus_pipeline.scratch(spark, f"test-{name}")
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        rows[name] = now.collect()
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert now.columns == docs.columns
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))} if (t or "").split() else set()
+    before = {r["doc_id"]: shingles(r["text"]) for r in rows["language_id"]}
+    kept = {r["doc_id"] for r in rows["jaccard_join"]}
+    # of what went, each is linked to a smaller or kept one; no two kept ones are linked
+    linked = lambda a, b: before[a] and 100 * len(before[a] & before[b]) >= 80 * len(before[a] | before[b])
+    assert all(any(linked(a, b) for b in before if b != a) for a in before if a not in kept)
+    assert not any(linked(a, b) for a in kept for b in kept if a < b)
+    gone = {r["doc_id"] for r in rows["jaccard_join"]} - {r["doc_id"] for r in rows["decontamination"]}
+    found = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert gone == found & kept
+    copies = mixing.mix(spark.createDataFrame(rows["decontamination"], docs.schema)).agg(F.sum("copies")).first()[0]
+    assert len(rows["mixing"]) == len(rows["sharding"]) == copies
+    by = {}
+    for r in rows["sharding"]:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert r["size"] == len((r["text"] or "").encode()) + 16
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
