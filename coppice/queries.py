@@ -708,7 +708,7 @@ def _(spark, d):
 def _(spark, d):
     """A bagged random forest, its measures on the rows it grew on and the out-of-bag error after its last tree."""
     rows = bands(spark, d)
-    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, depth=4, seed=21))
+    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, depth=3, seed=21))
     out = forest.tested(model, rows, "row_id")["measures"]
     last = model.trace.orderBy(F.desc("tree")).limit(1).select("tree", F.col("error").alias("oob_error"))
     return out.crossJoin(F.broadcast(last))  # one row
