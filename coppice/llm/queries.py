@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, fingerprints, language, licenses, line_dedup, mixing, sharding, url_filter
+from coppice.llm import decontaminate, fingerprints, language, licenses, line_dedup, manifest, mixing, sharding, url_filter
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.token_files import read_tokens, write_tokens
 from coppice.plans.materialize import scratch
@@ -76,6 +76,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language; of each row whose crc32 of the id is a multiple of 7 a copy with one character more is checked."""
+    more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return manifest.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": more})
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -87,4 +93,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_manifest": op11_manifest,
 }
