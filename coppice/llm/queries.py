@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, fingerprints, language, licenses, line_dedup, manifest, mixing, sharding, url_filter
+from coppice.llm import conversations, decontaminate, fingerprints, language, licenses, line_dedup, manifest, mixing, sharding, url_filter
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.token_files import read_tokens, write_tokens
 from coppice.plans.materialize import scratch
@@ -82,6 +82,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": more})
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), every=rows)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -94,4 +99,5 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_manifest": op11_manifest,
+    "op12_conversations": op12_conversations,
 }
