@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.components import components
-from coppice.llm.rows import apart, mark
+from coppice.llm.rows import apart, mark, place
 from coppice.llm.words import shingles
 from coppice.plans.materialize import checkpoint, table
 
@@ -134,27 +134,29 @@ def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text) whose id is in wanted(doc_id), and a few more: by a bitmap of hashes, broadcast as
+    """Rows of docs(key, text) whose key is in wanted(key), and a few more: by a bitmap of hashes, broadcast as
     FILTER_BITS / 64 rows at most, so that other texts are neither sent to Python nor shuffled."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     placed = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
-    return placed.where(F.expr("shiftright(bits, cast(bit & 63 as int)) & 1") == 1).select("doc_id", "text")
+    return placed.where(F.expr("shiftright(bits, cast(bit & 63 as int)) & 1") == 1).select("key", "text")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted(nid, sid, doc_id, ...) with tokens, the sets computed again from the texts; nodes without a doc_id are left out."""
-    named = checkpoint(wanted.where("doc_id is not null"))
+    """wanted(nid, sid, key, ...) with tokens, the sets computed again from the texts of docs(key, text)."""
+    named = checkpoint(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # rows without an id have the key of their text: of equal ones in a batch one is enough
+            batch = batch.take(pa.array(np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1])))
             tokens = [np.unique(x) for _, x in shingles(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identity(x) for x in tokens], pa.binary()), lists([x.view(np.int64) for x in tokens])], ["doc_id", "sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identity(x) for x in tokens], pa.binary()), lists([x.view(np.int64) for x in tokens])], ["key", "sid", "tokens"])
 
-    # A repeated id can bring another row's tokens: the set's identity has to be the node's. Repeated rows bring one node's repeatedly.
-    sets = only(docs, named.select("doc_id")).mapInArrow(whole, "doc_id long, sid binary, tokens array<long>").join(named, ["doc_id", "sid"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy(F.lit(0)))  # dealt as the join is
-    return sets.withColumn("place", first).where("place = 1").drop("place", "doc_id", "sid")
+    # A key that two rows share can bring another row's tokens: the set's identity has to be the node's. Repeated rows bring one node's repeatedly.
+    sets = only(docs, named.select("key")).mapInArrow(whole, "key long, sid binary, tokens array<long>").join(named, ["key", "sid"])
+    first = F.row_number().over(Window.partitionBy("key", "sid").orderBy(F.lit(0)))  # dealt as the join is
+    return sets.withColumn("place", first).where("place = 1").drop("place", "key", "sid")
 
 
 def overlaps(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
@@ -185,15 +187,15 @@ def verified(docs: DataFrame, nodes: DataFrame, label: DataFrame, k: int, percen
 
     label: node, component. A component's sets are dealt to blocks of about BLOCK tokens and BLOCK_SETS sets, and each pair
     of blocks is one group: no row is made for a pair. Small components share groups of about SHARED sets. A set is fetched
-    once, and sent as often as its component has blocks, once for most.
+    once, and sent as often as its component has blocks, once for most. docs: key, text; nodes: nid, sid, key, n.
     """
-    found = nodes.select("nid", "sid", "doc_id", "n").join(label.withColumnRenamed("node", "nid"), "nid")
+    found = nodes.select("nid", "sid", "key", "n").join(label.withColumnRenamed("node", "nid"), "nid")
     sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
     sizes = checkpoint(sizes)
     small = sizes.where(F.col("m") <= SHARED).agg(F.sum("m")).first()[0] or 0
     group = F.when(F.col("m") <= SHARED, -1 - F.pmod(F.xxhash64("component"), F.lit(1 + small // SHARED))).otherwise(F.col("component"))
     blocks = F.when(F.col("m") <= SHARED, 1).otherwise(F.col("blocks"))
-    found = found.join(sizes, "component").select("nid", "sid", "doc_id", group.alias("group"), blocks.alias("blocks"), F.pmod(F.xxhash64("nid"), blocks).cast("int").alias("own"))
+    found = found.join(sizes, "component").select("nid", "sid", "key", group.alias("group"), blocks.alias("blocks"), F.pmod(F.xxhash64("nid"), blocks).cast("int").alias("own"))
     dealt = sets_of(docs, found, k).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "tokens")
 
@@ -250,7 +252,8 @@ def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scale = sketch_counts(docs, "text", k)
     signed = table(signatures(docs, k, percent, scale), "jaccard-signed")
     full = signed.where("n > 0")
-    nodes = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", *SKETCHED)])
+    nodes = full.groupBy("sid").agg(F.min(place()).alias("row"), *[F.first(c).alias(c) for c in ("n", "prefix", *SKETCHED)])
+    nodes = nodes.select("sid", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.doc_id", "row.mark").alias("key"), "n", "prefix", *SKETCHED)
     nodes = table(nodes.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
 
     at = nodes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -269,7 +272,7 @@ def marked_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     open_tokens = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     rest = checkpoint(close(candidates(checkpoint(split.join(open_tokens, "token")), percent), nodes, percent))
     label = checkpoint(components(pairs.union(rest), "a", "b"))
-    found = verified(docs, nodes, label, k, percent)
+    found = verified(docs.select(F.xxhash64("doc_id", "mark").alias("key"), "text"), nodes, label, k, percent)
     label = components(found.where("root != nid"), "nid", "root")
     degree = found.groupBy("nid").agg(F.sum("links").alias("links"))
 
@@ -286,28 +289,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     A document's set is its distinct k-word shingles; fewer words make one shingle; no words (or a null text) make the
     empty set, which links with nothing: its component is its own doc_id. component_id is the smallest doc_id of the
-    component; equal sets are linked. Rows with a null doc_id are linked with rows of an equal set only; a component
-    without any id is null. Repeated doc_ids are separate rows. Other columns of docs are ignored. links: how many
+    component; equal sets are linked. Rows with a null doc_id are linked as others; a component without any id is null.
+    Repeated doc_ids are separate rows. An empty table gives no rows. Other columns of docs are ignored. links: how many
     different sets are linked with the row's set.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
     return marked_components(docs, k, percent).drop("mark", "c")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs of which no earlier row (by doc_id) is in the same component; all columns stay.
 
-    The row that stays is the one with the component's smallest doc_id (of rows that repeat that id, the one whose text
-    has the least hash; of equal ones, one). Rows with a null doc_id or without words stay.
+    The row that stays is the one with the component's smallest doc_id (of rows that repeat that id, or have none where no
+    row of the component has one, the one whose text has the least hash; of equal ones, one). Rows without words stay. An
+    empty table stays empty.
     """
-    id_, mark_, first, n = apart(docs, "id", "mark", "first", "n")
+    id_, mark_, none_, first, n = apart(docs, "id", "mark", "none", "first", "n")
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), mark_: mark(F.col("text"))})
     found = marked_components(keyed.select(F.col(id_).alias("doc_id"), F.col(mark_).alias("mark"), "text"), k, percent)
-    stay = found.where("doc_id is not null and n_shingles > 0").groupBy("c").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.mark").alias(n))
+    stay = found.where("n_shingles > 0").groupBy("c").agg(F.min(place()).alias("f"))
     # keys without nulls, so that the join's dealing serves the numbering of equal rows too: texts are shuffled once
-    known = keyed.where(F.col(id_).isNotNull()).withColumn(mark_, F.coalesce(mark_, F.lit(0).cast("long")))
-    stay = stay.select(F.col(first).alias(id_), F.coalesce(n, F.lit(0).cast("long")).alias(mark_), F.lit(True).alias(first))
-    both = known.join(stay, [id_, mark_], "left").withColumn(n, F.row_number().over(Window.partitionBy(id_, mark_).orderBy(F.lit(0))))
+    zero = F.lit(0).cast("long")
+    known = keyed.withColumns({none_: F.col(id_).isNull(), id_: F.coalesce(id_, zero), mark_: F.coalesce(mark_, zero)})
+    stay = stay.select(F.col("f.unknown").alias(none_), F.coalesce("f.doc_id", zero).alias(id_), F.coalesce("f.mark", zero).alias(mark_), F.lit(True).alias(first))
+    both = known.join(stay, [none_, id_, mark_], "left").withColumn(n, F.row_number().over(Window.partitionBy(none_, id_, mark_).orderBy(F.lit(0))))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    both = both.where(wordless | F.col(first).isNotNull() & (F.col(n) == 1))
-    return both.select(*docs.columns).unionByName(keyed.where(F.col(id_).isNull()).select(*docs.columns))
+    return both.where(wordless | F.col(first).isNotNull() & (F.col(n) == 1)).select(*docs.columns)

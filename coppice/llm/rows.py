@@ -23,6 +23,11 @@ def mark(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def place() -> Column:
+    """struct(unknown, doc_id, mark): the order of rows by doc_id, those without one last, and by their text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+
+
 def same(keys: list[tuple[Column, Column]]) -> Column:
     """All pairs of keys are equal, nulls too."""
     out = F.lit(True)
