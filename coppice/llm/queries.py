@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import conversations, decontaminate, fingerprints, language, licenses, line_dedup, manifest, mixing, sharding, url_filter
+from coppice.llm import conversations, decontaminate, fingerprints, language, licenses, line_dedup, manifest, mixing, setsketch, sharding, url_filter
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.token_files import read_tokens, write_tokens
 from coppice.plans.materialize import scratch
@@ -87,6 +87,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows), every=rows)
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -100,4 +104,5 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_manifest": op11_manifest,
     "op12_conversations": op12_conversations,
+    "op13_setsketch": op13_setsketch,
 }
