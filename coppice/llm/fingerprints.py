@@ -86,7 +86,10 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     splits = [-float("inf"), *sorted({float(x) for x in cuts or []}), float("inf")]
     rows = docs.withColumn("_key", -F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))
     splits = sorted({-x for x in splits})
-    rows = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(rows).withColumn("bucket", F.col("_bucket").cast("int")).drop("_bucket", "_key")
+    if len(splits) > 2:
+        rows = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(rows).withColumn("bucket", F.col("_bucket").cast("int")).drop("_bucket", "_key")
+    else:  # no row has an id
+        rows = rows.withColumn("bucket", F.lit(0)).drop("_key")
     # A row a bucket: its largest id, and the bucket that ends before it.
     tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     before = [(b, top, tops[i - 1][0]) for i, (b, top) in enumerate(tops)]
@@ -105,7 +108,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's text, in descending doc_id; after the last comes the first. A null text is empty. Words are cut at
     space and 0x09-0x0D; a text without words has the fingerprint of the empty bag, which is like itself and nothing
-    else. A null doc_id comes last; repeated rows follow each other. Other columns are ignored.
+    else. A null doc_id comes last; repeated rows follow each other. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     partitions = PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))
