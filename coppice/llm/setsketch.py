@@ -7,9 +7,10 @@ similarity decide (M. Ertl, SetSketch: Filling the Gap between MinHash and Hyper
 value; sets that share one in any of BANDS bands are candidates. Of a pair at 0.8 one in 10 ** 9 shares none.
 
 As what is wanted is components, equal sets are one node, and each band value first compares its nodes with one hub. A pair
-whose similarity the likelihood of its register differences rules out is dropped; nodes of a value that then still lie in
-different components are compared with each other, by a sketch of a bit a register before a row is made. All links lie
-within the components of the pairs that remain; these are verified on the full sets, in blocks.
+whose similarity the likelihood of its register differences rules out is dropped. Nodes of a value that then still lie in
+different components are compared with each other by four bits of each register, in blocks of a value's nodes; of the pairs
+that may be links only those come out that join components. All links lie within the components of the pairs that remain;
+these are verified on the full sets, in blocks.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ from coppice.plans.materialize import checkpoint, table
 #: Bands, and registers of a band: one 64-bit value of 16 bits each.
 BANDS, WIDE = 40, 4
 REGISTERS = BANDS * WIDE
-#: 64-bit words of the registers' lowest bits.
-BITS = -(-REGISTERS // 64)
 #: Base of the spacing, rate of the variates, the largest register, and what keeps the smallest sets' registers above 0.
 BASE, RATE, LIMIT, SHIFT = 1.001, 20.0, (1 << 16) - 1, 1024
 #: A pair is dropped where its likelihood at the threshold is this many nats below the best one's: 6 standard deviations.
 NATS = 18.0
-#: A link at 0.8 differs in at most so many of the registers' lowest bits, but for one in 10 ** 9.
-MOST_BITS = 46
+#: A link at 0.8 differs in the low four bits of at most so many registers, but for one in 10 ** 9.
+MOST_UNEQUAL = 66
+#: Nodes of a block of a band value, and nodes of small values that share a group, about.
+BLOCK, SHARED = 1 << 11, 1 << 13
 #: Tokens that are hashed at once.
 STEP = 1 << 16
 _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -117,21 +118,66 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, mark, n, sid (128-bit identity of the set; null where empty), bands (REGISTERS packed), bits (the registers' lowest) of docs(doc_id, mark, text)."""
+    """doc_id, mark, n, sid (128-bit identity of the set; null where empty), bands (REGISTERS packed), low (the registers' low four bits) of docs(doc_id, mark, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(x) for _, x in shingles(batch.column(2), k)]
             full = [s for s in sets if len(s)]
             found = registers(least_hashes(full)) if full else np.zeros((0, REGISTERS), np.uint16)
-            lowest = np.zeros((len(full), BITS * 8), np.uint8)
-            lowest[:, : REGISTERS // 8] = np.packbits((found & 1).astype(np.uint8), axis=1)
-            has = np.array([len(s) > 0 for s in sets], np.int64)
-            listed = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * wide)]).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64))) for wide, x in ((BANDS, found), (BITS, lowest))]
+            nibbles = (found & 15).astype(np.uint8)
+            packed = iter(nibbles[:, ::2] << 4 | nibbles[:, 1::2])
+            low = [next(packed).tobytes() if len(s) else None for s in sets]
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])]).astype(np.int32)), pa.array(found.reshape(-1).view(np.int64)))
             sid = [identity(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), *listed], ["doc_id", "mark", "n", "sid", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), bands, pa.array(low, pa.binary())], ["doc_id", "mark", "n", "sid", "bands", "low"])
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(sign, "doc_id long, mark long, n long, sid binary, bands array<long>, low binary")
+
+
+def spanning(hubs: np.ndarray, others: np.ndarray, label: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs of hubs and others that may be links, as many as join their components; label (of each node) is changed."""
+    out: list[tuple[int, int]] = []
+    for hub in hubs:
+        rest = others[label[others] != label[hub]]
+        if len(rest):
+            m = n[rest]
+            rest = rest[np.minimum(m, n[hub]) * 100 >= np.maximum(m, n[hub]) * percent]
+            rest = rest[(low[rest] != low[hub]).sum(axis=1) <= MOST_UNEQUAL]
+            for c, i in zip(*np.unique(label[rest], return_index=True), strict=True):
+                out.append((hub, rest[i]))
+                label[label == c] = label[hub]
+    return out
+
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(sign, "doc_id long, mark long, n long, sid binary, bands array<long>, bits array<long>")
+def joining(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(band, value, nid, n, c, low, held) that share a band value and may be links: no more than join
+    the different components c of a value's nodes, in each pair of blocks of the value. Values of few nodes share groups."""
+    total = members.where(F.col("held") <= BLOCK).count()
+    key = F.xxhash64("band", "value")
+    group = F.when(F.col("held") <= BLOCK, -1 - F.pmod(key, F.lit(1 + total // SHARED))).otherwise(key.bitwiseAND(F.lit((1 << 63) - 1)))
+    blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
+    dealt = members.select(group.alias("group"), "band", "value", "nid", "n", "c", "low", F.pmod(F.xxhash64("nid"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        rows = rows.combine_chunks()
+        band, value, nid, n, c, own = (rows[x].to_numpy() for x in ("band", "value", "nid", "n", "c", "own"))
+        packed = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(-1, REGISTERS // 2)
+        low = np.concatenate([packed >> 4, packed & 15], axis=1)
+        order = np.lexsort((nid, value, band))
+        cuts = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(value[order]) != 0)) + 1
+        out = []
+        for at in np.split(order, cuts):
+            label = c[at]
+            if (label != label[0]).any():
+                sides = [np.flatnonzero(own[at] == x) for x in (i, j)]
+                out += [(at[x], at[y]) for x, y in spanning(*sides, label, n[at], low[at], percent)]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": nid[pairs[:, 0]], "b": nid[pairs[:, 1]]})
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +207,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("bands find pairs of similarity 0.8 and more")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
     signed = table(signatures(docs, k), "sketch-signed")
-    nodes = signed.where("n > 0").groupBy("sid").agg(F.min(place()).alias("row"), *[F.first(c).alias(c) for c in ("n", "bands", "bits")])
-    nodes = table(nodes.select("sid", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.doc_id", "row.mark").alias("key"), "n", "bands", "bits", F.monotonically_increasing_id().alias("nid")), "sketch-nodes")
+    nodes = signed.where("n > 0").groupBy("sid").agg(F.min(place()).alias("row"), *[F.first(c).alias(c) for c in ("n", "bands", "low")])
+    nodes = table(nodes.select("sid", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.doc_id", "row.mark").alias("key"), "n", "bands", "low", F.monotonically_increasing_id().alias("nid")), "sketch-nodes")
 
     at = nodes.select("nid", "n", F.posexplode("bands").alias("band", "value"))
     hubs = at.groupBy("band", "value").agg(F.count("*").alias("held"), F.min(F.struct("nid", "n")).alias("hub")).where("held > 1")
@@ -175,12 +221,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(pairs, "a", "b")
     some = at.join(hubs.where("held > 2").select("band", "value"), ["band", "value"]).join(label.withColumnRenamed("node", "nid"), "nid", "left")
     some = table(some.select("band", "value", "nid", "n", F.coalesce("component", "nid").alias("c")), "sketch-open")
-    several = some.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "value")
-    some = some.join(several, ["band", "value"]).join(nodes.select("nid", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS)]), "nid")
-    x, y = some.alias("x"), some.alias("y")
-    bits = sum((F.bit_count(F.col(f"x.bits{i}").bitwiseXOR(F.col(f"y.bits{i}"))) for i in range(BITS)), F.lit(0))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.c") < F.col("y.c")) & sizes_allow(F.col("x.n"), F.col("y.n"), percent) & (bits <= MOST_BITS))
-    rest = checkpoint(likely(met.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct(), nodes, percent))
+    several = some.groupBy("band", "value").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("held")).where("least < most").select("band", "value", "held")
+    members = some.join(several, ["band", "value"]).join(nodes.select("nid", "low"), "nid")
+    rest = checkpoint(joining(members, percent))
 
     label = checkpoint(components(pairs.union(rest), "a", "b"))
     found = verified(docs.select(F.xxhash64("doc_id", "mark").alias("key"), "text"), nodes, label, k, percent)
