@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The multiplier and modulus of the portable generator, and the smallest argument of a logarithm.
-MULTIPLIER, MODULUS, TINY = 16807, 2147483647, 1e-6
+#: The multipliers and modulus of the portable generator, and the smallest argument of a logarithm.
+MULTIPLIER, HIGH, MODULUS, TINY = 16807, 48271, 2147483647, 1e-6
 
 
 def log2(x: Column) -> Column:
@@ -15,10 +16,14 @@ def log2(x: Column) -> Column:
 
 
 def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
-    """A portable pseudo-random integer in [0, MODULUS) of a key: the same in any engine with 64-bit integers.
-
-    The shifted xor keeps it from being a linear map of the key, under which neighbouring keys would be spaced evenly."""
-    x = F.pmod(key.cast("long") + seed * 7919, F.lit(MODULUS))
+    """A portable pseudo-random integer in [0, MODULUS) of a 64-bit key: the same in any engine with 64-bit integers.
+
+    The shifted xor keeps it from being a linear map of the key, under which neighbouring keys would be spaced evenly. What
+    the key has above the modulus is stirred in, so that draws don't repeat with it."""
+    key = key.cast("long")
+    over = lambda x: F.call_function("div", x, F.lit(MODULUS))
+    high = F.pmod(F.when(key >= 0, over(key)).otherwise(over(key + 1) - 1), F.lit(MODULUS)) * HIGH % MODULUS
+    x = ((F.pmod(key, F.lit(MODULUS)) + seed * 7919) % MODULUS).bitwiseXOR(high) % MODULUS
     for _ in range(rounds):
         x = (x * MULTIPLIER + 12345) % MODULUS
         x = x.bitwiseXOR(F.shiftright(x, 15)) % MODULUS
@@ -26,14 +31,35 @@ def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
 
 
 def draw_sql(key: str, seed: int = 1, rounds: int = 3) -> str:
-    """The same as SQL text."""
-    x = f"((CAST({key} AS BIGINT) + {seed * 7919}) % {MODULUS})"
+    """The same as SQL text, for keys of 0 and above."""
+    key = f"CAST({key} AS BIGINT)"
+    x = f"(xor(({key} + {seed * 7919}) % {MODULUS}, ({key} // {MODULUS}) % {MODULUS} * {HIGH} % {MODULUS}) % {MODULUS})"
     for _ in range(rounds):
         x = f"(({x} * {MULTIPLIER} + 12345) % {MODULUS})"
         x = f"(xor({x}, {x} >> 15) % {MODULUS})"
     return x
 
 
+def drawn(key: np.ndarray, seed: int = 1, rounds: int = 3) -> np.ndarray:
+    """The same of an array of 64-bit keys."""
+    key = np.asarray(key, np.int64)
+    x = ((key % MODULUS + seed * 7919) % MODULUS ^ (key // MODULUS) % MODULUS * HIGH % MODULUS) % MODULUS
+    for _ in range(rounds):
+        x = (x * MULTIPLIER + 12345) % MODULUS
+        x = (x ^ (x >> 15)) % MODULUS
+    return x
+
+
+def wide_draw(key: Column, seed: int = 1) -> Column:
+    """A portable pseudo-random integer below MODULUS ** 2, about 2 ** 62: where the remainder by a number of rows is wanted."""
+    return draw(key, seed) * MODULUS + draw(key, seed + 1)
+
+
+def wide_sql(key: str, seed: int = 1) -> str:
+    """The same as SQL text."""
+    return f"({draw_sql(key, seed)} * {MODULUS} + {draw_sql(key, seed + 1)})"
+
+
 def class_from_thresholds(value: Column, thresholds: list[float]) -> Column:
     """The first i with value <= thresholds[i], else the last class; null stays null."""
     out = F.lit(len(thresholds))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coppice.operators import metrics, prep, sampling, scoring, train
 from coppice.operators.grow import grow
 from coppice.operators.scoring import Node
+from coppice.operators.votes import VoteStore
 from coppice.plans.materialize import checkpoint, table
 from coppice.sources.models import Ensemble
 
@@ -98,6 +99,8 @@ class Model:
     ensemble: Ensemble
     imputed: DataFrame | None = None  # a row: what replaces missing values
     trace: DataFrame | None = None  # out-of-bag curve of a training that watches it
+    cast: VoteStore | None = None  # the out-of-bag votes of such a training
+    tests: DataFrame | None = None  # curve of the rows that were tested while training: tree, rows, error, accuracy
 
     @property
     def trees(self) -> list[Node]:
@@ -123,15 +126,21 @@ def predicted(tally: DataFrame, classes: int, boosted: bool = False) -> DataFram
     return tally.withColumn("pred", scoring.winner([F.col(f"{'v' if boosted else 'p'}{k}") for k in range(classes)]))
 
 
-def fit(rows: DataFrame, row: str, attributes: list[str], classes: int, options: Options = Options(), discrete: dict[str, int] | None = None) -> Model:
+def fit(rows: DataFrame, row: str, attributes: list[str], classes: int, options: Options = Options(), discrete: dict[str, int] | None = None, test: DataFrame | None = None) -> Model:
     """A model of rows(row, label, attributes). Missing values are replaced by the median or mode of the rows; rows without
-    a label take no part. Sequential kinds (boosting, ivoting) and stopping grow tree by tree or block by block."""
+    a label take no part. Sequential kinds (boosting, ivoting) and stopping grow tree by tree or block by block.
+
+    test: rows with labels whose vote is followed while training, tree by tree (but for boosted trees, whose weights are
+    known at the end only)."""
     discrete = discrete or {}
     known = rows.where("label is not null").select(row, "label", *attributes)
     imputed = checkpoint(prep.imputed_values(known, [a for a in attributes if a not in discrete], [a for a in attributes if a in discrete]))
     known = table(prep.impute(known, imputed), "training")
     o, kinds = options, options.growth(len(attributes)) | {"discrete": discrete}
-    made = Ensemble((), classes, tuple(attributes), discrete)
+    values = imputed.first()
+    made = Ensemble((), classes, tuple(attributes), discrete, imputed=tuple("" if values[a] is None else f"{values[a]:g}" for a in attributes))
+    if test is not None:
+        test = table(prep.impute(test.where("label is not null").select(row, "label", *attributes), imputed), "training-test")
     if o.smote:
         known = table(with_synthetic(known, row, attributes, discrete, o, o.smote == "closed"), "training-smote")
     if o.boosting or o.smoteboost:
@@ -140,28 +149,71 @@ def fit(rows: DataFrame, row: str, attributes: list[str], classes: int, options:
         return Model(replace(made, trees=tuple(trees), betas=tuple(betas)), imputed)
     if o.ivoting or o.majority_ivoting:
         quotas = clumps(known, o.minority)[0] if o.majority_ivoting else None
-        trees, errors = train.ivote(known, row, attributes, classes, o.trees, o.bite, o.factor, seed=o.seed, growth=kinds, quotas=quotas)
+        trees, errors, cast, told = train.ivote(known, row, attributes, classes, o.trees, o.bite, o.factor, seed=o.seed, growth=kinds, quotas=quotas, test=test)
         trace = known.sparkSession.createDataFrame(list(enumerate(errors)), "tree int, error double")
-        return Model(replace(made, trees=tuple(trees)), imputed, trace)
-    trees, trace = [], None
-    cast = None
+        return Model(replace(made, trees=tuple(trees)), imputed, trace, cast, told)
+    trees, trace, told = [], None, None
+    cast = VoteStore(known.sparkSession, row, classes, "oob-votes") if o.stopping else None
+    tests = VoteStore(known.sparkSession, row, classes, "test-votes") if test is not None else None
     while len(trees) < o.trees:
         n = min(o.build, o.trees - len(trees)) if o.stopping else o.trees
         bags = drawn_bags(known, row, n, replace(o, seed=o.seed + len(trees)), len(trees))
         masks = subspaces(known.sparkSession, len(attributes), n, o.subspaces, o.seed + len(trees))
         trees += grow(known, row, attributes, classes, bags, n, masks=masks, **kinds | {"seed": o.seed + len(trees)})
+        said = lambda df: scoring.votes(df, [row, "label"], trees[-n:], classes).select(row, "label", "tree", "pred")
+        numbered = F.col("tree") + (len(trees) - n)
+        if tests is not None:
+            told = joined(told, tests.append(said(test).withColumn("tree", numbered)))
         if not o.stopping:
             break
-        # votes of the new trees on rows out of their bags; earlier ones stay written
-        new = scoring.votes(known, [row, "label"], trees[-n:], classes).select(row, "label", "tree", "pred").join(bags.select(row, "tree"), [row, "tree"], "left_anti")
-        new = new.withColumn("tree", F.col("tree") + (len(trees) - n))
-        cast = table(new if cast is None else cast.unionByName(new), "oob-votes")
-        trace = checkpoint(scoring.oob_curve(cast, cast.limit(0).select(row, "tree"), classes, row))
+        # votes of the new trees on rows out of their bags
+        curve = cast.append(said(known).join(bags.select(row, "tree"), [row, "tree"], "left_anti").withColumn("tree", numbered))
+        trace = joined(trace, curve.withColumnRenamed("rows", "oob_rows"))
         stop = scoring.stopping_point(trace, o.slide, o.build).first()
         if stop is not None:
             trees = trees[: stop["stop_tree"] + 1]
             break
-    return Model(replace(made, trees=tuple(trees)), imputed, trace)
+    return Model(replace(made, trees=tuple(trees)), imputed, trace, cast, told)
+
+
+def joined(curve: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if curve is None else checkpoint(curve.unionByName(more))  # a row a tree
+
+
+def fit_partitions(rows: DataFrame, row: str, attributes: list[str], classes: int, part: str, options: Options = Options(), discrete: dict[str, int] | None = None) -> dict[object, Model]:
+    """A model for each value of part (not null), of that value's rows alone: ensembles to be combined by scoring.combine.
+
+    All grow in one go: a value's trees are those whose bags hold its rows, and a level is one pass for all of them. Options
+    are those of trees that don't depend on each other. A value's rows have their own medians and modes."""
+    o, discrete = options, discrete or {}
+    if o.boosting or o.smoteboost or o.ivoting or o.majority_ivoting or o.stopping or o.smote or o.balanced or o.majority_bagging:
+        raise ValueError("partitions grow together only where trees don't depend on each other")
+    known = rows.where(F.col("label").isNotNull() & F.col(part).isNotNull()).select(row, "label", F.col(part).alias("_part"), *attributes)
+    sizes = {r["_part"]: r["n"] for r in known.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a model
+    values = sorted(sizes)
+    numbers, codes = [a for a in attributes if a not in discrete], [a for a in attributes if a in discrete]
+    imputed = checkpoint(prep.imputed_by(known, ["_part"], numbers, codes))
+    filled = known.join(F.broadcast(imputed.select("_part", *[F.col(a).alias(f"_i_{a}") for a in attributes])), "_part")  # a row a model
+    number = F.create_map(*[F.lit(x) for p in enumerate(values) for x in reversed(p)])[F.col("_part")]
+    filled = table(filled.select(row, "label", "_part", number.alias("_number"), *[F.coalesce(a, f"_i_{a}").alias(a) for a in attributes]), "partitions")
+    if o.bagging is None:
+        bags = filled.select(row, F.explode(F.sequence(F.col("_number") * o.trees, F.col("_number") * o.trees + (o.trees - 1))).alias("tree"), F.lit(1).cast("long").alias("weight"))
+    else:
+        placed = table(sampling.shuffled_places(filled.select(row, "_part"), row, "_part", o.seed), "partition-places")
+        each = [sampling.bag(placed.where(F.col("_part") == F.lit(v)), row, sizes[v], o.trees, o.bagging, o.seed + i).withColumn("tree", F.col("tree") + i * o.trees) for i, v in enumerate(values)]
+        bags = prep.union_all(each)
+    masks = subspaces(rows.sparkSession, len(attributes), len(values) * o.trees, o.subspaces, o.seed)
+    trees = grow(filled, row, attributes, classes, table(bags, "partition-bags"), len(values) * o.trees, discrete=discrete, masks=masks, **o.growth(len(attributes)))
+    out = {}
+    for i, v in enumerate(values):
+        out[v] = Model(Ensemble(tuple(trees[i * o.trees : (i + 1) * o.trees]), classes, tuple(attributes), discrete), imputed.where(F.col("_part") == F.lit(v)).drop("_part"))
+    return out
+
+
+def partition_votes(models: dict[object, Model], rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, ensemble (from 0, in the order of models), v0.., p0..: what each model's trees say of every row; for scoring.combine."""
+    each = [scoring.tally(m.votes(rows, keep), keep, m.ensemble.classes).withColumn("ensemble", F.lit(i)) for i, m in enumerate(models.values())]
+    return prep.union_all(each)
 
 
 def drawn_bags(rows: DataFrame, row: str, trees: int, o: Options, first: int = 0) -> DataFrame | None:
@@ -218,7 +270,8 @@ def cross_validated(rows: DataFrame, row: str, attributes: list[str], classes: i
     """iter, fold, row, label, v0.., p0.., pred of every labelled row by the model of the rows outside its fold.
 
     Folds are stratified; repeats deals them anew (5 repeats of 2 folds: 5x2). Where trees don't depend on each other,
-    those of all folds grow together, each fold's bags holding none of its rows; else the folds are trained in turn."""
+    those of all folds grow together, each fold's bags holding none of its rows; else, and where values are missing (which
+    each fold replaces by those of its own training rows), the folds are trained in turn."""
     o = options
     known = rows.where("label is not null").select(row, "label", *attributes)
     out = []
@@ -226,8 +279,9 @@ def cross_validated(rows: DataFrame, row: str, attributes: list[str], classes: i
         dealt = table(sampling.stratified_folds(known, row, "label", folds, o.seed + i), "folds")
         together = not (o.boosting or o.smoteboost or o.ivoting or o.majority_ivoting or o.stopping or o.smote or o.balanced or o.majority_bagging or o.subspaces)
         keep = ["fold", row, "label"]
-        if together:
-            filled = prep.impute(dealt, checkpoint(prep.imputed_values(dealt, [a for a in attributes if a not in (discrete or {})], [a for a in attributes if a in (discrete or {})])))
+        holes = F.greatest(F.lit(0), *[F.max(F.when(F.col(a).isNull() | F.isnan(F.col(a).cast("double")), 1).otherwise(0)) for a in attributes])
+        if together and not dealt.agg(holes.alias("any")).first()["any"]:
+            filled = dealt
             bags = []
             for f in range(folds):
                 outside = dealt.where(F.col("fold") != f).select(row)

@@ -1,4 +1,4 @@
-"""Level-synchronous tree growth: all trees and nodes of a level in one job."""
+"""Tree growth: large nodes of all trees level by level in one job a level, small ones whole, each in a task."""
 
 from __future__ import annotations
 
@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.scalars import MODULUS, draw
+from coppice.operators import sampling, scoring, split
 from coppice.operators.scoring import Flat, Node, matrix
-from coppice.operators import sampling, split
+from coppice.operators.subtree import Data, Rules, child_key, grown, root_key, stops
 from coppice.plans.materialize import checkpoint, table
 
 #: Bound of a model under growth: its nodes are on the driver and are sent to the tasks.
-MOST_NODES = 1 << 20
+MOST_NODES = 1 << 22
+#: Rows, and values, of a node that one task finishes.
+SMALL_ROWS, SMALL_VALUES = 1 << 17, 1 << 23
 
 
 def grow(
@@ -37,6 +40,7 @@ def grow(
     zero_gain: bool = False,
     collapse: bool = True,
     subsample: int = 0,
+    small: int | None = None,
 ) -> list[Node]:
     """Trees on rows(row, label, attributes); bags(tree, row, weight) or all rows once for each tree.
 
@@ -50,80 +54,111 @@ def grow(
     code that isn't declared. Children that all say one class are merged; with collapse, a subtree that errs no less than
     its majority becomes a leaf. An empty branch says its parent's class.
 
-    Rows are held once, with an array of their weights in all trees. A level is a pass that finds their nodes (flat arrays
-    in tasks), one histogram with partial sums before its shuffle and one scan; nothing else is kept between levels, and
-    only a row a node comes to the driver: MOST_NODES at most, else it raises.
+    Rows are held once, with an array of their weights in all trees. A level is a pass that finds the large nodes' rows (flat
+    arrays in tasks), one histogram with partial sums before its shuffle and one scan; the sides of a cut are its children's
+    counts. Nodes of at most small rows (SMALL_ROWS, fewer if there are many attributes) are then dealt to tasks whole, in one
+    more pass. Random choices depend on a node's place in its tree alone, so that both ways grow the same tree. Only nodes come
+    to the driver: MOST_NODES at most, else it raises.
     """
     discrete = discrete or {}
-    data = held(rows, row, attributes, bags, trees)
-    growing = [Growing() for _ in range(trees)]
-    for t in growing:
-        t.add(None)
     numbers = [i for i, a in enumerate(attributes) if a not in discrete]
     codes = [i for i, a in enumerate(attributes) if a in discrete]
-    keys, level = ["tree", "node"], 0
+    rules = Rules(len(attributes), classes, criterion, depth, attributes_a_node, seed, {attributes.index(a): n for a, n in discrete.items()}, masks, cuts, fixed, dynamic, zero_gain, subsample)
+    if small is None:
+        small = min(SMALL_ROWS, SMALL_VALUES // max(1, len(attributes)))
+    data = held(rows, row, attributes, bags, trees)
+    growing = [Growing(t) for t in range(trees)]
+    keys, level = ["tree", "node", "place"], 0
     while any(t.open for t in growing):
         if sum(len(t.counts) for t in growing) > MOST_NODES:
             raise ValueError(f"more than {MOST_NODES} nodes")
-        active = placed(data, row, attributes, growing)
-        sums = active.groupBy(*keys).agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
-        for r in sums.collect():  # a row a node
-            growing[r["tree"]].counts[r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
+        if any(t.counts[i] is None for t in growing for i in t.open):
+            active = placed(data, row, attributes, growing)
+            sums = active.groupBy("tree", "node").agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
+            for r in sums.collect():  # a row a node
+                growing[r["tree"]].counts[r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
         for t in growing:
-            t.open = [i for i in t.open if t.counts[i] is not None and not stops(t.counts[i], classes, fixed, dynamic)]
-        if level == depth or not any(t.open for t in growing):
+            t.open = [i for i in t.open if t.counts[i] is not None and sum(t.counts[i]) and not stops(t.counts[i], classes, fixed, dynamic)] if level != depth else []
+            t.ready += [(i, level) for i in t.open if sum(t.counts[i]) <= small]
+            t.open = [i for i in t.open if sum(t.counts[i]) > small]
+        if not any(t.open for t in growing):
             break
         active = placed(data, row, attributes, growing)
         if subsample:
-            active = sampling.node_sample(active.withColumn("_at", F.col("tree").cast("long") * (1 << 32) + F.col("node")), row, "_at", subsample, seed + level).drop("_at")
+            active = sampling.node_sample(active.withColumn("_unit", F.col("tree").cast("long") * (1 << 32) + F.col("node")), row, "_unit", subsample, seed + level).drop("_unit")
         parts = F.array(*[F.struct(F.lit(i).alias("attribute"), F.col(c).alias("value")) for i, c in enumerate(attributes)])
         long = active.select(*keys, "label", "weight", F.explode(parts).alias("x")).select(*keys, "label", "weight", "x.*")
         if masks:
             allowed = rows.sparkSession.createDataFrame([(t, a) for t, own in masks.items() for a in own], "tree int, attribute int")
             long = long.join(F.broadcast(allowed), ["tree", "attribute"])  # trees x attributes at most
         hist = checkpoint(split.histogram(long, keys, classes, weight=F.col("weight")))
-        seeded = (F.col("tree") * 100003 + F.col("node")) * 101 + F.col("attribute")
+        seeded = F.col("place") + F.col("attribute") * 1000003
         found = []
+        sides = [f"l{k}" for k in range(classes)]
         if numbers:
             own = hist.where(F.col("attribute").isin(numbers))
             all_cuts = split.candidates(own, keys, classes, fixed, dynamic)
             share = draw(seeded, seed + 1) / F.lit(float(MODULUS))
             if cuts == "best":
-                found.append(split.best_cuts(all_cuts, keys, classes, criterion).select(*keys, "attribute", "threshold", "score"))
+                found.append(split.best_cuts(all_cuts, keys, classes, criterion).select(*keys, "attribute", "threshold", "score", *sides))
             elif cuts == "extremely_random":
                 found.append(split.extremely_random_cuts(own, all_cuts, keys, classes, share))
             else:
                 found.append(split.totally_random_cuts(all_cuts, keys, share, (draw(seeded, seed + 2) + 1) / F.lit(float(MODULUS))))
         if codes:
             own = hist.where(F.col("attribute").isin(codes))
-            used = [(t, i, a) for t, g in enumerate(growing) for i in g.open for a in g.used(i) if a in codes]
+            used = [(g.tree, i, a) for g in growing for i in g.open for a in g.used(i) if a in codes]
             if used:
-                own = own.join(rows.sparkSession.createDataFrame(used, "tree int, node int, attribute int"), [*keys, "attribute"], "left_anti")
+                own = own.join(rows.sparkSession.createDataFrame(used, "tree int, node int, attribute int"), ["tree", "node", "attribute"], "left_anti")
             scores = split.discrete_splits(own, keys, classes, "gainratio" if cuts == "extremely_random" else criterion, fixed, dynamic)
             if cuts == "totally_random":
                 scores = scores.withColumn("score", (draw(seeded, seed + 2) + 1) / F.lit(float(MODULUS)))
             found.append(scores)
-        scored = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        scored = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
         if attributes_a_node:
             order = Window.partitionBy(*keys).orderBy(draw(seeded, seed), "attribute")  # an attribute a row
             scored = scored.where("score is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= attributes_a_node).drop("_r")
-        chosen = split.best_attribute(scored, keys, zero_gain).select(*keys, "attribute", "threshold").collect()
+        known = [c for c in sides if c in scored.columns] if not subsample else []
+        chosen = split.best_attribute(scored, keys, zero_gain).select("tree", "node", "attribute", "threshold", *known).collect()
         for t in growing:
             t.open = []
-        for r in sorted(chosen):
-            growing[r["tree"]].divide(r["node"], r["attribute"], r["threshold"], 2 if r["threshold"] is not None else discrete[attributes[r["attribute"]]])
+        for r in sorted(chosen, key=lambda r: (r["tree"], r["node"])):
+            t = growing[r["tree"]]
+            t.divide(r["node"], r["attribute"], r["threshold"], 2 if r["threshold"] is not None else discrete[attributes[r["attribute"]]])
+            if known and r["threshold"] is not None:  # nulls are with the values above the cut
+                left = tuple(int(r[c]) for c in known)
+                t.counts[-2:] = left, tuple(n - x for n, x in zip(t.counts[r["node"]], left, strict=True))
         level += 1
+    finish(data, row, attributes, growing, rules, small)
+    if sum(len(t.counts) for t in growing) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
     return [t.finished(attributes, classes, collapse) for t in growing]
 
 
-def least_rows(n: int, classes: int, fixed: int, dynamic: bool) -> int:
-    return min(25, max(fixed, int(n * 0.1 / classes))) if dynamic else fixed
+def finish(data: DataFrame, row: str, attributes: list[str], growing: list[Growing], rules: Rules, small: int) -> None:
+    """Grows the subtrees of the ready nodes, each in a task, and hangs them on their trees."""
+    known = {(t.tree, i): (t.key[i], frozenset(a for a in t.used(i) if a in rules.discrete), level) for t in growing for i, level in t.ready}
+    if not known:
+        return
+    of = data.sparkSession.sparkContext.broadcast(known)
+    n = sum(sum(t.counts[i]) for t in growing for i, _ in t.ready)
+    for t in growing:
+        t.open, t.ready = [i for i, _ in t.ready], []
 
+    def subtree(key: tuple, own: pa.Table) -> pa.Table:
+        tree, node = (x.as_py() for x in key)
+        place, used, level = of.value[tree, node]
+        own = own.sort_by(row).combine_chunks()
+        rows = own[row].to_numpy() if pa.types.is_integer(own.schema.field(row).type) else np.arange(own.num_rows)
+        found = grown(Data(matrix([own[a] for a in attributes], own.num_rows), own["label"].to_numpy(), own["weight"].to_numpy(), rows), tree, place, used, level, rules)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()), "attribute": pa.array([found.attribute], pa.list_(pa.int32())), "threshold": pa.array([found.threshold], pa.list_(pa.float64())), "first": pa.array([found.first], pa.list_(pa.int32())), "children": pa.array([found.children], pa.list_(pa.int32())), "counts": pa.array([found.counts], pa.list_(pa.int64()))})
 
-def stops(counts: tuple[int, ...], classes: int, fixed: int = 2, dynamic: bool = True) -> bool:
-    """Whether a node is pure or too small to have two branches of the least size."""
-    n = sum(counts)
-    return max(counts) == n or n < 2 * least_rows(n, classes, fixed, dynamic)
+    # a number of its own isn't coalesced: a group is much work on little data
+    partitions = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(8 * len(known), 256), n // (4 * small))
+    active = placed(data, row, attributes, growing).select("tree", "node", "weight", row, "label", *attributes).repartition(partitions, "tree", "node")
+    out = active.groupBy("tree", "node").applyInArrow(subtree, "tree int, node int, attribute array<int>, threshold array<double>, first array<int>, children array<int>, counts array<long>").toArrow()
+    for r in sorted(out.to_pylist(), key=lambda r: (r["tree"], r["node"])):
+        growing[r["tree"]].hang(r["node"], r["attribute"], r["threshold"], r["first"], r["children"], r["counts"], rules.classes)
 
 
 def held(rows: DataFrame, row: str, attributes: list[str], bags: DataFrame | None, trees: int) -> DataFrame:
@@ -137,24 +172,42 @@ def held(rows: DataFrame, row: str, attributes: list[str], bags: DataFrame | Non
 
 
 class Growing:
-    """A tree under growth: of each node its parent, counts and split."""
+    """A tree under growth: of each node its parent, key, counts and split."""
 
-    def __init__(self) -> None:
+    def __init__(self, tree: int) -> None:
+        self.tree = tree
         self.parent: list[int | None] = []
+        self.key: list[int] = []
         self.counts: list[tuple[int, ...] | None] = []
         self.split: list[tuple[int, float | None, int, int] | None] = []  # attribute, threshold, first child, children
         self.open: list[int] = []
+        self.ready: list[tuple[int, int]] = []  # small nodes and their levels
+        self.add(None, root_key(tree))
 
-    def add(self, parent: int | None) -> None:
+    def add(self, parent: int | None, key: int) -> None:
         self.open.append(len(self.parent))
         self.parent.append(parent)
+        self.key.append(key)
         self.counts.append(None)
         self.split.append(None)
 
     def divide(self, node: int, attribute: int, threshold: float | None, children: int) -> None:
         self.split[node] = attribute, threshold, len(self.parent), children
-        for _ in range(children):
-            self.add(node)
+        for i in range(children):
+            self.add(node, child_key(self.key[node], i))
+
+    def hang(self, node: int, attribute: list[int], threshold: list[float | None], first: list[int], children: list[int], counts: list[int], classes: int) -> None:
+        """Puts a subtree in place of a node; its own nodes but the first are added in order."""
+        base = len(self.parent) - 1
+        place = lambda i: base + i if i else node
+        self.parent += [None] * (len(attribute) - 1)
+        self.counts += [tuple(counts[i * classes : (i + 1) * classes]) for i in range(1, len(attribute))]
+        self.split += [None] * (len(attribute) - 1)
+        for i, a in enumerate(attribute):
+            if a >= 0:
+                self.split[place(i)] = a, threshold[i], place(first[i]), children[i]
+                for k in range(first[i], first[i] + children[i]):
+                    self.parent[place(k)] = place(i)
 
     def used(self, node: int) -> set[int]:
         out = set()
@@ -168,68 +221,67 @@ class Growing:
 
     def finished(self, attributes: list[str], classes: int, collapse: bool) -> Node:
         out: dict[int, Node] = {}
-        for i in reversed(range(len(self.parent))):  # children come after their parents
-            counts, seen = self.counts[i], True
-            up = i
-            while counts is None or not sum(counts):  # an empty branch
-                up, seen = self.parent[up], False
-                if up is None:
-                    counts = (0,) * classes
-                    break
-                counts = self.counts[up]
+        wrong: dict[int, int] = {}
+        full: list[tuple[int, ...]] = []  # counts; those of an empty branch are its parent's
+        for i, counts in enumerate(self.counts):  # parents come before their children
+            up = self.parent[i]
+            full.append(counts if counts is not None and sum(counts) else (0,) * classes if up is None else full[up])
+        for i in reversed(range(len(self.parent))):
+            counts = full[i]
+            seen = self.counts[i] is not None and sum(self.counts[i]) > 0
             leaf = Node(i + 1, label=counts.index(max(counts)), counts=counts, seen=seen)
+            own = sum(counts) - max(counts) if seen else 0
             if self.split[i] is None:
-                out[i] = leaf
+                out[i], wrong[i] = leaf, own
                 continue
             attribute, threshold, first, n = self.split[i]
-            kids = tuple(out[first + k] for k in range(n))
+            kids = tuple(out.pop(first + k) for k in range(n))
+            below = sum(wrong.pop(first + k) for k in range(n))
             alike = all(k.attribute is None and k.label == leaf.label for k in kids)
-            worse = collapse and sum(errors(k) for k in kids) >= sum(counts) - max(counts)
-            out[i] = leaf if alike or worse else Node(i + 1, attributes[attribute], threshold, kids, leaf.label, counts)
+            if alike or (collapse and below >= own):
+                out[i], wrong[i] = leaf, own
+            else:
+                out[i], wrong[i] = Node(i + 1, attributes[attribute], threshold, kids, leaf.label, counts), below
         return out[0]
 
 
 def placed(data: DataFrame, row: str, attributes: list[str], growing: list[Growing]) -> DataFrame:
-    """tree, node, weight, row, label, attributes: the open node of each row in each tree whose bag has it."""
+    """tree, node, place (the node's key), weight, row, label, attributes: the open node of each row in each tree whose bag has it."""
     flats = data.sparkSession.sparkContext.broadcast([t.flat() for t in growing])
-    ready = data.sparkSession.sparkContext.broadcast([np.array(sorted(t.open), np.int64) for t in growing])
+    ready = data.sparkSession.sparkContext.broadcast([(np.array(sorted(t.open), np.int64), np.array([t.key[i] for i in sorted(t.open)], np.int64)) for t in growing])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = matrix([batch.column(2 + i) for i in range(len(attributes))], batch.num_rows)
             nodes = np.full((batch.num_rows, len(flats.value)), -1, np.int32)
-            for t, (flat, opened) in enumerate(zip(flats.value, ready.value, strict=True)):
+            places = np.zeros(nodes.shape, np.int64)
+            for t, (flat, (opened, keys)) in enumerate(zip(flats.value, ready.value, strict=True)):
                 if len(opened):
                     at = flat.walk(values)
-                    nodes[:, t] = np.where(np.isin(at, opened), at, -1)
+                    found = np.minimum(np.searchsorted(opened, at), len(opened) - 1)
+                    nodes[:, t] = np.where(opened[found] == at, at, -1)
+                    places[:, t] = keys[found]
             offsets = pa.array(np.arange(0, nodes.size + 1, max(1, nodes.shape[1]), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(nodes.reshape(-1)))], [*batch.schema.names, "nodes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (nodes, places)]], [*batch.schema.names, "nodes", "places"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
-    found = data.select(row, "label", *attributes, "weights").mapInArrow(route, f"{kinds}, nodes array<int>")
-    found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "weights")).alias("tree", "_at"))
-    return found.select("tree", F.col("_at.nodes").alias("node"), F.col("_at.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
+    found = data.select(row, "label", *attributes, "weights").mapInArrow(route, f"{kinds}, nodes array<int>, places array<long>")
+    found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "places", "weights")).alias("tree", "_at"))
+    return found.select("tree", F.col("_at.nodes").alias("node"), F.col("_at.places").alias("place"), F.col("_at.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
 
 
 def errors(node: Node) -> int:
     """Training rows that a subtree gets wrong; an empty branch has none."""
-    if node.attribute is None:
-        return sum(node.counts) - max(node.counts) if node.seen and node.counts else 0
-    return sum(errors(c) for c in node.children)
+    return sum(sum(n.counts) - max(n.counts) for n in scoring.nodes_of(node) if n.attribute is None and n.seen and n.counts)
 
 
 def to_dot(tree: Node, classes: list[str] | None = None) -> str:
     """A tree as a Graphviz digraph."""
     out = ["digraph tree {"]
-
-    def walk(node: Node) -> None:
+    for node in scoring.nodes_of(tree):
         name = str(node.label) if classes is None else classes[node.label]
         label = f"class {name}" if node.attribute is None else node.attribute if node.threshold is None else f"{node.attribute} < {node.threshold:g}"
         out.append(f'  n{node.id} [label="{label}"];')
         edges = ("yes", "no") if node.threshold is not None else [str(i) for i in range(len(node.children))]
-        for c, edge in zip(node.children, edges, strict=True):
-            out.append(f'  n{node.id} -> n{c.id} [label="{edge}"];')
-            walk(c)
-
-    walk(tree)
+        out += [f'  n{node.id} -> n{c.id} [label="{edge}"];' for c, edge in zip(node.children, edges, strict=True)]
     return "\n".join([*out, "}"]) + "\n"

@@ -28,6 +28,11 @@ def imputed_values(df: DataFrame, continuous: list[str], discrete: list[str]) ->
     return df.agg(*[lower_median(c).alias(c) for c in continuous], *[smallest_mode(c).alias(c) for c in discrete])
 
 
+def imputed_by(df: DataFrame, by: list[str], continuous: list[str], discrete: list[str]) -> DataFrame:
+    """The same of each group of rows: a row a group."""
+    return df.groupBy(*by).agg(*[lower_median(c).alias(c) for c in continuous], *[smallest_mode(c).alias(c) for c in discrete])
+
+
 def impute(df: DataFrame, values: DataFrame) -> DataFrame:
     """Nulls replaced by the training rows' values (one row, broadcast)."""
     named = values.select(*[F.col(c).alias(f"_{c}") for c in values.columns])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.functions.scalars import MODULUS, draw
+from coppice.functions.scalars import MODULUS, draw, wide_draw
 from coppice.operators.prefix import running
 from coppice.plans.materialize import table
 
@@ -27,10 +31,52 @@ def shuffled_places(rows: DataFrame, key: str, label: str, seed: int = 1, parts:
     return rows.withColumn("_at", at).join(before, [label, "_part"]).withColumn("at", F.col("_before") + F.col("_at")).drop("_r", "_part", "_at", "_before")
 
 
+#: Rows of a range whose bag counts are drawn at once are 2 ** BAG_BITS.
+BAG_BITS = 12
+
+
+def range_counts(n: int, draws: int, seed: int, tree: int, at: int, bits: int = BAG_BITS) -> np.ndarray:
+    """How often each row of range number at (of n rows, 2 ** bits a range) is among a tree's draws with replacement.
+
+    The draws go down a tree of ranges: of those of a range, a binomial number by the rows is in its left half. A range's
+    generator is that of its place in this tree, so that any task finds the same counts without the others: together the
+    counts are exactly multinomial, at any n and number of draws."""
+    low, high = 0, max(1, -(-n >> bits))
+    rows = lambda a, z: min(n, z << bits) - (a << bits)
+    generator = lambda: np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, tree], counter=[low, high, 0, 0]))
+    while high - low > 1 and draws:
+        middle = (low + high) // 2
+        left = int(generator().binomial(draws, rows(low, middle) / rows(low, high)))
+        low, high, draws = (low, middle, left) if at < middle else (middle, high, draws - left)
+    return np.bincount(generator().integers(0, rows(at, at + 1), draws), minlength=rows(at, at + 1)) if draws else np.zeros(rows(at, at + 1), np.int64)
+
+
 def bag(rows: DataFrame, key: str, n: int, trees: int, percent: int = 100, seed: int = 1) -> DataFrame:
-    """tree, key, weight: how often each of n numbered rows (at) is drawn with replacement; rows are never copied."""
+    """tree, key, weight: how often each of n numbered rows (at) is drawn with replacement in n * percent / 100 draws a tree.
+
+    A map over the rows: nothing is shuffled, no draw is a row. See range_counts."""
+    draws = n * percent // 100
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for t in range(trees):
+                weight = np.zeros(len(at), np.int64)
+                for r in np.unique(at >> BAG_BITS):
+                    own = at >> BAG_BITS == r
+                    weight[own] = range_counts(n, draws, seed, t, int(r))[at[own] & ((1 << BAG_BITS) - 1)]
+                took = np.flatnonzero(weight)
+                if len(took):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(took), t, np.int32)), batch.column(1).take(pa.array(took)), pa.array(weight[took])], ["tree", key, "weight"])
+
+    # ranges whole in a task, or nearly: numbered rows come sorted within partitions, but need not
+    return rows.select(F.col("at").cast("long"), key).mapInArrow(weigh, f"tree int, `{key}` {rows.schema[key].dataType.simpleString()}, weight long")
+
+
+def drawn_bag(rows: DataFrame, key: str, n: int, trees: int, percent: int = 100, seed: int = 1) -> DataFrame:
+    """The same law from a table of portable draws, which any engine can make: for checks against SQL, as it shuffles a row a draw."""
     spark, size = rows.sparkSession, n * percent // 100
-    draws = spark.range(trees * size).select(F.floor(F.col("id") / size).cast("int").alias("tree"), (draw(F.col("id"), seed) % n).alias("at"))
+    draws = spark.range(trees * size).select(F.floor(F.col("id") / size).cast("int").alias("tree"), (wide_draw(F.col("id"), seed) % n).alias("at"))
     return draws.groupBy("tree", "at").agg(F.count("*").alias("weight")).join(rows.select("at", key), "at").select("tree", key, "weight")
 
 
@@ -51,7 +97,7 @@ def majority_bag(rows: DataFrame, key: str, label: str, quotas: dict[int, int],
     for k, q in sorted(quotas.items(), reverse=True):
         upto -= q
         of = F.coalesce(of, F.when(slot >= upto, F.lit(k)))
-    draws = rows.sparkSession.range(trees * total).select(F.floor(F.col("id") / total).cast("int").alias("tree"), of.alias(label), draw(F.col("id"), seed + 1).alias("_d"))
+    draws = rows.sparkSession.range(trees * total).select(F.floor(F.col("id") / total).cast("int").alias("tree"), of.alias(label), wide_draw(F.col("id"), seed + 1).alias("_d"))
     draws = draws.join(F.broadcast(sizes), label).withColumn("at", F.col("_d") % F.col("_n"))  # a row a class
     drawn = draws.groupBy("tree", label, "at").agg(F.count("*").alias("weight")).join(placed, [label, "at"]).select("tree", key, "weight")
     whole = rows.where(~F.col(label).isin(*quotas)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))

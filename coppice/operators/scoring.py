@@ -27,8 +27,8 @@ class Node:
     seen: bool = True  # False: an empty branch, whose counts are its parent's
 
 
-#: Nodes of an ensemble that is scored as one expression; larger ones are scored from flat arrays.
-FEW_NODES = 2000
+#: Nodes, and levels, of an ensemble that is scored as one expression; larger ones are scored from flat arrays.
+FEW_NODES, FEW_LEVELS = 2000, 24
 
 
 @dataclass(frozen=True)
@@ -105,15 +105,32 @@ def walk(node: Node, classes: int) -> Column:
 def votes(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
     """keep, tree, leaf, pred, probs: one row for each row and tree.
 
-    Ensembles of more than FEW_NODES nodes, for which an expression would leave code generation, are walked as arrays."""
-    if sum(node_count(t) for t in trees) > FEW_NODES:
+    Ensembles of more than FEW_NODES nodes or FEW_LEVELS levels, for which an expression would leave code generation, are
+    walked as arrays."""
+    if sum(node_count(t) for t in trees) > FEW_NODES or any(levels(t) > FEW_LEVELS for t in trees):
         return walked(rows, keep, trees, classes)
     each = F.array(*[F.struct(F.lit(t).alias("tree"), walk(tree, classes).alias("at")) for t, tree in enumerate(trees)])
     return rows.select(*keep, F.explode(each).alias("v")).select(*keep, "v.tree", F.col("v.at.leaf").alias("leaf"), F.col("v.at.label").alias("pred"), F.col("v.at.probs").alias("probs"))
 
 
-def node_count(node: Node) -> int:
-    return 1 + sum(node_count(c) for c in node.children)
+def nodes_of(tree: Node) -> list[Node]:
+    """The nodes of a tree, parents before their children, however deep it is."""
+    nodes = [tree]
+    for node in nodes:  # grows meanwhile
+        nodes.extend(node.children)
+    return nodes
+
+
+def node_count(tree: Node) -> int:
+    return len(nodes_of(tree))
+
+
+def levels(tree: Node) -> int:
+    """Nodes on the longest way from the root."""
+    n, level = 0, [tree]
+    while level:
+        n, level = n + 1, [c for node in level for c in node.children]
+    return n
 
 
 def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
@@ -138,6 +155,26 @@ def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) ->
     return rows.select(*keep, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(attributes)]).mapInArrow(vote, f"{kinds}tree int, leaf int, pred int, probs array<double>")
 
 
+def own_votes(rows: DataFrame, trees: list[Node], classes: int) -> DataFrame:
+    """rows with pred: what the tree that the column tree numbers says of each."""
+    attributes = used_attributes(trees)
+    sent = rows.sparkSession.sparkContext.broadcast([(flat, np.array([n.label for n in nodes], np.int32)) for flat, nodes in (flatten(t, attributes) for t in trees)])
+    names = rows.columns
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = matrix(batch.columns[len(names) :], batch.num_rows)
+            tree = batch.column(names.index("tree")).to_numpy()
+            pred = np.zeros(batch.num_rows, np.int32)
+            for t in np.unique(tree):
+                flat, labels = sent.value[t]
+                pred[tree == t] = labels[flat.walk(values[tree == t])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred)], [*names, "pred"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
+    return rows.select(*names, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(attributes)]).mapInArrow(vote, f"{kinds}pred int")
+
+
 def tally(v: DataFrame, keep: list[str], classes: int, weight: Column | None = None) -> DataFrame:
     """keep, v0.. (votes), p0.. (mean leaf probabilities); weighted for boosted ensembles."""
     w = F.lit(1.0) if weight is None else weight

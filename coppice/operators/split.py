@@ -106,14 +106,14 @@ def cut_ends(cuts: DataFrame, keys: list[str]) -> DataFrame:
 
 def extremely_random_cuts(hist: DataFrame, cuts: DataFrame, keys: list[str], classes: int, u: Column) -> DataFrame:
     """One cut for each attribute, the share u (in [0, 1), of the keys and attribute) of the way from its first candidate
-    to its last: keys, attribute, threshold, score (as c45's, whether positive or not)."""
+    to its last: keys, attribute, threshold, score (as c45's, whether positive or not), l0.. (left)."""
     ends = cut_ends(cuts, keys).withColumn("threshold", F.col("a") + (F.col("z") - F.col("a")) * u)
     below = F.col("value") < F.col("threshold")
     both = hist.where("value is not null").join(ends, [*keys, "attribute"])
     sides = both.groupBy(*keys, "attribute", "threshold", "tried", "n").agg(*[F.sum(F.when(below, F.col(f"c{k}")).otherwise(0)).alias(f"l{k}") for k in range(classes)], *[F.sum(F.when(below, 0).otherwise(F.col(f"c{k}"))).alias(f"r{k}") for k in range(classes)])
     branches = [[F.col(f"{x}{k}") for k in range(classes)] for x in "lr"]
     score = F.try_divide(information_gain(branches) - F.log2(F.col("tried").cast("double")) / F.col("n"), split_info(branches))
-    return sides.select(*keys, "attribute", "threshold", score.alias("score"))
+    return sides.select(*keys, "attribute", "threshold", score.alias("score"), *[f"l{k}" for k in range(classes)])
 
 
 def totally_random_cuts(cuts: DataFrame, keys: list[str], u: Column, score: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coppice.operators import sampling, scoring
 from coppice.operators.grow import grow
 from coppice.operators.scoring import Node
+from coppice.operators.votes import VoteStore
 from coppice.plans.materialize import checkpoint, table
 
 #: Integer scale of a boosting weight that is 1 on average.
@@ -37,7 +38,7 @@ def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
             base = table(base.unionByName(synthetic(base.join(bags.select(row), row, "left_semi")).where(F.col(row) < 0)), "boost-synthetic")
             bags = bags.unionByName(base.where(F.col(row) < 0).select(row, F.lit(1).cast("long").alias("weight"), F.lit(0).alias("tree")))
         tree = grow(base, row, attributes, classes, bags, **kinds | {"seed": seed + t})[0]
-        said = state.withColumn("_pred", scoring.walk(tree, classes)["label"])
+        said = scoring.votes(state, state.columns, [tree], classes).withColumnRenamed("pred", "_pred").drop("tree", "leaf", "probs")
         wrong = F.col("_pred") != F.col("label")
         error = said.agg(F.sum(F.when(wrong, F.col("_weight")).otherwise(0.0)) / F.sum("_weight")).first()[0] or 0.0
         if error >= 0.5:
@@ -52,58 +53,69 @@ def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
     return trees, betas
 
 
-def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int | None = None, seed: int = 1, growth: dict | None = None, quotas: dict[int, int] | None = None) -> tuple[list[Node], list[float]]:
-    """Trees on small bites that favour rows the out-of-bag vote gets wrong, and the smoothed error of each round.
+def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int | None = None, seed: int = 1, growth: dict | None = None, quotas: dict[int, int] | None = None, test: DataFrame | None = None) -> tuple[list[Node], list[float], VoteStore, DataFrame | None]:
+    """Trees on small bites that favour rows the out-of-bag vote gets wrong, the smoothed error of each round, the
+    out-of-bag votes, and the curve of test rows (tree, rows, error, accuracy), if there are any.
 
     A row that no tree has voted on counts as wrong. The error of a round is that of the rows outside its own bite,
-    smoothed by memory. Votes are columns of the checkpointed rows. quotas (of the majority classes): only their rows are
-    drawn by what the vote gets wrong, quota of each class, and all rows of the others are in every bite."""
+    smoothed by memory. Votes are appended to a store, and only its counts are read in a round. quotas (of the majority
+    classes): only their rows are drawn by what the vote gets wrong, quota of each class, and all rows of the others are in
+    every bite."""
     kinds = {"depth": depth} | (growth or {})
-    counts = [F.lit(0).alias(f"_v{k}") for k in range(classes)]
-    state = checkpoint(rows.select(row, "label", *attributes, *counts))
-    v = [F.col(f"_v{k}") for k in range(classes)]
+    data = table(rows.select(row, "label", *attributes), "ivote-rows")
+    v = [F.coalesce(F.col(f"v{k}"), F.lit(0)) for k in range(classes)]
     wrong = (sum(v[1:], v[0]) == 0) | (scoring.winner(v) != F.col("label"))
+    store = VoteStore(rows.sparkSession, row, classes, "ivote-votes")
+    tests = VoteStore(rows.sparkSession, row, classes, "ivote-tests") if test is not None else None
     trees: list[Node] = []
     errors: list[float] = []
+    told: DataFrame | None = None
     for t in range(rounds):
         error = errors[-1] if errors else 0.5
+        counts = store.counts()
+        state = data.select(row, "label").withColumn("_wrong", F.lit(True)) if counts is None else data.select(row, "label").join(counts.drop("label"), row, "left").select(row, "label", wrong.alias("_wrong"))
         if quotas:
-            bites = [sampling.bite(state.where(F.col("label") == k), row, wrong, error, q, seed + 10 * t + k) for k, q in sorted(quotas.items())]
+            bites = [sampling.bite(state.where(F.col("label") == k), row, F.col("_wrong"), error, q, seed + 10 * t + k) for k, q in sorted(quotas.items())]
             whole = state.where(~F.col("label").isin(*quotas)).select(row, F.lit(1).cast("long").alias("weight"))
             taken = checkpoint(reduce(DataFrame.unionByName, bites, whole))
         else:
-            taken = checkpoint(sampling.bite(state, row, wrong, error, size, seed + 10 * t))
-        tree = grow(state.select(row, "label", *attributes), row, attributes, classes, taken.withColumn("tree", F.lit(0)), **kinds | {"seed": seed + t})[0]
+            taken = checkpoint(sampling.bite(state, row, F.col("_wrong"), error, size, seed + 10 * t))
+        tree = grow(data, row, attributes, classes, taken.withColumn("tree", F.lit(0)), **kinds | {"seed": seed + t})[0]
         trees.append(tree)
-        pred = scoring.walk(tree, classes)["label"]
-        out = F.col("_in").isNull()
-        voted = state.join(taken.select(row, F.lit(1).alias("_in")), row, "left")
-        voted = voted.select(row, "label", *attributes, "_in", *[(F.col(f"_v{k}") + F.when(out & (pred == k), 1).otherwise(0)).alias(f"_v{k}") for k in range(classes)])
-        state = checkpoint(voted)
-        now = state.where(out).agg(F.avg(F.when(wrong, 1.0).otherwise(0.0))).first()[0] or 0.0
+        said = lambda df: scoring.votes(df, [row, "label"], [tree], classes).select(row, "label", F.lit(t).alias("tree"), "pred")
+        now = store.append(said(data).join(taken.select(row), row, "left_anti")).first()
+        now = now["error"] if now else 0.0
         errors.append(now if not errors else memory * errors[-1] + (1 - memory) * now)
-        state = state.drop("_in")
-    return trees, errors
+        if tests is not None:
+            curve = tests.append(said(test))
+            told = curve if told is None else checkpoint(told.unionByName(curve))  # a row a tree
+    return trees, errors, store, told
 
 
 def noised_importance(rows: DataFrame, row: str, attributes: list[str], trees: list[Node], classes: int, in_bag: DataFrame, seed: int = 1) -> DataFrame:
-    """attribute, error, noised_error, importance: by how many percent the out-of-bag error of the trees grows, all their
-    votes taken together, when each tree's out-of-bag rows deal an attribute's values among themselves. Null where the
-    error is 0. in_bag(tree, row).
-
-    One job for all attributes and trees: a row's place in its tree's out-of-bag rows, once by key and once shuffled."""
-    out = rows.select(row, "label", *attributes).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(len(trees) - 1)))).join(in_bag.select(row, "tree"), [row, "tree"], "left_anti")
+    """attribute, error, noised_error, importance: by how many percent the out-of-bag error of the trees grows when each
+    tree's out-of-bag rows deal an attribute's values among themselves. Null where the error is 0. in_bag(tree, row).
+
+    The error is that of the cumulative out-of-bag vote of all trees, at the rows out of the last tree's bag. One job for all
+    attributes and trees: a cache of votes an attribute is a group of it; a row's place in its tree's out-of-bag rows, once by
+    key and once shuffled, says whose value it gets."""
+    last = len(trees) - 1
+    out = rows.select(row, "label", *attributes).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(in_bag.select(row, "tree"), [row, "tree"], "left_anti")
     out = table(out, "noised-rows")
-    said = F.array(*[scoring.walk(t, classes)["label"] for t in trees])[F.col("tree")]
-    wrong = F.avg(F.when(said != F.col("label"), 1.0).otherwise(0.0))
-    base = out.agg(wrong.alias("error"))
+
+    def errors(said: DataFrame, by: list[str], name: str) -> DataFrame:
+        counts = said.groupBy(*by, row, "label").agg(F.max("tree").alias("_last"), *[F.count_if(F.col("pred") == k).alias(f"v{k}") for k in range(classes)])
+        wrong = F.when(scoring.winner([F.col(f"v{k}") for k in range(classes)]) != F.col("label"), 1.0).otherwise(0.0)
+        return counts.where(F.col("_last") == last).groupBy(*by).agg(F.avg(wrong).alias(name))
+
+    base = errors(scoring.own_votes(out, trees, classes), [], "error")
     dealt = out.withColumn("attribute", F.explode(F.sequence(F.lit(0), F.lit(len(attributes) - 1)))).withColumn("_group", F.col("tree").cast("long") * len(attributes) + F.col("attribute"))
     value = F.array(*[F.col(a).cast("double") for a in attributes])[F.col("attribute")]
     one = sampling.shuffled_places(dealt.select(row, "_group"), row, "_group", seed).withColumnRenamed("at", "_from")
     other = sampling.shuffled_places(dealt.select(row, "_group", value.alias("_value")), row, "_group", seed + 1).select("_group", F.col("at").alias("_from"), "_value")
     both = dealt.join(one.join(other, ["_group", "_from"]).select(row, "_group", "_value"), [row, "_group"])
-    noised = both.select("label", "tree", "attribute", *[F.when(F.col("attribute") == i, F.col("_value")).otherwise(F.col(a)).alias(a) for i, a in enumerate(attributes)])
-    noised = noised.groupBy("attribute").agg(wrong.alias("noised_error")).crossJoin(F.broadcast(base))  # a row an attribute, and one
+    noised = both.select(row, "label", "tree", "attribute", *[F.when(F.col("attribute") == i, F.col("_value")).otherwise(F.col(a)).alias(a) for i, a in enumerate(attributes)])
+    noised = errors(scoring.own_votes(noised, trees, classes), ["attribute"], "noised_error").crossJoin(F.broadcast(base))  # a row an attribute, and one
     names = F.array(*[F.lit(a) for a in attributes])
     return noised.select(names[F.col("attribute")].alias("attribute"), "error", "noised_error", (100 * F.try_divide(F.col("noised_error") - F.col("error"), "error")).alias("importance"))
 
@@ -130,16 +142,22 @@ def structural_importance(spark, trees: list[Node]) -> DataFrame:
     Both are shares of 1. A single leaf has no tests."""
     found: list[tuple[str, float, float]] = []
 
-    def visit(node: Node, above: list[str]) -> None:
-        if node.attribute is None:
-            found.extend((a, sum(node.counts) / len(above), 0.0) for a in above)
-            return
-        found.append((node.attribute, 0.0, 1 / (len(above) + 1)))
-        for c in node.children:
-            visit(c, [*above, node.attribute])
-
     for tree in trees:
-        visit(tree, [])
+        todo: list[tuple[Node, tuple]] = [(tree, ())]  # a node and the tests above it, the last one first
+        while todo:
+            node, above = todo.pop()
+            if node.attribute is None:
+                names = []
+                while above:
+                    name, above = above
+                    names.append(name)
+                found.extend((a, sum(node.counts) / len(names), 0.0) for a in names)
+                continue
+            level, up = 1, above
+            while up:
+                level, up = level + 1, up[1]
+            found.append((node.attribute, 0.0, 1 / level))
+            todo += [(c, (node.attribute, above)) for c in node.children]
     sums = spark.createDataFrame(found, "attribute string, path double, depth double").groupBy("attribute").agg(F.sum("path").alias("path"), F.sum("depth").alias("depth"))
     whole = sums.agg(F.sum("path").alias("_p"), F.sum("depth").alias("_d"))
     return sums.crossJoin(F.broadcast(whole)).select("attribute", F.try_divide("path", "_p").alias("path"), F.try_divide("depth", "_d").alias("depth"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from coppice.functions import scalars as S
 from coppice.operators import diversity, forest, grow, metrics, prep, regions, sampling, scoring, split, train
 from coppice.operators.scoring import Node
+from coppice.operators.votes import VoteStore
 from coppice.sources import models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,19 +225,19 @@ def orders(spark, d):
 
 
 NUM = "num AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)"
-BAG = f"{NUM}, draws AS (SELECT i // n AS tree, {S.draw_sql('i', 11)} % n AS place FROM (SELECT unnest(range(3 * n)) AS i, n FROM (SELECT count(*) AS n FROM orders))), bag AS (SELECT tree, o_orderkey, count(*) AS weight FROM draws JOIN num USING (place) GROUP BY tree, o_orderkey)"
+BAG = f"{NUM}, draws AS (SELECT i // n AS tree, {S.wide_sql('i', 11)} % n AS place FROM (SELECT unnest(range(3 * n)) AS i, n FROM (SELECT count(*) AS n FROM orders))), bag AS (SELECT tree, o_orderkey, count(*) AS weight FROM draws JOIN num USING (place) GROUP BY tree, o_orderkey)"
 
 
 @query("bag_counts", f"WITH {BAG} SELECT CAST(tree AS INT) AS tree, weight, count(*) AS n_rows FROM bag GROUP BY tree, weight")
 def _(spark, d):
     rows = orders(spark, d)
-    return sampling.bag(rows, "o_orderkey", rows.count(), 3, seed=11).groupBy("tree", "weight").agg(F.count("*").alias("n_rows"))
+    return sampling.drawn_bag(rows, "o_orderkey", rows.count(), 3, seed=11).groupBy("tree", "weight").agg(F.count("*").alias("n_rows"))
 
 
 @query("oob_rows", f"WITH {BAG} SELECT CAST(t.tree AS INT) AS tree, count(*) AS n_oob FROM (SELECT unnest([0, 1, 2]) AS tree) t CROSS JOIN orders o WHERE NOT EXISTS (SELECT 1 FROM bag b WHERE b.tree = t.tree AND b.o_orderkey = o.o_orderkey) GROUP BY t.tree")
 def _(spark, d):
     rows = orders(spark, d)
-    bagged = sampling.bag(rows, "o_orderkey", rows.count(), 3, seed=11)
+    bagged = sampling.drawn_bag(rows, "o_orderkey", rows.count(), 3, seed=11)
     each = rows.select("o_orderkey", F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("tree"))
     return each.join(bagged, ["tree", "o_orderkey"], "left_anti").groupBy("tree").agg(F.count("*").alias("n_oob"))
 
@@ -262,7 +263,7 @@ def _(spark, d):
 PLACED = f"placed AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {S.draw_sql('doc_id', 4)}, doc_id) - 1 AS place, count(*) OVER (PARTITION BY quality) AS n FROM labels)"
 
 
-@query("majority_bag", f"WITH {PLACED}, draws AS (SELECT i // 50 AS tree, {S.draw_sql('i', 5)} % (SELECT max(n) FROM placed WHERE quality = 1) AS place FROM (SELECT unnest(range(150)) AS i)) SELECT CAST(tree AS INT) AS tree, doc_id, count(*) AS weight FROM draws JOIN placed USING (place) WHERE quality = 1 GROUP BY 1, 2 UNION ALL SELECT CAST(t AS INT), doc_id, 1 FROM labels, (SELECT unnest([0, 1, 2]) AS t) WHERE quality <> 1")
+@query("majority_bag", f"WITH {PLACED}, draws AS (SELECT i // 50 AS tree, {S.wide_sql('i', 5)} % (SELECT max(n) FROM placed WHERE quality = 1) AS place FROM (SELECT unnest(range(150)) AS i)) SELECT CAST(tree AS INT) AS tree, doc_id, count(*) AS weight FROM draws JOIN placed USING (place) WHERE quality = 1 GROUP BY 1, 2 UNION ALL SELECT CAST(t AS INT), doc_id, 1 FROM labels, (SELECT unnest([0, 1, 2]) AS t) WHERE quality <> 1")
 def _(spark, d):
     return sampling.majority_bag(read(spark, d, "labels"), "doc_id", "quality", {1: 50}, 3, seed=4)
 
@@ -704,11 +705,41 @@ def _(spark, d):
     return metrics.confusion(out, ["fold"])
 
 
+PARTS = f"""WITH {BANDS}, dealt AS (SELECT *, {S.draw_sql('row_id', 8)} % 3 AS own FROM bands),
+r0 AS (SELECT own AS fold, 1 AS node, dealt.* EXCLUDE own FROM dealt), {level_sql(0)},
+lc AS (SELECT fold, node, {', '.join(f'count(*) FILTER (label = {k}) AS c{k}' for k in range(3))} FROM r1 GROUP BY 1, 2), leaf AS (SELECT fold, node, list_position([c0, c1, c2], greatest(c0, c1, c2)) - 1 AS pred FROM lc),
+q AS (SELECT row_id, label, f AS fold, CASE WHEN attribute IS NULL THEN 1 ELSE 2 + CASE WHEN CASE attribute {' '.join(f'WHEN {j} THEN {a}' for j, a in enumerate(ATTRIBUTES))} END < threshold THEN 0 ELSE 1 END END AS node FROM bands CROSS JOIN (SELECT unnest([0, 1, 2]) AS f) LEFT JOIN p0 ON p0.fold = f),
+w AS (SELECT row_id, label, {', '.join(f'count(*) FILTER (pred = {k}) AS v{k}' for k in range(3))} FROM q JOIN leaf USING (fold, node) GROUP BY 1, 2)"""
+
+
+@query("partition_train", f"{PARTS} SELECT {WIN('v')} AS pred, label, count(*) AS n FROM w GROUP BY 1, 2")
+def _(spark, d):
+    """An ensemble for each of three parts of the rows, all grown in one go; each has one vote on every row."""
+    rows = bands(spark, d).withColumn("part", S.draw(F.col("row_id"), 8) % 3)
+    options = forest.Options(trees=1, bagging=None, split="infogain", depth=1, collapse=False)
+    models = forest.fit_partitions(rows, "row_id", ATTRIBUTES, CLASSES, "part", options)
+    each = forest.partition_votes(models, rows, ["row_id", "label"])
+    return metrics.confusion(scoring.combine(each, ["row_id", "label"], CLASSES, "emv"))
+
+
+FOLLOWED = f"{VOTES}, w AS (SELECT label, tree, pred, {', '.join(f'sum((pred = {k})::INT) OVER (PARTITION BY row_id ORDER BY tree) AS v{k}' for k in range(3))} FROM votes WHERE {S.draw_sql('row_id', 9)} % 5 = 0)"
+
+
+@query("train_test_error", f"WITH {FOLLOWED} SELECT tree, count(*) AS n_rows, round(avg(CASE WHEN {WIN('v')} <> label THEN 1.0 ELSE 0.0 END), 8) AS error, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM w GROUP BY tree")
+def _(spark, d):
+    """The error of test rows as an ensemble grows: votes of a first tree, then of two more, appended to a store."""
+    held_out = bands(spark, d).where(S.draw(F.col("row_id"), 9) % 5 == 0)
+    store = VoteStore(spark, "row_id", CLASSES)
+    cast = lambda first, end: scoring.votes(held_out, ["row_id", "label"], TREE3[first:end], CLASSES).withColumn("tree", F.col("tree") + first)
+    curve = store.append(cast(0, 1)).unionByName(store.append(cast(1, 3)))
+    return curve.select("tree", F.col("rows").alias("n_rows"), F.round("error", 8).alias("error"), F.round("accuracy", 8).alias("accuracy"))
+
+
 @query("forest_train", None)
 def _(spark, d):
     """A bagged random forest, its measures on the rows it grew on and the out-of-bag error after its last tree."""
     rows = bands(spark, d)
-    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, depth=3, seed=21))
+    model = forest.fit(rows, "row_id", ATTRIBUTES, CLASSES, forest.Options(trees=4, forest=2, stopping=True, build=2, slide=1, seed=21))
     out = forest.tested(model, rows, "row_id")["measures"]
     last = model.trace.orderBy(F.desc("tree")).limit(1).select("tree", F.col("error").alias("oob_error"))
     return out.crossJoin(F.broadcast(last))  # one row
@@ -718,7 +749,7 @@ def _(spark, d):
 def _(spark, d):
     """Trees of discrete and continuous attributes, extremely random cuts and subspaces: the measures of their vote."""
     rows = bands(spark, d).withColumn("status", F.when(F.col("status") == "F", 0).otherwise(1))
-    options = forest.Options(trees=3, extremely_random=2, subspaces=75, depth=3, subsample=5000, seed=5)
+    options = forest.Options(trees=3, extremely_random=2, subspaces=75, subsample=5000, seed=5)
     model = forest.fit(rows, "row_id", [*ATTRIBUTES, "status"], CLASSES, options, {"status": 2})
     return forest.tested(model, rows, "row_id")["measures"]
 
@@ -727,9 +758,10 @@ def _(spark, d):
 def _(spark, d):
     """Boosted trees: the confusion of their weighted vote."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, depth=2)
-    w = F.element_at(F.array(*[F.log2(F.lit(1 / b)) for b in betas or [0.5]]), F.col("tree") + 1)
-    t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees or TREE3[:1], CLASSES), ["row_id", "label"], CLASSES, w)
+    trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3)
+    if not trees:  # the first one errs on half of the weight: there is no ensemble
+        return metrics.confusion(rows.limit(0).withColumn("pred", F.lit(0)))
+    t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees, CLASSES), ["row_id", "label"], CLASSES, forest.vote_weight(tuple(betas)))
     return metrics.confusion(t.withColumn("pred", scoring.winner(cols("v"))))
 
 
@@ -737,7 +769,7 @@ def _(spark, d):
 def _(spark, d):
     """Trees on importance-sampled bites: the smoothed out-of-bag error of each round."""
     rows = bands(spark, d).select("row_id", "label", *ATTRIBUTES)
-    _, errors = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500, depth=3)
+    _, errors, _, _ = train.ivote(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3, size=500)
     return spark.createDataFrame(list(enumerate(errors)), "round int, error double")
 
 
@@ -754,11 +786,14 @@ def _(spark, d):
 NOISE = f"""{VOTES}, oob AS (SELECT b.*, v.tree FROM votes v JOIN bands b USING (row_id) WHERE {S.draw_sql('v.row_id * 3 + v.tree', 6)} % 3 = 0),
 dealt AS (SELECT *, row_number() OVER (PARTITION BY tree, att ORDER BY {S.draw_sql('row_id', 51)}, row_id) AS f, row_number() OVER (PARTITION BY tree, att ORDER BY {S.draw_sql('row_id', 52)}, row_id) AS g FROM oob, (SELECT unnest([0, 1, 2]) AS att)),
 nv AS (SELECT a.*, CASE a.att WHEN 0 THEN b.quantity WHEN 1 THEN b.discount ELSE b.tax END AS value FROM dealt a JOIN dealt b ON a.tree = b.tree AND a.att = b.att AND a.f = b.g),
-nr AS (SELECT tree, att, label, CASE WHEN att = 0 THEN value ELSE quantity END AS quantity, CASE WHEN att = 1 THEN value ELSE discount END AS discount, CASE WHEN att = 2 THEN value ELSE tax END AS tax FROM nv)"""
+nr AS (SELECT row_id, tree, att, label, CASE WHEN att = 0 THEN value ELSE quantity END AS quantity, CASE WHEN att = 1 THEN value ELSE discount END AS discount, CASE WHEN att = 2 THEN value ELSE tax END AS tax FROM nv)"""
 SAID = "CASE tree " + " ".join(f"WHEN {t} THEN {tree_sql(x, 'label')}" for t, x in enumerate(TREE3)) + " END"
 
 
-@query("noised_importance", f"WITH {NOISE}, e AS (SELECT avg(CASE WHEN {SAID} <> label THEN 1.0 ELSE 0.0 END) AS error FROM oob), n AS (SELECT att, avg(CASE WHEN {SAID} <> label THEN 1.0 ELSE 0.0 END) AS noised FROM nr GROUP BY att) SELECT CASE att WHEN 0 THEN 'quantity' WHEN 1 THEN 'discount' ELSE 'tax' END AS attribute, round(error, 8) AS error, round(noised, 8) AS noised_error, round(100 * (noised - error) / nullif(error, 0), 6) AS importance FROM n, e")
+CUMULATED = lambda src, by: f"SELECT {by} avg(CASE WHEN {WIN('v')} <> label THEN 1.0 ELSE 0.0 END) AS error FROM (SELECT {by} row_id, label, max(tree) AS last_tree, {', '.join(f'count(*) FILTER (said = {k}) AS v{k}' for k in range(3))} FROM (SELECT *, {SAID} AS said FROM {src}) GROUP BY {by} row_id, label) WHERE last_tree = 2"
+
+
+@query("noised_importance", f"WITH {NOISE}, e AS ({CUMULATED('oob', '')}), n AS ({CUMULATED('nr', 'att,')} GROUP BY att) SELECT CASE att WHEN 0 THEN 'quantity' WHEN 1 THEN 'discount' ELSE 'tax' END AS attribute, round(e.error, 8) AS error, round(n.error, 8) AS noised_error, round(100 * (n.error - e.error) / nullif(e.error, 0), 6) AS importance FROM n, e")
 def _(spark, d):
     rows = bands(spark, d)
     every = rows.select("row_id", F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("tree"))

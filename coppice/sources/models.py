@@ -19,13 +19,12 @@ def node_table(spark: SparkSession, trees: list[Node]) -> DataFrame:
     """A row a node, in full precision."""
     rows = []
 
-    def visit(tree: int, node: Node, parent: int | None, child: int | None) -> None:
-        rows.append((tree, node.id, parent, child, node.attribute, node.threshold, node.label, list(node.counts)))
-        for i, c in enumerate(node.children):
-            visit(tree, c, node.id, i)
-
     for t, tree in enumerate(trees):
-        visit(t, tree, None, None)
+        todo: list[tuple[Node, int | None, int | None]] = [(tree, None, None)]
+        while todo:
+            node, parent, child = todo.pop()
+            rows.append((t, node.id, parent, child, node.attribute, node.threshold, node.label, list(node.counts)))
+            todo += [(c, node.id, i) for i, c in enumerate(node.children)]
     return spark.createDataFrame(rows, NODES)
 
 
@@ -34,12 +33,17 @@ def trees_of(nodes: DataFrame) -> list[Node]:
     by: dict[tuple[int, int | None], list] = {}
     for r in nodes.orderBy("tree", "parent", "child").collect():
         by.setdefault((r["tree"], r["parent"]), []).append(r)
-
-    def build(r) -> Node:
-        kids = tuple(build(c) for c in by.get((r["tree"], r["id"]), []))
-        return Node(r["id"], r["attribute"], r["threshold"], kids, r["label"], tuple(r["counts"]))
-
-    return [build(rs[0]) for (t, parent), rs in sorted(by.items(), key=lambda x: x[0][0]) if parent is None]
+    trees = []
+    for tree in sorted(t for t, parent in by if parent is None):
+        order = [by[tree, None][0]]
+        for r in order:  # grows meanwhile
+            order += by.get((tree, r["id"]), [])
+        made: dict[int, Node] = {}
+        for r in reversed(order):  # children come after their parents
+            kids = tuple(made.pop(c["id"]) for c in by.get((tree, r["id"]), []))
+            made[r["id"]] = Node(r["id"], r["attribute"], r["threshold"], kids, r["label"], tuple(r["counts"]))
+        trees.append(made[order[0]["id"]])
+    return trees
 
 
 @dataclass(frozen=True)
@@ -73,14 +77,18 @@ def ensemble_text(e: Ensemble, class_counts: list[int] | None = None) -> str:
     if e.imputed:
         out.append(f"MissingAttributeValues: {','.join(e.imputed)}")
 
-    def visit(node: Node) -> None:
-        if node.attribute is None:
-            out.append(f"LEAF Class {node.label} Proportions {' '.join(map(str, node.counts))}" if node.counts else f"LEAF {node.label}")
-            return
-        at = f"ATT# {number[node.attribute]}"
-        for i, c in enumerate(node.children):
-            out.append(f"SPLIT DISCRETE {at} VAL# {i + 1} / {len(node.children)}" if node.threshold is None else f"SPLIT CONTINUOUS {at} {'<' if i == 0 else '>='} {node.threshold:#6g}")
-            visit(c)
+    def visit(tree: Node) -> None:
+        todo: list[Node | str] = [tree]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif node.attribute is None:
+                out.append(f"LEAF Class {node.label} Proportions {' '.join(map(str, node.counts))}" if node.counts else f"LEAF {node.label}")
+            else:
+                at = f"ATT# {number[node.attribute]}"
+                for i, c in reversed(list(enumerate(node.children))):
+                    todo += [c, f"SPLIT DISCRETE {at} VAL# {i + 1} / {len(node.children)}" if node.threshold is None else f"SPLIT CONTINUOUS {at} {'<' if i == 0 else '>='} {node.threshold:#6g}"]
 
     for i, t in enumerate(e.trees):
         out.append(f"Tree {i + 1}")
@@ -104,34 +112,42 @@ def ensemble_of(text: str, attributes: list[str] | None = None) -> Ensemble:
     betas: list[float] = []
     at = begin
 
-    def read(ids: itertools.count) -> Node:
+    def read() -> Node:
+        """A tree from the line at: branches that wait for children are on a stack."""
         nonlocal at
-        if at >= len(lines):
-            raise ValueError("the text ends within a tree")
-        line, node = lines[at], next(ids)
-        if m := re.match(r"LEAF Class (\d+) Proportions ([\d ]+)$", line):
-            at += 1
-            return Node(node, label=int(m[1]), counts=tuple(int(x) for x in m[2].split()))
-        if m := re.match(r"LEAF (\d+)$", line):
-            at += 1
-            return Node(node, label=int(m[1]))
-        kids: list[Node] = []
-        if m := re.match(r"SPLIT CONTINUOUS ATT# (\d+) < (\S+)$", line):
-            for sign in ("<", ">="):
-                if at >= len(lines) or not lines[at].startswith(f"SPLIT CONTINUOUS ATT# {m[1]} {sign} "):
-                    raise ValueError(f"a branch of attribute {m[1]} is missing")
+        ids, open_, done = itertools.count(1), [], None
+        while True:
+            if done is not None:
+                if not open_:
+                    return done
+                open_[-1][4].append(done)
+                done = None
+            if open_ and len(open_[-1][4]) == open_[-1][3]:
+                node, a, cut, n, kids, _ = open_.pop()
+                if cut is None:
+                    discrete[names[a]] = n
+                done = Node(node, names[a], cut, tuple(kids))
+                continue
+            if open_:  # the line of the next branch
+                _, a, cut, n, kids, heads = open_[-1]
+                if at >= len(lines) or not lines[at].startswith(heads[len(kids)]) or (cut is None and lines[at] != heads[len(kids)]):
+                    raise ValueError(f"a branch of attribute {a} is missing")
+                at += 1
+            if at >= len(lines):
+                raise ValueError("the text ends within a tree")
+            line, node = lines[at], next(ids)
+            if m := re.match(r"LEAF Class (\d+) Proportions ([\d ]+)$", line):
+                done = Node(node, label=int(m[1]), counts=tuple(int(x) for x in m[2].split()))
                 at += 1
-                kids.append(read(ids))
-            return Node(node, names[int(m[1])], float(m[2]), tuple(kids))
-        if m := re.match(r"SPLIT DISCRETE ATT# (\d+) VAL# 1 / (\d+)$", line):
-            for i in range(int(m[2])):
-                if at >= len(lines) or lines[at] != f"SPLIT DISCRETE ATT# {m[1]} VAL# {i + 1} / {m[2]}":
-                    raise ValueError(f"a branch of attribute {m[1]} is missing")
+            elif m := re.match(r"LEAF (\d+)$", line):
+                done = Node(node, label=int(m[1]))
                 at += 1
-                kids.append(read(ids))
-            discrete[names[int(m[1])]] = int(m[2])
-            return Node(node, names[int(m[1])], None, tuple(kids))
-        raise ValueError(f"not a line of a tree: {line!r}")
+            elif m := re.match(r"SPLIT CONTINUOUS ATT# (\d+) < (\S+)$", line):
+                open_.append((node, int(m[1]), float(m[2]), 2, [], [f"SPLIT CONTINUOUS ATT# {m[1]} {sign} " for sign in ("<", ">=")]))
+            elif m := re.match(r"SPLIT DISCRETE ATT# (\d+) VAL# 1 / (\d+)$", line):
+                open_.append((node, int(m[1]), None, int(m[2]), [], [f"SPLIT DISCRETE ATT# {m[1]} VAL# {i + 1} / {m[2]}" for i in range(int(m[2]))]))
+            else:
+                raise ValueError(f"not a line of a tree: {line!r}")
 
     while at < len(lines):
         if not re.match(r"Tree \d+$", lines[at]):
@@ -140,7 +156,7 @@ def ensemble_of(text: str, attributes: list[str] | None = None) -> Ensemble:
         if at < len(lines) and (m := re.match(r"Beta (\S+)$", lines[at])):
             betas.append(float(m[1]))
             at += 1
-        trees.append(read(itertools.count(1)))
+        trees.append(read())
     if "NumTrees" in head and int(head["NumTrees"]) != len(trees):
         raise ValueError(f"{head['NumTrees']} trees are announced, {len(trees)} found")
     imputed = tuple(head["MissingAttributeValues"].split(",")) if head.get("MissingAttributeValues") else ()
