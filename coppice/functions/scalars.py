@@ -33,7 +33,7 @@ def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
 def draw_sql(key: str, seed: int = 1, rounds: int = 3) -> str:
     """The same as SQL text, for keys of 0 and above."""
     key = f"CAST({key} AS BIGINT)"
-    x = f"(xor(({key} + {seed * 7919}) % {MODULUS}, ({key} // {MODULUS}) % {MODULUS} * {HIGH} % {MODULUS}) % {MODULUS})"
+    x = f"(xor(({key} % {MODULUS} + {seed * 7919}) % {MODULUS}, ({key} // {MODULUS}) % {MODULUS} * {HIGH} % {MODULUS}) % {MODULUS})"
     for _ in range(rounds):
         x = f"(({x} * {MULTIPLIER} + 12345) % {MODULUS})"
         x = f"(xor({x}, {x} >> 15) % {MODULUS})"

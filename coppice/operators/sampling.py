@@ -24,11 +24,12 @@ def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
 def shuffled_places(rows: DataFrame, key: str, label: str, seed: int = 1, parts: int = 1024) -> DataFrame:
     """Adds at: a row's place from 0 in its class's shuffled order. Ranges of the draw are numbered separately, so that
     no class meets in one task. Rows without a class take no part."""
-    rows = rows.withColumn("_r", draw(F.col(key), seed)).withColumn("_part", F.floor(F.col("_r") * parts / MODULUS))
-    before = rows.groupBy(label, "_part").agg(F.count("*").alias("_n"))
-    before = before.select(label, "_part", (F.sum("_n").over(Window.partitionBy(label).orderBy("_part")) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_r", key)) - 1
-    return rows.withColumn("_at", at).join(before, [label, "_part"]).withColumn("at", F.col("_before") + F.col("_at")).drop("_r", "_part", "_at", "_before")
+    drawn, part, n, before, place = "_place_draw", "_place_part", "_place_n", "_place_before", "_place_at"
+    rows = rows.withColumn(drawn, draw(F.col(key), seed)).withColumn(part, F.floor(F.col(drawn) * parts / MODULUS))
+    sizes = rows.groupBy(label, part).agg(F.count("*").alias(n))
+    sizes = sizes.select(label, part, (F.sum(n).over(Window.partitionBy(label).orderBy(part)) - F.col(n)).alias(before))
+    at = F.row_number().over(Window.partitionBy(label, part).orderBy(drawn, key)) - 1
+    return rows.withColumn(place, at).join(sizes, [label, part]).withColumn("at", F.col(before) + F.col(place)).drop(drawn, part, place, before)
 
 
 #: Rows of a range whose bag counts are drawn at once are 2 ** BAG_BITS.
