@@ -77,15 +77,32 @@ def windows(rows: DataFrame, score: str, positive: Column, order: str, width: in
     """calibration and refinement over sliding windows of the rows by score, then order (a number): mean |mean score - rate|
     and mean rate (1 - rate). Null where there are fewer rows than a window holds.
 
-    Rows are numbered in two levels (scores, then rows of a score) and dealt to blocks of BLOCK places; each block also gets
-    the first rows of the next, so that its windows are whole."""
+    Rows are numbered once, by score and order together, and dealt to blocks of BLOCK places; each block also gets the first
+    rows of the next, so that its windows are whole."""
     at = rows.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(order).alias("o"), F.when(positive, 1.0).otherwise(0.0).alias("hit"), F.lit(1).alias("one"))
-    by = at.groupBy("s").agg(F.count("*").alias("n"))
-    before = running(by, [], "s", ["n"]).select("s", (F.col("n_upto") - F.col("n")).alias("before"))
-    at = running(at, ["s"], "o", ["one"]).join(before, "s").select("s", "hit", (F.col("before") + F.col("one_upto") - 1).alias("at"))
+    at = running(at, [], "s", ["one"], ["o"]).select("s", "hit", (F.col("one_upto") - 1).alias("at"))
     block = F.floor(F.col("at") / BLOCK)
     to = F.when((F.col("at") % BLOCK < width - 1) & (F.col("at") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
     frame = Window.partitionBy("block").orderBy("at").rowsBetween(0, width - 1)
     slid = at.withColumn("block", F.explode(to)).select("block", "at", F.avg("s").over(frame).alias("mean"), F.avg("hit").over(frame).alias("rate"), F.count("*").over(frame).alias("n"))
     full = slid.where((F.col("n") == width) & (F.floor(F.col("at") / BLOCK) == F.col("block")))
     return full.agg(F.avg(F.abs(F.col("mean") - F.col("rate"))).alias("calibration"), F.avg(F.col("rate") * (1 - F.col("rate"))).alias("refinement"))
+
+
+def class_windows(rows: DataFrame, scores: list[str], label: str, order: str) -> DataFrame:
+    """class, calibration, refinement of each class's score (by its number), and their mean over the classes (class null).
+
+    Windows hold 100 rows, of fewer than 100 rows 50; of fewer than 50 all values are null. All classes are numbered, and
+    their windows slid, in one go."""
+    at = rows.select(F.col(label).alias("label"), F.col(order).alias("o"), F.posexplode(F.array(*scores)).alias("class", "s")).where("s is not null")
+    at = at.select("class", "s", "o", F.when(F.col("label") == F.col("class"), 1.0).otherwise(0.0).alias("hit"), F.lit(1).alias("one"))
+    at = running(at, ["class"], "s", ["one"], ["o"]).select("class", "s", "hit", (F.col("one_upto") - 1).alias("at"), F.when(F.col("one_all") < 100, 50).otherwise(100).alias("width"))
+    block = F.floor(F.col("at") / BLOCK)
+    to = F.when((F.col("at") % BLOCK < 99) & (F.col("at") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = at.withColumn("block", F.explode(to))
+    frame = lambda width: Window.partitionBy("class", "block").orderBy("at").rowsBetween(0, width - 1)
+    pick = lambda f: F.when(F.col("width") == 50, f(frame(50))).otherwise(f(frame(100)))
+    slid = dealt.select("class", "block", "at", "width", pick(F.avg("s").over).alias("mean"), pick(F.avg("hit").over).alias("rate"), pick(F.count("*").over).alias("n"))
+    full = (F.col("n") == F.col("width")) & (F.floor(F.col("at") / BLOCK) == F.col("block"))
+    each = slid.groupBy("class").agg(F.avg(F.when(full, F.abs(F.col("mean") - F.col("rate")))).alias("calibration"), F.avg(F.when(full, F.col("rate") * (1 - F.col("rate")))).alias("refinement"))
+    return each.unionByName(each.agg(F.lit(None).cast("int").alias("class"), F.avg("calibration").alias("calibration"), F.avg("refinement").alias("refinement")))

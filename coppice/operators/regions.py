@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.operators import graph
 from coppice.plans.materialize import checkpoint
 
 
@@ -121,7 +122,7 @@ def longest_edge(edges: DataFrame, nodes: DataFrame, axes: tuple[str, ...] = ("x
     return both.groupBy("mesh").agg(F.sqrt(F.max(square)).alias("length"))
 
 
-def joined_near(cells: DataFrame, separation: float, axes: tuple[str, ...] = ("x", "y"), rounds: int = 200) -> DataFrame:
+def joined_near(cells: DataFrame, separation: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """cells(timestep, component, axes) with label: components of one timestep with cells within the separation get one
     label, and so do those that are joined through others; labels count from 0 in a timestep by the least component."""
     both = near_pairs(cells.select("timestep", "component", *axes), cells.select("timestep", "component", *axes), list(axes), separation, ["timestep"])
@@ -129,7 +130,7 @@ def joined_near(cells: DataFrame, separation: float, axes: tuple[str, ...] = ("x
     named = lambda x: F.struct(F.col(f"{x}.timestep").alias("timestep"), F.col(f"{x}.component").alias("component"))
     edges = both.select(named("a").alias("u"), named("b").alias("v")).where("u != v").distinct()
     regions = cells.alias("c").select(named("c").alias("id")).distinct()
-    roots = spread(regions, edges, rounds).select("id.timestep", F.col("id.component").alias("component"), F.col("component").alias("root"))
+    roots = graph.labelled(regions, edges).select("id.timestep", F.col("id.component").alias("component"), F.col("component").alias("root"))
     ranks = roots.select("timestep", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("timestep").orderBy("root")) - 1)  # a row a joined region
     return cells.join(roots.join(ranks, ["timestep", "root"]).drop("root"), ["timestep", "component"])
 
@@ -139,23 +140,7 @@ def border_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
 
 
-def spread(items: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """id, component (the least id reachable) of items(id, each once) along edges(u, v), each given in both directions: labels spread
-    along neighbours, and jump to their label's label each round."""
-    edges = checkpoint(edges)
-    now = checkpoint(items.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        near = edges.join(now, edges["v"] == now["id"]).groupBy("u").agg(F.min("component").alias("least"))
-        step = now.join(near, now["id"] == near["u"], "left").select("id", "component", F.least("component", F.coalesce("least", "component")).alias("better"))
-        jump = now.select(F.col("id").alias("better"), F.col("component").alias("root"))
-        after = checkpoint(step.join(jump, "better").select("id", F.col("component").alias("old"), F.least("better", "root").alias("component")))
-        if after.where("old != component").isEmpty():
-            return after.select("id", "component")
-        now = after.select("id", "component")
-    raise RuntimeError(f"components did not close in {rounds} rounds")
-
-
-def connected(cells: DataFrame, rounds: int = 200) -> DataFrame:
+def connected(cells: DataFrame) -> DataFrame:
     """timestep, x, y, component of active grid cells joined by edges; component is the least cell number. Cells need id,
     timestep, x, y."""
     a, b = cells.alias("a"), cells.alias("b")
@@ -163,5 +148,24 @@ def connected(cells: DataFrame, rounds: int = 200) -> DataFrame:
     ends = [F.col("a.id").alias("u"), F.col("b.id").alias("v")]
     edges = a.join(b, same & (F.col("a.x") + 1 == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))).select(*ends)
     edges = edges.union(a.join(b, same & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") + 1 == F.col("b.y"))).select(*ends))
-    found = spread(cells.select("id"), edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), rounds)
+    found = graph.labelled(cells, edges)
     return cells.join(found, "id").select("timestep", "x", "y", "component")
+
+
+def mesh_segments(incidence: DataFrame, values: DataFrame, operator: str, threshold: float) -> DataFrame:
+    """timestep, mesh, element, segment (from 0 in a timestep and mesh, by the least element) of the elements whose value
+    passes the threshold; elements that share a node are in one segment, and so are those that are joined through others.
+
+    incidence(timestep, mesh, element, node): the nodes of each element, any number, of any kind of element. values(timestep,
+    mesh, element, value). operator: one of > >= < <= = !=. An element without nodes is a segment by itself."""
+    passes = {">": F.col("value") > threshold, ">=": F.col("value") >= threshold, "<": F.col("value") < threshold, "<=": F.col("value") <= threshold, "=": F.col("value") == threshold, "!=": F.col("value") != threshold}
+    if operator not in passes:
+        raise ValueError(f"the operator is one of {' '.join(passes)}")
+    own = ["timestep", "mesh", "element"]
+    active = checkpoint(values.where(passes[operator]).select(*own).distinct())
+    touched = incidence.join(active, own).select(F.struct(*own).alias("element"), F.struct("timestep", "mesh", "node").alias("node"))
+    found = graph.labelled(active.select(F.struct(*own).alias("id")), graph.incident(touched, "element", "node"))
+    found = found.select("id.*", F.col("component.element").alias("least"))
+    first = found.select("timestep", "mesh", "least").distinct()
+    numbered = first.withColumn("segment", (F.row_number().over(Window.partitionBy("timestep", "mesh").orderBy("least")) - 1).cast("int"))  # a row a segment
+    return found.join(numbered, ["timestep", "mesh", "least"]).select(*own, "segment")

@@ -122,6 +122,17 @@ def clump_plan(counts: DataFrame, shares: dict[int, float]) -> DataFrame:
     return rows.select("label", "n", "minority", "clumps", F.when(F.col("minority"), F.col("n")).otherwise(F.ceil(F.col("n") / F.col("clumps"))).alias("quota"))
 
 
+def actual_proportions(counts: DataFrame, shares: dict[int, float], smote: bool = False) -> DataFrame:
+    """label, attendance, share of each class in what trees are grown on: in one of the balanced sets, or with smote among all
+    rows and the made ones. counts: label, n."""
+    if smote:
+        more = smote_deficits(counts, shares).select("label", "missing")
+        rows = counts.join(more, "label", "left").select("label", (F.col("n") + F.greatest(F.coalesce("missing", F.lit(0)), F.lit(0))).alias("attendance"))
+    else:
+        rows = clump_plan(counts, shares).select("label", F.col("quota").alias("attendance"))
+    return rows.withColumn("share", F.col("attendance") / F.sum("attendance").over(Window.partitionBy()))  # a row a class
+
+
 def balanced_clump(rows: DataFrame, key: str, label: str, quotas: dict[int, int], clump: int, seed: int = 1) -> DataFrame:
     """Rows of balanced set number clump: all of a class without a quota, else quota rows from place clump * quota on in
     the class's shuffled order, cyclically."""

@@ -62,7 +62,7 @@ def candidates(hist: DataFrame, keys: list[str], classes: int, fixed: int = 2, d
     """Cuts between adjacent present values whose branches hold enough rows: keys, attribute, low, threshold,
     l0.. (left), r0.. (right), n. Rows without a value take no part; a null value belongs to no cut's left branch."""
     counts = [f"c{k}" for k in range(classes)]
-    rows = running(hist.where("value is not null"), [*keys, "attribute"], "value", counts, ["attribute"]).where("next is not null")
+    rows = running(hist.where("value is not null"), [*keys, "attribute"], "value", counts).where("next is not null")
     rows = rows.select(*keys, "attribute", F.col("value").alias("low"), ((F.col("value") + F.col("next")) / 2).alias("threshold"), *[F.col(f"{c}_upto").alias(f"l{k}") for k, c in enumerate(counts)], *[(F.col(f"{c}_all") - F.col(f"{c}_upto")).alias(f"r{k}") for k, c in enumerate(counts)])
     nl, nr = total([F.col(f"l{k}") for k in range(classes)]), total([F.col(f"r{k}") for k in range(classes)])
     least = least_branch(nl + nr, classes, fixed, dynamic)

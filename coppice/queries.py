@@ -273,6 +273,20 @@ def _(spark, d):
     return sampling.clump_plan(bands(spark, d).groupBy("label").agg(F.count("*").alias("n")), {2: 0.4})
 
 
+SHARED = "SELECT label, attendance, round(attendance / sum(attendance) OVER (), 8) AS share"
+
+
+@query("clump_proportions", f"WITH {BANDS}, c AS (SELECT label, count(*) AS n FROM bands GROUP BY label), s AS (SELECT floor(avg(n / 0.4) + 0.5) AS size FROM c WHERE label = 2), m AS (SELECT sum(n) AS rest FROM c WHERE label <> 2), k AS (SELECT CAST(max(ceil(n / greatest(ceil(round(size * (n / rest) * 0.6, 6)), 1))) AS BIGINT) AS clumps FROM c, s, m WHERE label <> 2), q AS (SELECT label, CASE WHEN label = 2 THEN n ELSE CAST(ceil(n / clumps) AS BIGINT) END AS attendance FROM c, k) {SHARED} FROM q")
+def _(spark, d):
+    return sampling.actual_proportions(bands(spark, d).groupBy("label").agg(F.count("*").alias("n")), {2: 0.4}).select("label", "attendance", F.round("share", 8).alias("share"))
+
+
+@query("smote_proportions", f"WITH c AS (SELECT CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS label, count(*) AS n FROM events GROUP BY 1), q AS (SELECT label, CASE WHEN label = 1 THEN greatest(n, CAST(ceil(round(0.6 * ((SELECT sum(n) FROM c WHERE label <> 1) / 0.4), 6)) AS BIGINT)) ELSE n END AS attendance FROM c) {SHARED} FROM q")
+def _(spark, d):
+    c = read(spark, d, "events").groupBy(F.when(F.col("event_type").isin("error", "purchase"), 1).otherwise(0).alias("label")).agg(F.count("*").alias("n"))
+    return sampling.actual_proportions(c, {1: 0.6}, smote=True).select("label", "attendance", F.round("share", 8).alias("share"))
+
+
 @query("balanced_clump", f"WITH {PLACED} SELECT doc_id, quality FROM placed WHERE quality <> 1 OR ((place - 60) % n + n) % n < 20")
 def _(spark, d):
     return sampling.balanced_clump(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", {1: 20}, 3, seed=4)
@@ -493,6 +507,16 @@ def _(spark, d):
     return prep.union_all(each).agg(F.round(F.avg("auroc"), 8).alias("auroc"))
 
 
+SLID = ", ".join(f"w{k} AS (SELECT {k} AS class, avg(s) OVER f AS mean, avg(CASE WHEN pos THEN 1.0 ELSE 0.0 END) OVER f AS rate, count(*) OVER f AS n FROM (SELECT round(p{k}, 9) AS s, row_id, label = {k} AS pos FROM tally) WINDOW f AS (ORDER BY s, row_id ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING))" for k in range(3))
+
+
+@query("class_calibration", f"WITH {TALLY}, {SLID}, c AS (SELECT class, avg(abs(mean - rate)) AS calibration, avg(rate * (1 - rate)) AS refinement FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2) WHERE n = 100 GROUP BY class) SELECT class, round(calibration, 8) AS calibration, round(refinement, 8) AS refinement FROM c UNION ALL SELECT NULL, round(avg(calibration), 8), round(avg(refinement), 8) FROM c")
+def _(spark, d):
+    t = tally(spark, d).select("label", "row_id", *[F.round(f"p{k}", 9).alias(f"p{k}") for k in range(CLASSES)])
+    out = metrics.class_windows(t, [f"p{k}" for k in range(CLASSES)], "label", "row_id")
+    return out.select("class", F.round("calibration", 8).alias("calibration"), F.round("refinement", 8).alias("refinement"))
+
+
 @query("calibration", f"WITH {TALLY}, r AS (SELECT round(p0, 9) AS s, row_id, label = 0 AS pos FROM tally), w AS (SELECT avg(s) OVER f AS mean, avg(CASE WHEN pos THEN 1.0 ELSE 0.0 END) OVER f AS rate, count(*) OVER f AS n FROM r WINDOW f AS (ORDER BY s, row_id ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)) SELECT round(avg(abs(mean - rate)), 8) AS calibration, round(avg(rate * (1 - rate)), 8) AS refinement FROM w WHERE n = 100")
 def _(spark, d):
     t = tally(spark, d).select(F.round("p0", 9).alias("s"), "row_id", "label")
@@ -656,6 +680,17 @@ def _(spark, d):
     return regions.connected(c)
 
 
+MESH = "el AS (SELECT o_orderkey AS element, year(o_orderdate) AS timestep, o_orderkey % 2 AS mesh FROM orders WHERE o_totalprice > 250000), inc AS (SELECT DISTINCT timestep, mesh, element, l_partkey AS node FROM el JOIN lineitem ON l_orderkey = element)"
+
+
+@query("mesh_segments", f"WITH RECURSIVE {MESH}, e AS (SELECT DISTINCT a.timestep, a.mesh, a.element AS u, b.element AS v FROM inc a JOIN inc b USING (timestep, mesh, node) WHERE a.element <> b.element), r AS (SELECT timestep, mesh, element, element AS least FROM el UNION SELECT e.timestep, e.mesh, e.v, r.least FROM r JOIN e ON e.timestep = r.timestep AND e.mesh = r.mesh AND e.u = r.element WHERE e.v > r.least), c AS (SELECT timestep, mesh, element, min(least) AS least FROM r GROUP BY 1, 2, 3) SELECT CAST(timestep AS INT) AS timestep, mesh, element, CAST(dense_rank() OVER (PARTITION BY timestep, mesh ORDER BY least) - 1 AS INT) AS segment FROM c")
+def _(spark, d):
+    """Dear orders are elements, their parts the nodes that they share."""
+    o = read(spark, d, "orders").select(F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 2).alias("mesh"), F.col("o_orderkey").alias("element"), F.col("o_totalprice").alias("value"))
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("element"), F.col("l_partkey").alias("node"))
+    return regions.mesh_segments(o.drop("value").join(lines, "element"), o, ">", 250000.0)
+
+
 @query("joined_regions", f"WITH RECURSIVE {CELL}, d AS (SELECT *, id // 3 AS component FROM cell), e AS (SELECT DISTINCT a.timestep, a.component AS u, b.component AS v FROM d a JOIN d b ON a.timestep = b.timestep AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2 AND a.component <> b.component), r AS (SELECT DISTINCT timestep, component AS id, component AS root FROM d UNION SELECT e.timestep, e.v, r.root FROM r JOIN e ON e.timestep = r.timestep AND e.u = r.id), c AS (SELECT timestep, id, min(root) AS root FROM r GROUP BY 1, 2), l AS (SELECT timestep, id AS component, dense_rank() OVER (PARTITION BY timestep ORDER BY root) - 1 AS label FROM c) SELECT CAST(timestep AS INT) AS timestep, component, CAST(label AS INT) AS label, count(*) AS n FROM d JOIN l USING (timestep, component) GROUP BY 1, 2, 3")
 def _(spark, d):
     c = read(spark, d, "orders").where("o_totalprice > 100000").select(F.year("o_orderdate").alias("timestep"), (F.col("o_orderkey") % 64).alias("x"), F.floor(F.col("o_orderkey") / 64).alias("y"), F.col("o_orderkey").alias("id"))
