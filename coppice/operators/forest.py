@@ -281,6 +281,12 @@ def cross_validated(rows: DataFrame, row: str, attributes: list[str], classes: i
         keep = ["fold", row, "label"]
         holes = F.greatest(F.lit(0), *[F.max(F.when(F.col(a).isNull() | F.isnan(F.col(a).cast("double")), 1).otherwise(0)) for a in attributes])
         if together and not dealt.agg(holes.alias("any")).first()["any"]:
+            if o.trees == 1 and o.bagging is None and not o.subsample and o.depth != 0:
+                # a tree a fold: histograms of a fold's training rows are those of all rows less its own
+                grown = grow(dealt, row, attributes, classes, trees=folds, discrete=discrete, folds="fold", **o.growth(len(attributes)))
+                cast = scoring.votes(dealt, keep, grown, classes).where(F.col("tree") == F.col("fold"))
+                out.append(predicted(scoring.tally(cast, keep, classes), classes).withColumn("iter", F.lit(i)))
+                continue
             filled = dealt
             bags = []
             for f in range(folds):

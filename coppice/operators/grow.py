@@ -41,6 +41,7 @@ def grow(
     collapse: bool = True,
     subsample: int = 0,
     small: int | None = None,
+    folds: str | None = None,
 ) -> list[Node]:
     """Trees on rows(row, label, attributes); bags(tree, row, weight) or all rows once for each tree.
 
@@ -54,6 +55,10 @@ def grow(
     code that isn't declared. Children that all say one class are merged; with collapse, a subtree that errs no less than
     its majority becomes a leaf. An empty branch says its parent's class.
 
+    folds: a column of fold numbers; tree t grows on all rows but those of fold t, and there are no bags. Trees that so far
+    have the same tests share their rows: a level counts a row once for each different region that it is in, by fold, and a
+    tree's histogram is that of all folds less its own.
+
     Rows are held once, with an array of their weights in all trees. A level is a pass that finds the large nodes' rows (flat
     arrays in tasks), one histogram with partial sums before its shuffle and one scan; the sides of a cut are its children's
     counts. Nodes of at most small rows (SMALL_ROWS, fewer if there are many attributes) are then dealt to tasks whole, in one
@@ -64,34 +69,53 @@ def grow(
     numbers = [i for i, a in enumerate(attributes) if a not in discrete]
     codes = [i for i, a in enumerate(attributes) if a in discrete]
     rules = Rules(len(attributes), classes, criterion, depth, attributes_a_node, seed, {attributes.index(a): n for a, n in discrete.items()}, masks, cuts, fixed, dynamic, zero_gain, subsample)
+    if folds and (bags is not None or subsample):
+        raise ValueError("folds exclude bags and samples of nodes")
     if small is None:
         small = min(SMALL_ROWS, SMALL_VALUES // max(1, len(attributes)))
-    data = held(rows, row, attributes, bags, trees)
+    data = held(rows, row, attributes, bags, trees, folds)
     growing = [Growing(t) for t in range(trees)]
     keys, level = ["tree", "node", "place"], 0
     while any(t.open for t in growing):
         if sum(len(t.counts) for t in growing) > MOST_NODES:
             raise ValueError(f"more than {MOST_NODES} nodes")
         if any(t.counts[i] is None for t in growing for i in t.open):
-            active = placed(data, row, attributes, growing)
-            sums = active.groupBy("tree", "node").agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
-            for r in sums.collect():  # a row a node
-                growing[r["tree"]].counts[r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
+            counted = [F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
+            if folds:
+                active, regions = in_regions(data, row, attributes, growing)
+                own: dict[tuple[int, int], np.ndarray] = {}
+                for r in active.groupBy("region", "fold").agg(*counted).collect():  # a row a region and fold
+                    own[r["region"], r["fold"]] = np.array([r[f"c{k}"] for k in range(classes)])
+                for i, of in enumerate(regions):
+                    for t, node in of:
+                        found = sum(c for (region, fold), c in own.items() if region == i and fold != t)
+                        if not np.isscalar(found):
+                            growing[t].counts[node] = tuple(int(x) for x in found)
+            else:
+                for r in placed(data, row, attributes, growing).groupBy("tree", "node").agg(*counted).collect():  # a row a node
+                    growing[r["tree"]].counts[r["node"]] = tuple(int(r[f"c{k}"]) for k in range(classes))
         for t in growing:
             t.open = [i for i in t.open if t.counts[i] is not None and sum(t.counts[i]) and not stops(t.counts[i], classes, fixed, dynamic)] if level != depth else []
             t.ready += [(i, level) for i in t.open if sum(t.counts[i]) <= small]
             t.open = [i for i in t.open if sum(t.counts[i]) > small]
         if not any(t.open for t in growing):
             break
-        active = placed(data, row, attributes, growing)
+        at, regions = ["tree", "node", "place"], []
+        if folds:
+            at = ["region", "fold"]
+            active, regions = in_regions(data, row, attributes, growing)
+        else:
+            active = placed(data, row, attributes, growing)
         if subsample:
             active = sampling.node_sample(active.withColumn("_unit", F.col("tree").cast("long") * (1 << 32) + F.col("node")), row, "_unit", subsample, seed + level).drop("_unit")
         parts = F.array(*[F.struct(F.lit(i).alias("attribute"), F.col(c).alias("value")) for i, c in enumerate(attributes)])
-        long = active.select(*keys, "label", "weight", F.explode(parts).alias("x")).select(*keys, "label", "weight", "x.*")
+        long = active.select(*at, "label", "weight", F.explode(parts).alias("x")).select(*at, "label", "weight", "x.*")
         if masks:
             allowed = rows.sparkSession.createDataFrame([(t, a) for t, own in masks.items() for a in own], "tree int, attribute int")
             long = long.join(F.broadcast(allowed), ["tree", "attribute"])  # trees x attributes at most
-        hist = checkpoint(split.histogram(long, keys, classes, weight=F.col("weight")))
+        hist = checkpoint(split.histogram(long, at, classes, weight=F.col("weight")))
+        if folds:
+            hist = complements(hist, regions, growing, classes)
         seeded = F.col("place") + F.col("attribute") * 1000003
         found = []
         sides = [f"l{k}" for k in range(classes)]
@@ -161,9 +185,12 @@ def finish(data: DataFrame, row: str, attributes: list[str], growing: list[Growi
         growing[r["tree"]].hang(r["node"], r["attribute"], r["threshold"], r["first"], r["children"], r["counts"], rules.classes)
 
 
-def held(rows: DataFrame, row: str, attributes: list[str], bags: DataFrame | None, trees: int) -> DataFrame:
-    """row, label, attributes, weights (of each tree), written once; rows in no bag are left out."""
-    data = rows.where("label is not null").select(row, F.col("label").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in attributes])
+def held(rows: DataFrame, row: str, attributes: list[str], bags: DataFrame | None, trees: int, folds: str | None = None) -> DataFrame:
+    """row, label, attributes, weights (of each tree), with folds _fold, written once; rows in no bag are left out."""
+    own = [F.col(folds).cast("int").alias("_fold")] if folds else []
+    data = rows.where("label is not null").select(row, F.col("label").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in attributes], *own)
+    if folds:
+        return table(data.withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.when(t == F.col("_fold"), 0).otherwise(1))), "growth")
     if bags is None:
         return table(data.withColumn("weights", F.array_repeat(F.lit(1), trees)), "growth")
     each = bags.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col("tree").cast("int"), F.col("weight").cast("int")))).alias("_w"))
@@ -209,6 +236,15 @@ class Growing:
                 for k in range(first[i], first[i] + children[i]):
                     self.parent[place(k)] = place(i)
 
+    def path(self, node: int) -> tuple:
+        """The tests above a node and their outcomes."""
+        out = []
+        while (up := self.parent[node]) is not None:
+            attribute, threshold, first, _ = self.split[up]
+            out.append((attribute, threshold, node - first))
+            node = up
+        return tuple(out)
+
     def used(self, node: int) -> set[int]:
         out = set()
         while (node := self.parent[node]) is not None:
@@ -270,6 +306,53 @@ def placed(data: DataFrame, row: str, attributes: list[str], growing: list[Growi
     return found.select("tree", F.col("_at.nodes").alias("node"), F.col("_at.places").alias("place"), F.col("_at.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
 
 
+def in_regions(data: DataFrame, row: str, attributes: list[str], growing: list[Growing]) -> tuple[DataFrame, list[list[tuple[int, int]]]]:
+    """region, fold, weight, row, label, attributes: each row once for each region of open nodes that it is in, in a tree that
+    it may be in; and the nodes (tree, node) of each region. Nodes of different trees are one region if the tests above them are the same."""
+    number: dict[tuple, int] = {}
+    regions: list[list[tuple[int, int]]] = []
+    for t in growing:
+        for i in t.open:
+            key = t.path(i)
+            if key not in number:
+                number[key] = len(regions)
+                regions.append([])
+            regions[number[key]].append((t.tree, i))
+    flats = data.sparkSession.sparkContext.broadcast([t.flat() for t in growing])
+    ready = data.sparkSession.sparkContext.broadcast([(np.array(sorted(t.open), np.int64), np.array([number[t.path(i)] for i in sorted(t.open)], np.int32)) for t in growing])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = matrix([batch.column(2 + i) for i in range(len(attributes))], batch.num_rows)
+            fold = batch.column(2 + len(attributes)).to_numpy()
+            found = np.full((batch.num_rows, len(flats.value)), -1, np.int32)
+            for t, (flat, (opened, region)) in enumerate(zip(flats.value, ready.value, strict=True)):
+                if len(opened):
+                    at = flat.walk(values)
+                    near = np.minimum(np.searchsorted(opened, at), len(opened) - 1)
+                    found[:, t] = np.where((opened[near] == at) & (fold != t), region[near], -1)
+            found.sort(axis=1)
+            found[:, 1:][found[:, 1:] == found[:, :-1]] = -1  # each region once
+            offsets = pa.array(np.arange(0, found.size + 1, max(1, found.shape[1]), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], [*batch.schema.names, "regions"])
+
+    plain = data.select(row, "label", *attributes, F.col("_fold").alias("fold"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    placed = plain.mapInArrow(route, f"{kinds}, regions array<int>").withColumn("region", F.explode("regions")).where("region >= 0")
+    return placed.select("region", "fold", F.lit(1).alias("weight"), row, "label", *attributes), regions
+
+
+def complements(hist: DataFrame, regions: list[list[tuple[int, int]]], growing: list[Growing], classes: int) -> DataFrame:
+    """tree, node, place, attribute, value, c0..: of a histogram by region and fold, each tree's: all folds less its own."""
+    nodes = hist.sparkSession.createDataFrame([(i, t, n, growing[t].key[n]) for i, of in enumerate(regions) for t, n in of], "region int, tree int, node int, place long")
+    counts = [f"c{k}" for k in range(classes)]
+    each = hist.groupBy("region", "attribute", "value").agg(*[F.sum(c).alias(c) for c in counts], F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*counts).alias("n")))).alias("own"))  # an entry a fold
+    both = each.join(F.broadcast(nodes), "region")  # a row an open node
+    own = F.try_element_at("own", F.col("tree"))
+    left = both.select("tree", "node", "place", "attribute", "value", *[(F.col(c) - F.coalesce(own[c], F.lit(0))).alias(c) for c in counts])
+    return left.where(split.total([F.col(c) for c in counts]) > 0)
+
+
 def errors(node: Node) -> int:
     """Training rows that a subtree gets wrong; an empty branch has none."""
     return sum(sum(n.counts) - max(n.counts) for n in scoring.nodes_of(node) if n.attribute is None and n.seen and n.counts)

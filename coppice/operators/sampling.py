@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.scalars import MODULUS, draw, wide_draw
 from coppice.operators.prefix import running
-from coppice.plans.materialize import table
+from coppice.plans.materialize import checkpoint, table
 
 
 def numbered(df: DataFrame, key: str, out: str = "at") -> DataFrame:
@@ -202,43 +202,103 @@ def smote_deficits(counts: DataFrame, shares: dict[int, float]) -> DataFrame:
     return counts.withColumn("wanted", wanted).where(minority).select("label", "n", "wanted", (F.col("wanted") - F.col("n")).alias("missing"))
 
 
-#: Rows of a range of the first attribute, about, in which a row looks for a first bound of its neighbours' distance.
+#: Points of a cell, about, in which a point looks for a first bound of its neighbours' distance.
 NEAR = 128
 
 
-def all_neighbours(rows: DataFrame, key: str, attributes: list[str], k: int, distance=l2, discrete: tuple[str, ...] = (), penalty: float = 0.0, within: str | None = None) -> DataFrame:
-    """key, neighbour, distance, rank: the k nearest other rows (with within, those of the same value of that column) of
-    every row; lower keys win ties. The first attribute is a number.
-
-    Exact without comparing all rows: rows are cut into ranges of the first attribute; the k-th distance within a row's own
-    range bounds how far its neighbours' first attribute can be, and only ranges within that bound are compared."""
-    first = attributes[0]
-    rows = rows.where(F.col(first).isNotNull()).withColumn("_g", F.col(within) if within else F.lit(0)).select(key, "_g", *attributes).withColumn(first, F.col(first).cast("double"))
-    n = rows.count()
-    count = max(1, n // NEAR)
-    cuts = sorted(set(rows.agg(F.percentile_approx(first, [i / count for i in range(1, count)], 10 * max(count, 1000))).first()[0])) if count > 1 else []
-    rows = table(in_ranges(rows, first, cuts, "_range"), "neighbours")
-    other = rows.select(F.col(key).alias("_key"), "_g", "_range", *attributes)
-    by = [F.col("q._g") == F.col("r._g"), F.col(f"q.{key}") != F.col("r._key")]
+def box_distance(numbers: list[str], a: str, b: str, distance) -> Column:
+    """The least distance that points of two boxes (columns _low_<attribute>, _high_<attribute>) can have."""
+    gaps = [F.greatest(F.lit(0.0), F.col(f"{b}._low_{c}") - F.col(f"{a}._high_{c}"), F.col(f"{a}._low_{c}") - F.col(f"{b}._high_{c}")) for c in numbers]
+    return sum(gaps[1:], gaps[0]) if distance is l1 else F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def in_cells(points: DataFrame, axes: list[str], near: int) -> DataFrame:
+    """points with _slab and _cell of their group _g: cut into equal parts along the first axis, each of these along the
+    second, and so on, until a cell has about near points. Ties are cut by _point."""
+    parts = points.withColumn("_cell", F.lit(0).cast("long")).withColumn("_one", F.lit(1))
+    for i, axis in enumerate(axes):
+        parts = running(parts, ["_g", "_cell"], axis, ["_one"], ["_point"])
+        if not i:
+            parts = parts.withColumn("_pieces", F.ceil(F.pow(F.col("_one_all") / F.lit(float(near)), F.lit(1 / len(axes)))).cast("long"))
+        piece = F.floor((F.col("_one_upto") - 1) * F.col("_pieces") / F.col("_one_all"))
+        parts = parts.withColumn("_cell", F.col("_cell") * F.col("_pieces") + piece).drop("_one_upto", "_one_all", "next")
+        if not i:
+            parts = parts.withColumn("_slab", F.col("_cell"))
+    return parts.drop("_one", "_pieces")
+
+
+def point_neighbours(points: DataFrame, attributes: list[str], k: int, distance, discrete: tuple[str, ...], penalty: float) -> DataFrame:
+    """_point, _other, distance: the k nearest other points of the same group of points(_point, _g, attributes), the least
+    _point of ties.
+
+    Points are cut into cells with the boxes of their numbers. The k-th distance within a point's own cell bounds how far its
+    neighbours are, and a box how near those of another cell can be. Cells are compared where their slabs (cuts along the first
+    axis) come near enough, points with the cells that their own bound allows. Only slabs come to the driver: at most the
+    square root of the cells."""
+    numbers = [c for c in attributes if c not in discrete]
+    axes = numbers[:3] if len(numbers) > 1 else numbers * 2
+    cell = ["_g", "_cell"]
+    data = table(in_cells(points, axes, max(NEAR, 16 * (k + 1))), "neighbour-cells")  # cells have k other points
+    boxes = data.groupBy("_g", "_slab", "_cell").agg(*[F.min(c).alias(f"_low_{c}") for c in numbers], *[F.max(c).alias(f"_high_{c}") for c in numbers])
+    other = data.select(F.col("_point").alias("_other"), *cell, *attributes)
     away = F.round(distance(attributes, "q", "r", discrete, penalty), 9)
-    own = rows.alias("q").join(other.alias("r"), by[0] & by[1] & (F.col("q._range") == F.col("r._range"))).select(F.col(f"q.{key}").alias(key), away.alias("d"))
-    order = Window.partitionBy(key).orderBy("d")  # of a row those of its range
-    bound = own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(key, F.col("d").alias("_bound"))
-    far = F.coalesce(F.col("_bound"), F.lit(float("inf"))) + 1e-6
-    rows = rows.drop("_range").join(bound, key, "left").withColumns({"_low": F.col(first) - far, "_high": F.col(first) + far})
-    rows = in_ranges(in_ranges(rows, "_low", cuts, "_from"), "_high", cuts, "_to").withColumn("_range", F.explode(F.sequence("_from", "_to")))
-    both = rows.alias("q").join(other.alias("r"), by[0] & by[1] & (F.col("q._range") == F.col("r._range")) & F.col(f"r.{first}").between(F.col("q._low"), F.col("q._high")))
-    both = both.select(F.col(f"q.{key}").alias(key), F.col("r._key").alias("neighbour"), away.alias("distance"))
-    best = Window.partitionBy(key).orderBy("distance", "neighbour")
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    same = (F.col("q._g") == F.col("r._g")) & (F.col("q._cell") == F.col("r._cell"))
+    own = data.alias("q").join(other.alias("r"), same & (F.col("q._point") != F.col("r._other"))).select("q._point", away.alias("_d"))
+    order = Window.partitionBy("_point").orderBy("_d")  # of a point those of its cell
+    bound = own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("_point", (F.col("_d") + 1e-6).alias("_bound"))
+    data = table(data.join(bound, "_point", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf")))), "neighbour-bounds")
+    boxes = checkpoint(boxes.join(data.groupBy(*cell).agg(F.max("_bound").alias("_reach")), cell))
+
+    first = numbers[0]
+    slabs: dict[int, list[tuple]] = {}
+    for r in boxes.groupBy("_g", "_slab").agg(F.min(f"_low_{first}").alias("low"), F.max(f"_high_{first}").alias("high")).collect():  # a row a slab
+        slabs.setdefault(r["_g"], []).append((r["_slab"], r["low"], r["high"]))
+    known = {g: tuple(np.array(x) for x in zip(*sorted(s))) for g, s in slabs.items()}
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, low, high = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            found = []
+            for g, a, z in zip(group, low, high, strict=True):
+                number, lows, highs = known[g]
+                found.append(number[np.searchsorted(highs, a, "left") : np.searchsorted(lows, z, "right")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["_g", "_cell", "_slabs"])
+
+    kind = data.schema["_g"].dataType.simpleString()
+    far = boxes.select("_g", "_cell", F.col(f"_low_{first}") - F.col("_reach"), F.col(f"_high_{first}") + F.col("_reach")).mapInArrow(reach, f"_g {kind}, _cell long, _slabs array<long>")
+    asked = boxes.join(far, cell).withColumn("_slab", F.explode("_slabs"))
+    near = asked.alias("a").join(boxes.alias("b"), (F.col("a._g") == F.col("b._g")) & (F.col("a._slab") == F.col("b._slab")) & (box_distance(numbers, "a", "b", distance) <= F.col("a._reach")))
+    near = near.select("a._g", "a._cell", F.col("b._cell").alias("_to"), *[F.col(f"b.{x}_{c}").alias(f"{x}_{c}") for c in numbers for x in ("_low", "_high")])
+    queries = data.select("_point", *cell, "_bound", *attributes, *[F.col(c).alias(f"{x}_{c}") for c in numbers for x in ("_low", "_high")])
+    sent = queries.alias("q").join(near.alias("n"), (F.col("q._g") == F.col("n._g")) & (F.col("q._cell") == F.col("n._cell")) & (box_distance(numbers, "q", "n", distance) <= F.col("q._bound")))
+    sent = sent.select("q._point", "q._g", "n._to", "q._bound", *[f"q.{c}" for c in attributes])
+    both = sent.alias("q").join(other.alias("r"), (F.col("q._g") == F.col("r._g")) & (F.col("q._to") == F.col("r._cell")) & (F.col("q._point") != F.col("r._other")))
+    both = both.select("q._point", "r._other", away.alias("distance"), "q._bound").where(F.col("distance") <= F.col("_bound"))
+    best = Window.partitionBy("_point").orderBy("distance", "_other")
+    return both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("_point", "_other", "distance")
 
 
-def in_ranges(rows: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
-    """Adds how many of the cuts are at most the column's value."""
-    if not cuts:
-        return rows.withColumn(out, F.lit(0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(rows).withColumn(out, F.col(out).cast("int"))
+def all_neighbours(rows: DataFrame, key: str, attributes: list[str], k: int, distance=l2, discrete: tuple[str, ...] = (), penalty: float = 0.0, within: str | None = None) -> DataFrame:
+    """key, neighbour, distance, rank: the k nearest other rows (with within, those of the same value of that column) of
+    every row; lower keys win ties. The first attribute is a number; rows with a null attribute take no part.
+
+    Exact without comparing all rows. Rows of equal attributes are one point, named by its least key, with its k + 1 least
+    keys: nobody needs more of them. Neighbours are found between points (point_neighbours)."""
+    full = reduce(lambda x, c: x & F.col(c).isNotNull(), attributes, F.lit(True))
+    plain = rows.where(full).select(key, (F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")).alias("_g"), *[F.col(c).cast("double").alias(c) if c not in discrete else F.col(c) for c in attributes])
+    alike = ["_g", *attributes]
+    least = plain.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy(key))).where(F.col("_n") <= k + 1)  # cut before the shuffle too
+    points = least.groupBy(*alike).agg(F.min(key).alias("_point"), F.sort_array(F.collect_list(key)).alias("_keys"))  # k + 1 keys
+    points = table(points, "neighbour-points")
+    near = point_neighbours(points.drop("_keys"), attributes, k, distance, discrete, penalty)
+    listed = near.join(points.select(F.col("_point").alias("_other"), "_keys"), "_other").select("_point", "distance", "_keys")
+    listed = listed.unionByName(points.select("_point", F.lit(0.0).alias("distance"), "_keys"))
+    # a point's candidates: at most (k + 1) squared rows
+    listed = listed.groupBy("_point").agg(F.collect_list(F.struct("distance", "_keys")).alias("_all"))
+    whose = plain.join(points.drop("_keys"), alike).select(key, "_point")
+    each = whose.join(listed, "_point").select(key, F.explode("_all").alias("_a")).select(key, "_a.distance", F.explode("_a._keys").alias("neighbour")).where(F.col("neighbour") != F.col(key))
+    best = Window.partitionBy(key).orderBy("distance", "neighbour")
+    return each.select(key, "neighbour", "distance").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def smote(rows: DataFrame, key: str, attributes: list[str], near: DataFrame, copies: DataFrame, seed: int = 1, discrete: tuple[str, ...] = ()) -> DataFrame:

@@ -121,17 +121,24 @@ LEAF 0
     assert models.concatenated([e, e]).trees == e.trees * 2
 
 
-def test_all_neighbours_equal_brute_force(spark):
+def test_all_neighbours_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "NEAR", 24)
     rng = random.Random(3)
-    data = [(i, rng.choice([rng.random() * 100, 50.0]), float(rng.randrange(20)), rng.randrange(3), i % 2) for i in range(700)]
-    rows = spark.createDataFrame(data, "id long, x double, y double, k int, label int")
-    for within in (None, "label"):
+    data = [(i, rng.choice([rng.random() * 100, 50.0]), float(rng.randrange(20)), rng.randrange(3), i % 2) for i in range(500)]
+    data += [(500 + i, 50.0, 7.0, 1, i % 2) for i in range(90)]  # one point of many rows
+    rows = spark.createDataFrame(data, "id long, x double, y double, k int, label int").unionByName(spark.createDataFrame([(999, None, 1.0, 1, 0)], "id long, x double, y double, k int, label int"))
+    for within, distance, names in ((None, sampling.l2, ["x", "y", "k"]), ("label", sampling.l1, ["x", "y", "k"]), (None, sampling.l1, ["y"])):
         got = {}
-        for r in sampling.all_neighbours(rows, "id", ["x", "y", "k"], 3, sampling.l2, ("k",), 5.0, within).collect():
-            got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
-        for a in data[::23]:
-            near = sorted((round(math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + 25 * (a[3] != b[3])), 9), b[0]) for b in data if b[0] != a[0] and (within is None or a[4] == b[4]))
-            assert [got[a[0]][i] for i in (1, 2, 3)] == [n for _, n in near[:3]]
+        for r in sampling.all_neighbours(rows, "id", names, 3, distance, ("k",), 5.0, within).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = (r["distance"], r["neighbour"])
+        there = data if "x" in names else [*data, (999, None, 1.0, 1, 0)]  # a row without a used attribute takes no part
+        assert sorted(got) == [r[0] for r in there]
+        at = {"x": 1, "y": 2}
+        for a in data[::17]:
+            gaps = lambda b: [abs(a[at[c]] - b[at[c]]) if c in at else 5.0 * (a[3] != b[3]) for c in names]  # noqa: B023, E731
+            far = lambda b: round(sum(gaps(b)) if distance is sampling.l1 else math.sqrt(sum(g * g for g in gaps(b))), 9)  # noqa: B023, E731
+            near = sorted((far(b), b[0]) for b in there if b[0] != a[0] and (within is None or a[4] == b[4]))
+            assert [got[a[0]][i] for i in (1, 2, 3)] == [(pytest.approx(x), n) for x, n in near[:3]]
 
 
 @pytest.mark.parametrize("name", ["grow_tree", "cv_train", "partition_train", "train_test_error", "bag_counts", "majority_bag", "seg_report", "measures", "remoteness", "noised_importance", "radius_smoothing", "best_split_c45", "impute_median_mode", "vote_memv", "oob_error_curve", "auroc_ovr", "diversity_kappa", "outlier_score", "region_overlap", "weighted_draw", "knn_l1"])
