@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.components import components
 from coppice.llm.rows import apart, mark, place
 from coppice.llm.words import shingles
+from coppice.operators.graph import components
 from coppice.plans.materialize import checkpoint, table
 
 #: Counters of the sketch: 4 MB a task and 2 MB on the driver, whatever the input.

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.components import components
 from coppice.llm.jaccard_join import identity, verified
 from coppice.llm.rows import mark, place
 from coppice.llm.words import mix, shingles
+from coppice.operators.graph import components
 from coppice.plans.materialize import checkpoint, table
 
 #: Bands, and registers of a band: one 64-bit value of 16 bits each.

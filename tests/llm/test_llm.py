@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.llm import coder, components, decontaminate, fingerprints, jaccard_join, language, licenses, line_dedup, mixing, sharding, token_files, url_filter
+from coppice.llm import coder, decontaminate, fingerprints, jaccard_join, language, licenses, line_dedup, mixing, sharding, token_files, url_filter
+from coppice.operators import graph
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,8 +74,8 @@ def test_token_files(spark, odd, tmp_path):
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 9), (9, 8)], "a long, b long")
-    assert {(r["node"], r["component"]) for r in components.components(edges, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)}
-    assert components.components(edges.limit(0), "a", "b").count() == 0
+    assert {(r["node"], r["component"]) for r in graph.components(edges, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)}
+    assert graph.components(edges.limit(0), "a", "b").count() == 0
 
 
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
