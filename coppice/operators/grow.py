@@ -300,8 +300,9 @@ def placed(data: DataFrame, row: str, attributes: list[str], growing: list[Growi
             offsets = pa.array(np.arange(0, nodes.size + 1, max(1, nodes.shape[1]), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (nodes, places)]], [*batch.schema.names, "nodes", "places"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
-    found = data.select(row, "label", *attributes, "weights").mapInArrow(route, f"{kinds}, nodes array<int>, places array<long>")
+    plain = data.select(row, "label", *attributes, "weights")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    found = plain.mapInArrow(route, f"{kinds}, nodes array<int>, places array<long>")
     found = found.select(row, "label", *attributes, F.posexplode(F.arrays_zip("nodes", "places", "weights")).alias("tree", "_at"))
     return found.select("tree", F.col("_at.nodes").alias("node"), F.col("_at.places").alias("place"), F.col("_at.weights").alias("weight"), row, "label", *attributes).where("node >= 0 and weight > 0")
 

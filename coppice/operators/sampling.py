@@ -325,6 +325,7 @@ def smote_classes(rows: DataFrame, key: str, attributes: list[str], missing: dic
     Base are all rows of the class, each in turn; neighbours are of the class (closed) or of any (open). A class of fewer
     than 2 rows raises. A number comes first among the attributes."""
     discrete = discrete or []
+    missing = {c: n for c, n in missing.items() if n > 0}
     ordered = sorted(attributes, key=lambda a: a in discrete)
     few = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(*missing)).collect()  # a row a class
     sizes = {r["label"]: r["n"] for r in few}

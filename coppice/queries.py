@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from coppice.functions import scalars as S
 from coppice.operators import diversity, forest, grow, metrics, prep, regions, sampling, scoring, split, train
 from coppice.operators.scoring import Node
 from coppice.operators.votes import VoteStore
-from coppice.sources import models
+from coppice.plans.materialize import scratch
+from coppice.sources import models, names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,6 +118,35 @@ def _(spark, d):
     return bands(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
 
 
+# --- files -------------------------------------------------------------------------------------------------------
+SCHEMA = names.parse("quantity: continuous\nstatus: discrete F,O\ntax: continuous\nband: class low,mid,high\n")
+
+
+@query("data_files", f"WITH {BANDS}, holes AS (SELECT row_id, label, status, tax, CASE WHEN {S.draw_sql('row_id', 3)} % 10 <> 0 THEN quantity END AS quantity FROM bands) SELECT label, CAST(CASE status WHEN 'F' THEN 0 ELSE 1 END AS INT) AS status, count(*) AS n, round(sum(coalesce(quantity, (SELECT quantile_disc(quantity, 0.5) FROM holes))), 4) AS quantity, round(sum(tax), 4) AS tax FROM holes GROUP BY 1, 2")
+def _(spark, d):
+    """Rows with unknown values as comma-separated files with a line of labels, read by their schema, encoded and imputed."""
+    b = bands(spark, d)
+    values = [F.when(S.draw(F.col("row_id"), 3) % 10 != 0, F.col("quantity").cast("string")).otherwise("?"), F.col("status"), F.col("tax").cast("string"), F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), F.col("label") + 1)]
+    path = scratch(spark, "data-files")
+    b.select(F.concat_ws(",", *values).alias("value")).write.text(f"{path}/rows")
+    spark.createDataFrame([("#labels " + ",".join(a.name for a in SCHEMA.attributes),)], "value string").write.text(f"{path}/labels")
+    rows, _ = names.load_training(spark, [f"{path}/rows", f"{path}/labels"], SCHEMA)
+    return rows.groupBy("label", "status").agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 4).alias("quantity"), F.round(F.sum("tax"), 4).alias("tax"))
+
+
+@query("tree_files", f"WITH {TALLY} SELECT row_id, label, v0, v1, v2, {WIN('v')} AS pred FROM tally")
+def _(spark, d):
+    """Two ensembles written as text, read again, put together and voting."""
+    path, parts = scratch(spark, "tree-files"), []
+    for i, trees in enumerate((TREE3[:1], TREE3[1:])):
+        text = models.ensemble_text(models.Ensemble(tuple(trees), CLASSES, tuple(ATTRIBUTES)))
+        spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/{i}")
+        parts.append(models.ensemble_of(spark.read.text(f"{path}/{i}", wholetext=True).where("value != ''").first()[0], ATTRIBUTES))
+    whole = models.concatenated(parts)
+    cast = scoring.votes(bands(spark, d), ["row_id", "label"], list(whole.trees), whole.classes)
+    return scoring.tally(cast, ["row_id", "label"], CLASSES).select("row_id", "label", "v0", "v1", "v2", scoring.winner(cols("v")).alias("pred"))
+
+
 # --- split search ------------------------------------------------------------------------------------------------
 def long_bands(spark, d):
     return prep.long_rows(bands(spark, d), "row_id", "label", ATTRIBUTES)
@@ -147,8 +178,8 @@ def cut_query(criterion: str):
         return split.best_cuts(cuts, [], CLASSES, criterion).withColumn("score", F.round("score", 8))
 
 
-for name in ("infogain", "gainratio", "c45", "hellinger"):
-    cut_query(name)
+for criterion in ("infogain", "gainratio", "c45", "hellinger"):
+    cut_query(criterion)
 
 
 @query("best_attribute", f"WITH {CUTS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY round(gain, 9) DESC, low) AS rn FROM cuts) WHERE rn = 1) SELECT attribute, threshold, round(gain, 8) AS score FROM best WHERE gain > 1e-9 ORDER BY round(gain, 9) DESC, attribute LIMIT 1")
@@ -206,17 +237,18 @@ def _(spark, d):
     return split.best_cuts(cuts, [], CLASSES, "infogain").withColumn("score", F.round("score", 8))
 
 
-MASK = lambda keep, seed: f"SELECT tree, CAST(attribute AS INT) AS attribute FROM (SELECT tree, attribute, row_number() OVER (PARTITION BY tree ORDER BY {S.draw_sql('tree * 64 + attribute', seed)}, attribute) AS r FROM (SELECT unnest(range(10)) AS tree), (SELECT unnest(range(64)) AS attribute)) WHERE r <= {keep}"
+MASK = lambda keep, seed: f"SELECT tree, CAST(attribute AS INT) AS attribute FROM (SELECT tree, attribute, row_number() OVER (PARTITION BY tree ORDER BY {S.draw_sql('tree * 64 + attribute', seed)}, attribute) AS r FROM (SELECT s_suppkey AS tree FROM supplier), (SELECT unnest(range(64)) AS attribute)) WHERE r <= {keep}"
 
 
 @query("subspace_mask", MASK(32, 3))
 def _(spark, d):
-    return sampling.attribute_sample(spark.range(10).withColumnRenamed("id", "tree"), "tree", 64, 64 * 50 // 100, seed=3)
+    """Half of 64 attributes for each of as many trees as there are suppliers."""
+    return sampling.attribute_sample(read(spark, d, "supplier").select(F.col("s_suppkey").alias("tree")), "tree", 64, 64 * 50 // 100, seed=3)
 
 
 @query("rf_attribute_sample", MASK(7, 4))
 def _(spark, d):
-    return sampling.attribute_sample(spark.range(10).withColumnRenamed("id", "tree"), "tree", 64, train.default_attributes(64), seed=4)
+    return sampling.attribute_sample(read(spark, d, "supplier").select(F.col("s_suppkey").alias("tree")), "tree", 64, train.default_attributes(64), seed=4)
 
 
 # --- sampling ----------------------------------------------------------------------------------------------------
@@ -325,7 +357,7 @@ def _(spark, d):
 
 MADE = f"""{SUPP}, sz AS (SELECT label, count(*) AS n FROM s GROUP BY label), miss AS (SELECT label, n, CAST(ceil(round(CASE label WHEN 0 THEN 0.45 ELSE 0.35 END * ((SELECT sum(n) FROM sz WHERE label = 2) / (1 - 0.8)), 6)) AS BIGINT) - n AS missing FROM sz WHERE label < 2),
 pl AS (SELECT s_suppkey, label, row_number() OVER (PARTITION BY label ORDER BY {S.draw_sql('s_suppkey', 3)}, s_suppkey) - 1 AS place FROM s WHERE label < 2),
-cp AS (SELECT s_suppkey, label, (CASE label WHEN 0 THEN 0 ELSE (SELECT missing FROM miss WHERE label = 0) END) + place + n * g AS copy FROM pl JOIN miss USING (label), (SELECT unnest(range(1000)) AS g) WHERE place + n * g < missing),
+cp AS (SELECT s_suppkey, label, (CASE label WHEN 0 THEN 0 ELSE greatest(0, (SELECT missing FROM miss WHERE label = 0)) END) + place + n * g AS copy FROM pl JOIN miss USING (label), (SELECT unnest(range(1000)) AS g) WHERE place + n * g < missing),
 nn AS (SELECT * FROM (SELECT q.s_suppkey, r.a AS na, r.b AS nb, row_number() OVER (PARTITION BY q.s_suppkey ORDER BY round(sqrt(pow(q.a - r.a, 2) + pow(q.b - r.b, 2)), 9), r.s_suppkey) AS rank, count(*) OVER (PARTITION BY q.s_suppkey) AS others FROM s q JOIN s r ON q.label = r.label AND q.s_suppkey <> r.s_suppkey WHERE q.label < 2) WHERE rank <= 5)"""
 
 
@@ -439,19 +471,33 @@ def _(spark, d):
     return scoring.oob_curve(v, bagged, CLASSES).withColumn("error", F.round("error", 8))
 
 
-CURVE = [0.40, 0.35, 0.30, 0.28, 0.27, 0.25, 0.24, 0.24, 0.26, 0.25, 0.25, 0.24]
+#: Twelve trees of two cuts of quantity: four fair ones, four good ones, four poor ones.
+STUMPS = [Node(1, "quantity", low, (Node(2, label=0, counts=(3, 1, 0)), Node(3, "quantity", high, (Node(6, label=1, counts=(1, 3, 1)), Node(7, label=2, counts=(0, 1, 3)))))) for low, high in [(6.5, 20.5), (9.5, 22.5), (8.5, 25.5), (11.5, 40.5), (13.5, 31.5), (14.5, 32.5), (15.5, 30.5), (14.5, 33.5), (30.5, 45.5), (33.5, 47.5), (2.5, 4.5), (36.5, 48.5)]]
+
+
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree, error: the out-of-bag error as twelve trees are added, four at a time, to a store of votes."""
+    rows = bands(spark, sf_dir)
+    store, curve = VoteStore(spark, "row_id", CLASSES), None
+    for first in range(0, len(STUMPS), 4):
+        cast = scoring.votes(rows, ["row_id", "label"], STUMPS[first : first + 4], CLASSES).withColumn("tree", F.col("tree") + first)
+        more = store.append(cast.where(S.draw(F.col("row_id") * 12 + F.col("tree"), 6) % 3 == 0))
+        curve = more if curve is None else curve.unionByName(more)
+    return curve.select("tree", "error")
+
 
+CURVE = f"""{BANDS}, x AS ({' UNION ALL '.join(f"SELECT row_id, label, {t} AS tree, {tree_sql(x, 'label')} AS pred FROM bands WHERE {S.draw_sql(f'row_id * 12 + {t}', 6)} % 3 = 0" for t, x in enumerate(STUMPS))}),
+y AS (SELECT label, tree, {', '.join(f'sum((pred = {k})::INT) OVER (PARTITION BY row_id ORDER BY tree) AS v{k}' for k in range(3))} FROM x), c AS (SELECT tree, avg(CASE WHEN {WIN('v')} <> label THEN 1.0 ELSE 0.0 END) AS error FROM y GROUP BY tree)"""
 
-@query("stopping_point", f"WITH c(tree, error) AS (VALUES {', '.join(f'({i}, CAST({e} AS DOUBLE))' for i, e in enumerate(CURVE))}), r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c), b AS (SELECT block, max(smooth) AS top FROM r GROUP BY block HAVING count(*) = 4), l AS (SELECT block, top, lag(top) OVER (ORDER BY block) AS before FROM b), s AS (SELECT min(block) AS stop FROM l WHERE top <= before) SELECT tree AS stop_tree, round(raw, 8) AS accuracy FROM r, s WHERE block = stop - 1 ORDER BY raw DESC, tree LIMIT 1")
+
+@query("stopping_point", f"WITH {CURVE}, r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c), b AS (SELECT block, max(smooth) AS top FROM r GROUP BY block HAVING count(*) = 4), l AS (SELECT block, top, lag(top) OVER (ORDER BY block) AS before FROM b), s AS (SELECT min(block) AS stop FROM l WHERE top <= before) SELECT tree AS stop_tree, round(raw, 8) AS accuracy FROM r, s WHERE block = stop - 1 ORDER BY raw DESC, tree LIMIT 1")
 def _(spark, d):
-    curve = spark.createDataFrame(list(enumerate(CURVE)), "tree int, error double")
-    return scoring.stopping_point(curve, slide=2, build=4).withColumn("accuracy", F.round("accuracy", 8))
+    return scoring.stopping_point(followed(spark, d), slide=2, build=4).withColumn("accuracy", F.round("accuracy", 8))
 
 
-@query("oob_trace", f"WITH c(tree, error) AS (VALUES {', '.join(f'({i}, CAST({e} AS DOUBLE))' for i, e in enumerate(CURVE))}), r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree) AS mean, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c) SELECT tree, round(raw, 8) AS raw, round(mean, 8) AS mean, round(smooth, 8) AS smooth, round(max(smooth) OVER (PARTITION BY block ORDER BY tree), 8) AS block_top, round(max(smooth) OVER (ORDER BY tree), 8) AS top FROM r")
+@query("oob_trace", f"WITH {CURVE}, r AS (SELECT tree, 1 - error AS raw, avg(1 - error) OVER (ORDER BY tree) AS mean, avg(1 - error) OVER (ORDER BY tree ROWS 1 PRECEDING) AS smooth, tree // 4 AS block FROM c) SELECT tree, round(raw, 8) AS raw, round(mean, 8) AS mean, round(smooth, 8) AS smooth, round(max(smooth) OVER (PARTITION BY block ORDER BY tree), 8) AS block_top, round(max(smooth) OVER (ORDER BY tree), 8) AS top FROM r")
 def _(spark, d):
-    curve = spark.createDataFrame(list(enumerate(CURVE)), "tree int, error double")
-    return scoring.oob_trace(curve, slide=2, build=4).select("tree", *[F.round(c, 8).alias(c) for c in ("raw", "mean", "smooth", "block_top", "top")])
+    return scoring.oob_trace(followed(spark, d), slide=2, build=4).select("tree", *[F.round(c, 8).alias(c) for c in ("raw", "mean", "smooth", "block_top", "top")])
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------
@@ -571,6 +617,15 @@ def _(spark, d):
     return diversity.proximity(patterns(spark, d), 3).withColumn("prox", F.round("prox", 8))
 
 
+@query("proximity_file", f"WITH {PAT}, k AS (SELECT *, CAST(replace(pattern, '-', '') AS BIGINT) AS number FROM pat) SELECT a.number AS row, b.number AS col, round(prox, 8) AS value FROM prox JOIN k a ON a.pattern = i JOIN k b ON b.pattern = j WHERE i <= j")
+def _(spark, d):
+    """Proximities of leaf patterns, written as a file of rows, columns and values and read again."""
+    path = scratch(spark, "proximity")
+    number = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("")).cast("long")
+    models.write_proximity(diversity.proximity(patterns(spark, d), 3).select(number("i").alias("row"), number("j").alias("col"), F.col("prox").alias("value")), path)
+    return models.read_proximity(spark, path).withColumn("value", F.round("value", 8))
+
+
 @query("outlier_score", f"WITH {PAT}, c AS (SELECT pattern, label, count(*) AS n FROM rowp GROUP BY 1, 2), r AS (SELECT a.pattern, a.label, 1 / nullif(sum(b.n * prox * prox) - 1, 0) AS raw FROM c a JOIN prox ON a.pattern = i JOIN c b ON b.pattern = j AND a.label = b.label GROUP BY 1, 2), w AS (SELECT row_id, label, raw FROM rowp JOIN r USING (pattern, label)), m AS (SELECT label, quantile_disc(raw, 0.5) AS mid FROM w GROUP BY label), o AS (SELECT w.*, mid, abs(raw - mid) AS off FROM w JOIN m USING (label)), q AS (SELECT label, quantile_disc(off, 0.5) AS mad FROM o GROUP BY label) SELECT row_id, label, round(raw * 1000, 6) AS raw, CASE WHEN mad = 0 THEN NULL ELSE round((raw - mid) / mad, 5) + 0.0 END AS score FROM o JOIN q USING (label)")
 def _(spark, d):
     out = diversity.outliers(votes(spark, d), 3)
@@ -607,6 +662,34 @@ def region_tables(spark, d):
 REG = "o AS (SELECT year(o_orderdate) AS timestep, o_orderkey % 2 AS mesh, o_custkey % 5 AS t, o_orderkey % 7 AS f, o_orderkey AS member FROM orders)"
 
 
+@query("region_files", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, CAST(t * 2 + mesh AS INT) AS region, CAST(t AS INT) AS label, CAST(mesh AS INT) AS mesh, CAST(count(*) AS BIGINT) AS members, CAST(sum(member) AS BIGINT) AS total FROM o WHERE t < 4 GROUP BY timestep, mesh, t")
+def _(spark, d):
+    """Regions written as region files, a folder a timestep, and read again."""
+    path = scratch(spark, "region-files")
+    truth = region_tables(spark, d)[0].withColumn("region", F.col("label") * 2 + F.col("mesh"))
+    models.region_lines(truth).drop("region").write.partitionBy("timestep").text(path)
+    back = models.read_regions(spark, [f"{path}/*/*.txt"])
+    return back.select("timestep", "region", "label", "mesh", F.size("members").cast("long").alias("members"), F.aggregate("members", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("region_dedup", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, t AS label, CAST(count(*) AS BIGINT) AS members, string_agg(CAST(member AS VARCHAR), ' ' ORDER BY member) AS listed FROM o WHERE t < 4 GROUP BY timestep, mesh, t")
+def _(spark, d):
+    """Members given twice and in any order occur once, sorted."""
+    twice = region_tables(spark, d)[0].withColumn("members", F.concat("members", F.reverse("members")))
+    return regions.deduplicated(twice).select("timestep", "mesh", "label", F.size("members").cast("long").alias("members"), F.array_join(F.col("members").cast("array<string>"), " ").alias("listed"))
+
+
+@query("region_labels", f"WITH {REG}, g AS (SELECT timestep, mesh, t AS label, t * 2 + mesh AS region, count(*) AS n FROM o WHERE t < 4 GROUP BY timestep, mesh, t) SELECT CAST(timestep AS INT) AS timestep, label, string_agg(CAST(region AS VARCHAR), ' ' ORDER BY region) AS regions, CAST(sum(n) AS BIGINT) AS size, max(region) AS largest FROM g GROUP BY timestep, label")
+def _(spark, d):
+    out = regions.by_label(region_tables(spark, d)[0].withColumn("region", F.col("label") * 2 + F.col("mesh")))
+    return out.select("timestep", "label", F.array_join(F.col("regions").cast("array<string>"), " ").alias("regions"), "size", "largest")
+
+
+@query("region_differences", f"WITH {REG} SELECT CASE WHEN t < 4 THEN 'a' ELSE 'b' END AS side, CAST(timestep AS INT) AS timestep, mesh, CASE WHEN t < 4 THEN t ELSE f END AS label, member FROM o WHERE (t < 4) <> (f < 4) UNION ALL SELECT 'a', CAST(timestep AS INT), mesh, t, member FROM o WHERE t < 4 AND f < 4 AND t <> f UNION ALL SELECT 'b', CAST(timestep AS INT), mesh, f, member FROM o WHERE t < 4 AND f < 4 AND t <> f")
+def _(spark, d):
+    return regions.differences(*region_tables(spark, d))
+
+
 @query("region_intersect", f"WITH {REG} SELECT CAST(timestep AS INT) AS timestep, mesh, t AS label, count(*) AS members, min(member) AS first_member, max(member) AS last_member FROM o WHERE t < 4 AND f < 4 GROUP BY 1, 2, 3")
 def _(spark, d):
     return regions.compare(*region_tables(spark, d), "left_semi")
@@ -838,10 +921,21 @@ def _(spark, d):
 
 
 def node_rows(tree: int, node: Node) -> list[str]:
-    own = f"({tree}, {node.id}, {repr(node.attribute) if node.attribute else 'NULL'}, {sum(node.counts)})"
+    own = f"({tree}, {node.id}, {repr(node.attribute) if node.attribute else 'NULL'})"
     return [own, *[x for c in node.children for x in node_rows(tree, c)]]
 
 
-@query("path_depth_importance", f"WITH RECURSIVE n(tree, id, attribute, mass) AS (VALUES {', '.join(x for t, tree in enumerate(TREE3) for x in node_rows(t, tree))}), up AS (SELECT tree, id, mass, floor(log2(id)) AS d FROM n WHERE attribute IS NULL UNION ALL SELECT tree, id // 2, mass, d FROM up WHERE id > 1), p AS (SELECT n.attribute, sum(up.mass / up.d) AS path FROM up JOIN n ON n.tree = up.tree AND n.id = up.id WHERE n.attribute IS NOT NULL GROUP BY 1), q AS (SELECT attribute, sum(1.0 / (floor(log2(id)) + 1)) AS depth FROM n WHERE attribute IS NOT NULL GROUP BY 1) SELECT attribute, round(path / sum(path) OVER (), 8) AS path, round(depth / sum(depth) OVER (), 8) AS depth FROM p JOIN q USING (attribute)")
+@query("path_depth_importance", f"WITH RECURSIVE {VOTES}, k AS (SELECT tree, leaf AS id, count(*) AS mass FROM votes GROUP BY 1, 2), n(tree, id, attribute) AS (VALUES {', '.join(x for t, tree in enumerate(TREE3) for x in node_rows(t, tree))}), up AS (SELECT n.tree, n.id, mass, floor(log2(n.id)) AS d FROM n JOIN k ON k.tree = n.tree AND k.id = n.id WHERE attribute IS NULL UNION ALL SELECT tree, id // 2, mass, d FROM up WHERE id > 1), p AS (SELECT n.attribute, sum(up.mass / up.d) AS path FROM up JOIN n ON n.tree = up.tree AND n.id = up.id WHERE n.attribute IS NOT NULL GROUP BY 1), q AS (SELECT attribute, sum(1.0 / (floor(log2(id)) + 1)) AS depth FROM n WHERE attribute IS NOT NULL GROUP BY 1) SELECT attribute, round(path / sum(path) OVER (), 8) AS path, round(depth / sum(depth) OVER (), 8) AS depth FROM p JOIN q USING (attribute)")
 def _(spark, d):
-    return train.structural_importance(spark, TREE3).select("attribute", F.round("path", 8).alias("path"), F.round("depth", 8).alias("depth"))
+    """Three trees whose leaves hold the rows of the table."""
+    held = votes(spark, d).groupBy("tree", "leaf", "label").agg(F.count("*").alias("n")).collect()  # a row a leaf and class
+    counts: dict[tuple[int, int], list[int]] = {}
+    for r in held:
+        counts.setdefault((r["tree"], r["leaf"]), [0] * CLASSES)[r["label"]] = r["n"]
+
+    def filled(t: int, node: Node) -> Node:
+        if node.attribute is None:
+            return replace(node, counts=tuple(counts.get((t, node.id), [0] * CLASSES)))
+        return replace(node, children=tuple(filled(t, c) for c in node.children))
+
+    return train.structural_importance(spark, [filled(t, tree) for t, tree in enumerate(TREE3)]).select("attribute", F.round("path", 8).alias("path"), F.round("depth", 8).alias("depth"))

@@ -146,14 +146,15 @@ def read_lines(lines: DataFrame, schema: Schema) -> DataFrame:
 
 
 def check_labels(lines: DataFrame, schema: Schema) -> None:
-    """Raises if a #labels line names other attributes than the schema, or in another order; names may have their column number first."""
-    found = lines.where("startswith(trim(value), '#labels')").select("value").limit(1).collect()
-    if not found:
-        return
-    named = [re.sub(r"^\d+\s+", "", x.strip()) for x in found[0][0].strip()[len("#labels") :].strip().split(",")]
+    """Raises if a #labels line of any file names other attributes than the schema, or in another order; names may have their
+    column number first."""
+    listed = F.split(F.regexp_replace(F.trim("value"), "^#labels", ""), ",")
+    named = F.transform(listed, lambda x: F.regexp_replace(F.trim(x), r"^\d+\s+", ""))
     wanted = [a.name for a in schema.attributes]
-    if named != wanted:
-        raise ValueError(f"the file's labels {named} aren't the schema's {wanted}")
+    labels = lines.where("startswith(trim(value), '#labels')").select(named.alias("named"))
+    other = labels.where(F.col("named") != F.array(*[F.lit(x) for x in wanted])).limit(1).collect()
+    if other:
+        raise ValueError(f"a file's labels {other[0][0]} aren't the schema's {wanted}")
 
 
 def comments(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:

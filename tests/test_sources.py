@@ -76,6 +76,8 @@ def test_labels_strings_and_encoding(spark):
     assert names.encoded(rows, schema).where("k = 1").count() == 1 and names.domains(schema) == {"k": 2}
     with pytest.raises(ValueError):
         names.read_string(spark, "#labels a,c,k\n1,x,u\n", schema)
+    with pytest.raises(ValueError):  # a later line too
+        names.read_string(spark, "#labels a,k,c\n1,x,u\n#labels 1 a, 2 c, 3 k\n", schema)
     assert names.float_ranges("0.5-1.5,3") == [(0.5, 1.5), (3.0, 3.0)] and names.partitions(" a.data\n b.data ") == ["a.data", "b.data"]
     bad = spark.createDataFrame([("a,b", float("nan"))], "s string, x double")
     assert {(r["column"], r["n"]) for r in names.column_problems(bad).collect()} == {("s", 1), ("x", 1)}

@@ -241,3 +241,13 @@ def test_folds_impute_from_their_own_training_rows(spark, uneven):
     assert out.count() == 320 and out.where("pred != label").count() < 60
     model = forest.fit(rows, "id", ["a", "b"], 2, forest.Options(trees=1))
     assert models.ensemble_of(models.ensemble_text(model.ensemble), ["a", "b"]).imputed == model.ensemble.imputed != ()
+
+
+@pytest.mark.parametrize("options", [{}, {"cuts": "extremely_random", "attributes_a_node": 2}])
+def test_folds_by_complement_grow_as_with_bags(spark, mixed_rows, options):
+    dealt = sampling.stratified_folds(mixed_rows, "id", "label", 3, 4).cache()
+    kinds = {"trees": 3, "discrete": {"c": 4}, "depth": 3} | options
+    bags = [dealt.where(F.col("fold") != f).select(F.lit(f).alias("tree"), "id", F.lit(1).alias("weight")) for f in range(3)]
+    want = grow.grow(mixed_rows, "id", ["a", "b", "c"], 3, bags[0].union(bags[1]).union(bags[2]), **kinds)
+    for small in (0, 100, None):
+        assert [told(t) for t in grow.grow(dealt, "id", ["a", "b", "c"], 3, folds="fold", small=small, **kinds)] == [told(t) for t in want]
