@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.operators.prefix import ordered
+from coppice.plans.materialize import table
+
 
 def pairs_of_trees(v: DataFrame, row: str = "row_id") -> DataFrame:
     """t1 < t2 with both predictions of each row: an equi-join on the row."""
@@ -123,6 +126,43 @@ def nearest(prox: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Leaves of a pattern, and patterns of such a leaf, that first candidates are taken from.
+SEEDS, FEW = 3, 256
+
+
+def nearest_patterns(patterns: DataFrame, trees: int, k: int) -> DataFrame:
+    """i, j, prox, rank: the same as nearest of proximity, without all pairs of patterns that share a leaf.
+
+    Patterns that share one of a pattern's smallest leaves (those of few patterns) are compared with it; the k-th best of them
+    shares s leaves. Whoever is as near shares one of any trees - s + 1 leaves of the pattern: of its smallest ones, as only
+    these are looked up. Exact, ties by name included; leaves of very many patterns are rarely looked up, and as joins of two
+    tables they can be split."""
+    named = ordered(patterns.select("pattern").distinct(), ["pattern"])  # _pos ascends with the name
+    named = named.select(F.col("_pos").alias("id"), "pattern", F.split("pattern", "-").alias("leaves"))
+    at = named.select("id", F.posexplode("leaves").alias("tree", "leaf"))
+    sizes = at.groupBy("tree", "leaf").agg(F.count("*").alias("size"))
+    smallest = Window.partitionBy("id").orderBy("size", "tree")  # a row a tree
+    index = table(at.join(sizes, ["tree", "leaf"]).withColumn("place", F.row_number().over(smallest)), "leaf-lists")
+
+    def met(queries: DataFrame) -> DataFrame:
+        """i, j, shared: how many leaves two patterns share that meet at a leaf of queries(i, tree, leaf)."""
+        pairs = queries.join(index.select("tree", "leaf", F.col("id").alias("j")), ["tree", "leaf"]).where("i != j").select("i", "j").distinct()
+        side = lambda x: named.select(F.col("id").alias(x), F.col("leaves").alias(f"{x}_leaves"))
+        both = pairs.join(side("i"), "i").join(side("j"), "j")
+        alike = F.zip_with("i_leaves", "j_leaves", lambda a, b: (a == b).cast("int"))
+        return both.select("i", "j", F.aggregate(alike, F.lit(0), lambda s, x: s + x).alias("shared"))
+
+    best = Window.partitionBy("i").orderBy(F.desc("shared"), "j")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    seeds = index.where((F.col("place") <= SEEDS) & (F.col("size") <= FEW)).select(F.col("id").alias("i"), "tree", "leaf")
+    bound = ranked(met(seeds)).where(F.col("rank") == k).select("i", F.col("shared").alias("least"))
+    wanted = index.withColumnRenamed("id", "i").join(bound, "i", "left").where(F.col("place") <= trees - F.coalesce("least", F.lit(1)) + 1).select("i", "tree", "leaf")
+    found = ranked(met(wanted))
+    name = lambda x: named.select(F.col("id").alias(x), F.col("pattern").alias(f"{x}_name"))
+    out = found.join(name("i"), "i").join(name("j"), "j")
+    return out.select(F.col("i_name").alias("i"), F.col("j_name").alias("j"), (F.col("shared") / F.lit(float(trees))).alias("prox"), "rank")
+
+
 def remoteness(points: DataFrame, marks: DataFrame, stats: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
     """row, remoteness: for each class of the landmarks one over the sum of squared proximities to them, less the class's
     median, over its deviation; of these the least, 0 at least.

@@ -634,7 +634,7 @@ def _(spark, d):
 
 @query("proximity_topk", f"WITH {PAT} SELECT i, j, round(prox, 8) AS prox, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY prox DESC, j) AS rank FROM prox WHERE i <> j) WHERE rank <= 3")
 def _(spark, d):
-    return diversity.nearest(diversity.proximity(patterns(spark, d), 3), 3).withColumn("prox", F.round("prox", 8))
+    return diversity.nearest_patterns(patterns(spark, d), 3, 3).withColumn("prox", F.round("prox", 8))
 
 
 LAND = """, lab AS (SELECT row_id, label, pattern FROM rowp WHERE status = 'F'), ln AS (SELECT pattern, label, count(*) AS n FROM lab GROUP BY 1, 2),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.functions import scalars as S
-from coppice.operators import forest, grow, sampling, scoring, train
+from coppice.operators import diversity, forest, grow, sampling, scoring, train
 from coppice.operators.votes import VoteStore
 from coppice.sources import models
 
@@ -251,3 +251,24 @@ def test_folds_by_complement_grow_as_with_bags(spark, mixed_rows, options):
     want = grow.grow(mixed_rows, "id", ["a", "b", "c"], 3, bags[0].union(bags[1]).union(bags[2]), **kinds)
     for small in (0, 100, None):
         assert [told(t) for t in grow.grow(dealt, "id", ["a", "b", "c"], 3, folds="fold", small=small, **kinds)] == [told(t) for t in want]
+
+
+def test_nearest_patterns_equal_brute_force(spark):
+    """Fifty trees, each row a pattern of its own; families of patterns that share most leaves; one leaf that most have."""
+    rng = random.Random(9)
+    patterns = set()
+    for family in range(12):
+        base = [rng.randrange(40) for _ in range(50)]
+        for _ in range(15):
+            own = [x if rng.random() < 0.8 else rng.randrange(40) for x in base]
+            own[0] = 1 if rng.random() < 0.9 else 2
+            patterns.add("-".join(map(str, own)))
+    patterns = sorted(patterns)
+    df = spark.createDataFrame([(p, 1) for p in patterns], "pattern string, n long")
+    got = {}
+    for r in diversity.nearest_patterns(df, 50, 4).collect():
+        got.setdefault(r["i"], {})[r["rank"]] = (r["j"], r["prox"])
+    leaves = {p: p.split("-") for p in patterns}
+    for p in patterns[::7]:
+        near = sorted((-sum(a == b for a, b in zip(leaves[p], leaves[o], strict=True)), o) for o in patterns if o != p)
+        assert [got[p][i] for i in (1, 2, 3, 4)] == [(o, pytest.approx(-n / 50)) for n, o in near[:4]]
