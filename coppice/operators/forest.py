@@ -149,7 +149,7 @@ def fit(rows: DataFrame, row: str, attributes: list[str], classes: int, options:
         return Model(replace(made, trees=tuple(trees), betas=tuple(betas)), imputed)
     if o.ivoting or o.majority_ivoting:
         quotas = clumps(known, o.minority)[0] if o.majority_ivoting else None
-        trees, errors, cast, told = train.ivote(known, row, attributes, classes, o.trees, o.bite, o.factor, seed=o.seed, growth=kinds, quotas=quotas, test=test)
+        trees, errors, cast, told = train.ivote_followed(known, row, attributes, classes, o.trees, o.bite, o.factor, seed=o.seed, growth=kinds, quotas=quotas, test=test)
         trace = known.sparkSession.createDataFrame(list(enumerate(errors)), "tree int, error double")
         return Model(replace(made, trees=tuple(trees)), imputed, trace, cast, told)
     trees, trace, told = [], None, None

@@ -53,7 +53,12 @@ def boost(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds
     return trees, betas
 
 
-def ivote(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int | None = None, seed: int = 1, growth: dict | None = None, quotas: dict[int, int] | None = None, test: DataFrame | None = None) -> tuple[list[Node], list[float], VoteStore, DataFrame | None]:
+def ivote(*args, **kinds) -> tuple[list[Node], list[float]]:
+    """The trees and the smoothed errors of ivote_followed."""
+    return ivote_followed(*args, **kinds)[:2]
+
+
+def ivote_followed(rows: DataFrame, row: str, attributes: list[str], classes: int, rounds: int, size: int = 50, memory: float = 0.75, depth: int | None = None, seed: int = 1, growth: dict | None = None, quotas: dict[int, int] | None = None, test: DataFrame | None = None) -> tuple[list[Node], list[float], VoteStore, DataFrame | None]:
     """Trees on small bites that favour rows the out-of-bag vote gets wrong, the smoothed error of each round, the
     out-of-bag votes, and the curve of test rows (tree, rows, error, accuracy), if there are any.
 
