@@ -21,9 +21,8 @@ def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
     The shifted xor keeps it from being a linear map of the key, under which neighbouring keys would be spaced evenly. What
     the key has above the modulus is stirred in, so that draws don't repeat with it."""
     key = key.cast("long")
-    over = lambda x: F.call_function("div", x, F.lit(MODULUS))
-    high = F.pmod(F.when(key >= 0, over(key)).otherwise(over(key + 1) - 1), F.lit(MODULUS)) * HIGH % MODULUS
-    x = ((F.pmod(key, F.lit(MODULUS)) + seed * 7919) % MODULUS).bitwiseXOR(high) % MODULUS
+    low, high = key.bitwiseAND(F.lit(MODULUS)), F.shiftright(key, 31).bitwiseAND(F.lit(MODULUS))
+    x = (low + seed * 7919 % MODULUS).bitwiseXOR(high * HIGH % MODULUS) % MODULUS
     for _ in range(rounds):
         x = (x * MULTIPLIER + 12345) % MODULUS
         x = x.bitwiseXOR(F.shiftright(x, 15)) % MODULUS
@@ -33,7 +32,7 @@ def draw(key: Column, seed: int = 1, rounds: int = 3) -> Column:
 def draw_sql(key: str, seed: int = 1, rounds: int = 3) -> str:
     """The same as SQL text, for keys of 0 and above."""
     key = f"CAST({key} AS BIGINT)"
-    x = f"(xor(({key} % {MODULUS} + {seed * 7919}) % {MODULUS}, ({key} // {MODULUS}) % {MODULUS} * {HIGH} % {MODULUS}) % {MODULUS})"
+    x = f"(xor(({key} & {MODULUS}) + {seed * 7919 % MODULUS}, (({key} >> 31) & {MODULUS}) * {HIGH} % {MODULUS}) % {MODULUS})"
     for _ in range(rounds):
         x = f"(({x} * {MULTIPLIER} + 12345) % {MODULUS})"
         x = f"(xor({x}, {x} >> 15) % {MODULUS})"
@@ -43,7 +42,7 @@ def draw_sql(key: str, seed: int = 1, rounds: int = 3) -> str:
 def drawn(key: np.ndarray, seed: int = 1, rounds: int = 3) -> np.ndarray:
     """The same of an array of 64-bit keys."""
     key = np.asarray(key, np.int64)
-    x = ((key % MODULUS + seed * 7919) % MODULUS ^ (key // MODULUS) % MODULUS * HIGH % MODULUS) % MODULUS
+    x = ((key & MODULUS) + seed * 7919 % MODULUS ^ (key >> 31 & MODULUS) * HIGH % MODULUS) % MODULUS
     for _ in range(rounds):
         x = (x * MULTIPLIER + 12345) % MODULUS
         x = (x ^ (x >> 15)) % MODULUS

@@ -18,7 +18,7 @@ from coppice.plans.materialize import checkpoint, table
 #: Bound of a model under growth: its nodes are on the driver and are sent to the tasks.
 MOST_NODES = 1 << 22
 #: Rows, and values, of a node that one task finishes.
-SMALL_ROWS, SMALL_VALUES = 1 << 17, 1 << 23
+SMALL_ROWS, SMALL_VALUES = 1 << 20, 1 << 23
 
 
 def grow(
