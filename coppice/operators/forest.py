@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,16 +108,24 @@ class Model:
     def trees(self) -> list[Node]:
         return list(self.ensemble.trees)
 
+    @cached_property
+    def arrays(self) -> scoring.Packed | None:
+        return None if scoring.few(self.trees) else scoring.packed(self.trees, self.ensemble.classes)
+
+    def full(self, rows: DataFrame) -> DataFrame:
+        return prep.impute(rows, self.imputed) if self.imputed is not None else rows
+
     def votes(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        full = prep.impute(rows, self.imputed) if self.imputed is not None else rows
-        return scoring.votes(full, keep, self.trees, self.ensemble.classes)
+        return scoring.votes(self.full(rows), keep, self.trees, self.ensemble.classes, self.arrays)
 
-    def weight(self) -> Column | None:
-        return vote_weight(self.ensemble.betas) if self.ensemble.betas else None
+    def tallies(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """keep, v0.. (votes), p0.. (mean leaf probabilities) of every row; of a boosted ensemble weighted."""
+        weights = [math.log2(1 / b) for b in self.ensemble.betas] if self.ensemble.betas else None
+        return scoring.tallies(self.full(rows), keep, self.trees, self.ensemble.classes, weights, self.arrays)
 
     def transform(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """keep, v0.. (votes), p0.. (mean leaf probabilities), pred: most probable class, of a boosted ensemble the one of most weighted votes."""
-        return predicted(scoring.tally(self.votes(rows, keep), keep, self.ensemble.classes, self.weight()), self.ensemble.classes, bool(self.ensemble.betas))
+        """keep, v0.., p0.., pred of every row: most probable class, of a boosted ensemble the one of most weighted votes."""
+        return predicted(self.tallies(rows, keep), self.ensemble.classes, bool(self.ensemble.betas))
 
 
 def vote_weight(betas: tuple[float, ...]) -> Column:
@@ -212,7 +222,7 @@ def fit_partitions(rows: DataFrame, row: str, attributes: list[str], classes: in
 
 def partition_votes(models: dict[object, Model], rows: DataFrame, keep: list[str]) -> DataFrame:
     """keep, ensemble (from 0, in the order of models), v0.., p0..: what each model's trees say of every row; for scoring.combine."""
-    each = [scoring.tally(m.votes(rows, keep), keep, m.ensemble.classes).withColumn("ensemble", F.lit(i)) for i, m in enumerate(models.values())]
+    each = [m.tallies(rows, keep).withColumn("ensemble", F.lit(i)) for i, m in enumerate(models.values())]
     return prep.union_all(each)
 
 

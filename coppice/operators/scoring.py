@@ -27,8 +27,9 @@ class Node:
     seen: bool = True  # False: an empty branch, whose counts are its parent's
 
 
-#: Nodes, and levels, of an ensemble that is scored as one expression; larger ones are scored from flat arrays.
-FEW_NODES, FEW_LEVELS = 2000, 24
+#: Nodes, and levels, of an ensemble that is scored as one expression; the method of a larger one is too long to be compiled
+#: (181 nodes took three times as long as flat arrays).
+FEW_NODES, FEW_LEVELS = 64, 24
 
 
 @dataclass(frozen=True)
@@ -89,26 +90,63 @@ def leaf_probabilities(node: Node, classes: int) -> list[float]:
     return [(c + 1) / (n + classes) for c in node.counts] if node.counts else [float(k == node.label) for k in range(classes)]
 
 
+def number(x: float) -> str:
+    return f"double('{float(x)!r}')"
+
+
 def walk(node: Node, classes: int) -> Column:
     """struct(leaf, label, probs): one generated expression for the whole tree, no join and no Python."""
-    if node.attribute is None:
-        probs = leaf_probabilities(node, classes)
-        return F.struct(F.lit(node.id).alias("leaf"), F.lit(node.label).alias("label"), F.array(*[F.lit(p) for p in probs]).alias("probs"))
-    if node.threshold is not None:
-        return F.when(F.col(node.attribute) < node.threshold, walk(node.children[0], classes)).otherwise(walk(node.children[1], classes))
-    out = walk(node.children[-1], classes)
-    for code in reversed(range(len(node.children) - 1)):
-        out = F.when(F.col(node.attribute) == code, walk(node.children[code], classes)).otherwise(out)
-    return out
 
+    def said(node: Node) -> str:
+        if node.attribute is None:
+            return f"named_struct('leaf', {node.id}, 'label', {node.label}, 'probs', array({', '.join(map(number, leaf_probabilities(node, classes)))}))"
+        name = "`" + node.attribute.replace("`", "``") + "`"
+        tests = [f"{name} < {number(node.threshold)}"] if node.threshold is not None else [f"{name} = {code}" for code in range(len(node.children) - 1)]
+        branches = " ".join(f"when {test} then {said(child)}" for test, child in zip(tests, node.children, strict=False))
+        return f"case {branches} else {said(node.children[-1])} end"
+
+    return F.expr(said(node))
+
+
+@dataclass(frozen=True)
+class Packed:
+    """An ensemble as arrays: the attributes it uses, and of each tree its shape, its nodes' ids, labels and probabilities."""
+
+    attributes: list[str]
+    trees: list[tuple[Flat, np.ndarray, np.ndarray, np.ndarray]]
 
-def votes(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
-    """keep, tree, leaf, pred, probs: one row for each row and tree.
 
-    Ensembles of more than FEW_NODES nodes or FEW_LEVELS levels, for which an expression would leave code generation, are
-    walked as arrays."""
-    if sum(node_count(t) for t in trees) > FEW_NODES or any(levels(t) > FEW_LEVELS for t in trees):
-        return walked(rows, keep, trees, classes)
+def packed(trees: list[Node], classes: int) -> Packed:
+    attributes, out = used_attributes(trees), []
+    for tree in trees:
+        flat, nodes = flatten(tree, attributes)
+        counts = np.array([n.counts or (0,) * classes for n in nodes], np.float64)
+        labels = np.array([n.label for n in nodes], np.int32)
+        probs = (counts + 1) / (counts.sum(axis=1, keepdims=True) + classes)
+        bare = np.array([not n.counts for n in nodes])
+        probs[bare] = labels[bare, None] == np.arange(classes)
+        out.append((flat, np.array([n.id for n in nodes]), labels, probs))
+    return Packed(attributes, out)
+
+
+def few(trees: list[Node]) -> bool:
+    """Whether an ensemble is scored as one expression: it has FEW_NODES nodes and FEW_LEVELS levels at most; larger ones
+    would leave code generation."""
+    left = FEW_NODES
+    for tree in trees:
+        n, level = 0, [tree]
+        while level:
+            n, left = n + 1, left - len(level)
+            if left < 0 or n > FEW_LEVELS:
+                return False
+            level = [c for node in level for c in node.children]
+    return True
+
+
+def votes(rows: DataFrame, keep: list[str], trees: list[Node], classes: int, arrays: Packed | None = None) -> DataFrame:
+    """keep, tree, leaf, pred, probs: one row for each row and tree. arrays: the packed trees, if they are at hand."""
+    if arrays or not few(trees):
+        return walked(rows, keep, trees, classes, arrays)
     each = F.array(*[F.struct(F.lit(t).alias("tree"), walk(tree, classes).alias("at")) for t, tree in enumerate(trees)])
     return rows.select(*keep, F.explode(each).alias("v")).select(*keep, "v.tree", F.col("v.at.leaf").alias("leaf"), F.col("v.at.label").alias("pred"), F.col("v.at.probs").alias("probs"))
 
@@ -133,14 +171,10 @@ def levels(tree: Node) -> int:
     return n
 
 
-def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) -> DataFrame:
+def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int, arrays: Packed | None = None) -> DataFrame:
     """The same as votes from flat arrays that are sent to the tasks."""
-    attributes = used_attributes(trees)
-    model = []
-    for tree in trees:
-        flat, nodes = flatten(tree, attributes)
-        model.append((flat, np.array([n.id for n in nodes]), np.array([n.label for n in nodes], np.int32), np.array([leaf_probabilities(n, classes) for n in nodes])))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    arrays = arrays or packed(trees, classes)
+    sent = rows.sparkSession.sparkContext.broadcast(arrays.trees)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +186,36 @@ def walked(rows: DataFrame, keep: list[str], trees: list[Node], classes: int) ->
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.full(n, t, np.int32)), pa.array(ids[at].astype(np.int32)), pa.array(labels[at]), listed], [*keep, "tree", "leaf", "pred", "probs"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
-    return rows.select(*keep, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(attributes)]).mapInArrow(vote, f"{kinds}tree int, leaf int, pred int, probs array<double>")
+    return rows.select(*keep, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(arrays.attributes)]).mapInArrow(vote, f"{kinds}tree int, leaf int, pred int, probs array<double>")
+
+
+def tallies(rows: DataFrame, keep: list[str], trees: list[Node], classes: int, weights: list[float] | None = None, arrays: Packed | None = None) -> DataFrame:
+    """keep, v0.. (votes), p0.. (mean leaf probabilities) of every row, weighted by weights (one a tree).
+
+    The same as tally of votes, where keep tells rows apart, but without a shuffle: all trees vote on a row where it is."""
+    weights = [1.0] * len(trees) if weights is None else weights
+    names = [f"{x}{k}" for x in "vp" for k in range(classes)]
+    if not arrays and few(trees):
+        said = rows.select(*keep, *[walk(tree, classes).alias(f"_said_{t}") for t, tree in enumerate(trees)])
+        at = [F.col(f"_said_{t}") for t in range(len(trees))]
+        cast = [sum(F.when(x["label"] == k, w).otherwise(0.0) for x, w in zip(at, weights, strict=True)) for k in range(classes)]
+        mean = [sum(x["probs"][k] * w for x, w in zip(at, weights, strict=True)) / sum(weights) for k in range(classes)]
+        return said.select(*keep, *[x.alias(n) for n, x in zip(names, cast + mean, strict=True)])
+    arrays = arrays or packed(trees, classes)
+    sent = rows.sparkSession.sparkContext.broadcast(arrays.trees)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values, cast, mean = matrix(batch.columns[len(keep) :], n), np.zeros((classes, n)), np.zeros((classes, n))
+            for w, (flat, _, labels, probs) in zip(weights, sent.value, strict=True):
+                at = flat.walk(values)
+                cast[labels[at], np.arange(n)] += w
+                mean += w * probs[at].T
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, cast), *map(pa.array, mean / sum(weights))], [*keep, *names])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.select(*keep, *[F.col(a).cast("double").alias(f"a_{i}") for i, a in enumerate(arrays.attributes)]).mapInArrow(add, kinds + ", ".join(f"{n} double" for n in names))
 
 
 def own_votes(rows: DataFrame, trees: list[Node], classes: int) -> DataFrame:

@@ -128,9 +128,10 @@ def noised_importance(rows: DataFrame, row: str, attributes: list[str], trees: l
 def permutation_importance(rows: DataFrame, row: str, attributes: list[str], trees: list[Node], classes: int, seed: int = 1) -> DataFrame:
     """attribute, error, noised_error, importance: by how many percent the ensemble's vote errs more often when the
     attribute's values are dealt anew among all rows. Null where the error is 0. See noised_importance for out-of-bag rows."""
+    arrays = None if scoring.few(trees) else scoring.packed(trees, classes)
 
     def errors(df: DataFrame, name: str) -> DataFrame:
-        v = scoring.tally(scoring.votes(df, [row, "label"], trees, classes), [row, "label"], classes)
+        v = scoring.tallies(df, [row, "label"], trees, classes, arrays=arrays)
         return v.agg(F.avg(F.when(scoring.winner([F.col(f"v{k}") for k in range(classes)]) != F.col("label"), 1.0).otherwise(0.0)).alias(name))
 
     base = errors(rows, "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -143,8 +144,7 @@ def _(spark, d):
         spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/{i}")
         parts.append(models.ensemble_of(spark.read.text(f"{path}/{i}", wholetext=True).where("value != ''").first()[0], ATTRIBUTES))
     whole = models.concatenated(parts)
-    cast = scoring.votes(bands(spark, d), ["row_id", "label"], list(whole.trees), whole.classes)
-    return scoring.tally(cast, ["row_id", "label"], CLASSES).select("row_id", "label", "v0", "v1", "v2", scoring.winner(cols("v")).alias("pred"))
+    return scoring.tallies(bands(spark, d), ["row_id", "label"], list(whole.trees), whole.classes).select("row_id", "label", "v0", "v1", "v2", scoring.winner(cols("v")).alias("pred"))
 
 
 # --- split search ------------------------------------------------------------------------------------------------
@@ -879,7 +879,7 @@ def _(spark, d):
     trees, betas = train.boost(rows, "row_id", ATTRIBUTES, CLASSES, rounds=3)
     if not trees:  # the first one errs on half of the weight: there is no ensemble
         return metrics.confusion(rows.limit(0).withColumn("pred", F.lit(0)))
-    t = scoring.tally(scoring.votes(rows, ["row_id", "label"], trees, CLASSES), ["row_id", "label"], CLASSES, forest.vote_weight(tuple(betas)))
+    t = scoring.tallies(rows, ["row_id", "label"], trees, CLASSES, [math.log2(1 / b) for b in betas])
     return metrics.confusion(t.withColumn("pred", scoring.winner(cols("v"))))
 
 
