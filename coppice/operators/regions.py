@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.operators import graph
-from coppice.plans.materialize import checkpoint
+from coppice.plans.materialize import checkpoint, table
 
 
 def points(regions: DataFrame, name: str) -> DataFrame:
@@ -97,21 +97,27 @@ def displacements(columns: list[str]) -> tuple[str, str, str] | None:
 
 def near_pairs(a: DataFrame, b: DataFrame, axes: list[str], radius: float, same: list[str]) -> DataFrame:
     """Rows of a and b, as structs, that agree in the columns same and lie within radius: a join on cells of that size; each
-    row of b is sent to the cells around its own."""
+    row of b is sent to the cells around its own. Both sides are shuffled: Spark guesses b's size without its copies."""
     cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
     left = a.select(F.struct("*").alias("a"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(same)], *[cell(c).alias(f"_c{i}") for i, c in enumerate(axes)])
     right = b.select(F.struct("*").alias("b"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(same)], *[cell(c).alias(f"_c{i}") for i, c in enumerate(axes)])
     for i in range(len(axes)):
         right = right.withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_c{i}") - 1, F.col(f"_c{i}") + 1)))
-    both = left.join(right, [*[f"_s{i}" for i in range(len(same))], *[f"_c{i}" for i in range(len(axes))]])
+    both = left.join(right.hint("merge"), [*[f"_s{i}" for i in range(len(same))], *[f"_c{i}" for i in range(len(axes))]])
     square = sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2.0) for c in axes), F.lit(0.0))
     return both.where(square <= radius * radius).select("a", "b")
 
 
 def smoothed(nodes: DataFrame, value: str, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), local: bool = True) -> DataFrame:
-    """timestep, mesh, node, value: the mean over all nodes (with local: of the same mesh) within the radius, itself too."""
-    both = near_pairs(nodes, nodes.select("timestep", "mesh", value, *axes), list(axes), radius, ["timestep", "mesh"] if local else ["timestep"])
-    return both.groupBy("a.timestep", "a.mesh", "a.node").agg(F.avg(f"b.{value}").alias(value))
+    """timestep, mesh, node, value: the mean over all nodes (with local: of the same mesh) within the radius, itself too.
+
+    Nodes at one place are one: pairs are those of places, however many nodes a place has."""
+    same = ["timestep", "mesh"] if local else ["timestep"]
+    at = [*same, *axes]
+    places = table(nodes.groupBy(*at).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), "smoothing-places")
+    both = near_pairs(places.select(*at), places, list(axes), radius, same)
+    means = both.groupBy(*[F.col(f"a.{c}").alias(c) for c in at]).agg(F.try_divide(F.sum("b._sum"), F.sum("b._n")).alias(value))
+    return nodes.select("timestep", "mesh", "node", *axes).join(means.hint("merge"), at).select("timestep", "mesh", "node", value)
 
 
 def longest_edge(edges: DataFrame, nodes: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -28,3 +28,19 @@ def test_places_filter_by_no_draw(spark):
     placed = sampling.shuffled_places(rows, "id", "label", 3)
     assert not [line for line in plan(placed).splitlines() if "Filter" in line and str(MODULUS) in line]
     assert placed.count() == 50  # a row without a key has no place
+
+
+def test_smoothing_pairs_places_not_nodes(spark):
+    nodes = spark.createDataFrame([(t, 0, t * 1000 + i, float(i % 3), float(i % 2 * 5), None if i % 11 == 0 else float(i)) for t in (1, 2) for i in range(60)] + [(1, 0, 9, None, 1.0, 2.0), (3, 0, 1, 0.0, 0.0, None)], "timestep int, mesh int, node long, x double, y double, value double")
+    smoothed = regions.smoothed(nodes, "value", 2.0, ("x", "y"))
+    rows = nodes.collect()
+    want = {}
+    for a in rows:
+        if a["x"] is not None:
+            near = [b["value"] for b in rows if b["x"] is not None and b["timestep"] == a["timestep"] and (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 <= 4 and b["value"] is not None]
+            want[a["timestep"], a["node"]] = sum(near) / len(near) if near else None
+    got = {(r["timestep"], r["node"]): r["value"] for r in smoothed.collect()}
+    assert got == want
+    assert "Broadcast" not in smoothed._jdf.queryExecution().executedPlan().toString()
+    both = regions.near_pairs(nodes, nodes, ["x", "y"], 2.0, ["timestep"])
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
