@@ -44,3 +44,20 @@ def test_smoothing_pairs_places_not_nodes(spark):
     assert "Broadcast" not in smoothed._jdf.queryExecution().executedPlan().toString()
     both = regions.near_pairs(nodes, nodes, ["x", "y"], 2.0, ["timestep"])
     assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_queries_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 40)
+    points = [(i, i % 2, float(i * 37 % 11), float(i * 53 % 7)) for i in range(300)]
+    rows = spark.createDataFrame([*points, (300, 0, None, 1.0)], "id long, label int, a double, b double")
+    for distance, label in ((sampling.l1, None), (sampling.l2, "label")):
+        found = sampling.neighbours(rows.where("id % 50 = 0 and id < 300"), rows, "id", ["a", "b"], 3, distance, label)
+        got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in found.collect()}
+        for q in points[::50]:
+            gap = lambda p: abs(p[2] - q[2]) + abs(p[3] - q[3]) if distance is sampling.l1 else round(((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5, 9)  # noqa: B023, E731
+            best = sorted((gap(p), p[0]) for p in points if p[0] != q[0] and (label is None or p[1] == q[1]))[:3]
+            assert [got[q[0], i + 1] for i in range(3)] == [(p, d) for d, p in best]
+        assert "_bound" in plan(found)  # only pairs within a bound are ranked
+    two = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 1.0, 0.0), (3, 0, None, 0.0)], "id long, label int, a double, b double")
+    got = sampling.neighbours(two.where("id = 1"), two, "id", ["a", "b"], 3).orderBy("rank").collect()
+    assert [(r["neighbour"], r["distance"]) for r in got] == [(2, 1.0), (3, None)]
