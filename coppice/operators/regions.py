@@ -9,6 +9,10 @@ from coppice.operators import graph
 from coppice.plans.materialize import checkpoint, table
 
 
+#: Points that a task compares, about.
+TASK_POINTS = 1 << 18
+
+
 def points(regions: DataFrame, name: str) -> DataFrame:
     return regions.select("timestep", "mesh", F.col("label").alias(name), F.explode("members").alias("member"))
 
@@ -46,9 +50,13 @@ def by_label(regions: DataFrame) -> DataFrame:
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """side (a or b), timestep, mesh, label, member of what only one of two tables of regions holds; none if they are equal."""
-    pa, pb = points(a, "label").distinct(), points(b, "label").distinct()
-    only = lambda x, y, name: x.exceptAll(y).select(F.lit(name).alias("side"), "timestep", "mesh", "label", "member")
-    return only(pa, pb, "a").unionByName(only(pb, pa, "b"))
+    key = ["timestep", "mesh", "label", "member"]
+    n = sum(x.agg(F.sum(F.size("members"))).first()[0] or 0 for x in (a, b))
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_POINTS)
+    both = points(a, "label").withColumn("_a", F.lit(1)).unionByName(points(b, "label").withColumn("_a", F.lit(0)))
+    # dealt before they are counted: a task that reads a few long regions holds no table of all their points
+    both = both.repartition(parts, *key).groupBy(*key).agg(F.max("_a").alias("_a"), F.min("_a").alias("_b"))
+    return both.where("_a = _b").select(F.when(F.col("_a") == 1, "a").otherwise("b").alias("side"), *key)
 
 
 def segmentation(truth: DataFrame, found: DataFrame, percent: int = 50) -> DataFrame:

@@ -61,3 +61,13 @@ def test_neighbours_of_queries_without_all_pairs(spark, monkeypatch):
     two = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 1.0, 0.0), (3, 0, None, 0.0)], "id long, label int, a double, b double")
     got = sampling.neighbours(two.where("id = 1"), two, "id", ["a", "b"], 3).orderBy("rank").collect()
     assert [(r["neighbour"], r["distance"]) for r in got] == [(2, 1.0), (3, None)]
+
+
+def test_differences_in_one_shuffle_of_points(spark):
+    a = spark.createDataFrame([(1, 0, 5, [1, 2, 3, 3]), (1, 0, 6, [4])], "timestep int, mesh int, label long, members array<long>")
+    b = spark.createDataFrame([(1, 0, 5, [2, 3, 9]), (2, 0, 6, [4])], "timestep int, mesh int, label long, members array<long>")
+    found = regions.differences(a, b)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1  # no counts before the points are dealt
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [("a", 1, 0, 5, 1), ("a", 1, 0, 6, 4), ("b", 1, 0, 5, 9), ("b", 2, 0, 6, 4)]
