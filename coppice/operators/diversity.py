@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.operators.prefix import ordered
-from coppice.plans.materialize import table
+from coppice.operators.prefix import ordered, running
+from coppice.plans.materialize import checkpoint, table
 
 
 def pairs_of_trees(v: DataFrame, row: str = "row_id") -> DataFrame:
@@ -76,38 +76,64 @@ def proximity(patterns: DataFrame, trees: int) -> DataFrame:
     return near.join(n.select(F.col("pattern").alias("i"), F.col("n").alias("n_i")), "i").join(n.select(F.col("pattern").alias("j"), F.col("n").alias("n_j")), "j").select("i", "j", "prox", "n_i", "n_j")
 
 
-def raw_outliers(v: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
-    """row, label, pattern, raw: one over the sum of squared proximities to the class's other rows; null without any."""
-    rows = row_patterns(v, trees, ("label",), row)
-    n = rows.groupBy("pattern", "label").agg(F.count("*").alias("n"))
+#: Rows of a key from which on its rows are not gathered for a join.
+HEAVY_ROWS = 1 << 18
+
+
+def matched(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts (a row a key). Keys of very many rows are sent to the rows, so that no task gathers them: there
+    are at most a HEAVY_ROWS-th as many as rows."""
+    heavy = checkpoint(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY_ROWS).select(*keys))
+    sent = F.broadcast(facts.join(F.broadcast(heavy), keys, "left_semi"))
+    own = rows.join(F.broadcast(heavy), keys, "left_semi").join(sent, keys, how)
+    return own.unionByName(rows.join(F.broadcast(heavy), keys, "left_anti").join(facts, keys, how))
+
+
+def pattern_outliers(rows: DataFrame, trees: int) -> DataFrame:
+    """pattern, label, n, raw of rows(pattern, label): the raw score of each pattern's rows of a class, one over the sum of
+    squared proximities to the class's other rows; null without any."""
+    n = table(rows.where("label is not null").groupBy("pattern", "label").agg(F.count("*").alias("n")), "outlier-patterns")
     near = shares(n, n, trees)
     mine = n.select(F.col("pattern").alias("i"), "label")
     others = n.select(F.col("pattern").alias("j"), "label", "n")
     raw = near.join(mine, "i").join(others, ["j", "label"]).groupBy(F.col("i").alias("pattern"), "label").agg(F.sum(F.col("n") * F.col("prox") * F.col("prox")).alias("s"))
-    return rows.join(raw.select("pattern", "label", F.try_divide(F.lit(1.0), F.col("s") - 1).alias("raw")), ["pattern", "label"])
+    return n.join(raw.select("pattern", "label", F.try_divide(F.lit(1.0), F.col("s") - 1).alias("raw")), ["pattern", "label"])
 
 
 def class_deviations(raw: DataFrame, deviation: str = "absolute") -> DataFrame:
-    """label, mid, dev of the raw scores: the lower median, and the (lower) median absolute deviation from it or the standard deviation."""
-    lower = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
-    mid = raw.groupBy("label").agg(lower("raw").alias("mid"), F.stddev_samp("raw").alias("dev"))
+    """label, mid, dev of raw(label, raw, n: how many rows have it): the lower median, and the (lower) median absolute
+    deviation from it or the standard deviation."""
+    counted = raw.where("raw is not null").groupBy("label", "raw").agg(F.sum("n").alias("n"))
+
+    def lower(of: DataFrame, value: str, out: str) -> DataFrame:
+        return running(of, ["label"], value, ["n"]).where(F.col("n_upto") * 2 >= F.col("n_all")).groupBy("label").agg(F.min(value).alias(out))
+
+    mid = checkpoint(raw.select("label").distinct().join(lower(counted, "raw", "mid"), "label", "left"))  # a row a class
+    off = counted.join(F.broadcast(mid), "label")
     if deviation == "standard":
-        return mid
-    off = raw.join(mid.drop("dev"), "label").withColumn("off", F.abs(F.col("raw") - F.col("mid")))
-    return mid.drop("dev").join(off.groupBy("label").agg(lower("off").alias("dev")), "label")
+        mean = counted.groupBy("label").agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("_mean"))  # a row a class
+        square = F.sum(F.pow(F.col("raw") - F.col("_mean"), 2.0) * F.col("n"))
+        dev = counted.join(F.broadcast(mean), "label").groupBy("label").agg(F.sqrt(F.try_divide(square, F.sum("n") - 1)).alias("dev"))
+    else:
+        dev = lower(off.select("label", "n", F.abs(F.col("raw") - F.col("mid")).alias("off")), "off", "dev")
+    return mid.join(F.broadcast(dev), "label", "left")
 
 
 def outliers(v: DataFrame, trees: int, row: str = "row_id", deviation: str = "absolute") -> DataFrame:
-    """row, label, raw, score: the raw score (see raw_outliers) less its class's median, over its class's deviation."""
-    raw = raw_outliers(v, trees, row)
-    both = raw.join(class_deviations(raw, deviation), "label")  # a row a class
-    return both.select(row, "label", "raw", F.try_divide(F.col("raw") - F.col("mid"), F.col("dev")).alias("score"))
+    """row, label, raw, score: the raw score (see pattern_outliers) less its class's median, over its class's deviation.
+
+    Medians are those of patterns with their counts; a row only looks its pattern up."""
+    rows = table(row_patterns(v, trees, ("label",), row), "outlier-rows")
+    raw = table(pattern_outliers(rows, trees), "outliers")
+    both = raw.join(F.broadcast(class_deviations(raw, deviation)), "label")  # a row a class
+    scores = both.select("pattern", "label", "raw", F.try_divide(F.col("raw") - F.col("mid"), F.col("dev")).alias("score"))
+    return matched(rows, scores, ["pattern", "label"]).select(row, "label", "raw", "score")
 
 
 def landmarks(v: DataFrame, trees: int, row: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Of reference rows (votes with labels): pattern, label, n of their leaves, and label, mid, dev of their raw scores."""
-    raw = raw_outliers(v, trees, row)
-    return raw.groupBy("pattern", "label").agg(F.count("*").alias("n")), class_deviations(raw)
+    raw = table(pattern_outliers(row_patterns(v, trees, ("label",), row), trees), "outliers")
+    return raw.select("pattern", "label", "n"), class_deviations(raw)
 
 
 def by_proximity(v: DataFrame, probe: DataFrame, trees: int, row: str = "row_id") -> DataFrame:
@@ -169,9 +195,9 @@ def remoteness(points: DataFrame, marks: DataFrame, stats: DataFrame, trees: int
 
     Classes without deviation say nothing. A row that shares no leaf with a landmark of any such class is infinitely
     remote. points: votes; marks, stats: see landmarks."""
-    rows = row_patterns(points, trees, (), row)
+    rows = table(row_patterns(points, trees, (), row), "remote-rows")
     near = shares(rows, marks, trees).join(marks.withColumnRenamed("pattern", "j"), "j")
     raw = near.groupBy(F.col("i").alias("pattern"), "label").agg((1 / F.sum(F.col("n") * F.col("prox") * F.col("prox"))).alias("raw"))
     scored = raw.join(stats, "label").select("pattern", F.try_divide(F.col("raw") - F.col("mid"), F.col("dev")).alias("score"))  # stats: a row a class
     least = scored.groupBy("pattern").agg(F.min("score").alias("least"))
-    return rows.join(least, "pattern", "left").select(row, F.greatest(F.coalesce("least", F.lit(float("inf"))), F.lit(0.0)).alias("remoteness"))
+    return matched(rows, least, ["pattern"], "left").select(row, F.greatest(F.coalesce("least", F.lit(float("inf"))), F.lit(0.0)).alias("remoteness"))

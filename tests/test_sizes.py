@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from coppice.functions.scalars import MODULUS, drawn
-from coppice.operators import regions, sampling
+from coppice.operators import diversity, regions, sampling
 
 
 def plan(df):
@@ -71,3 +71,27 @@ def test_differences_in_one_shuffle_of_points(spark):
     assert text.count("Exchange") == 1  # no counts before the points are dealt
     got = sorted(tuple(r) for r in found.collect())
     assert got == [("a", 1, 0, 5, 1), ("a", 1, 0, 6, 4), ("b", 1, 0, 5, 9), ("b", 2, 0, 6, 4)]
+
+
+def test_outliers_look_up_patterns_and_send_heavy_ones(spark, monkeypatch):
+    leaves = [(i, i % 2 if i else None, t, i * i // (t + 2) % 7 if i % 5 else 0) for i in range(60) for t in range(2)]
+    votes = spark.createDataFrame(leaves, "row_id long, label int, tree int, leaf int")
+    plain = {}
+    for i, label, t, leaf in leaves:
+        plain.setdefault((i, label), []).append(leaf)
+    plain = {k: v for k, v in plain.items() if k[1] is not None}
+    prox = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 2
+    raw = {k: 1 / (sum(prox(v, w) ** 2 for m, w in plain.items() if m[1] == k[1]) - 1) for k, v in plain.items()}
+    for deviation in ("absolute", "standard"):
+        want = {}
+        for label in (0, 1):
+            own = sorted(r for k, r in raw.items() if k[1] == label)
+            mid = own[(len(own) - 1) // 2]
+            off = sorted(abs(r - mid) for r in own)
+            dev = off[(len(off) - 1) // 2] if deviation == "absolute" else np.std(own, ddof=1)
+            want |= {k[0]: (r - mid) / dev for k, r in raw.items() if k[1] == label}
+        for heavy in (3, 1 << 18):
+            monkeypatch.setattr(diversity, "HEAVY_ROWS", heavy)
+            got = {r["row_id"]: r["score"] for r in diversity.outliers(votes, 2, deviation=deviation).collect()}
+            assert got.keys() == want.keys()
+            np.testing.assert_allclose([got[k] for k in want], [want[k] for k in want], atol=1e-9)
