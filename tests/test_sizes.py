@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from coppice.functions.scalars import MODULUS, drawn
+from coppice.functions.scalars import MODULUS, draw, draw_for_filter, drawn
 from coppice.operators import diversity, regions, sampling
 
 
@@ -95,3 +95,13 @@ def test_outliers_look_up_patterns_and_send_heavy_ones(spark, monkeypatch):
             got = {r["row_id"]: r["score"] for r in diversity.outliers(votes, 2, deviation=deviation).collect()}
             assert got.keys() == want.keys()
             np.testing.assert_allclose([got[k] for k in want], [want[k] for k in want], atol=1e-9)
+
+
+def test_draws_in_conditions_are_computed_once(spark):
+    keys = [0, 1, 5, (1 << 40) + 3, -7, None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    both = rows.select(draw(F.col("k"), 9).alias("a"), draw_for_filter(F.col("k"), 9).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and sum(r["b"] is None for r in both) == 1
+    kept = rows.where(draw_for_filter(F.col("k"), 9) % 5 == 0)
+    assert str(MODULUS) not in plan(kept)  # no formula in the filter
+    assert kept.count() == rows.where(draw(F.col("k"), 9) % 5 == 0).count()
