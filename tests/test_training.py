@@ -272,3 +272,53 @@ def test_nearest_patterns_equal_brute_force(spark):
     for p in patterns[::7]:
         near = sorted((-sum(a == b for a, b in zip(leaves[p], leaves[o], strict=True)), o) for o in patterns if o != p)
         assert [got[p][i] for i in (1, 2, 3, 4)] == [(o, pytest.approx(-n / 50)) for n, o in near[:4]]
+
+
+def test_rows_that_are_alike_are_held_as_one(spark, monkeypatch):
+    """Copies are one row with the sum of their weights; trees are those of the rows themselves."""
+    rng = random.Random(4)
+    few = [(float(rng.randrange(5)), rng.randrange(3), None if rng.random() < 0.1 else float(rng.randrange(4))) for _ in range(40)]
+    data = [(i, *few[rng.randrange(40)]) for i in range(2000)]
+    rows = spark.createDataFrame(data, "id long, a double, label int, b double")
+    held = grow.held(rows, "id", ["a", "b"], None, 2)
+    one, n = grow.alike(held, "id", ["a", "b"], 2)
+    assert n == one.count() <= 40 and one.agg(F.sum(F.col("weights")[1])).first()[0] == 2000
+    bags = sampling.bag(sampling.numbered(rows.select("id"), "id"), "id", 2000, 2)
+    weighted = sampling.bag_weights(sampling.numbered(rows, "id"), 2000, 2)
+    dealt = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
+    grown = lambda small: [grow.grow(rows, "id", ["a", "b"], 3, bags, 2, small=small), grow.grow(weighted, "id", ["a", "b"], 3, trees=2, small=small, weights="weights"), grow.grow(dealt, "id", ["a", "b"], 3, trees=2, small=small, folds="fold")]
+    got = [grown(None), grown(0)]
+    monkeypatch.setattr(grow, "ALIKE", 1 << 40)
+    want = grown(None)
+    assert want[0] == want[1] and got == [want, want]
+
+
+def test_samples_of_nodes_are_those_of_all_rows(spark, mixed_rows):
+    data = grow.held(mixed_rows, "id", ["a", "b", "c"], None, 2)
+    growing = [grow.Growing(t) for t in range(2)]
+    growing[0].divide(0, 0, 5.0, 2)
+    growing[0].open = [1, 2]
+    for t in growing:
+        counts = {(r["tree"], r["node"]): r["count"] for r in grow.placed(data, "id", ["a", "b", "c"], growing).groupBy("tree", "node").count().collect()}
+        for i in t.open:
+            t.counts[i] = (counts.get((t.tree, i), 0), 0, 0)
+    units = grow.placed(data, "id", ["a", "b", "c"], growing).withColumn("_unit", F.col("tree").cast("long") * (1 << 32) + F.col("node"))
+    pick = lambda df: sorted((r["tree"], r["node"], r["id"]) for r in df.select("tree", "node", "id").collect())
+    for n in (3, 40):
+        assert pick(grow.node_samples(data, "id", ["a", "b", "c"], growing, n, 7)) == pick(sampling.node_sample(units, "id", "_unit", n, 7))
+
+
+def test_votes_beside_rows_equal_appended_votes(spark):
+    rng = random.Random(8)
+    votes = {(row, tree): rng.randrange(3) for row in range(50) for tree in range(30) if rng.random() < 0.6}
+    plain, beside = VoteStore(spark, "row", 3), VoteStore(spark, "row", 3)
+    rows, want, got = spark.createDataFrame([(i, i % 3) for i in range(50)], "row long, label int"), [], []
+    for first, n in ((0, 2), (2, 1), (3, 27)):
+        block = [(r, r % 3, t, p) for (r, t), p in votes.items() if first <= t < first + n]
+        want += plain.append(spark.createDataFrame(block, "row long, label int, tree int, pred int")).collect()
+        said = spark.createDataFrame([(r, [votes.get((r, t)) for t in range(first, first + n)]) for r in range(50)], "row long, said array<int>")
+        curve, rows = beside.append_beside(rows.join(said, "row"), "said", first, n)
+        got += curve.collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    for of in (VoteStore.votes, VoteStore.counts):
+        assert sorted(map(tuple, of(beside).collect())) == sorted(map(tuple, of(plain).collect()))
