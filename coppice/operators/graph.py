@@ -39,8 +39,9 @@ def labelled(items: DataFrame, edges: DataFrame) -> DataFrame:
     return items.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def incident(incidence: DataFrame, element: str, node: str) -> DataFrame:
+def incident(incidence: DataFrame, element: str, node: str | list[str]) -> DataFrame:
     """Edges (u, v) of a bipartite table that join the elements of each node: each with the node's least one. As many edges
     as incidences, however many elements a node has."""
-    least = incidence.groupBy(node).agg(F.min(element).alias("v"))
-    return incidence.select(F.col(element).alias("u"), node).join(least, node).select("u", "v").where("u != v").distinct()
+    node = [node] if isinstance(node, str) else node
+    least = incidence.groupBy(*node).agg(F.min(element).alias("v"))
+    return incidence.select(F.col(element).alias("u"), *node).join(least, node).select("u", "v").where("u != v").distinct()

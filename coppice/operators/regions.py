@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.operators import graph
+from coppice.operators import graph, sampling
 from coppice.plans.materialize import checkpoint, table
 
 
@@ -176,10 +176,11 @@ def mesh_segments(incidence: DataFrame, values: DataFrame, operator: str, thresh
     if operator not in passes:
         raise ValueError(f"the operator is one of {' '.join(passes)}")
     own = ["timestep", "mesh", "element"]
-    active = checkpoint(values.where(passes[operator]).select(*own).distinct())
-    touched = incidence.join(active, own).select(F.struct(*own).alias("element"), F.struct("timestep", "mesh", "node").alias("node"))
-    found = graph.labelled(active.select(F.struct(*own).alias("id")), graph.incident(touched, "element", "node"))
-    found = found.select("id.*", F.col("component.element").alias("least"))
-    first = found.select("timestep", "mesh", "least").distinct()
-    numbered = first.withColumn("segment", (F.row_number().over(Window.partitionBy("timestep", "mesh").orderBy("least")) - 1).cast("int"))  # a row a segment
-    return found.join(numbered, ["timestep", "mesh", "least"]).select(*own, "segment")
+    # elements are numbered in their order: numbers are compared, hashed and sent at less cost than their three columns
+    active = table(sampling.numbered(values.where(passes[operator]).select(*own).distinct(), own, "id"), "mesh-elements")
+    least = incidence.join(active, own).select("timestep", "mesh", "node", "id")
+    edges = graph.incident(least, "id", ["timestep", "mesh", "node"])
+    found = active.join(graph.labelled(active, edges), "id")
+    first = found.select("timestep", "mesh", "component").distinct()
+    numbered = first.withColumn("segment", (F.row_number().over(Window.partitionBy("timestep", "mesh").orderBy("component")) - 1).cast("int"))  # a row a segment
+    return found.join(numbered, ["timestep", "mesh", "component"]).select(*own, "segment")
