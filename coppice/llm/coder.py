@@ -2,7 +2,8 @@
 
 A segment is a sequence of ids cut into blocks of nearly equal length. Every block is coded on its own: its models and
 its coder start anew, and it has its own checksum. The blocks of a segment are coded side by side, one id of each at a
-step, so that each step is a handful of array operations.
+step, so that each step is a handful of array operations. When ids are coded, only the tables and the coder go step by step:
+places, symbols and their distributions are found for all steps up to the next renewal at once.
 
 Model of a block: order 2 and order 1 each predict one id (hash tables of the two previous ids and of the previous id,
 with a confidence of 0 to 3); order 0 holds adaptive frequencies of id sizes. The coded symbol is 0 (order 2 was right),
@@ -23,8 +24,12 @@ TABLE1, TABLE2 = 1 << 11, 1 << 12
 ROWS, PREVIOUS, WIDE = 32, 2, 16
 UNITS, PRIOR = 12, 512
 CLASSES = 8
-TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD, MASK32, SCALE = np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(UNITS)
+HASH1, SHIFT1, MASK1 = (np.array(x, np.uint32) for x in (40503, 5, TABLE1 - 1))
+HASH2, SHIFT2, MASK2 = (np.array(x, np.uint32) for x in (2654435, 7, TABLE2 - 1))
+FOUR, ONE, TWO, THREE, SIXTEEN = np.array(4, np.uint32), *(np.array(x, np.int32) for x in (1, 2, 3, 16))
+TOP, LOW, WORD, MASK32, SCALE, LAST = (np.array(x, np.uint64) for x in (1 << 48, 1 << 32, 16, 0xFFFFFFFF, UNITS, (1 << UNITS) - 1))
+#: Blocks whose distributions are mixed at once, and steps whose places are found at once: these arrays stay in a core's cache.
+MIXED, NEAR = 64, 32
 
 
 def renewed(step: int) -> bool:
@@ -40,11 +45,13 @@ class Model:
         self.n, self.bare = n, max(bits - CLASSES, 0)
         self.symbols = 3 + bits - self.bare
         lanes = np.arange(n, dtype=np.int64)
-        self.base1, self.base2, self.base = lanes * TABLE1, lanes * TABLE2, lanes * (PREVIOUS * ROWS * WIDE)
-        self.one, self.two = np.zeros(n * TABLE1, np.int32), np.zeros(n * TABLE2, np.int32)
+        # One table of both orders: order 1 first.
+        self.base, self.base_row = np.stack([lanes * TABLE1, n * TABLE1 + lanes * TABLE2]), lanes * (PREVIOUS * ROWS)
+        self.table = np.zeros(n * (TABLE1 + TABLE2), np.int32)
         self.counts = np.zeros((n, PREVIOUS, ROWS, WIDE), np.int32)
-        self.last, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.previous = np.zeros(n, np.int64)
+        self.cum = np.full(self.counts.shape, 1 << UNITS, np.uint16)
+        self.cum[..., 0] = 0
+        self.flat = self.cum.reshape(-1)
         self.used: list[np.ndarray] = []
         self.renew()
 
@@ -54,39 +61,37 @@ class Model:
             self.counts += np.bincount(np.concatenate(self.used), minlength=self.counts.size).reshape(self.counts.shape)
             self.used = []
         k = self.symbols
-        by_row = self.counts[..., :k].sum(axis=1, dtype=np.int32)
-        by_previous = self.counts[..., :k].sum(axis=2, dtype=np.int32) * 8 + 1
-        prior = by_previous * PRIOR // by_previous.sum(axis=2, dtype=np.int32, keepdims=True)
-        mixed = by_row[:, None] * 64 + (prior + 1)[:, :, None]
-        # Sums are below 2**24, so that single precision holds them.
-        upto = np.cumsum(mixed, axis=3, dtype=np.int32)
-        scale = np.float32((1 << UNITS) - k) / upto[..., -1:].astype(np.float32)
-        self.cum = np.full((self.n, PREVIOUS, ROWS, WIDE), 1 << UNITS, np.uint16)
-        self.cum[..., 0] = 0
-        self.cum[..., 1:k] = (upto[..., :-1] * scale).astype(np.uint16) + np.arange(1, k, dtype=np.uint16)
-        self.flat = self.cum.reshape(-1)
+        for a in range(0, self.n, MIXED):
+            counts = self.counts[a : a + MIXED, ..., :k]
+            by_row = counts.sum(axis=1, dtype=np.int32)
+            by_previous = counts.sum(axis=2, dtype=np.int32) * 8 + 1
+            prior = by_previous * PRIOR // by_previous.sum(axis=2, dtype=np.int32, keepdims=True)
+            # Sums of rows and of priors are added, which takes fewer steps than summing all pairs; they are below 2**24, so that single precision holds them.
+            upto = np.cumsum(by_row * 64, axis=2, dtype=np.float64)[:, None] + np.cumsum(prior + 1, axis=2, dtype=np.float64)[:, :, None]
+            upto *= np.float32((1 << UNITS) - k) / upto[..., -1:].astype(np.float32)
+            upto = upto.astype(np.uint16)
+            upto += np.arange(1, k + 1, dtype=np.uint16)
+            self.cum[a : a + MIXED, ..., 1:k] = upto[..., :-1]
 
-    def predict(self, n: int) -> np.ndarray:
-        """For the first n blocks: where their distributions begin; sets the predicted ids."""
-        last = self.last[:n]
-        mixed = last * np.uint32(40503)
-        self.at1 = self.base1[:n] + (mixed >> np.uint32(5) & np.uint32(TABLE1 - 1))
-        self.at2 = self.base2[:n] + (mixed + self.last2[:n] * np.uint32(2654435) >> np.uint32(7) & np.uint32(TABLE2 - 1))
-        self.found1, self.found2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.id1, self.id2 = self.found1 >> 2, self.found2 >> 2
-        self.sure1, self.sure2 = self.found1 & 3, self.found2 & 3
-        row = (self.id1 == self.id2) * np.int32(16) + self.sure2 * 4 + self.sure1
-        return self.base[:n] + (self.previous[:n] + row) * WIDE
-
-    def update(self, n: int, ids: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> None:
-        """ids: int32; at: of the symbols in the distributions."""
-        self.used.append(at)
-        fresh = ids << 2 | 1
-        for table, where, found, guess, sure in ((self.one, self.at1, self.found1, self.id1, self.sure1), (self.two, self.at2, self.found2, self.id2, self.sure2)):
-            table[where] = np.where(guess == ids, found + (sure < 3), np.where(sure > 1, found - 1, fresh))
-        self.last2[:n] = self.last[:n]
-        self.last[:n] = ids
-        self.previous[:n] = (symbol > 1) * ROWS
+    def places(self, last: np.ndarray, last2: np.ndarray) -> np.ndarray:
+        """Places in the table of both orders, along the axis before the last; last and last2: the two previous ids, uint32, of all blocks along the last axis."""
+        mixed = last * HASH1
+        at = np.empty((*last.shape[:-1], 2, self.n), np.int64)
+        at[..., 0, :] = mixed >> SHIFT1 & MASK1
+        mixed += last2 * HASH2
+        at[..., 1, :] = mixed >> SHIFT2 & MASK2
+        at += self.base
+        return at
+
+    def update(self, at: np.ndarray, found: np.ndarray, four: np.ndarray) -> None:
+        """found: at these places; four: 4 * ids, int32. A right prediction gets surer up to 3; a wrong one less sure, or it is replaced."""
+        wrong = (found - four).view(np.uint32) >= FOUR
+        less = found - ONE
+        np.putmask(less, found & TWO == 0, four + ONE)  # along the last axis: four's values are repeated for each order
+        new = found + ONE
+        np.minimum(new, four + THREE, out=new)
+        np.putmask(new, wrong, less)
+        self.table[at] = new
 
 
 def lengths(n: int) -> np.ndarray:
@@ -95,6 +100,23 @@ def lengths(n: int) -> np.ndarray:
     return np.full(blocks, n // blocks, np.int64) + (np.arange(blocks) < n % blocks) if blocks else np.zeros(0, np.int64)
 
 
+def stepwise(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of all ids as (step, block); 0 where a block has ended."""
+    steps = int(size[0])
+    long = int((size == steps).sum())
+    out = np.zeros((steps, len(size)), values.dtype)
+    out[:, :long] = values[: long * steps].reshape(long, steps).T
+    out[: steps - 1, long:] = values[long * steps :].reshape(len(size) - long, steps - 1).T
+    return out
+
+
+def blockwise(columns: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The inverse of stepwise."""
+    steps = int(size[0])
+    long = int((size == steps).sum())
+    return np.concatenate([columns[:, :long].T.reshape(-1), columns[: steps - 1, long:].T.reshape(-1)])
+
+
 def sizes(ids: np.ndarray, bare: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbol of the size class, number of lower bits): ids below 2**bare are one class, then there is one for each bit length."""
     long = np.frexp(ids.astype(np.float32))[1] if not len(ids) or int(ids.max()) < 1 << 24 else np.frexp(ids.astype(np.float64))[1]
@@ -114,35 +136,53 @@ def encode(ids: np.ndarray, bits: int = 24) -> tuple[bytes, bytes]:
     crc = np.array([zlib.crc32(ids[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)], "<u4")
     steps = int(size[0])
     model = Model(blocks, bits)
-    kind, lower = sizes(ids, model.bare)
+    if bits <= 16:  # a table of all ids
+        kind, lower = (x.take(ids) for x in sizes(np.arange(1 << bits), model.bare))
+    else:
+        kind, lower = sizes(ids, model.bare)
     ids = ids.astype(np.int32)
-    whole = np.arange(steps) < size[:, None]  # cells of (block, step) with an id
-    columns, kinds, symbols = np.zeros((blocks, steps), np.int32), np.zeros((blocks, steps), np.uint8), np.zeros((steps, blocks), np.uint8)
-    columns[whole], kinds[whole] = ids, kind
-    columns, kinds = np.ascontiguousarray(columns.T), np.ascontiguousarray(kinds.T)
+    columns, kinds, symbols = stepwise(ids, size), stepwise(kind, size), np.zeros((steps, blocks), np.uint8)
     room = steps + 8
     out, at = np.zeros(blocks * room, np.uint32), np.arange(blocks, dtype=np.int64) * room
     low, width = np.zeros(blocks, np.uint64), np.full(blocks, TOP, np.uint64)
-    for step in range(steps):
-        n = blocks if step < size[-1] else int(np.searchsorted(-size, -step))
-        if renewed(step):
+    ends = [x for x in range(1, steps) if renewed(x) or x % NEAR == 0] + [steps]
+    for a, z in zip([0, *ends], ends):
+        if renewed(a):
             model.renew()
-        now = columns[step, :n]
-        where = model.predict(n)
-        symbol = np.where(now == model.id2, 0, np.where(now == model.id1, 1, kinds[step, :n]))
-        symbols[step, :n] = symbol
+        now = columns[a:z]
+        last = np.zeros((z - a + 1, blocks), np.uint32)  # from the id before the last one on
+        last[: z - a + 1] = columns[a - 2 : z - 1] if a else 0
+        if not a:
+            last[2:] = columns[: z - 1]
+        places, four = model.places(last[1:], last[:-1]), now << 2
+        found = np.empty(places.shape, np.int32)
+        for step in range(z - a):
+            model.table.take(places[step], out=found[step], mode="clip")
+            model.update(places[step], found[step], four[step])
+        guess = found >> 2
+        symbol = np.where(now == guess[:, 1], 0, np.where(now == guess[:, 0], 1, kinds[a:z])).astype(np.uint8)
+        symbols[a:z] = symbol
+        found &= 3
+        where = found[:, 1] * 4 + found[:, 0] + (guess[:, 0] == guess[:, 1]) * np.int32(16) + model.base_row
+        where[0] += (symbols[a - 1] > 1) * ROWS if a else 0
+        where[1:] += (symbol[:-1] > 1) * ROWS
+        where *= WIDE
         where += symbol
-        below, upto = model.flat.take(where), model.flat.take(where + 1)
-        unit = width[:n] >> SCALE
-        low[:n] += unit * below
-        width[:n] = unit * (upto - below)
-        if (short := np.flatnonzero(width[:n] < LOW)).size:
-            x, to = low[short], at[short]
-            out[to] = x >> np.uint64(32)  # 17 bits: the highest is carried at the end
-            low[short] = (x & MASK32) << WORD
-            width[short] <<= WORD
-            at[short] = to + 1
-        model.update(n, now, symbol, where)
+        below = model.flat.take(where)
+        share = (model.flat.take(where + 1) - below).astype(np.uint64)
+        below = below.astype(np.uint64)
+        model.used.append(where.reshape(-1))
+        for step in range(z - a):
+            n = blocks if a + step < size[-1] else int(np.searchsorted(-size, -(a + step)))
+            unit = width[:n] >> SCALE
+            low[:n] += unit * below[step, :n]
+            width[:n] = unit * share[step, :n]
+            if (short := np.flatnonzero(width[:n] < LOW)).size:
+                x, to = low[short], at[short]
+                out[to] = x >> np.uint64(32)  # 17 bits: the highest is carried at the end
+                low[short] = (x & MASK32) << WORD
+                width[short] <<= WORD
+                at[short] = to + 1
     for shift in (32, 16, 0):
         out[at] = low >> np.uint64(32)
         low = (low & MASK32) << WORD
@@ -153,7 +193,7 @@ def encode(ids: np.ndarray, bits: int = 24) -> tuple[bytes, bytes]:
     used = at - np.arange(blocks) * room
     words = out.reshape(blocks, room)[np.arange(room) < used[:, None]].astype("<u2")
 
-    given = np.ascontiguousarray(symbols.T)[whole]
+    given = blockwise(symbols, size)
     count = np.where(given > 1, lower, 0).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(count)])
     raw = -(-(ends[start[1:]] - ends[start[:-1]]) // 32)
@@ -183,7 +223,6 @@ def decode(n_ids: int, header: bytes, payload: bytes, bits: int = 24) -> np.ndar
     bare = np.concatenate([np.frombuffer(payload, "<u4", offset=2 * split), np.zeros(2, np.uint32)]).astype(np.uint64)
     bare = bare[:-1] | bare[1:] << np.uint64(32)
     at, place = np.cumsum(used) - used, (np.cumsum(raw) - raw) * 32
-    most, far = len(data) - 1, len(bare) - 1
     steps = int(size[0])
     width, value = np.full(blocks, TOP, np.uint64), np.zeros(blocks, np.uint64)
     for _ in range(3):
@@ -192,34 +231,51 @@ def decode(n_ids: int, header: bytes, payload: bytes, bits: int = 24) -> np.ndar
     columns = np.zeros((steps, blocks), np.uint32)
     model = Model(blocks, bits)
     lower = np.array([0, 0, model.bare, *(model.bare + np.arange(model.symbols - 3))], np.int64)
-    lead = np.where(np.arange(model.symbols) > 2, 1 << lower, 0).astype(np.int32)
+    lead = np.where(np.arange(model.symbols) > 2, 1 << lower, 0).astype(np.uint64)
+    mask = ((1 << lower) - 1).astype(np.uint64)
+    row_of = (np.arange(model.symbols) > 1) * ROWS
+    lines, none, begin = model.flat.reshape(-1, WIDE), np.zeros(blocks, np.uint32), model.base_row
     for step in range(steps):
-        n = blocks if step < size[-1] else int(np.searchsorted(-size, -step))
         if renewed(step):
             model.renew()
-        where = model.predict(n)
-        flat, begin = model.flat, where.copy()
-        unit = width[:n] >> SCALE
-        point = np.minimum(value[:n] // unit, np.uint64((1 << UNITS) - 1)).astype(np.uint16)
-        for half in (8, 4, 2, 1):  # the last symbol whose sum is at most the point
-            where += (flat.take(where + half) <= point) * half
-        symbol = where - begin
-        below, upto = flat.take(where), flat.take(where + 1)
-        value[:n] -= unit * below
-        width[:n] = unit * (upto - below)
-        if (short := np.flatnonzero(width[:n] < LOW)).size:
+        places = model.places(columns[step - 1] if step else none, columns[step - 2] if step > 1 else none)
+        found = model.table.take(places, mode="clip")
+        guess, sure = found >> TWO, found & THREE
+        row = (guess[0] == guess[1]) * SIXTEEN
+        row += sure[1] << TWO
+        row += sure[0]
+        row = row + begin
+        unit = width >> SCALE
+        point = np.minimum(value // unit, LAST).astype(np.uint16)
+        # The last symbol whose sum is at most the point: all sums are compared, and the bytes of those that are counted.
+        upto = lines.take(row, axis=0, mode="clip") <= point[:, None]
+        counted = np.bitwise_count(upto.view(np.uint64))
+        symbol = counted[:, 0] + counted[:, 1]
+        symbol -= 1
+        row *= WIDE
+        row += symbol
+        below = model.flat.take(row, mode="clip")
+        share = model.flat.take(row + 1, mode="clip") - below
+        value -= unit * below
+        width = unit * share
+        if (short := np.flatnonzero(width < LOW)).size:
             to = at[short]
-            value[short] = value[short] << WORD | data[np.minimum(to, most)]
+            value[short] = value[short] << WORD | data.take(to, mode="clip")
             width[short] <<= WORD
             at[short] = to + 1
-        count = lower.take(symbol)
-        to = place[:n]
-        bit = bare.take(np.minimum(to >> 5, far)) >> (to & 31).view(np.uint64) & ((1 << count) - 1).view(np.uint64)
-        place[:n] = to + count
-        now = np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, lead.take(symbol) | bit.astype(np.int32)))
-        model.update(n, now, symbol, where)
-        columns[step, :n] = now
-    out = np.ascontiguousarray(columns.T)[np.arange(steps) < size[:, None]].astype("<u4")
+        bit = bare.take(place >> 5, mode="clip")
+        bit >>= (place & 31).view(np.uint64)
+        bit &= mask.take(symbol)
+        bit |= lead.take(symbol)
+        place += lower.take(symbol)
+        now = bit.astype(np.int32)
+        np.putmask(now, symbol == 0, guess[1])
+        np.putmask(now, symbol == 1, guess[0])
+        model.update(places, found, now << TWO)
+        model.used.append(row)
+        columns[step] = now
+        begin = model.base_row + row_of.take(symbol)
+    out = blockwise(columns, size).astype("<u4")
     ends = np.cumsum(size)
     for j, (a, b) in enumerate(zip(ends - size, ends, strict=True)):
         if zlib.crc32(out[a:b]) != crc[j]:

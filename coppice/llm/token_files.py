@@ -7,10 +7,13 @@ reads it, so that any store it reaches will do; a segment is bounded by SEGMENT
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from coppice.llm import coder
 
 #: Ids of a segment, about: it bounds a row and a task's memory.
 SEGMENT = 1 << 22
-#: Bytes of text tokenised at once (or one text), and distinct pieces of text whose ids a task remembers.
-AT_ONCE, REMEMBERED = 1 << 22, 500_000
+#: Bytes of text tokenised at once (or one text), and distinct pieces of text and pre-tokens whose ids a task remembers.
+AT_ONCE, REMEMBERED, WORDS = 1 << 23, 700_000, 1_000_000
 
 SCHEMA = "part int, segment int, n long, bits int, doc_id array<long>, n_tokens array<long>, header binary, payload binary"
 
@@ -34,19 +37,70 @@ WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 UNSAFE = rf"[{WHITE}] (?:[{WHITE}]|$)|^ "
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
+#: Characters that every version of Unicode classes alike, and the tokenizer's pattern for texts of these alone.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u4e00-\u9fa5"
+OTHERS = "!-/:-@\\[-`{-~\u00a1\u00a7\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2026"
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{OTHERS}]+|\s+(?!\S)|\s+")
+#: The characters of bytes that a byte-level BPE's vocabulary shows as others; byte 0 stays.
+HIDDEN = {chr(x): chr(256 + i) for i, x in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD]) if x}
+
 _encoders: dict[str, Encoder] = {}
 
 
+class Known:
+    """The ids of distinct strings, in one array."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: defaultdict[str | int, int] = defaultdict(count().__next__)
+        self.ids, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def codes(self, strings: list, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each string; encode gives the ids of unknown ones, and how many each one has."""
+        before = len(self.code)
+        code = np.fromiter(map(self.code.__getitem__, strings), np.int64, len(strings))
+        if len(self.code) > before:
+            try:
+                ids, n = encode(list(islice(self.code, before, None)))
+            except BaseException:
+                self.clear()
+                raise
+            self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+        return code
+
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these numbers' strings, one after another; where each one's end)."""
+        size = self.n[code]
+        ends = np.cumsum(size)
+        at = np.repeat((np.cumsum(self.n) - self.n)[code] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
 class Encoder:
-    """Ids of many texts: they are cut before spaces that follow other characters, as a byte-level BPE encodes the pieces as it does the whole, and each distinct piece is encoded once."""
+    """Ids of many texts: they are cut before spaces that follow other characters, as a byte-level BPE encodes the pieces as it does the whole, and each distinct piece is encoded once.
+
+    Where the file's pre-tokenizer is the byte-level pattern and a piece has characters of undisputed classes alone, the
+    piece is cut into its pre-tokens, and the library's model merges each distinct one once; the whole library encodes other pieces."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         # Spark runs a task a core: the tokenizer's own threads would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), Known(), Known()
+        self.merge = self.tokenizer.model.tokenize
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        laws = json.loads(self.tokenizer.to_str())
+        before = laws["pre_tokenizer"] or {}
+        bytewise = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        if not (bytewise and laws["normalizer"] is None and laws["model"]["type"] == "BPE" and laws["model"]["dropout"] is None):
+            odd = r"(?s:.)"
+        else:
+            odd = "|".join([rf"[^ \t\n\r0-9{LETTERS}{OTHERS}]", *(re.escape(x["content"]) for x in laws["added_tokens"])])
+        self.odd = re.compile(odd).search
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -55,14 +109,37 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as uint32 bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in pieces if x not in self.known]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[x] for x in pieces]
+    def whole(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces by the whole library, number of each one's)."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pre-tokens by the library's model, number of each one's)."""
+        shown = "\0".join(words).encode().decode("latin-1")
+        for x in HIDDEN.keys() & set(shown):
+            shown = shown.replace(x, HIDDEN[x])
+        ids: list[int] = []
+        n: list[int] = []
+        for x in shown.split("\0"):
+            tokens = self.merge(x)
+            n.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return np.array(ids, "<u4"), np.array(n, np.int64)
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of different pieces, number of each one's)."""
+        if len(self.words.code) > WORDS:
+            self.words.clear()
+        odd = {x for x in pieces if self.odd(x)} if self.odd("\n".join(pieces)) else set()
+        self.words.codes(list(odd), self.whole)
+        cut: list[str] = []
+        upto = [0]
+        for x in pieces:
+            cut += (x,) if x in odd else PATTERN.findall(x)
+            upto.append(len(cut))
+        ids, ends = self.words.of(self.words.codes(cut, self.merged))
+        return ids, np.diff(np.concatenate([[0], ends])[upto])
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end_id after each; number of ids of each text)."""
@@ -76,22 +153,21 @@ class Encoder:
         flat = cut.flatten()
         # Codes of pieces: those after a space, the first of each text, and the pieces of texts that aren't cut at every space.
         later, first = flat.dictionary_encode(), flat.take(pa.array(bounds[:-1])).dictionary_encode()
-        table = [" " + x for x in later.dictionary.to_pylist()]
+        table = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), later.dictionary, pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
         code = later.indices.to_numpy().astype(np.int64)
         code[bounds[:-1]] = first.indices.to_numpy() + len(table)
-        table += first.dictionary.to_pylist()
+        table += first.dictionary.to_numpy(zero_copy_only=False).tolist()
         own = {x: len(table) + i for i, x in enumerate(dict.fromkeys(x for w in whole for x in w))}
         table += own
         more = np.zeros(len(texts), np.int64)
         more[rare] = [len(w) for w in whole]
         where = np.concatenate([np.repeat(bounds[1:], more), bounds[1:]])
         code = np.insert(code, where, np.concatenate([np.array([own[x] for w in whole for x in w], np.int64), np.full(len(texts), len(table))]))
-        ids = [*self.pieces(table), np.array([end_id], "<u4").tobytes()]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
-        start, pool = np.cumsum(n) - n, np.frombuffer(b"".join(ids), "<u4")
-        size = n[code]
-        ends = np.cumsum(size)
-        out = pool[np.repeat(start[code] - (ends - size), size) + np.arange(ends[-1])]
+        if len(self.known.code) > REMEMBERED:
+            self.known.clear()
+        number = self.known.codes(table, self.pieces)
+        end = self.known.codes([end_id], lambda ids: (np.array(ids, "<u4"), np.ones(1, np.int64)))
+        out, ends = self.known.of(np.append(number, end)[code])
         ends = ends[np.cumsum(np.diff(bounds) + more + 1) - 1]
         return out, np.diff(ends, prepend=0)
 

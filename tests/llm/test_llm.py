@@ -56,6 +56,32 @@ def test_encoder_equals_whole_texts():
     assert sum(x.num_rows for x in token_files.slices(batch)) == len(texts)
 
 
+def test_encoder_merges_each_word_once(monkeypatch):
+    """Words are merged once, whatever marks and line ends stand beside them; the whole library has to encode other pieces only."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encode = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    merged, whole = [], []
+    merge, by_library = encode.merge, encode.whole
+    monkeypatch.setattr(encode, "merge", lambda x: merged.append(x) or merge(x))
+    monkeypatch.setattr(encode, "whole", lambda x: whole.extend(x) or by_library(x))
+    texts = ["some wörds, some wörds.\nsome wörds! it's 12, 12.", "some wörds; 的 \u0e01 <|endoftext|>, wörds."]
+    ids, n = encode(pa.array(texts), 7)
+    assert sorted(whole) == [" <|endoftext|>,", " \u0e01"]
+    assert len(merged) == len(set(merged)) and sum("rds" in x for x in merged) == 1
+    expected = [[*encode.tokenizer.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+    assert n.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
+def test_coder_bytes_are_those_of_the_format():
+    """Checksums of files that the coder wrote when it went step by step throughout."""
+    rng = np.random.default_rng(5)
+    for n, bits, expected in ((1, 16, (3656189986, 2562572103)), (9000, 16, (2393186925, 389845689)), (20001, 24, (1787405930, 1826339288))):
+        ids = np.minimum(rng.zipf(1.3, n), 50000).astype(np.uint32)
+        header, payload = coder.encode(ids, bits)
+        assert (zlib.crc32(header), zlib.crc32(payload)) == expected
+
+
 def test_token_files(spark, odd, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
