@@ -57,6 +57,11 @@ class Known:
         self.code: defaultdict[str | int, int] = defaultdict(count().__next__)
         self.ids, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
+    def bound(self, most: int) -> None:
+        """Forget all where there are more strings than that, or these are long."""
+        if len(self.code) > most or len(self.ids) > 8 * most:
+            self.clear()
+
     def codes(self, strings: list, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The number of each string; encode gives the ids of unknown ones, and how many each one has."""
         before = len(self.code)
@@ -129,8 +134,7 @@ class Encoder:
 
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of different pieces, number of each one's)."""
-        if len(self.words.code) > WORDS:
-            self.words.clear()
+        self.words.bound(WORDS)
         odd = {x for x in pieces if self.odd(x)} if self.odd("\n".join(pieces)) else set()
         self.words.codes(list(odd), self.whole)
         cut: list[str] = []
@@ -163,8 +167,7 @@ class Encoder:
         more[rare] = [len(w) for w in whole]
         where = np.concatenate([np.repeat(bounds[1:], more), bounds[1:]])
         code = np.insert(code, where, np.concatenate([np.array([own[x] for w in whole for x in w], np.int64), np.full(len(texts), len(table))]))
-        if len(self.known.code) > REMEMBERED:
-            self.known.clear()
+        self.known.bound(REMEMBERED)
         number = self.known.codes(table, self.pieces)
         end = self.known.codes([end_id], lambda ids: (np.array(ids, "<u4"), np.ones(1, np.int64)))
         out, ends = self.known.of(np.append(number, end)[code])
